@@ -20,6 +20,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notegrid.llm.quality import held_out_quality
+
+    return held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notegrid.llm.language import held_out_languages
+
+    return held_out_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notegrid.llm.bpe import encode_documents
 
@@ -27,7 +39,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op6_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op6_packing, op7_quality, op9_language, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notegrid.llm.pii import find, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, fit(docs))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notegrid.llm.packing import pack
 
@@ -39,7 +46,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op6_packing, op7_quality, op9_language, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_pii, op6_packing, op7_quality, op9_language, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from notegrid.llm.common import table
 
@@ -21,6 +22,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(docs, fit(docs))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notegrid.llm.neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notegrid.llm.packing import pack
 
@@ -46,7 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op3_pii, op6_packing, op7_quality, op9_language, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_pii, op4_neighbours, op6_packing, op7_quality, op9_language, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

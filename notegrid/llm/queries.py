@@ -28,6 +28,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notegrid.llm.neardup import link
+
+    return link(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notegrid.llm.packing import pack
 
@@ -53,7 +59,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op3_pii, op4_neighbours, op6_packing, op7_quality, op9_language, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_pii, op4_neighbours, op5_near_duplicates, op6_packing, op7_quality, op9_language, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

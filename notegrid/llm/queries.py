@@ -15,6 +15,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notegrid.llm.chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notegrid.llm.pii import find, fit
 
@@ -46,6 +52,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notegrid.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notegrid.llm.language import held_out_languages
 
@@ -58,9 +70,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op3_pii, op4_neighbours, op5_near_duplicates, op6_packing, op7_quality, op9_language, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_chat_rotation, op3_pii, op4_neighbours, op5_near_duplicates, op6_packing, op7_quality, op8_html_text, op9_language, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from notegrid.llm.chat import ORACLE
+
+    return {"op2_chat_rotation": ORACLE}

@@ -7,12 +7,15 @@ their text like all others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrid.llm import language, neardup, packing, pii, quality
-from notegrid.llm.common import materialize, table
+from notegrid.llm.common import materialize, slices, table
 
 #: A document goes if no language of the corpus reaches this posterior.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -20,34 +23,33 @@ LEAST_LANGUAGE_SCORE = 0.5
 LEAST_QUALITY = 0.7
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language of the corpus; texts without a letter, or of doubtful language, go."""
-    marked = language.identify(docs, language.fit(docs), keep=tuple(docs.columns))
-    return marked.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+def keep_texts(docs: DataFrame, judge: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows whose text judge keeps; columns stay as they are, whatever their names."""
 
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(judge([x or "" for x in part.column("text").to_pylist()]), pa.bool_()))
 
-def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that look like label 1 of labels.quality."""
-    keep = tuple(docs.columns)
-    measured = materialize(quality.measure(docs.select("doc_id", "text")), "statistics")
-    trees = spark.sparkContext.broadcast(quality.fit(measured, table(spark, sf_dir, "labels")))
+    return docs.mapInArrow(run, docs.schema)
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for part in quality_slices(batch):
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                good = trees.value.score(quality.statistics(texts)) >= LEAST_QUALITY
-                yield part.filter(pa.array(good))
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language of the corpus; texts without a letter, or of doubtful language, go."""
+    model = spark.sparkContext.broadcast(language.fit(docs))
 
-    return docs.select(*keep).mapInArrow(run, docs.schema)
+    def judge(texts: list[str]) -> list[bool]:
+        return [x != "und" and s >= LEAST_LANGUAGE_SCORE for x, s in zip(*model.value.predict(texts), strict=True)]
 
+    return keep_texts(docs, judge)
 
-def quality_slices(batch):
-    from notegrid.llm.common import slices
 
-    return slices(batch, "text")
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that look like label 1 of labels.quality."""
+    labels = table(spark, sf_dir, "labels")
+    known = docs.join(labels.select(F.col("doc_id").alias("labelled")), F.col("doc_id") == F.col("labelled"), "left_semi")
+    trees = spark.sparkContext.broadcast(quality.fit(quality.measure(known.select("doc_id", "text")), labels))
+    return keep_texts(docs, lambda texts: (trees.value.score(quality.statistics(texts)) >= LEAST_QUALITY).tolist())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

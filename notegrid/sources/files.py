@@ -1,0 +1,130 @@
+"""Readers and writers: Markdown notes, event logs, vector text, transcripts, chat exports, manifests."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+LEDGER = "seq long, event_type string, trace_id string, trace_kind string, body_hash string, payload string, recorded_at string"
+
+
+def read_notes(spark: SparkSession, path: str) -> DataFrame:
+    """Markdown files below a folder: (path, value) with the whole text of each."""
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def parse_notes(notes: DataFrame, fields: list[str]) -> DataFrame:
+    """(path, fields..., content, parse_error) of notes with front matter of `key: value` lines; a bad file keeps its error."""
+    head = F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\z", 1)
+    body = F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\z", 2)
+    bad = ~F.rlike("value", F.lit(r"(?s)\A---\r?\n.*?\r?\n---"))
+    value = lambda k: F.nullif(F.regexp_replace(F.trim(F.regexp_extract(F.concat(F.lit("\n"), head), rf"\n{k}:[ \t]*([^\n]*)", 1)), '^"(.*)"$', "$1"), F.lit(""))
+    return notes.select("path", *[value(k).alias(k) for k in fields], F.when(bad, F.col("value")).otherwise(body).alias("content"), F.when(bad, "no_front_matter").alias("parse_error"))
+
+
+def render_note(fields: dict[str, Column], content: Column) -> Column:
+    """A note as Markdown text with front matter."""
+    lines = [F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in fields.items()]
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"), content)
+
+
+def number(c: Column) -> Column:
+    """First number in a text such as `V0.9`."""
+    return F.regexp_extract(c, r"[-+]?\d*\.?\d+", 0).try_cast("double")
+
+
+def normalize(rows: DataFrame) -> DataFrame:
+    """rows(id, importance, valence, arousal, domain, activation_count), all text: typed, clamped, with defaults."""
+    unit = lambda c, d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number(F.col(c)), F.lit(d))))
+    used = F.col("activation_count").try_cast("double")
+    return rows.select("id", F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(number(F.col("importance")).cast("int"), F.lit(5)))).alias("importance"), unit("valence", 0.5).alias("valence"), unit("arousal", 0.3).alias("arousal"), F.filter(F.transform(F.split("domain", ","), lambda x: F.trim(x)), lambda x: x != "").alias("domain"), F.when(used.isNull() | F.isnan(used) | (used < 0) | (used == float("inf")), 0.0).otherwise(F.round(used, 3)).alias("activation_count"))
+
+
+def snapshot_diff(previous: DataFrame, current: DataFrame, meta: list[str]) -> DataFrame:
+    """(id, change): added, removed, content or metadata; equal rows are left out."""
+    side = lambda df, p: df.select("id", F.sha2("content", 256).alias(f"{p}c"), F.xxhash64(*meta).alias(f"{p}m"))
+    both = side(previous, "p").join(side(current, "c"), "id", "full_outer")
+    change = F.when(F.col("pc").isNull(), "added").when(F.col("cc").isNull(), "removed").when(F.col("pc") != F.col("cc"), "content").when(F.col("pm") != F.col("cm"), "metadata")
+    return both.select("id", change.alias("change")).filter("change IS NOT NULL")
+
+
+def parse_ledger(lines: DataFrame) -> DataFrame:
+    """lines(line_no, value): events, with `valid` false for what is no event."""
+    e = F.from_json("value", LEDGER)
+    ok = e.isNotNull() & e["seq"].isNotNull() & e["event_type"].isNotNull()
+    return lines.filter(F.trim("value") != "").select("line_no", ok.alias("valid"), e.alias("e")).select("line_no", "valid", "e.*")
+
+
+def ledger_integrity(lines: DataFrame) -> DataFrame:
+    p = parse_ledger(lines)
+    return p.agg(F.count_if("valid").alias("events"), F.count_if(~F.col("valid")).alias("invalid"), F.max(F.when(F.col("valid"), F.col("seq"))).alias("latest_seq"))
+
+
+def append_events(changes: DataFrame, base: Column, order: list[str]) -> DataFrame:
+    """changes with the next numbers in order: the rank in a range plus the sizes of the ranges before, not one window."""
+    from notegrid.storage import materialize
+
+    parts = max(2, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = materialize(changes.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "append")
+    within = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # a row a range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    return within.join(F.broadcast(before), "_range").withColumn("seq", base + F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")
+
+
+def verify_chain(rows: DataFrame) -> DataFrame:
+    """rows(index, previous_checksum, checksum, payload): problems of a hash-chained log, by an equi join on the index."""
+    before = rows.select((F.col("index") + 1).alias("index"), F.col("checksum").alias("_prev"))
+    joined = rows.join(before, "index", "left")
+    want = F.sha2(F.concat_ws("|", F.col("index").cast("string"), "previous_checksum", "payload"), 256)
+    code = F.when((F.col("index") > 1) & F.col("_prev").isNull(), "gap").when(F.col("previous_checksum") != F.coalesce("_prev", F.lit("")), "broken_link").when(F.col("checksum") != want, "bad_checksum")
+    return joined.select("index", code.alias("code")).filter("code IS NOT NULL")
+
+
+def parse_vectors(rows: DataFrame, size: int) -> DataFrame:
+    """rows(id, embedding as JSON text): (id, v, error)."""
+    v = F.from_json("embedding", "array<double>")
+    error = F.when(v.isNull(), "malformed").when(F.size(v) == 0, "empty").when(F.size(v) != size, "wrong_size")
+    return rows.select("id", F.when(error.isNull(), v).alias("v"), error.alias("error"))
+
+
+ROLES = r"^\s*(?i)(user|human|assistant|ai|system)\s*[:：]\s*(.*)$"
+
+
+def parse_transcripts(files: DataFrame) -> DataFrame:
+    """files(path, value) of role-prefixed lines: (path, turn, role, content); a file without a prefix is one user turn."""
+    lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    role = F.lower(F.regexp_extract("line", ROLES, 1))
+    marked = lines.withColumn("role", role).withColumn("said", F.when(role != "", F.regexp_extract("line", ROLES, 2)).otherwise(F.col("line")))
+    numbered = marked.withColumn("turn", F.sum((F.col("role") != "").cast("int")).over(Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    name = F.when(F.max("role").isin("assistant", "ai"), "assistant").when(F.max("role") == "system", "system").otherwise("user")
+    turns = numbered.groupBy("path", "turn").agg(name.alias("role"), F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), "\n")).alias("content"))
+    return turns.filter("content <> ''")
+
+
+def parse_chat_export(files: DataFrame) -> DataFrame:
+    """files(path, value) of JSON exports with chat_messages: (path, turn, role, content), blank messages dropped."""
+    schema = "chat_messages array<struct<sender:string,role:string,text:string,content:array<struct<text:string>>,created_at:string>>"
+    each = files.select("path", F.posexplode(F.from_json("value", schema)["chat_messages"]).alias("turn", "m"))
+    said = F.trim(F.coalesce("m.text", F.array_join(F.transform("m.content", lambda p: p["text"]), " "), F.lit("")))
+    role = F.when(F.lower(F.coalesce("m.sender", "m.role")).isin("assistant", "ai"), "assistant").otherwise("user")
+    return each.select("path", F.col("turn").cast("long").alias("turn"), role.alias("role"), said.alias("content"), F.col("m.created_at").alias("at")).filter("content <> ''")
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """files(path, data): path, bytes and sha256 of each."""
+    return files.select("path", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+def verify_manifest(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """Differences of two manifests: missing, extra, size, hash, unsafe."""
+    both = wanted.select("path", F.col("bytes").alias("b"), F.col("sha256").alias("h")).join(found.select("path", F.col("bytes").alias("fb"), F.col("sha256").alias("fh")), "path", "full_outer")
+    code = F.when(F.rlike("path", F.lit(r"^/|(^|/)\.\.(/|$)")), "unsafe").when(F.col("fh").isNull(), "missing").when(F.col("h").isNull(), "extra").when(F.col("b") != F.col("fb"), "size").when(F.col("h") != F.col("fh"), "hash")
+    return both.select("path", code.alias("code")).filter("code IS NOT NULL")
+
+
+def to_events(memories: DataFrame, known: DataFrame) -> DataFrame:
+    """Memories as immutable events with an id from their content; those known already are left out."""
+    body = F.to_json(F.struct("id", "type", "importance"))
+    ident = F.concat(F.lit("mem_"), F.substring(F.sha2(F.concat_ws("|", "id", "content"), 256), 1, 32))
+    return memories.select(ident.alias("event_id"), F.col("type").alias("memory_type"), F.greatest(F.lit(1), F.least(F.lit(10), F.col("importance"))).alias("importance"), body.alias("metadata")).join(known.select("event_id"), "event_id", "left_anti")

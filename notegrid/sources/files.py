@@ -10,7 +10,7 @@ LEDGER = "seq long, event_type string, trace_id string, trace_kind string, body_
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files below a folder: (path, value) with the whole text of each."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def parse_notes(notes: DataFrame, fields: list[str]) -> DataFrame:

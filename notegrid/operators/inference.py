@@ -75,3 +75,42 @@ def with_cache(rows: DataFrame, cache: DataFrame, version: str, run: Callable[[D
     made = run(misses.select("id", "content"))
     new = misses.select("id", "key").join(made, "id").select("key", "result").dropDuplicates(["key"])
     return hits.unionByName(made.select("id", "result")), new
+
+
+def split(rows: DataFrame, model: Callable[[str], list[str]]) -> DataFrame:
+    """rows(id, content): (id, pos, item) of the parts that the model makes; a failure keeps the whole as one part."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for i, t in zip(pdf["id"], pdf["content"].fillna(""), strict=True):
+                try:
+                    parts = [p for p in model(t) if p.strip()] or [t]
+                except Exception:
+                    parts = [t]
+                out += [(i, k, p) for k, p in enumerate(parts)]
+            yield pd.DataFrame(out, columns=["id", "pos", "item"])
+
+    return rows.select("id", "content").mapInPandas(run, "id string, pos long, item string")
+
+
+def judge(pairs: DataFrame, model: Callable[[str, str], float], accept: float = 0.7) -> DataFrame:
+    """pairs(plan_id, plan, event_id, event): pairs that the model holds for resolved with enough confidence."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"plan_id": pdf["plan_id"], "event_id": pdf["event_id"], "confidence": [min(1.0, max(0.0, float(model(a, b)))) for a, b in zip(pdf["plan"], pdf["event"], strict=True)]})
+
+    return pairs.mapInPandas(run, "plan_id string, event_id string, confidence double").filter(F.col("confidence") >= accept)
+
+
+def impressions(days: DataFrame, model: Callable[[str], tuple[str, list[str]]]) -> DataFrame:
+    """days(day, text, known): an impression of each day with the cited ids that are among the known ones."""
+
+    def run(batches):
+        for pdf in batches:
+            got = [model(t) for t in pdf["text"]]
+            yield pd.DataFrame({"day": pdf["day"], "impression": [g[0] for g in got], "cited": [g[1] for g in got], "known": pdf["known"]})
+
+    out = days.select("day", "text", "known").mapInPandas(run, "day date, impression string, cited array<string>, known array<string>")
+    return out.select("day", "impression", F.array_sort(F.array_intersect("cited", "known")).alias("cited"))

@@ -89,3 +89,58 @@ def quotes_union(rows: DataFrame, most: int = 3) -> DataFrame:
     """rows(id, existing, incoming) of quotes: existing first, distinct, at most so many; and how many were dropped."""
     both = F.array_distinct(F.concat("existing", "incoming"))
     return rows.select("id", F.slice(both, 1, most).alias("quotes"), F.greatest(F.lit(0), F.size(both) - most).cast("long").alias("dropped"))
+
+
+def semantic_merge(incoming: DataFrame, targets: DataFrame, most_bytes: int = 4096) -> DataFrame:
+    """incoming(seq, target, content, tags, valence, importance), targets(id, ...): merged rows; too long ones are created instead.
+
+    Several rows for one target are folded in the order of seq.
+    """
+    folded = incoming.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("seq", "content", "tags", "valence", "importance"))).alias("new"))
+    met = folded.join(targets.select(F.col("id").alias("target"), F.col("content").alias("old"), F.col("tags").alias("old_tags"), F.col("valence").alias("old_valence"), F.col("importance").alias("old_importance")), "target")
+    start = F.struct(F.col("old").alias("content"), F.col("old_tags").alias("tags"), F.col("old_valence").alias("valence"), F.col("old_importance").alias("importance"), F.array().cast("array<bigint>").alias("created"))
+
+    def step(acc, r):
+        text = F.concat(acc["content"], F.lit("\n---\n"), r["content"])
+        fits = F.octet_length(text) <= most_bytes
+        return F.struct(
+            F.when(fits, text).otherwise(acc["content"]).alias("content"),
+            F.when(fits, F.array_sort(F.array_union(acc["tags"], r["tags"]))).otherwise(acc["tags"]).alias("tags"),
+            F.when(fits, F.round((acc["valence"] + r["valence"]) / 2, 2)).otherwise(acc["valence"]).alias("valence"),
+            F.when(fits, F.greatest(acc["importance"], r["importance"])).otherwise(acc["importance"]).cast("int").alias("importance"),
+            F.when(fits, acc["created"]).otherwise(F.array_append(acc["created"], r["seq"].cast("bigint"))).alias("created"),
+        )
+
+    return met.select("target", F.aggregate("new", start, step).alias("m")).select("target", "m.*")
+
+
+def review_decisions(decisions: DataFrame, memories: DataFrame) -> DataFrame:
+    """decisions(id, decision): important, pin or noise applied; unknown ids and words are errors."""
+    rows = decisions.join(memories.select("id", "importance", "pinned", "resolved"), "id", "left")
+    d = F.col("decision")
+    status = F.when(F.col("importance").isNull(), "missing").when(~d.isin("important", "pin", "noise"), "bad_decision").otherwise("applied")
+    ok = status == "applied"
+    return rows.select("id", status.alias("status"), F.when(ok & (d == "important"), 9).when(ok & (d == "pin"), 10).when(ok & (d == "noise"), 1).otherwise(F.col("importance")).cast("int").alias("importance"), F.when(ok & (d == "pin"), True).otherwise(F.col("pinned")).alias("pinned"), F.when(ok & (d == "noise"), True).otherwise(F.col("resolved")).alias("resolved"))
+
+
+def plan_actions(plans: DataFrame, actions: DataFrame, at: Column) -> DataFrame:
+    """actions(id, action): confirm, resolve, abandon or reopen; the new status and the log with one more entry."""
+    a = F.col("action")
+    status = F.when(a == "resolve", "resolved").when(a == "abandon", "abandoned").when(a == "reopen", "active").otherwise(F.col("status"))
+    known = a.isin("confirm", "resolve", "abandon", "reopen")
+    entry = F.struct(at.alias("ts"), a.alias("action"), F.col("status").alias("from"), status.alias("to"))
+    rows = plans.join(actions.filter(known), "id")
+    return rows.select("id", status.alias("status"), F.when(a.isin("confirm", "reopen"), at).otherwise(F.col("last_confirmed_at")).alias("last_confirmed_at"), F.array_append("change_log", entry).alias("change_log"))
+
+
+def feel_ingest(feels: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """feels(seq, content, source, valence): the new rows, and the sources marked digested with the feel's valence."""
+    new = feels.select(F.concat(F.lit("feel_"), F.col("seq").cast("string")).alias("id"), "content", F.array(F.lit("__feel__")).alias("tags"), F.lit("feel").alias("type"), F.col("source").alias("triggered_by"))
+    last = feels.groupBy(F.col("source").alias("id")).agg(F.max_by("valence", "seq").alias("model_valence"))
+    return new, memories.join(last, "id").select("id", F.lit(True).alias("digested"), "model_valence")
+
+
+def split_batches(batches: DataFrame) -> DataFrame:
+    """batches(batch, items): one row for each item that isn't blank."""
+    each = batches.select("batch", F.posexplode("items").alias("pos", "item"))
+    return each.select("batch", "pos", F.trim("item").alias("content")).filter("content <> ''")

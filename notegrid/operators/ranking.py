@@ -63,3 +63,61 @@ def render_summary(js: Column) -> Column:
     """Structured summary JSON as lines; other text stays as it is."""
     s = F.from_json(js, "summary string, facts array<string>, todo string")
     return F.when(s["summary"].isNotNull(), F.concat_ws("\n", s["summary"], F.array_join(F.transform(s["facts"], lambda x: F.concat(F.lit("- "), x)), "\n"), F.concat(F.lit("Todo: "), s["todo"]))).otherwise(js)
+
+
+def seeded(seed: Column | int, key: str = "id") -> Column:
+    """A number in 0..1 from a seed and a key, the same on every run."""
+    s = F.lit(seed) if isinstance(seed, int) else seed
+    return (F.pmod(F.xxhash64(s, F.col(key)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def shuffle_head(ranked: DataFrame, head: int, seed: int) -> DataFrame:
+    """ranked(rank, id): rank 1 stays, ranks up to head are shuffled, the rest stays; the new order as pos."""
+    part = F.when(F.col("rank") == 1, 0).when(F.col("rank") <= head, 1).otherwise(2)
+    first = ranked.filter(F.col("rank") <= head).withColumn("pos", F.row_number().over(Window.orderBy(part, seeded(seed), "id")).cast("long"))  # head rows
+    return first.select("pos", "id").unionByName(ranked.filter(F.col("rank") > head).select(F.col("rank").alias("pos"), "id"))
+
+
+def random_rows(pool: DataFrame, n: int, seed: int) -> DataFrame:
+    """n rows of a pool by seeded hash order."""
+    return pool.withColumn("_u", seeded(seed)).orderBy("_u", "id").limit(n).drop("_u")
+
+
+def encounters(sessions: DataFrame, pool: DataFrame, chance: float, n: int, seed: int) -> DataFrame:
+    """sessions(session): by chance, n random rows of a pool that is the same for all; each session draws its own.
+
+    A session starts at its own place of the pool's hash order and takes the n rows that follow, so a session
+    costs n rows, not the pool.
+    """
+    size = pool.agg(F.count(F.lit(1)).alias("size"))  # one row
+    drawn = sessions.filter(seeded(seed, "session") < chance).join(F.broadcast(size)).filter("size > 0")
+    start = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("session")), F.col("size"))
+    picks = drawn.select("session", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(n), F.col("size").cast("int")) - 1), lambda k: F.pmod(start + k, F.col("size")))).alias("slot"))
+    slots = pool.select("id", "slot")
+    return picks.join(slots, "slot").select("session", "id")
+
+
+def startup_slots(memories: DataFrame, at: Column, seed: int = 0, exclude: str = "") -> DataFrame:
+    """Slot 1: newest of the last day; 2 and 3: by importance; 4: one random neglected row of the first 20."""
+    from notegrid.operators.predicates import neglected, startup_memories
+
+    pool = startup_memories(memories)
+    one = pool.filter(F.col("created").between(at - F.expr("INTERVAL 24 HOURS"), at)).orderBy(F.desc("created"), "id").limit(1).select(F.lit(1).alias("slot"), "id")
+    rest = pool.join(F.broadcast(one.select("id")), "id", "left_anti")
+    two = top_rows(rest, [F.desc("importance"), F.desc("created"), F.col("id")], 2).select((F.col("rank") + 1).cast("int").alias("slot"), "id")
+    left = rest.join(F.broadcast(two.select("id")), "id", "left_anti").filter(neglected(at) & ~F.col("resolved") & (F.col("id") != exclude))
+    four = random_rows(left.orderBy(F.desc("importance"), "id").limit(20), 1, seed).select(F.lit(4).alias("slot"), "id")
+    return one.unionByName(two).unionByName(four)
+
+
+def keyword_overlap(a: Column, b: Column, least: int = 2) -> Column:
+    """Shared words over the smaller set; 0 with fewer than `least` shared."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((shared < least) | (F.least(F.size(a), F.size(b)) == 0), 0.0).otherwise(shared / F.least(F.size(a), F.size(b)))
+
+
+def feel_relevance(feels: DataFrame, n: int = 5, threshold: float = 0.5) -> DataFrame:
+    """feels(reference, id, cosine or null, overlap): 0.7 cosine + 0.3 overlap, or the overlap alone without a vector."""
+    score = F.when(F.col("cosine").isNotNull(), 0.7 * F.col("cosine") + 0.3 * F.col("overlap")).otherwise(F.col("overlap"))
+    rows = feels.withColumn("score", F.round(score, 6)).filter(F.col("score") >= threshold)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("reference").orderBy(F.desc("score"), "id")).cast("long")).filter(F.col("rank") <= n).select("reference", "id", "score", "rank")

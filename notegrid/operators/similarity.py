@@ -71,3 +71,37 @@ def similarity_edges(vectors: DataFrame, threshold: float, rows: int = 2048) ->
 
     out = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(pairs, "a string, b string, weight double")
     return out.select("a", "b", F.round("weight", 3).alias("weight"))
+
+
+def leader_clusters(rows: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:
+    """rows(id, pos), edges(a, b): greedy clusters in the order of pos; (leader, id) of clusters of at least so many.
+
+    A row is a leader if no earlier leader is its neighbour; others join their earliest leader. Every round
+    settles all rows whose earlier neighbours are settled, so the result equals the sequential one.
+    """
+    from notegrid.storage import materialize
+
+    order = rows.select("id", "pos")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    x, y = order.select(F.col("id").alias("a"), F.col("pos").alias("pa")), order.select(F.col("id").alias("b"), F.col("pos").alias("pb"))
+    earlier = materialize(both.join(x, "a").join(y, "b").filter("pb < pa").select(F.col("a").alias("id"), F.col("b").alias("before")), "earlier")
+    state = materialize(order.join(earlier.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("leads")), "state")  # nobody before them
+    while True:
+        known = state.select(F.col("id").alias("before"), "leads")
+        seen = earlier.join(known, "before", "left").groupBy("id").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_or(F.col("leads").isNull()).alias("waits"))
+        settled = seen.filter("led OR NOT waits").select("id", (~F.col("led")).alias("leads")).join(state.select("id"), "id", "left_anti")
+        new = materialize(settled, "settled")
+        if not new.limit(1).count():
+            break
+        state = materialize(state.unionByName(new), "state")
+    leaders = state.filter("leads").select(F.col("id").alias("before"))
+    first = earlier.join(leaders, "before").join(order.select(F.col("id").alias("before"), "pos"), "before").groupBy("id").agg(F.min_by("before", "pos").alias("leader"))
+    members = first.select("leader", "id").unionByName(leaders.select(F.col("before").alias("leader"), F.col("before").alias("id")))
+    big = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("leader")
+    return members.join(big, "leader", "left_semi")
+
+
+def best_neighbour(edges: DataFrame) -> DataFrame:
+    """edges(a, b, weight): the strongest edge of each row."""
+    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
+    return both.groupBy("id").agg(F.max_by("other", F.struct("weight", "other")).alias("other"), F.max("weight").alias("weight"))

@@ -1,0 +1,364 @@
+"""Queries of session assemblies, clustering, merges, further sources and inference."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from notegrid.functions import policy, scores
+from notegrid.functions.policy import ALLOWED_SQL
+from notegrid.functions.scores import SCORE_SQL
+from notegrid.functions.text import token_estimate
+from notegrid.operators import aggregates as A
+from notegrid.operators import inference as I
+from notegrid.operators import lifecycle as L
+from notegrid.operators import ordered as O
+from notegrid.operators import predicates as P
+from notegrid.operators import ranking as K
+from notegrid.operators import similarity as SI
+from notegrid.plans.grouped import TOKENS_SQL
+from notegrid.plans.joined import mid
+from notegrid.plans.registry import query
+from notegrid.plans.rows import AT_SQL
+from notegrid.schema import VIEWS, as_of, ledger, memories, table, vectors
+from notegrid.sources import files as S
+from notegrid.storage import VersionedTable, new_path
+
+
+def ranked(spark, sf, n=200):
+    m = memories(spark, sf).filter(policy.allowed("spontaneous")).withColumn("score", scores.decay_score(as_of()))
+    return K.top_rows(m, [F.desc("score"), F.col("id")], n)
+
+
+@query("win_06_startup_selection")
+def win_06(spark, sf):
+    return K.startup_slots(memories(spark, sf), F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'"), seed=5)
+
+
+@query("top_08_shuffle_head")
+def top_08(spark, sf):
+    return K.shuffle_head(ranked(spark, sf).select("rank", "id"), 20, seed=3)
+
+
+@query("top_09_passive_association")
+def top_09(spark, sf):
+    return K.random_rows(P.startup_memories(memories(spark, sf)).filter(P.neglected(as_of())), 2, seed=4).select("id")
+
+
+@query("top_10_resolved_encounter")
+def top_10(spark, sf):
+    sessions = table(spark, sf, "events").select(F.col("event_id").alias("session"))
+    return K.encounters(sessions, _slots(memories(spark, sf).filter("resolved").select("id"), 9), 0.03, 3, seed=8)
+
+
+def _slots(pool, seed):
+    """Dense numbers of a pool in seeded hash order, by range ranks."""
+    return S.append_events(pool.withColumn("_u", K.seeded(seed)), F.lit(-1), ["_u", "id"]).select("id", F.col("seq").alias("slot"))
+
+
+@query("top_11_low_score_drift")
+def top_11(spark, sf):
+    low = memories(spark, sf).filter(policy.allowed("search")).withColumn("score", scores.decay_score(as_of())).filter("score < 2").select("id")
+    return K.encounters(table(spark, sf, "benchmark").select(F.col("item_id").alias("session")), _slots(low, 2), 0.4, 3, seed=6)
+
+
+@query("top_12_letters_ranked", VIEWS + "SELECT id FROM memories WHERE type = 'letter' AND contains(lower(content), 'the') ORDER BY created DESC, id LIMIT 50")
+def top_12(spark, sf):
+    return P.letters(memories(spark, sf), "0000", "9999", "the").orderBy(F.desc("created"), "id").limit(50).select("id")
+
+
+@query("top_14_dream_assembly")
+def top_14(spark, sf):
+    rows = ranked(spark, sf, 60).select(F.lit(0).cast("long").alias("session"), "rank", "id", token_estimate(F.col("content")).alias("tokens"))
+    return O.budget_greedy(rows, "session", 20_000)
+
+
+@query("top_15_briefing", VIEWS + f"SELECT part, id FROM (SELECT 'pinned' AS part, id, row_number() OVER (ORDER BY importance DESC, id) AS k, 20 AS most FROM memories WHERE pinned UNION ALL SELECT 'top', id, row_number() OVER (ORDER BY {SCORE_SQL} DESC, id), 10 FROM memories WHERE {ALLOWED_SQL['spontaneous']} AND NOT pinned UNION ALL SELECT 'self', id, row_number() OVER (ORDER BY created DESC, id), 3 FROM memories WHERE type = 'i') WHERE k <= most")
+def top_15(spark, sf):
+    m = memories(spark, sf).withColumn("score", scores.decay_score(as_of()))
+    part = lambda df, n, most, *o: df.orderBy(*o).limit(most).select(F.lit(n).alias("part"), "id")
+    return part(m.filter("pinned"), "pinned", 20, F.desc("importance"), "id").unionByName(part(m.filter(policy.allowed("spontaneous") & ~F.col("pinned")), "top", 10, F.desc("score"), "id")).unionByName(part(m.filter("type = 'i'"), "self", 3, F.desc("created"), "id"))
+
+
+@query("agg_08_import_preview", f"SELECT conv_id, count(*) AS turns, sum({TOKENS_SQL.format('text')})::BIGINT AS tokens, substring(arg_min(text, turn), 1, 100) AS preview FROM conversations GROUP BY conv_id")
+def agg_08(spark, sf):
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(token_estimate(F.col("text"))).alias("tokens"), F.substring(F.min_by("text", "turn"), 1, 100).alias("preview"))
+
+
+@query("agg_10_index_drift", VIEWS + "SELECT id, 'missing' AS kind FROM memories WHERE id NOT IN (SELECT id FROM vectors) AND doc_id % 11 <> 0 UNION ALL SELECT id, 'orphan' FROM vectors WHERE id NOT IN (SELECT id FROM memories)")
+def agg_10(spark, sf):
+    m, v = memories(spark, sf), vectors(spark, sf)
+    missing = m.filter("doc_id % 11 <> 0").select("id").join(v.select("id"), "id", "left_anti").select("id", F.lit("missing").alias("kind"))
+    return missing.unionByName(v.select("id").join(m.select("id"), "id", "left_anti").select("id", F.lit("orphan").alias("kind")))
+
+
+@query("agg_13_cluster_patterns")
+def agg_13(spark, sf):
+    v = vectors(spark, sf)
+    edges = SI.similarity_edges(v, 0.35)
+    clusters = SI.leader_clusters(v.select("id", F.col("vec_id").alias("pos")), edges.select("a", "b"))
+    return clusters.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).select("leader", "n", F.when(F.col("n") >= 5, "pin").otherwise("review").alias("suggestion")).orderBy(F.desc("n"), "leader").limit(20)
+
+
+FEEL_PAIRS = ", f AS (SELECT v.* FROM vectors v JOIN memories m ON m.id = v.id WHERE m.doc_id % 4 = 1), p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS w FROM f a JOIN f b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3)"
+
+
+def _feel_edges(spark, sf):
+    feels = vectors(spark, sf).join(memories(spark, sf).filter("doc_id % 4 = 1").select("id"), "id", "left_semi")
+    return SI.similarity_edges(feels, 0.3)
+
+
+@query("agg_14_crystallized", VIEWS + FEEL_PAIRS + " SELECT id, count(*) AS similar FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id HAVING count(*) >= 2")
+def agg_14(spark, sf):
+    e = _feel_edges(spark, sf)
+    return e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("similar")).filter("similar >= 2")
+
+
+@query("agg_15_best_connection", VIEWS + FEEL_PAIRS + " SELECT a, b, round(w, 3) AS weight FROM p ORDER BY round(w, 3) DESC, a, b LIMIT 1")
+def agg_15(spark, sf):
+    return _feel_edges(spark, sf).orderBy(F.desc("weight"), "a", "b").limit(1)
+
+
+@query("agg_25_decision_consistency", "SELECT event_id AS id, unnest(list_filter([CASE WHEN event_id % 6 = 0 THEN 'id_mismatch' END, CASE WHEN event_id % 5 = 0 THEN 'surface_missing' END], lambda x: x IS NOT NULL)) AS code FROM events")
+def agg_25(spark, sf):
+    e = F.col("event_id")
+    want = F.sha2(F.concat_ws("|", "event_type", e.cast("string")), 256)
+    r = table(spark, sf, "events").select(e.alias("id"), want.alias("want"), F.when(e % 6 == 0, "other").otherwise(want).alias("decision_id"), F.array(F.lit("memory"), F.lit("vector")).alias("planned"), F.when(e % 5 == 0, F.array(F.lit("memory"))).otherwise(F.array(F.lit("memory"), F.lit("vector"))).alias("seen"))
+    return r.select("id", A.codes((F.col("want") != F.col("decision_id"), "id_mismatch"), (F.size(F.array_except("planned", "seen")) > 0, "surface_missing")))
+
+
+@query("agg_26_shape_health", "SELECT event_id AS id, 'k_not_a_number' AS code FROM events WHERE event_id % 8 = 0")
+def agg_26(spark, sf):
+    e = F.col("event_id")
+    js = F.when(e % 8 == 0, F.lit('{"k": "x"}')).otherwise(F.col("props"))
+    v = F.try_parse_json(js)
+    return table(spark, sf, "events").select(e.alias("id"), A.codes((v.isNull(), "unreadable"), (~F.schema_of_variant(v).isin("OBJECT<k: BIGINT>"), "k_not_a_number")))
+
+
+@query("win_09_pinned_quota", VIEWS + "SELECT doc_id AS seq, id, row_number() OVER (ORDER BY doc_id) + 2 <= 20 AS admitted, row_number() OVER (ORDER BY doc_id) + 2 > 18 AS warned FROM memories WHERE pinned")
+def win_09(spark, sf):
+    return O.admit(memories(spark, sf).filter("pinned").select(F.col("doc_id").alias("seq"), "id"), 2, 20, 18)
+
+
+@query("win_10_anchor_quota", VIEWS + "SELECT doc_id AS seq, id, row_number() OVER (ORDER BY doc_id) + 4 <= 24 AS admitted FROM memories WHERE doc_id % 3 = 0 AND NOT pinned AND NOT anchor")
+def win_10(spark, sf):
+    asked = memories(spark, sf).filter((F.col("doc_id") % 3 == 0) & ~F.col("pinned") & ~F.col("anchor")).select(F.col("doc_id").alias("seq"), "id")
+    return O.admit(asked, 4, 24, 24).drop("warned")
+
+
+@query("win_13_pending_days", "SELECT CAST(ts - INTERVAL 4 HOUR AS DATE) AS day FROM events GROUP BY 1 HAVING bool_or(event_id % 100 = 0)")
+def win_13(spark, sf):
+    from notegrid.functions.text import logical_day
+
+    e = table(spark, sf, "events").select(logical_day(F.col("ts")).alias("day"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 100 == 0, "new").otherwise("old").alias("revision"))
+    done = e.withColumn("revision", F.lit("old")).groupBy("day").agg(F.bit_xor(F.xxhash64("id", "revision")).alias("signature"))
+    return O.pending_days(e, done)
+
+
+@query("set_04_append_lists", VIEWS + "SELECT id, 'a,b,' || CAST(doc_id % 3 AS VARCHAR) AS meaning FROM memories")
+def set_04(spark, sf):
+    new = F.array((F.col("doc_id") % 3).cast("string"))
+    return memories(spark, sf).select("id", F.array_join(F.slice(F.concat(F.array(F.lit("a"), F.lit("b")), new), 1, 50), ",").alias("meaning"))
+
+
+@query("scr_12_feel_relevance", VIEWS + ", x AS (SELECT doc_id % 5 AS reference, id, CASE WHEN doc_id % 2 = 0 THEN valence END AS c, arousal AS o FROM memories WHERE type = 'feel'), s AS (SELECT reference, id, round(CASE WHEN c IS NOT NULL THEN 0.7::DOUBLE * c + 0.3::DOUBLE * o ELSE o END, 6) AS score FROM x) SELECT * FROM (SELECT reference, id, score, row_number() OVER (PARTITION BY reference ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.5) WHERE rank <= 5")
+def scr_12(spark, sf):
+    d = F.col("doc_id")
+    return K.feel_relevance(memories(spark, sf).filter("type = 'feel'").select((d % 5).alias("reference"), "id", F.when(d % 2 == 0, F.col("valence")).alias("cosine"), F.col("arousal").alias("overlap")))
+
+
+@query("scr_13_theme_similarity", VIEWS + ", t AS (SELECT id, doc_id, list_distinct(list_filter(string_split_regex(lower(name), '\\s+'), lambda x: x NOT IN ('the', 'and', ''))) AS w FROM memories) SELECT a.id, CASE WHEN len(list_intersect(a.w, b.w)) < 2 THEN 0.0::DOUBLE ELSE round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w))::DOUBLE, 6) END AS similarity FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
+def scr_13(spark, sf):
+    words = F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda x: ~x.isin("the", "and", "")))
+    t = memories(spark, sf).select("id", "doc_id", words.alias("w"))
+    nxt = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
+    return t.join(nxt, "doc_id").select("id", F.round(K.keyword_overlap(F.col("w"), F.col("v")), 6).alias("similarity"))
+
+
+@query("jon_10_duplicate_marking", VIEWS + ", p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS w FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id), e AS (SELECT a AS id, b AS other, round(w, 3) AS w FROM p WHERE w > 0.35 UNION ALL SELECT b, a, round(w, 3) FROM p WHERE w > 0.35) SELECT id, other, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, other DESC) AS k FROM e) WHERE k = 1")
+def jon_10(spark, sf):
+    return SI.best_neighbour(SI.similarity_edges(vectors(spark, sf), 0.35))
+
+
+@query("lif_03_archive", VIEWS + "SELECT id, CASE WHEN doc_id % 9 = 0 THEN 'archived' ELSE type END AS type FROM memories")
+def lif_03(spark, sf):
+    m = memories(spark, sf)
+    gone = m.filter("doc_id % 9 = 0").select("id", F.lit(True).alias("gone"))
+    return m.join(gone, "id", "left").select("id", F.when(F.col("gone"), "archived").otherwise(F.col("type")).alias("type"))
+
+
+@query("lif_07_semantic_merge", VIEWS + "SELECT id AS target, sha256(content || chr(10) || '---' || chr(10) || 'note ' || CAST(doc_id AS VARCHAR)) AS h, round((valence + 0.5::DOUBLE) / 2, 2) AS valence, greatest(importance, 4) AS importance FROM memories WHERE doc_id % 6 = 0 AND strlen(content) < 3000")
+def lif_07(spark, sf):
+    d, m = F.col("doc_id"), memories(spark, sf).filter(F.octet_length("content") < 3000)
+    new = m.filter(d % 6 == 0).select(d.alias("seq"), F.col("id").alias("target"), F.concat(F.lit("note "), d.cast("string")).alias("content"), F.array(F.lit("x")).alias("tags"), F.lit(0.5).alias("valence"), F.lit(4).alias("importance"))
+    return L.semantic_merge(new, m).select("target", F.sha2("content", 256).alias("h"), "valence", "importance")
+
+
+@query("lif_12_review_decisions", VIEWS + "SELECT id, CASE WHEN doc_id % 4 = 3 THEN 'bad_decision' ELSE 'applied' END AS status, CASE doc_id % 4 WHEN 0 THEN 9 WHEN 1 THEN 10 WHEN 2 THEN 1 ELSE importance END AS importance, CASE WHEN doc_id % 4 = 1 THEN TRUE ELSE pinned END AS pinned, CASE WHEN doc_id % 4 = 2 THEN TRUE ELSE resolved END AS resolved FROM memories")
+def lif_12(spark, sf):
+    k, m = F.col("doc_id") % 4, memories(spark, sf)
+    return L.review_decisions(m.select("id", F.when(k == 0, "important").when(k == 1, "pin").when(k == 2, "noise").otherwise("odd").alias("decision")), m)
+
+
+@query("lif_13_plan_actions", VIEWS + f"SELECT id, CASE doc_id % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'active' ELSE 'abandoned' END AS status, CASE WHEN doc_id % 3 = 1 THEN {AT_SQL} END AS last_confirmed_at, 2 AS entries FROM memories WHERE type = 'plan'")
+def lif_13(spark, sf):
+    k, m = F.col("doc_id") % 3, memories(spark, sf).filter("type = 'plan'")
+    entry = F.struct(F.col("created").alias("ts"), F.lit("create").alias("action"), F.lit("").alias("from"), F.lit("active").alias("to"))
+    plans = m.select("id", F.lit("active").alias("status"), F.lit(None).cast("timestamp_ntz").alias("last_confirmed_at"), F.array(entry).alias("change_log"))
+    acts = m.select("id", F.when(k == 0, "resolve").when(k == 1, "confirm").otherwise("abandon").alias("action"))
+    return L.plan_actions(plans, acts, as_of()).select("id", "status", "last_confirmed_at", F.size("change_log").alias("entries"))
+
+
+@query("lif_14_feel_ingest", VIEWS + "SELECT id, TRUE AS digested, valence AS model_valence FROM memories WHERE doc_id % 10 = 4")
+def lif_14(spark, sf):
+    m = memories(spark, sf)
+    feels = m.filter("doc_id % 10 = 4").select(F.col("doc_id").alias("seq"), "content", F.col("id").alias("source"), "valence")
+    return L.feel_ingest(feels, m)[1]
+
+
+@query("lif_15_batch_items", "SELECT conv_id AS batch, count(*) AS items FROM conversations WHERE turn % 3 <> 1 GROUP BY 1")
+def lif_15(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("i", F.struct("turn", F.when(F.col("turn") % 3 == 1, "  ").otherwise(F.col("text")).alias("t")))
+    batches = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("i")).alias("xs")).select(F.col("conv_id").alias("batch"), F.transform("xs", lambda x: x["t"]).alias("items"))
+    return L.split_batches(batches).groupBy("batch").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query("lif_17_reclassify", "WITH k(domain, kw) AS (VALUES ('license', 'license'), ('license', 'mit'), ('license', 'released')), h AS (SELECT doc_id, count(*) AS hits FROM documents, k WHERE contains(lower(text), kw) GROUP BY 1 HAVING count(*) >= 2) SELECT doc_id, source AS old, 'license' AS new FROM h JOIN documents USING (doc_id)")
+def lif_17(spark, sf):
+    d = table(spark, sf, "documents")
+    new = K.classify(d, {"license": ["license", "mit", "released"]}).filter("domains <> ''")
+    return d.select("doc_id", F.col("source").alias("old")).join(new, "doc_id").filter("old <> domains").select("doc_id", "old", F.col("domains").alias("new"))
+
+
+@query("lif_21_reembed", VIEWS + "SELECT id, doc_id % 4 = 0 AS kept FROM memories WHERE NOT contains(content, 'MIT')")
+def lif_21(spark, sf):
+    from notegrid.plans.jobs import stand_in
+
+    m = memories(spark, sf).filter(~F.contains("content", F.lit("MIT")))
+    done = m.filter("doc_id % 4 = 0").select("id", F.lit(True).alias("kept"))
+    todo = m.join(done.select("id"), "id", "left_anti")
+    made = I.embed(todo, stand_in).filter("error IS NULL").select("id", F.lit(False).alias("kept"))
+    store = VersionedTable(spark, new_path(spark, "reembed"))
+    store.write(done)
+    store.upsert(made)
+    return store.read()
+
+
+@query("lif_22_import_job", "SELECT conv_id, count(*) AS items FROM (SELECT conv_id, row_number() OVER (PARTITION BY sha256(trim(text)) ORDER BY conv_id, turn) AS k FROM conversations WHERE role = 'user') WHERE k = 1 GROUP BY 1")
+def lif_22(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("m", F.struct(F.col("turn"), F.concat("role", F.lit(": "), "text").alias("line")))
+    texts = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms")).select(F.col("conv_id").cast("string").alias("path"), F.array_join(F.transform("ms", lambda x: x["line"]), "\n").alias("value"))
+    turns = S.route(texts).filter("role = 'user'")
+    items = turns.select(F.col("path").cast("long").alias("conv_id"), "turn", "content", (F.col("path").cast("long") * 100000 + F.col("turn")).alias("seq"))
+    fate = L.exact_dedup(items, memories(spark, sf).limit(0))
+    return items.join(fate.filter("disposition = 'created'"), "seq").groupBy("conv_id").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query("src_10_chat_tree", "SELECT CAST(conv_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, sha256(trim(text)) AS h FROM conversations")
+def src_10(spark, sf):
+    node = F.struct(F.struct(F.struct("role").alias("author"), F.struct(F.array("text").alias("parts")).alias("content"), (F.col("turn") * 10 + 1).cast("double").alias("create_time")).alias("message"))
+    c = table(spark, sf, "conversations").select("conv_id", F.concat(F.lit("k"), F.col("turn").cast("string")).alias("k"), node.alias("n"))
+    f = c.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("mapping")).select(F.col("conv_id").cast("string").alias("path"), F.to_json(F.struct("mapping")).alias("value"))
+    return S.parse_chat_tree(f).select("path", "turn", "role", F.sha2("content", 256).alias("h"))
+
+
+@query("src_12_detect_format", "SELECT CAST(conv_id AS VARCHAR) AS path, CASE conv_id % 4 WHEN 0 THEN 'messages' WHEN 1 THEN 'tree' WHEN 2 THEN 'transcript' ELSE 'empty' END AS format FROM conversations GROUP BY conv_id")
+def src_12(spark, sf):
+    k = F.col("conv_id") % 4
+    f = table(spark, sf, "conversations").select("conv_id").distinct().select(F.col("conv_id").cast("string").alias("path"), F.when(k == 0, '{"chat_messages": []}').when(k == 1, ' {"mapping": {}}').when(k == 2, "user: hello").otherwise(" \n").alias("value"))
+    return S.detect_format(f).select("path", "format")
+
+
+@query("src_15_backup_diff", VIEWS + "SELECT id AS path, CASE doc_id % 4 WHEN 0 THEN 'remove' WHEN 1 THEN 'upload' WHEN 2 THEN 'upload' ELSE 'unchanged' END AS action FROM memories")
+def src_15(spark, sf):
+    k, m = F.col("doc_id") % 4, memories(spark, sf)
+    local = S.manifest(m.filter(k != 0).select(F.col("id").alias("path"), F.col("content").alias("data")))
+    remote = S.manifest(m.filter(k != 1).select(F.col("id").alias("path"), F.when(k == 2, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("data")))
+    return S.backup_diff(local, remote)
+
+
+@query("src_18_catch_up", VIEWS + "SELECT seq AS index FROM ledger WHERE seq > 100 AND seq < 700")
+def src_18(spark, sf):
+    e = ledger(spark, sf).select(F.col("seq").alias("index"), "payload")
+    return S.catch_up(e.filter("index <= 500"), e.filter("index > 400 AND index <> 700"), 100).select("index")
+
+
+@query("src_19_attachments", VIEWS + "SELECT id, id || '/' || substring(sha256(domain[1]), 1, 16) || '.txt' AS path, strlen(domain[1]) AS bytes FROM memories")
+def src_19(spark, sf):
+    item = F.struct(F.base64(F.element_at("domain", 1)).alias("payload"), F.lit("txt").alias("type"))
+    return S.attachments(memories(spark, sf).select("id", F.array(item, item).alias("media")))
+
+
+@query("src_20_eval_cases", "SELECT item_id AS pos, 2 AS n FROM benchmark")
+def src_20(spark, sf):
+    i = F.col("item_id")
+    raw = table(spark, sf, "benchmark").select(i.alias("pos"), F.col("text").alias("query"), F.when(i % 2 == 0, '["a", "b"]').otherwise("a , b,").alias("expected"))
+    return S.eval_cases(raw).select("pos", F.size("expected").alias("n"))
+
+
+@query("src_21_merge_vectors", VIEWS + "SELECT 'n' || CAST(vec_id AS VARCHAR) AS id FROM vectors WHERE vec_id % 3 = 0 AND vec_id % 2 = 1")
+def src_21(spark, sf):
+    v = vectors(spark, sf)
+    k = F.col("vec_id")
+    other = v.select("id", F.when(k % 2 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 3)).alias("embedding"))
+    id_map = v.filter(k % 3 == 0).select(F.col("id").alias("old_id"), F.concat(F.lit("n"), k.cast("string")).alias("id"))
+    return S.merge_vectors(v.select("id", "embedding"), other, id_map, 64)[1]
+
+
+@query("src_22_trace_catalog_table", VIEWS + "SELECT trace_id, count(*) > 0 AS listed FROM ledger WHERE event_type <> 'Other' GROUP BY 1")
+def src_22(spark, sf):
+    store = VersionedTable(spark, new_path(spark, "catalog"))
+    store.write(A.trace_catalog(ledger(spark, sf)).withColumn("search_text", F.concat_ws(" ", "trace_id", "state", "latest_event_type")))
+    return store.read().select("trace_id", (F.length("search_text") > 0).alias("listed"))
+
+
+@query("udf_03_split", VIEWS + "SELECT id, CAST(len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS items FROM memories")
+def udf_03(spark, sf):
+    return I.split(memories(spark, sf), lambda t: t.split("\n")).groupBy("id").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query("udf_05_judge", VIEWS + "SELECT p.id AS plan_id, e.trace_id AS event_id FROM memories p JOIN ledger e ON e.trace_id = 'm' || CAST(p.doc_id + 1 AS VARCHAR) AND e.event_type = 'TraceUpdated' WHERE p.type = 'plan' AND length(p.content) % 10 >= 7")
+def udf_05(spark, sf):
+    plans = memories(spark, sf).filter("type = 'plan'").select(F.col("id").alias("plan_id"), F.col("content").alias("plan"), mid(F.col("doc_id") + 1).alias("event_id"))
+    events = ledger(spark, sf).filter("event_type = 'TraceUpdated'").select(F.col("trace_id").alias("event_id"), F.col("payload").alias("event"))
+    return I.judge(plans.join(events, "event_id"), lambda a, b: len(a) % 10 / 10).select("plan_id", "event_id")
+
+
+@query("udf_07_impressions", "SELECT CAST(ts - INTERVAL 4 HOUR AS DATE) AS day, 'u' || CAST(min(user_id) AS VARCHAR) AS cited FROM events GROUP BY 1")
+def udf_07(spark, sf):
+    from notegrid.functions.text import logical_day
+
+    days = table(spark, sf, "events").groupBy(logical_day(F.col("ts")).alias("day")).agg(F.count(F.lit(1)).cast("string").alias("text"), F.array(F.concat(F.lit("u"), F.min("user_id").cast("string"))).alias("known"))
+    return I.impressions(days, lambda t: (f"{t} events", [f"u{i}" for i in range(2000)])).select("day", F.array_join("cited", ",").alias("cited"))
+
+
+@query("txt_08_json_from_text", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS k FROM documents")
+def txt_08(spark, sf):
+    d = F.col("doc_id")
+    rows = table(spark, sf, "documents").select(d.cast("string").alias("id"), F.when(d % 3 == 0, "nothing {here").otherwise(F.concat(F.lit('Here: ```json {"k": '), d.cast("string"), F.lit("} ``` done"))).alias("content"))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "js": [I.first_json(t) for t in pdf["content"]]})
+
+    return rows.mapInPandas(run, "id string, js string").select(F.col("id").cast("long").alias("doc_id"), F.get_json_object("js", "$.k").alias("k"))
+
+
+@query("str_01_stream_catalog", VIEWS + ", k AS (SELECT * FROM ledger WHERE event_type <> 'Other') SELECT trace_id, max(seq) AS latest_seq, count(*) AS events FROM k GROUP BY 1")
+def str_01(spark, sf):
+    from notegrid.plans.jobs import _stream
+    from notegrid.streaming.jobs import run_available
+
+    n = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"))  # one row
+    e = _stream(spark, sf).join(F.broadcast(n)).select(F.concat(F.lit("m"), (F.col("event_id") % F.col("n")).cast("string")).alias("trace_id"), (F.col("event_id") + 1).alias("seq"))
+    return run_available(e.groupBy("trace_id").agg(F.max("seq").alias("latest_seq"), F.count(F.lit(1)).alias("events")), "complete", "catalog")
+
+
+@query("str_07_surfacing_log", "SELECT user_id AS run, event_type AS kind, count(*) AS entries FROM events GROUP BY 1, 2")
+def str_07(spark, sf):
+    from notegrid.plans.jobs import _stream
+    from notegrid.streaming.jobs import run_available
+
+    log = run_available(_stream(spark, sf).select(F.col("user_id").alias("run"), F.col("event_type").alias("kind"), "event_id"), "append", "surfacing")
+    return log.groupBy("run", "kind").agg(F.count(F.lit(1)).alias("entries"))

@@ -128,3 +128,67 @@ def to_events(memories: DataFrame, known: DataFrame) -> DataFrame:
     body = F.to_json(F.struct("id", "type", "importance"))
     ident = F.concat(F.lit("mem_"), F.substring(F.sha2(F.concat_ws("|", "id", "content"), 256), 1, 32))
     return memories.select(ident.alias("event_id"), F.col("type").alias("memory_type"), F.greatest(F.lit(1), F.least(F.lit(10), F.col("importance"))).alias("importance"), body.alias("metadata")).join(known.select("event_id"), "event_id", "left_anti")
+
+
+def parse_chat_tree(files: DataFrame) -> DataFrame:
+    """files(path, value) of JSON exports with a mapping of messages: turns in the order of create_time."""
+    schema = "mapping map<string,struct<message:struct<author:struct<role:string>,content:struct<parts:array<string>>,create_time:double>>>"
+    each = files.select("path", F.explode(F.map_entries(F.from_json("value", schema)["mapping"])).alias("e")).select("path", F.col("e.key").alias("key"), F.col("e.value.message").alias("m")).filter("m IS NOT NULL")
+    said = F.trim(F.array_join(F.coalesce("m.content.parts", F.array().cast("array<string>")), " "))
+    rows = each.select("path", F.coalesce("m.create_time", F.lit(0.0)).alias("at"), "key", F.when(F.col("m.author.role") == "assistant", "assistant").when(F.col("m.author.role") == "system", "system").otherwise("user").alias("role"), said.alias("content")).filter("content <> ''")
+    return rows.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("at", "key")) - 1).cast("long").alias("turn"), "role", "content", F.timestamp_seconds("at").alias("at"))
+
+
+def detect_format(files: DataFrame) -> DataFrame:
+    """files(path, value) with `format`: messages, tree, transcript or empty."""
+    head = F.regexp_extract("value", r"\S", 0)
+    js = (F.lower("path").endswith(".json")) | head.isin("{", "[")
+    kind = F.when(head == "", "empty").when(js & F.rlike("value", F.lit('"mapping"\\s*:')), "tree").when(js & F.rlike("value", F.lit('"(chat_)?messages"\\s*:')), "messages").otherwise("transcript")
+    return files.withColumn("format", kind)
+
+
+def route(files: DataFrame) -> DataFrame:
+    """Turns of files of any format."""
+    f = detect_format(files)
+    cols = ["path", "turn", "role", "content"]
+    parts = [parse_chat_export(f.filter("format = 'messages'")).select(*cols), parse_chat_tree(f.filter("format = 'tree'")).select(*cols), parse_transcripts(f.filter("format = 'transcript'")).select("path", F.col("turn").cast("long").alias("turn"), "role", "content")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def backup_diff(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Two manifests: upload, unchanged or remove for each path."""
+    both = local.select("path", F.col("sha256").alias("h")).join(remote.select("path", F.col("sha256").alias("r")), "path", "full_outer")
+    return both.select("path", F.when(F.col("h").isNull(), "remove").when(F.col("r").isNull() | (F.col("r") != F.col("h")), "upload").otherwise("unchanged").alias("action"))
+
+
+def catch_up(snapshot: DataFrame, log: DataFrame, current: int) -> DataFrame:
+    """snapshot(index, payload), log(index, payload): entries above the current index; the first gap ends what can be applied."""
+    last = snapshot.agg(F.coalesce(F.max("index"), F.lit(0)).alias("last"))  # one row
+    new = snapshot.filter(F.col("index") > current).unionByName(log.join(F.broadcast(last)).filter((F.col("index") > F.col("last")) & (F.col("index") > current)).select("index", "payload"))
+    before = new.select((F.col("index") + 1).alias("index"))
+    heads = new.filter(F.col("index") != current + 1).join(before, "index", "left_anti").agg(F.min("index").alias("gap"))  # one row
+    start = new.agg(F.bool_or(F.col("index") == current + 1).alias("starts"))  # one row
+    return new.join(F.broadcast(heads)).join(F.broadcast(start)).filter(F.col("starts") & (F.col("gap").isNull() | (F.col("index") < F.col("gap")))).select("index", "payload")
+
+
+def attachments(rows: DataFrame, most: int = 20) -> DataFrame:
+    """rows(id, media array<struct<payload,type>>): decoded, named by content, one row a path, at most so many a memory."""
+    each = rows.select("id", F.posexplode("media").alias("pos", "m")).select("id", "pos", F.unbase64("m.payload").alias("data"), F.col("m.type").alias("type"))
+    named = each.withColumn("path", F.concat("id", F.lit("/"), F.substring(F.sha2("data", 256), 1, 16), F.lit("."), "type"))
+    first = named.groupBy("id", "path").agg(F.min("pos").alias("pos"), F.first("data").alias("data"))
+    return first.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).filter(F.col("n") <= most).select("id", "path", F.octet_length("data").cast("long").alias("bytes"))
+
+
+def merge_vectors(own: DataFrame, other: DataFrame, id_map: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """other(id, embedding) through id_map(old_id, id): merged table, and the ids to embed anew."""
+    moved = other.join(id_map, other["id"] == id_map["old_id"]).select(id_map["id"].alias("id"), "embedding")
+    good = moved.filter((F.size("embedding") == size) & F.forall("embedding", lambda x: x.isNotNull())).dropDuplicates(["id"])
+    merged = own.join(good.select("id"), "id", "left_anti").unionByName(good)
+    return merged, id_map.select("id").join(good.select("id"), "id", "left_anti")
+
+
+def eval_cases(raw: DataFrame) -> DataFrame:
+    """raw(pos, query, expected): expected as text with commas or as JSON array -> array; an unusable case fails with its number."""
+    ids = F.filter(F.transform(F.coalesce(F.from_json("expected", "array<string>"), F.split("expected", ",")), lambda x: F.trim(x)), lambda x: x != "")
+    bad = (F.trim(F.coalesce("query", F.lit(""))) == "") | (F.size(ids) == 0)
+    return raw.select("pos", F.when(bad, F.raise_error(F.concat(F.lit("unusable case "), F.col("pos").cast("string")))).otherwise(F.trim("query")).alias("query"), ids.alias("expected"))

@@ -186,10 +186,10 @@ def lif_03(spark, sf):
     return m.join(gone, "id", "left").select("id", F.when(F.col("gone"), "archived").otherwise(F.col("type")).alias("type"))
 
 
-@query("lif_07_semantic_merge", VIEWS + "SELECT id AS target, sha256(content || chr(10) || '---' || chr(10) || 'note ' || CAST(doc_id AS VARCHAR)) AS h, round((valence + 0.5::DOUBLE) / 2, 2) AS valence, greatest(importance, 4) AS importance FROM memories WHERE doc_id % 6 = 0 AND strlen(content) < 3000")
+@query("lif_07_semantic_merge", VIEWS + "SELECT id AS target, sha256(content || chr(10) || '---' || chr(10) || 'note ' || CAST(doc_id AS VARCHAR)) AS h, round((valence + 0.521::DOUBLE) / 2, 2) AS valence, greatest(importance, 4) AS importance FROM memories WHERE doc_id % 6 = 0 AND strlen(content) < 3000")
 def lif_07(spark, sf):
     d, m = F.col("doc_id"), memories(spark, sf).filter(F.octet_length("content") < 3000)
-    new = m.filter(d % 6 == 0).select(d.alias("seq"), F.col("id").alias("target"), F.concat(F.lit("note "), d.cast("string")).alias("content"), F.array(F.lit("x")).alias("tags"), F.lit(0.5).alias("valence"), F.lit(4).alias("importance"))
+    new = m.filter(d % 6 == 0).select(d.alias("seq"), F.col("id").alias("target"), F.concat(F.lit("note "), d.cast("string")).alias("content"), F.array(F.lit("x")).alias("tags"), F.lit(0.521).alias("valence"), F.lit(4).alias("importance"))
     return L.semantic_merge(new, m).select("target", F.sha2("content", 256).alias("h"), "valence", "importance")
 
 

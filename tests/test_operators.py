@@ -128,3 +128,48 @@ def test_inference(spark):
     got = {r.id: r for r in inference.embed(df, model).collect()}
     assert got["a"].vector == [1.0] and got["b"].vector is None and got["b"].error == "no" and got["c"].vector == [0.0]
 
+
+
+def test_leader_clusters(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        n = 40
+        edges = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.08]
+        near = {i: set() for i in range(n)}
+        for i, j in edges:
+            near[i].add(j)
+            near[j].add(i)
+        leader = {}
+        for i in range(n):
+            heads = [h for h in sorted(set(leader.values())) if leader.get(h) == h and h in near[i]]
+            leader[i] = heads[0] if heads else i
+        want = {(f"r{h}", f"r{i}") for i, h in leader.items() if sum(x == h for x in leader.values()) >= 3}
+        rows = spark.createDataFrame([(f"r{i}", i) for i in range(n)], "id string, pos long")
+        df = spark.createDataFrame([(f"r{i}", f"r{j}") for i, j in edges], "a string, b string")
+        assert {(r.leader, r.id) for r in similarity.leader_clusters(rows, df).collect()} == want
+
+
+def test_catch_up_stops_at_a_gap(spark):
+    snap = spark.createDataFrame([(i, "s") for i in range(1, 6)], "index long, payload string")
+    log = spark.createDataFrame([(i, "l") for i in (4, 5, 6, 7, 9)], "index long, payload string")
+    assert sorted(r.index for r in files.catch_up(snap, log, 2).collect()) == [3, 4, 5, 6, 7]
+    assert files.catch_up(snap.filter("index > 3"), log, 0).count() == 0
+
+
+def test_semantic_merge_refuses_long_rows(spark):
+    from notegrid.operators.lifecycle import semantic_merge
+
+    new = spark.createDataFrame([(1, "t", "x" * 50, ["b"], 0.5, 3), (2, "t", "y" * 5000, ["c"], 0.5, 9)], "seq long, target string, content string, tags array<string>, valence double, importance int")
+    old = spark.createDataFrame([("t", "old", ["a"], 0.1, 4)], "id string, content string, tags array<string>, valence double, importance int")
+    r = semantic_merge(new, old).first()
+    assert r.content == "old\n---\n" + "x" * 50 and r.tags == ["a", "b"] and r.importance == 4 and r.created == [2]
+
+
+def test_policy_is_never_bypassed(spark, sf):
+    from notegrid.functions import policy
+    from notegrid.operators.ranking import gated_score
+    from notegrid.schema import memories
+
+    m = memories(spark, sf)
+    scored = gated_score(m, [(F.lit(1.0), 1.0)], [F.lit(5.0)], "dream").join(m.filter(~policy.allowed("dream")).select("id"), "id", "left_semi")
+    assert scored.count() > 0 and scored.filter("surface <> 0").count() == 0

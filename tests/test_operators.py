@@ -152,7 +152,7 @@ def test_leader_clusters(spark):
 def test_catch_up_stops_at_a_gap(spark):
     snap = spark.createDataFrame([(i, "s") for i in range(1, 6)], "index long, payload string")
     log = spark.createDataFrame([(i, "l") for i in (4, 5, 6, 7, 9)], "index long, payload string")
-    assert sorted(r.index for r in files.catch_up(snap, log, 2).collect()) == [3, 4, 5, 6, 7]
+    assert sorted(r["index"] for r in files.catch_up(snap, log, 2).collect()) == [3, 4, 5, 6, 7]
     assert files.catch_up(snap.filter("index > 3"), log, 0).count() == 0
 
 

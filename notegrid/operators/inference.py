@@ -114,3 +114,21 @@ def impressions(days: DataFrame, model: Callable[[str], tuple[str, list[str]]])
 
     out = days.select("day", "text", "known").mapInPandas(run, "day date, impression string, cited array<string>, known array<string>")
     return out.select("day", "impression", F.array_sort(F.array_intersect("cited", "known")).alias("cited"))
+
+
+def extract(chunks: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """chunks(id, content): memory items (id, pos, content, importance 1..10, is_pattern) of the model's JSON list; an unusable answer gives none."""
+
+    def run(batches):
+        for pdf in batches:
+            answers = []
+            for t in pdf["content"].fillna(""):
+                try:
+                    answers.append(first_json(model(t)))
+                except Exception:
+                    answers.append(None)
+            yield pd.DataFrame({"id": pdf["id"], "answer": answers})
+
+    schema = "array<struct<content:string,importance:int,is_pattern:boolean>>"
+    each = chunks.select("id", "content").mapInPandas(run, "id string, answer string").select("id", F.posexplode(F.from_json("answer", schema)).alias("pos", "m"))
+    return each.select("id", "pos", F.trim("m.content").alias("content"), F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce("m.importance", F.lit(5)))).alias("importance"), F.coalesce("m.is_pattern", F.lit(False)).alias("is_pattern")).filter("content <> ''")

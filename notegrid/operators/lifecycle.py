@@ -144,3 +144,9 @@ def split_batches(batches: DataFrame) -> DataFrame:
     """batches(batch, items): one row for each item that isn't blank."""
     each = batches.select("batch", F.posexplode("items").alias("pos", "item"))
     return each.select("batch", "pos", F.trim("item").alias("content")).filter("content <> ''")
+
+
+def typed_ingest(rows: DataFrame, at: Column) -> DataFrame:
+    """rows(seq, type, author, aspect): letters with a normalised author, self entries with their aspect as a tag and not to surface."""
+    author = F.lower(F.trim("author"))
+    return rows.select(F.concat(F.lit("l"), F.col("seq").cast("string")).alias("id"), "type", F.when(author.isin("assistant", "ai", "model"), "ai").otherwise(author).alias("author"), F.when(F.col("aspect").isNotNull(), F.concat(F.lit("aspect:"), F.lower("aspect"))).alias("tag"), (F.col("type") == "i").alias("dont_surface"), at.alias("created"))

@@ -93,3 +93,36 @@ def pending_days(sources: DataFrame, done: DataFrame) -> DataFrame:
     """sources(day, id, revision): days whose sources differ from what was last worked on (done(day, signature))."""
     now = sources.groupBy("day").agg(F.bit_xor(F.xxhash64("id", "revision")).alias("signature"))
     return now.join(done, ["day", "signature"], "left_anti").select("day")
+
+
+def diverse_pick(candidates: DataFrame, group: str, most: int = 3, most_low: int = 2, cap: int = 24) -> DataFrame:
+    """candidates(group, rank, id, theme, valence), at most `cap` a group: in order, skipping a theme that is
+    there already and a third row of low valence."""
+    lists = candidates.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "theme", "valence"))).alias("rows"))
+    checked = F.when(F.size("rows") > cap, F.raise_error(F.lit("cap the candidates of a group first"))).otherwise(F.col("rows"))
+
+    def step(acc, r):
+        low = (r["valence"] < 0.4).cast("int")
+        take = (F.size(acc["kept"]) < most) & ~F.array_contains(acc["themes"], r["theme"]) & (acc["low"] + low <= most_low)
+        return F.struct(
+            F.when(take, F.array_append(acc["kept"], r["id"])).otherwise(acc["kept"]).alias("kept"),
+            F.when(take, F.array_append(acc["themes"], r["theme"])).otherwise(acc["themes"]).alias("themes"),
+            F.when(take, acc["low"] + low).otherwise(acc["low"]).alias("low"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("themes"), F.lit(0).alias("low"))
+    return lists.select(group, F.aggregate(checked, start, step).alias("f")).select(group, F.posexplode("f.kept").alias("pos", "id"))
+
+
+def with_fallback(first: DataFrame, second: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+    """Rows of `first`, then of `second` (both with group and id), up to n a group without repeats."""
+    both = first.select(group, "id", F.lit(0).alias("_p"), *[c.alias(f"_o{i}") for i, c in enumerate(order)]).unionByName(second.select(group, "id", F.lit(1).alias("_p"), *[c.alias(f"_o{i}") for i, c in enumerate(order)]))
+    once = both.withColumn("_n", F.row_number().over(Window.partitionBy(group, "id").orderBy("_p"))).filter(F.col("_n") == 1)
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("_p", *[F.col(f"_o{i}") for i in range(len(order))], "id")).cast("long"))
+    return ranked.filter(F.col("rank") <= n).select(group, "id", "rank")
+
+
+def trim_tail(entries: DataFrame, budget: int) -> DataFrame:
+    """entries(day, part, pos, tokens): whole entries go from the tail (part 3, then 2, then 1) until the rest fits."""
+    order = Window.partitionBy("day").orderBy("part", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    return entries.withColumn("spent", F.sum("tokens").over(order)).filter(F.col("spent") <= budget).drop("spent")

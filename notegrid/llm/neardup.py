@@ -5,10 +5,12 @@
 2. The SIDE x SIDE table keys combine one half-key of either collection: 2 * SIDE * ROWS minhash values do
    the work of SIDE * SIDE * 2 * ROWS. A pair at the threshold shares a key with probability 0.9994, above
    it sooner.
-3. In each bucket a random member (another for each key) is compared with the rest; confirmed links give
-   first components. Buckets that still hold several components are worked off exactly: small ones by
-   their remaining pairs, large ones through a prefix filter (rarest shingles first) over their members.
-   No bucket is cut and no pair inside one component is compared twice.
+3. Half-keys that nobody shares are dropped before the keys are formed. In each bucket one member is
+   compared with the rest; confirmed links give components. Buckets that still hold several components are
+   worked off exactly: small ones by their remaining pairs, large ones by another member met by all
+   (the one with the fewest shingles of its own), then by the shared parts of their members' sets and a
+   prefix filter (rarest shingles first) between parts.
+   No bucket is cut, and members of one component aren't compared again.
 4. Components are the fixed point of minimum labels with pointer jumping.
 
 Defined results: a text that is null or has no word has an empty set and no links; fewer words than a
@@ -23,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,20 +114,39 @@ def components(edges: DataFrame) -> DataFrame:
         labels = materialize(labels.unionByName(near).unionByName(jump).groupBy("id").agg(F.min("component").alias("component")), "labels")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs(a, b) of class ids with 100 * intersection >= percent * union, on full sets."""
+#: Size of the filter on wanted ids, in bits; 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents with one of the ids(doc_id).
+
+    A bitmap of hashed ids, of fixed size, leaves few others in before the texts are shuffled for the join.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    marks = ids.select(slot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", slot)
+    near = rows.join(F.broadcast(marks), F.bitmap_bucket_number("h") == F.col("bucket"))  # FILTER_BITS / 8 bytes at most
+    hit = F.expr("getbit(cast(conv(hex(substring(bits, cast(bitmap_bit_position(h) div 8 as int) + 1, 1)), 16, 10) as bigint), cast(bitmap_bit_position(h) % 8 as int)) = 1")
+    # an inner join on distinct ids stays above the filter; a semi join would be pushed below it
+    return near.filter(hit).select("doc_id", "text").join(ids.distinct(), "doc_id")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame | None, size: int, percent: int) -> DataFrame:
+    """The pairs(a, b) of class ids with 100 * intersection >= percent * union, on full sets.
+
+    classes is given where some doc_id comes with several texts.
+    """
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    # where a doc_id comes with several texts, the one of the class counts
-    texts = materialize(texts, "texts")
-    repeated = texts.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.limit(1).count():
+    texts = materialize(picked(docs, wanted), "texts")
+    if classes is not None:
         def digest_of(batch_texts: list[str], part) -> dict:
             from xxhash import xxh3_128_digest
 
             return {"doc_id": part.column("doc_id"), "text": part.column("text"), "digest": [xxh3_128_digest(shingle_set(t, size).tobytes()) for t in batch_texts]}
 
         schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("digest", T.BinaryType())])
+        # the text of the class counts
         texts = materialize(map_text(texts, digest_of, schema).join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     full = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
@@ -149,24 +170,73 @@ def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, pe
     return full.mapInArrow(run, "a long, b long")
 
 
-def prefix_pairs(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of members(id, n, comp) in different components that share one of their rarest shingles.
+#: Slots of the table of shingle frequencies; it orders shingles and tells some that stand in one member only.
+SLOTS = 1 << 20
+
 
-    A pair that reaches the threshold shares a shingle among the n - ceil(n * percent / 100) + 1 rarest of either.
+def shared_parts(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """parts(id, n, part, u, prefix) of members(id, n).
+
+    A member's set is its shared part (s shingles, by digest) and u shingles that surely stand in no other
+    member: they are alone in their slot of a frequency table of fixed size. The prefix has the rarest
+    n - ceil(n * percent / 100) + 1 shingles (by frequency of the slot, then hash) without those u.
     """
+    texts = materialize(picked(docs, members.select(F.col("id").alias("doc_id"))), "texts")
 
-    def run(texts: list[str], part) -> dict:
-        return {"id": part.column("doc_id"), "shingles": [shingle_set(t, size).view(np.int64) for t in texts]}
+    def sets(batch_texts: list[str], part) -> dict:
+        return {"slots": [(shingle_set(t, size) % np.uint64(SLOTS)).astype(np.int32) for t in batch_texts]}
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    each = materialize(map_text(texts, run, schema).select("id", F.explode("shingles").alias("shingle")), "shingles")
-    often = materialize(each.groupBy("shingle").count(), "often")
-    from pyspark.sql import Window
+    slots = map_text(texts, sets, T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType()))])).select(F.explode("slots").alias("slot"))
+    counts = slots.groupBy("slot").count().toPandas()  # SLOTS rows at most
+    often = np.zeros(SLOTS, np.int64)
+    often[counts["slot"].to_numpy(np.int64)] = counts["count"].to_numpy(np.int64)
+    held = docs.sparkSession.sparkContext.broadcast(np.minimum(often, 2**31 - 1).astype(np.int32))
 
-    ranked = each.join(often, "shingle").join(members, "id").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("count", "shingle")))
-    posts = materialize(ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1) & (F.col("count") > 1)).select("shingle", "id", "n", "comp"), "posts")
-    return cross_pairs(posts, "shingle", percent)
+    def run(batch_texts: list[str], part) -> dict:
+        from xxhash import xxh3_128_digest
+
+        out: dict = {"id": part.column("doc_id"), "part": [], "s": [], "u": [], "prefix": []}
+        for t in batch_texts:
+            own = shingle_set(t, size)
+            times = held.value[(own % np.uint64(SLOTS)).astype(np.int64)]
+            shared, n = own[times > 1], len(own)
+            out["part"].append(xxh3_128_digest(shared.tobytes()))
+            out["s"].append(len(shared))
+            out["u"].append(n - len(shared))
+            take = n + -(n * percent // 100) - (1 if n * percent % 100 else 0) + 1
+            out["prefix"].append(own[np.lexsort((own, times))][n - len(shared) : take].view(np.int64))
+        return out
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("part", T.BinaryType()), T.StructField("s", T.LongType()), T.StructField("u", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    found = map_text(texts, run, schema).dropDuplicates(["id"]).filter("s > 0")
+    return materialize(found.join(members, "id").select("id", "n", "part", "s", "u", "prefix"), "parts")
+
+
+def compare_parts(docs: DataFrame, parts: DataFrame, classes: DataFrame | None, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and further pairs(a, b) among members, parts(id, n, comp, part, s, u, prefix), of several components.
+
+    Members of one shared part s are linked exactly where 100 * s >= percent * (s + u + u'), so each is compared with
+    the member of smallest u only: if two are linked, both are linked with it. Likewise a link between two
+    shared parts implies a link of either member with the other part's smallest, so only those are compared;
+    and only where the two smallest pass themselves. Candidate parts share one of the rarest shingles of
+    their smallest members: a pair at the threshold shares one among the n - ceil(n * percent / 100) + 1 rarest.
+    """
+    first = F.min(F.struct("u", "id", "n", "comp", "prefix")).alias("h")
+    heads = materialize(parts.groupBy("part", "s").agg(first, F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("part", "s", F.col("h.u").alias("hu"), F.col("h.id").alias("head"), F.col("h.n").alias("hn"), F.col("h.comp").alias("hcomp"), F.col("h.prefix").alias("prefix"), "lo", "hi"), "heads")
+    inside = parts.drop("prefix").join(heads.drop("s", "prefix"), "part").filter((F.col("id") != F.col("head")) & (F.col("s") * 100 >= (F.col("s") + F.col("u") + F.col("hu")) * percent))
+    links = inside.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+
+    prefix = materialize(heads.select(F.col("head").alias("id"), "hn", "lo", "hi", F.explode("prefix").alias("shingle")), "prefix")
+    mixed = prefix.groupBy("shingle").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least < most").select("shingle")
+    # members of one component throughout count as that component, others as one of their own
+    own = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("id"))
+    posts = materialize(prefix.join(mixed.hint("merge"), "shingle", "left_semi").select("shingle", "id", F.col("hn").alias("n"), own.alias("comp")), "posts")
+    met = cross_pairs(posts, "shingle", percent).withColumnRenamed("a", "x").withColumnRenamed("b", "y")
+    close = materialize(confirm(docs, met.select(F.col("x").alias("a"), F.col("y").alias("b")), classes, size, percent), "heads-met")
+    both = close.union(close.select("b", "a")).select(F.col("a").alias("head"), F.col("b").alias("other"))
+    ends = both.join(heads.select("head", "part"), "head").join(heads.select(F.col("head").alias("other"), F.col("hn").alias("on"), F.col("hcomp").alias("ocomp")), "other")
+    wide = parts.join(ends.select("part", "other", "on", "ocomp"), "part").filter((F.col("comp") != F.col("ocomp")) & (F.col("n") * 100 >= F.col("on") * percent) & (F.col("on") * 100 >= F.col("n") * percent))
+    return links.union(close), wide.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def cross_pairs(posts: DataFrame, key: str, percent: int) -> DataFrame:
@@ -177,40 +247,81 @@ def cross_pairs(posts: DataFrame, key: str, percent: int) -> DataFrame:
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows(key, id, n, size) of buckets that hold several components, with their component."""
+    now = materialize(rows.drop("comp").join(labels.hint("merge"), "id", "left").select("key", "id", "n", "size", F.coalesce("component", "id").alias("comp")), "now")
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    return materialize(now.join(mixed.hint("merge"), "key", "left_semi"), "open")
+
+
+def joined_labels(labels: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """labels(id, component) after new links: components of a graph of components, then both steps in one."""
+    if not links:
+        return labels
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"top_{c}"))
+    named = reduce(DataFrame.union, links).join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("top_a", "a").alias("a"), F.coalesce("top_b", "b").alias("b"))
+    between = materialize(named.filter("a <> b").distinct(), "between")
+    if not between.limit(1).count():
+        return labels
+    tops = components(between).select(F.col("id").alias("component"), F.col("component").alias("higher"))
+    lone = tops.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("higher").alias("component"))
+    return materialize(labels.join(tops, "component", "left").select("id", F.coalesce("higher", "component").alias("component")).unionByName(lone), "labels")
+
+
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     signed = materialize(signatures(docs, size), "signed")
     known = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves")), "classes")
 
-    # 64 table keys from 8 + 8 half-keys
-    left, right = F.slice("halves", 1, SIDE), F.slice("halves", SIDE + 1, SIDE)
-    keys = classes.select("id", "n", F.explode(F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.xxhash64(a, b))))).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("id", "key"), "id", "n")).alias("hub")).filter("size > 1")
-    members = materialize(keys.join(shared, "key").select("key", "id", "n", "size", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
-    fits = (F.col("n") * 100 >= F.col("hub_n") * percent) & (F.col("hub_n") * 100 >= F.col("n") * percent)
-    tested = [materialize(members.filter((F.col("id") != F.col("hub")) & fits).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "pairs")]
-    links = [materialize(confirm(docs, tested[0], classes, size, percent), "links")]
-
-    first = components(links[0])
-    rest = members.select("key", "id", "n", "size").join(first, "id", "left").select("key", "id", "n", "size", F.coalesce("component", "id").alias("comp"))
-    rest = materialize(rest, "rest")
-    mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    open_ = materialize(rest.join(mixed, "key", "left_semi"), "open")
+    repeated = classes if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("count")).filter("count > 1").limit(1).count() else None
+
+    # half-keys that nobody shares can't be part of a shared table key
+    halves = classes.select("id", "n", F.posexplode("halves").alias("at", "half"))
+    met = halves.groupBy("half").count().filter("count > 1").select("half")
+    left, right = (F.collect_list(F.when(F.col("at") < SIDE, F.col("half"))), F.collect_list(F.when(F.col("at") >= SIDE, F.col("half"))))
+    sides = halves.join(met.hint("merge"), "half").groupBy("id", "n").agg(left.alias("left"), right.alias("right"))  # SIDE each at most
+    keys = materialize(sides.select("id", "n", F.explode(F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a, b))))).alias("key")), "keys")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    open_ = materialize(keys.join(sizes.hint("merge"), "key").withColumn("comp", F.col("id")), "open")
+
+    tested: list[DataFrame] = []
+    links: list[DataFrame] = []
+
+    def fits(n: str, m: str):
+        return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
     def work_off(pairs: DataFrame) -> None:
-        new = materialize(pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"), "pairs")
-        tested.append(new)
-        links.append(materialize(confirm(docs, new, classes, size, percent), "links"))
+        new = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti") if tested else pairs
+        tested.append(materialize(new, "pairs"))
+        links.append(materialize(confirm(docs, tested[-1], repeated, size, percent), "links"))
 
+    # one member of a bucket meets the others; one order for all buckets, so that a group of copies shares its head
+    heads = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
+    star = open_.join(heads.hint("merge"), "key").filter((F.col("id") != F.col("hub")) & fits("n", "hub_n"))
+    work_off(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
+    labels = components(links[0])
+
+    open_ = still_open(open_, labels)
     small = open_.filter(F.col("size") <= SMALL)
     if small.limit(1).count():
         work_off(cross_pairs(small, "key", percent))
-    large = open_.filter(F.col("size") > SMALL).select("id", "n", "comp").distinct()
+    large = open_.filter(F.col("size") > SMALL)
     if large.limit(1).count():
-        work_off(prefix_pairs(docs, materialize(large, "large"), size, percent))
-
-    labels = components(reduce(DataFrame.union, links)) if len(links) > 1 else first
+        parts = shared_parts(docs, materialize(large.select("id", "n").distinct(), "large"), size, percent)
+        # the member with the fewest shingles of its own is what a group of copies has in common
+        ranked = large.join(parts.select("id", "u"), "id")
+        heads = ranked.groupBy("key").agg(F.min(F.struct("u", "id", "n")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
+        star = ranked.join(heads.hint("merge"), "key").filter((F.col("id") != F.col("hub")) & fits("n", "hub_n"))
+        work_off(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
+        labels = joined_labels(labels, links[1:])
+        links = links[:1]
+        left = still_open(large, labels).select("id", "comp").distinct()
+        if left.limit(1).count():
+            sure, wide = compare_parts(docs, materialize(parts.join(left, "id"), "left"), repeated, size, percent)
+            links.append(materialize(sure, "links"))
+            work_off(wide)
+    labels = joined_labels(labels, links[1:])
     to = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("top"))
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("top", "doc_id"))
     return signed.select("doc_id", "n", "digest").join(to, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))

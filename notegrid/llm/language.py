@@ -41,55 +41,85 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """langs, and per kind (0: words, n: n-grams) the items' rows in a matrix of log frequencies."""
+    """langs, and per kind (0: words, n: n-grams) the items' rows in one matrix of log frequencies."""
 
     def __init__(self, langs: list[str], counts: dict[int, dict[str, np.ndarray]]):
         self.langs = langs
         self.rows: dict[int, dict[str, int]] = {}
-        self.logs: dict[int, np.ndarray] = {}
+        logs, base = [], 0
         for kind, items in counts.items():
-            self.rows[kind] = {x: i for i, x in enumerate(items)}
+            self.rows[kind] = {x: base + i for i, x in enumerate(items)}
+            base += len(items)
             m = np.array(list(items.values()), np.float64).reshape(-1, len(langs)) + 0.5
-            self.logs[kind] = np.log(m / m.sum(axis=0)).astype(np.float32)
+            logs.append(np.log(m / m.sum(axis=0)))
+        self.logs = np.concatenate(logs) if logs else np.zeros((0, len(langs)))
+        self.forget()
+
+    def forget(self) -> None:
         self.seen: dict[str, int] = {}
-        self.held: list[np.ndarray] = []
-        self.letters: list[int] = []
+        self.table = np.zeros((0, len(self.langs) + 1))
+        self.letters = np.zeros(0, bool)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k in ("langs", "rows", "logs")} | {"seen": {}, "held": [], "letters": []}
+        return {k: self.__dict__[k] for k in ("langs", "rows", "logs")}
 
-    def word(self, word: str) -> np.ndarray | None:
-        """Log frequencies of a word by language; None if neither it nor an n-gram of it is known."""
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
+
+    def items(self, word: str) -> list[int]:
+        """Rows that a word is scored by: its own, or those of its longest n-grams of which one is known."""
         if (i := self.rows.get(0, {}).get(word)) is not None:
-            return self.logs[0][i]
+            return [i]
         for n in range(LONGEST, 0, -1):
             own = self.rows.get(n)
             if own and (at := [own[g] for g in grams(word, n) if g in own]):
-                return self.logs[n][at].mean(axis=0)
-        return None
-
-    def learn(self, tokens: set[str]) -> None:
-        for t in tokens:
-            total, evidence, letter = np.zeros(len(self.langs), np.float32), 0, 0
-            for w in WORD.findall(t):
-                letter |= any(map(str.isalpha, w))
-                if (v := self.word(w)) is not None:
-                    total, evidence = total + v, evidence + 1
-            self.seen[t] = len(self.held)
-            self.held.append(np.append(total, np.float32(evidence)))
-            self.letters.append(letter)
+                return at
+        return []
+
+    def word(self, word: str) -> np.ndarray | None:
+        """Log frequencies of a word by language; None if neither it nor an n-gram of it is known."""
+        at = self.items(word)
+        return self.logs[at].mean(axis=0) if at else None
+
+    def learn(self, tokens: list[str]) -> None:
+        """Sums of log frequencies, number of telling words and presence of a letter for new tokens, all at once."""
+        rows: list[int] = []
+        count: list[int] = []  # rows of each telling word
+        owner: list[int] = []  # token of each telling word
+        letters = []
+        for k, t in enumerate(tokens):
+            plain = t.isalpha()
+            words = (t,) if plain else WORD.findall(t)
+            letters.append(plain or any(any(map(str.isalpha, w)) for w in words))
+            for w in words:
+                if at := self.items(w):
+                    rows += at
+                    count.append(len(at))
+                    owner.append(k)
+        new = np.zeros((len(tokens), len(self.langs) + 1))
+        if rows:
+            size = np.array(count)
+            means = np.add.reduceat(self.logs[rows], np.cumsum(size) - size, axis=0) / size[:, None]
+            for j in range(len(self.langs)):
+                new[:, j] = np.bincount(owner, means[:, j], minlength=len(tokens))
+            new[:, -1] = np.bincount(owner, minlength=len(tokens))
+        base = len(self.seen)
+        self.seen.update(zip(tokens, range(base, base + len(tokens)), strict=True))
+        self.table = np.concatenate([self.table, new])
+        self.letters = np.concatenate([self.letters, np.array(letters, bool)])
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
         if len(self.seen) > REMEMBER:
-            self.seen, self.held, self.letters = {}, [], []
+            self.forget()
         cuts = [x.lower().split() for x in texts]
         new = set()
         for c in cuts:
             new.update(c)
-        self.learn(new.difference(self.seen))
-        table, letters, seen = np.array(self.held).reshape(-1, len(self.langs) + 1), np.array(self.letters, np.int64), self.seen
+        self.learn(list(new.difference(self.seen)))
+        table, letters, seen = self.table, self.letters, self.seen
         langs, scores = [], []
         for c in cuts:
             at = [seen[t] for t in c]
@@ -97,7 +127,7 @@ class Model:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            s = table[at].sum(axis=0, dtype=np.float64)
+            s = table[at].sum(axis=0)
             n = s[-1]
             log = s[:-1] / n * min(n, EVIDENCE) if n else s[:-1]
             p = np.exp(log - log.max())

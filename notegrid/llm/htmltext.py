@@ -1,13 +1,18 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens of a page are the roles of its containers (tag, class and id on their path) and its text blocks in
-their container. Over the pages of one host, tokens with equal occurrence vectors (how often a token stands
-on each page; compared by a digest that Spark sums up, so no host is gathered in one place) form an
-equivalence class. Classes with enough support are valid; an outer class holds the classes that stand
-inside its containers, and together they are the host's template. Text that belongs to a valid class is
-template text; what is left fills the template's slots. Slots of menus, forms, notices ... and slots made of
-links are left out, the rest is the page's text. Hosts with too few pages have no template; their slots are
-judged by their own page.
+Tokens of a page are the roles of its containers (tag, class and id on their path; the page itself is the
+outermost) and its text blocks in their container. Over the distinct pages of one host, tokens with equal
+occurrence vectors (how often a token stands on each page; compared by a digest that Spark sums up, so no host
+is gathered in one place) form an equivalence class. A class is valid if it has enough support and a container
+token; a text belongs to the template if it stands, at any depth, inside a container of its own class. So the
+template is nested, and text that merely repeats (on the copies of an article, say) makes no template, as no
+container comes and goes with it. Text of the template is left out; what is left fills the template's slots.
+Slots of menus, forms, notices ... and slots made of links are left out, the rest is the page's text. Hosts with
+too few pages have no template; their slots are judged by their own page.
+
+Pages of a host whose own text is the same count as one page, whatever stands around it. Copies that differ in
+their text (by a date, say) are several pages; if the article brings containers that no other page of the host
+has, on half of its pages, its short texts in them can't be told from a template.
 
 A host's template holds only tokens that stand on at least SUPPORT of its pages, so its size is bounded by
 the average number of tokens of its pages / SUPPORT.
@@ -54,7 +59,7 @@ def label_of(tag: str, attributes: str) -> tuple[str, bool]:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            role += "." + re.sub(r"\d+", "", value)
+            role += "." + re.sub(r"[\d/]+", "", value)
             words = WORDS.findall(value)
             dropped |= tag not in ("html", "body") and any(w in DROPPED_WORDS for w in words)
         elif name == "hidden" or value == "true":
@@ -149,15 +154,20 @@ def blocks_of(html: str) -> tuple[list[Block], dict[str, int]]:
     return out, roles
 
 
-def main_text(html: str, template: set[int], linky: set[int]) -> str:
-    """Text of the page's article, given the tokens of the host's template text and its slots of links."""
-    blocks, _ = blocks_of(html)
+def kept_of(blocks: list[Block]) -> list[Block]:
+    """Blocks of the page's own text, before its host's template is known: those of its article, if it has one."""
     kept = [b for b in blocks if not b.dropped or (b.heading and b.main and b.slot.rsplit("/", 1)[-1].startswith("header"))]
     if not any(b.main for b in kept):
         nested = [b for b in blocks if b.main and not b.inside]
         kept = nested or kept
+    inner = [b for b in kept if b.main]
+    return inner or kept
+
+
+def main_text(html: str, template: set[int], linky: set[int]) -> str:
+    """Text of the page's article, given the tokens of the host's template text and its slots of links."""
+    kept = kept_of(blocks_of(html)[0])
     if any(b.main for b in kept):
-        kept = [b for b in kept if b.main]
         return " ".join(b.text for b in kept if len(b.text) > FURNITURE or b.heading or text_token(b) not in template)
     own = [b for b in kept if text_token(b) not in template and role_token(b.slot) not in linky]
     return " ".join(b.text for b in own if 2 * b.linked <= len(b.text))
@@ -179,39 +189,78 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#:]+)", 1).alias("host"))
 
 
-SEEN = T.StructType([T.StructField("host", T.StringType()), T.StructField("page", T.LongType()), T.StructField("tokens", T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("text", T.BooleanType()), T.StructField("times", T.IntegerType()), T.StructField("chars", T.IntegerType()), T.StructField("linked", T.IntegerType())])))])
+COUNTS = {"token": T.LongType(), "slot": T.LongType(), "text": T.BooleanType(), "times": T.IntegerType(), "chars": T.IntegerType(), "linked": T.IntegerType()}
+#: One array for each column of COUNTS: they take far less room in a shuffle than an array of rows.
+SEEN = T.StructType([T.StructField("host", T.StringType()), T.StructField("page", T.LongType()), T.StructField("copy", T.LongType()), *[T.StructField(k, T.ArrayType(t)) for k, t in COUNTS.items()]])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """Per host: its valid classes' text tokens, and the slots that are made of links."""
+def digest(text: str) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
-    def run(texts: list[str], part) -> dict:
-        from xxhash import xxh3_64_intdigest
 
-        out: dict = {"host": part.column("host"), "page": [], "tokens": []}
+def tokens_of(pages: DataFrame) -> DataFrame:
+    """Per page of a host: page (digest of its own text), copy (digest of its html) and its tokens.
+
+    slot is the container that the token stands in.
+    """
+
+    def run(texts: list[str], part) -> dict:
+        out: dict = {k: [] for k in SEEN.fieldNames()} | {"host": part.column("host")}
         for html in texts:
             blocks, roles = blocks_of(html)
-            found: dict[int, list] = {role_token(r): [False, n, 0, 0] for r, n in roles.items()}
+            root = role_token("")
+            found: dict[int, list] = {root: [root, False, 1, 0, 0]}
+            found |= {role_token(r): [role_token(r.rpartition("/")[0]), False, n, 0, 0] for r, n in roles.items()}
             for b in blocks:
-                slot = found.setdefault(role_token(b.slot), [False, 1, 0, 0])
-                slot[2] += len(b.text)
-                slot[3] += b.linked
-                own = found.setdefault(text_token(b), [True, 0, len(b.text), b.linked])
-                own[1] += 1
-            out["page"].append(xxh3_64_intdigest(html.encode("utf-8", "surrogatepass")) >> 1)
-            out["tokens"].append([{"token": k, "text": v[0], "times": v[1], "chars": v[2], "linked": v[3]} for k, v in found.items()])
+                slot = role_token(b.slot)
+                found[slot][3] += len(b.text)
+                found[slot][4] += b.linked
+                found.setdefault(text_token(b), [slot, True, 0, len(b.text), b.linked])[2] += 1
+            out["page"].append(digest("\0".join(b.text for b in kept_of(blocks))))
+            out["copy"].append(digest(html))
+            out["token"].append(list(found))
+            for k, column in zip(list(COUNTS)[1:], zip(*found.values(), strict=True), strict=True):
+                out[k].append(list(column))
         return out
 
-    seen = map_text(with_host(pages).filter("host <> ''").select("host", "html"), run, SEEN, text="html")
-    each = seen.select("host", "page", F.inline("tokens"))
+    return map_text(with_host(pages).filter("host <> ''").select("host", "html"), run, SEEN, text="html")
+
+
+def nested(members: list[dict]) -> tuple[list[int], list[int]]:
+    """Of a host's frequent tokens: texts inside a container of their own class, and containers made of links."""
+    boxes = {m["token"]: m for m in members if not m["text"]}
+    template = []
+    for m in members:
+        at = m["slot"] if m["text"] else None
+        while at in boxes:  # a container is on every page that its contents are on, so the whole path is here
+            if boxes[at]["vector"] == m["vector"]:
+                template.append(m["token"])
+                break
+            at = boxes[at]["slot"] if boxes[at]["slot"] != at else None
+    return template, [k for k, m in boxes.items() if 2 * m["linked"] > m["chars"]]
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """Per host: the text tokens of its template, and the slots that are made of links."""
+    names = list(COUNTS)
+    # of pages with the same text the one with the least digest, so that each counts once
+    once = tokens_of(pages).groupBy("host", "page").agg(F.min_by(F.struct(*names), "copy").alias("p"))
+    each = once.select("host", "page", F.inline(F.arrays_zip(*[F.col(f"p.{k}").alias(k) for k in names])).alias(*names))
     # one digest of the occurrence vector for each token of a host
-    vectors = each.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count(F.lit(1)).alias("support"), F.first("text").alias("text"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    sizes = with_host(pages).filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
-    frequent = vectors.filter(F.col("support") >= LEAST_PAGES * SUPPORT).join(sizes, "host").filter(F.col("support") >= F.col("pages") * SUPPORT)
-    classes = frequent.groupBy("host", "vector", "support").agg(F.collect_list(F.struct("token", "text", "chars", "linked")).alias("members"))
-    # a class of a text alone is valid too: its container's class is the one it nests in
-    member = classes.select("host", F.inline("members"))
-    return member.groupBy("host").agg(F.collect_list(F.when(F.col("text"), F.col("token"))).alias("template"), F.collect_list(F.when(~F.col("text") & (2 * F.col("linked") > F.col("chars")), F.col("token"))).alias("linky"))
+    vectors = each.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count(F.lit(1)).alias("support"), F.first("slot").alias("slot"), F.first("text").alias("text"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    often = materialize(vectors.filter(F.col("support") >= LEAST_PAGES * SUPPORT), "tokens")
+    sizes = often.filter((F.col("token") == role_token("")) & (F.col("support") >= LEAST_PAGES)).select("host", F.col("support").alias("pages"))
+    frequent = often.join(sizes, "host").filter(F.col("support") >= F.col("pages") * SUPPORT)
+    hosts = frequent.groupBy("host").agg(F.collect_list(F.struct("token", "slot", "text", "vector", "chars", "linked")).alias("members"))
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("template", T.ArrayType(T.LongType())), T.StructField("linky", T.ArrayType(T.LongType()))])
+
+    def run(_: list[str], part) -> dict:
+        got = [nested(m) for m in part.column("members").to_pylist()]
+        return {"host": part.column("host"), "template": [t for t, _ in got], "linky": [k for _, k in got]}
+
+    return map_text(hosts, run, schema, text="host")
 
 
 def extract(pages: DataFrame) -> DataFrame:

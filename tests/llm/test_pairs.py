@@ -136,6 +136,29 @@ def test_pages(spark):
     assert extract(df).count() == len(rows) and extract(df.limit(0)).count() == 0
 
 
+def test_pages_repeated_text(spark):
+    from notegrid.llm.htmltext import extract
+
+    top = "<div class='top'>Our site since 1999</div>"
+    body = "<body>" + top + "<div class='text'>{}</div></body>"
+    copy = "<p>Short one</p><p>" + "Long passage of the copied story. " * 10 + "</p>"
+    rows = [(i, f"http://a.example/{i}", body.format(f"<p>Story number {i}</p>")) for i in range(6)]
+    # copies: some equal in all, some with another date, together more than half of the host's pages
+    rows += [(10 + i, f"http://a.example/c{i}", body.format(f"{copy}<p>Seen on day {i // 2}</p>")) for i in range(20)]
+    article = "<body>" + top + "<article><h1>Head</h1><p>Short one</p><p>day {}</p></article></body>"
+    rows += [(40 + i, f"http://b.example/{i}", article.format(i // 3)) for i in range(30)]
+    rows += [(80 + i, f"http://b.example/o{i}", f"<body>{top}<article><p>Other {i}</p></article></body>") for i in range(8)]
+    # an even number of equal pages must not cancel out; a text of an optional box is template with its box
+    rows += [(100 + i, "http://c.example/x", body.format("<p>Twice</p>")) for i in range(2)]
+    rows += [(110 + i, f"http://c.example/{i}", body.format(f"<p>Page {i}</p>" + ("<div class='box'>Boxed</div>" if i % 4 else ""))) for i in range(8)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story number 3"
+    long = ("Long passage of the copied story. " * 10).strip()
+    assert all(got[10 + i] == f"Short one {long} Seen on day {i // 2}" for i in range(20))
+    assert all(got[40 + i] == f"Head Short one day {i // 3}" for i in range(30)) and got[80] == "Other 0"
+    assert got[100] == got[101] == "Twice" and got[110] == "Page 0" and got[111] == "Page 1"
+
+
 def test_rotation(spark, duck, sf):
     from notegrid.llm.chat import ORACLE, rotate
 

@@ -168,19 +168,18 @@ def agg_31(spark, sf):
 # --- ordered ----------------------------------------------------------------------------------------
 
 
-def _ranked(spark, sf):
-    rows = memories(spark, sf).select((F.col("doc_id") % 10).alias("session"), F.col("doc_id").alias("rank"), "id", token_estimate(F.col("content")).alias("tokens"))
-    return rows.filter("rank < 1000")
+def _ranked(spark, sf, session):
+    return memories(spark, sf).select(session.alias("session"), F.col("doc_id").alias("rank"), "id", token_estimate(F.col("content")).alias("tokens"))
 
 
 @query("win_01_budget_prefix", VIEWS + f", r AS (SELECT doc_id % 10 AS session, doc_id AS rank, id, {TOKENS_SQL.format('content')} AS tokens FROM memories WHERE doc_id < 1000) SELECT * FROM (SELECT *, sum(tokens) OVER (PARTITION BY session ORDER BY rank)::BIGINT AS spent FROM r) WHERE spent <= 5000")
 def win_01(spark, sf):
-    return O.budget_prefix(_ranked(spark, sf), "session", 5000)
+    return O.budget_prefix(_ranked(spark, sf, F.col("doc_id") % 10).filter("rank < 1000"), "session", 5000)  # as its SQL twin
 
 
 @query("win_02_budget_greedy")
 def win_02(spark, sf):
-    return O.budget_greedy(_ranked(spark, sf), "session", 5000)
+    return O.budget_greedy(_ranked(spark, sf, F.floor(F.col("doc_id") / 100)), "session", 5000)
 
 
 @query("win_03_chunk_turns")

@@ -26,6 +26,23 @@ def test_budget_greedy(spark):
         ordered.budget_greedy(spark.createDataFrame(rows, "s long, rank long, id string, tokens long"), "s", 200, most=10).collect()
 
 
+def test_budget_greedy_reads_the_whole_table(spark, tmp_path):
+    from notegrid.plans.registry import queries
+
+    docs = [(i, "word " * (1 + i % 90), "web", "en") for i in range(1500)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries()["win_02_budget_greedy"](spark, str(tmp_path)).collect()
+    assert {r.session for r in got} == set(range(15))
+    tokens = lambda i: int((1 + i % 90) * 1.3 + 5 * (1 + i % 90) * 0.05)
+    left, want = 5000, []
+    for i in range(1400, 1500):
+        if tokens(i) <= left:
+            left -= tokens(i)
+            want.append(f"m{i}")
+    assert [r.id for r in sorted((r for r in got if r.session == 14), key=lambda r: r.pos)] == want
+
+
 def test_chunk_turns(spark):
     rng = random.Random(4)
     rows = [(c, t, rng.choice([1, 30, 50, 99, 151, 400])) for c in range(4) for t in range(25)]

@@ -64,24 +64,74 @@ def partial_ratio(a: str, b: str) -> float:
     return float((200.0 * row[:, -1] / (m + size)).max())
 
 
+def partial_ratios(pairs: list[tuple[str, str]], most: int = 1 << 14) -> np.ndarray:
+    """partial_ratio of many pairs, by semi-local alignment: one pass over the cells of two texts gives the LCS
+    of the shorter with every window of the longer; pairs of near lengths are worked off side by side."""
+    out = np.zeros(len(pairs))
+    sized = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    order = sorted((k for k, (a, _) in enumerate(sized) if a), key=lambda k: (len(sized[k][0]), len(sized[k][1])))
+    start = 0
+    while start < len(order):
+        step = max(1, most // (len(sized[order[start]][0]) + 1))
+        part, start = order[start : start + step], start + step
+        rows, cols = max(len(sized[k][0]) for k in part), max(len(sized[k][1]) for k in part)
+        x, y = np.full((rows, len(part)), -1, np.int32), np.full((cols, len(part)), -2, np.int32)  # signs that never match
+        for c, k in enumerate(part):
+            a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in sized[k])
+            x[rows - len(a) :, c], y[: len(b), c] = a[::-1], b
+        # strands start at the left (from below) and at the top; two that meet cross once at most, or turn at a match
+        h = np.repeat(np.arange(rows, dtype=np.int32)[:, None], len(part), 1)
+        v = np.repeat(np.arange(rows, rows + cols, dtype=np.int32)[:, None], len(part), 1)
+        for d in range(rows + cols - 1):
+            lo, hi, off = max(0, d - rows + 1), min(cols - 1, d) + 1, rows - 1 - d
+            left, top = h[lo + off : hi + off], v[lo:hi]
+            turn = (x[lo + off : hi + off] == y[lo:hi]) | (left > top)
+            new = np.where(turn, left, top)
+            h[lo + off : hi + off] = np.where(turn, top, left)
+            v[lo:hi] = new
+        for c, k in enumerate(part):
+            m, n = map(len, sized[k])
+            s = v[:n, c] - rows
+            r = np.flatnonzero(s >= 0)
+            s = s[r]
+            # LCS with [i, j) is j - i less the strands that start at i or later and end before j
+            first = np.maximum(0, r - m + 1)
+            w = first <= s
+            inner = np.cumsum(np.bincount(first[w], minlength=n + 1) - np.bincount(s[w] + 1, minlength=n + 1))[: n - m + 1]
+            best = ((m - inner) / m).max() * 100.0
+            if m > 1:
+                j = np.arange(1, m)
+                head = np.cumsum(np.bincount(r, minlength=n))[: m - 1]
+                tail = np.cumsum(np.bincount(s, minlength=n)[::-1])[: m - 1]
+                best = max(best, (200.0 * (j - np.minimum(head, tail)) / (m + j)).max())
+            out[k] = best
+    return out
+
+
 def topic_scores(pairs: DataFrame, content_weight: float = 1.0) -> DataFrame:
     """pairs(query_id, query, id, name, domain, tags, content): weighted fuzzy match of name, domain, tags and body, 0 to 1."""
 
     def run(batches):
         for pdf in batches:
-            best = lambda q, xs: max((partial_ratio(q, x) for x in (xs if xs is not None else [])), default=0.0)
-            got = [(3.0 * partial_ratio(q, n or "") + 2.5 * best(q, d) + 2.0 * best(q, t) + content_weight * partial_ratio(q, (c or "")[:1000])) / (100 * (3.0 + 2.5 + 2.0 + content_weight)) for q, n, d, t, c in zip(pdf["query"], pdf["name"], pdf["domain"], pdf["tags"], pdf["content"], strict=True)]
-            yield pd.DataFrame({"query_id": pdf["query_id"], "id": pdf["id"], "topic": got})
+            for at in range(0, len(pdf), 2048):
+                rows = pdf.iloc[at : at + 2048]
+                texts = [(q, n or "", list(d) if d is not None else [], list(t) if t is not None else [], (c or "")[:1000]) for q, n, d, t, c in zip(rows["query"], rows["name"], rows["domain"], rows["tags"], rows["content"], strict=True)]
+                need = list({(q or "", x or "") for q, n, d, t, c in texts for x in (n, *d, *t, c)})
+                ratio = dict(zip(need, partial_ratios(need), strict=True))
+                best = lambda q, xs: max((ratio[q or "", x or ""] for x in xs), default=0.0)
+                got = [(3.0 * best(q, [n]) + 2.5 * best(q, d) + 2.0 * best(q, t) + content_weight * best(q, [c])) / (100 * (3.0 + 2.5 + 2.0 + content_weight)) for q, n, d, t, c in texts]
+                yield pd.DataFrame({"query_id": rows["query_id"], "id": rows["id"], "topic": got})
 
     return pairs.select("query_id", "query", "id", "name", "domain", "tags", F.substring("content", 1, 1000).alias("content")).mapInPandas(run, "query_id long, id string, topic double")
 
 
 def fused(candidates: DataFrame, at: Column, valence: Column | None = None, arousal: Column | None = None) -> DataFrame:
-    """candidates: memory columns with query_id, topic, semantic (null: none), bm25 (null: 0), literal.
+    """candidates: memory columns with query_id, topic, semantic (null: none), bm25 (null: 0), literal, and any_bm25
+    (whether the query has a BM25 score at all) where they aren't whole.
 
     Rows that pass a threshold before penalties, with score and vector_match.
     """
-    any_bm25 = F.max(F.coalesce("bm25", F.lit(0.0))).over(Window.partitionBy("query_id")) > 0
+    any_bm25 = F.col("any_bm25") if "any_bm25" in candidates.columns else F.max(F.coalesce("bm25", F.lit(0.0))).over(Window.partitionBy("query_id")) > 0
     emotion = scores.emotion_score(valence, arousal) if valence is not None else F.lit(0.5)
     total = F.col("topic") * W_TOPIC + emotion * W_EMOTION + scores.time_score(at) * W_TIME + scores.importance_score() * W_IMPORTANCE + scores.touch_score() * W_TOUCH + F.coalesce(F.col("semantic") * W_SEMANTIC, F.lit(0.0)) + F.when(F.col("any_bm25"), F.coalesce("bm25", F.lit(0.0)) * W_BM25).otherwise(0.0)
     weights = W_TOPIC + W_EMOTION + W_TIME + W_IMPORTANCE + W_TOUCH + F.when(F.col("semantic").isNotNull(), W_SEMANTIC).otherwise(0.0) + F.when(F.col("any_bm25"), W_BM25).otherwise(0.0)
@@ -93,22 +143,27 @@ def fused(candidates: DataFrame, at: Column, valence: Column | None = None, arou
     return rows.filter(text_match | semantic_match).select("query_id", "id", F.round(F.col("raw") * penalty, 2).alias("score"), (semantic_match & ~text_match).alias("vector_match"))
 
 
-def search(memories: DataFrame, queries: DataFrame, semantic: DataFrame, at: Column, k: int = 10, fuzzy: int = 20) -> DataFrame:
-    """The k best rows of each query.
+def search(memories: DataFrame, queries: DataFrame, semantic: DataFrame, at: Column, k: int = 10, fuzzy: int | None = None) -> DataFrame:
+    """The k best rows of each query; semantic(query_id, id, semantic).
 
-    semantic(query_id, id, semantic). Rows enter through their BM25 rank (the first `fuzzy` of each query get the
-    fuzzy text score; `fuzzy` is the operator's own depth), a literal hit or a vector score.
+    Every memory is scored for every query, as a row can pass the text threshold by any of its texts. With
+    `fuzzy`, only rows with a literal hit, a vector score or a BM25 rank up to it are; their scores are the same.
     """
     from notegrid.operators.predicates import exact_ids, literal_matches
 
     exact = exact_ids(memories, queries).select("query_id", "id", F.lit(100.0).alias("score"), F.lit(False).alias("vector_match"))
     rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
     lexical = bm25(memories, rest)
-    ranked = lexical.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id"))).filter(F.col("r") <= fuzzy).drop("r")
-    literal = literal_matches(memories, rest).withColumn("literal", F.lit(True))
-    joined = ranked.join(literal, ["query_id", "id"], "full_outer").join(semantic.join(rest.select("query_id"), "query_id", "left_semi"), ["query_id", "id"], "full_outer")
-    pairs = joined.join(memories, "id").join(F.broadcast(rest), "query_id")
-    topic = topic_scores(pairs)
-    rows = pairs.drop("query").join(topic, ["query_id", "id"]).withColumn("literal", F.coalesce("literal", F.lit(False)))
+    literal = literal_matches(memories, rest).distinct().withColumn("literal", F.lit(True))
+    close = semantic.join(rest.select("query_id"), "query_id", "left_semi")
+    pairs = memories.join(F.broadcast(rest))
+    if fuzzy is not None:
+        ranked = lexical.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id"))).filter(F.col("r") <= fuzzy)
+        wanted = ranked.select("query_id", "id").unionByName(literal.select("query_id", "id")).unionByName(close.select("query_id", "id")).distinct()
+        pairs = wanted.join(memories, "id").join(F.broadcast(rest), "query_id")
+    held = lexical.select("query_id").distinct().withColumn("any_bm25", F.lit(True))  # a row a query
+    parts = topic_scores(pairs).join(lexical, ["query_id", "id"], "left").join(literal, ["query_id", "id"], "left").join(close, ["query_id", "id"], "left").join(held, "query_id", "left")
+    light = memories.select("id", "resolved", "superseded_by", "last_active", "created", "importance", "activation_count", "valence", "arousal")
+    rows = parts.join(light, "id").withColumn("literal", F.coalesce("literal", F.lit(False))).withColumn("any_bm25", F.coalesce("any_bm25", F.lit(False)))
     best = fused(rows, at).unionByName(exact)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")).filter(F.col("rank") <= k)

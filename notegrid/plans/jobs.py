@@ -21,6 +21,11 @@ def asked(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 6).alias("query"))
 
 
+def passages(spark, sf):
+    """Queries: the whole benchmark passages."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 BM25_SQL = VIEWS + r""", d AS (SELECT id, list_filter(string_split_regex(lower(concat_ws(' ', name, substring(content, 1, 1200), array_to_string(tags, ' '), array_to_string(domain, ' '))), '\s+'), lambda x: x <> '') AS t FROM memories),
 s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), p AS (SELECT id, dl, token, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS token FROM d) GROUP BY 1, 2, 3),
 i AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p, s GROUP BY token, n), w AS (SELECT token, CASE WHEN idf < 0 THEN (SELECT avg(idf) FROM i) * 0.25::DOUBLE ELSE idf END AS idf FROM i),
@@ -35,10 +40,13 @@ def scr_09(spark, sf):
 
 @query("jon_24_fulltext_search", BM25_SQL + " SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rank FROM b WHERE bm25 > 0) WHERE rank <= 10")
 def jon_24(spark, sf):
+    return _ranked_bm25(memories(spark, sf), asked(spark, sf))
+
+
+def _ranked_bm25(m, queries):
     from pyspark.sql import Window
 
-    found = R.bm25(memories(spark, sf), asked(spark, sf))
-    return found.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "id")).cast("long").alias("rank")).filter("rank <= 10")
+    return R.bm25(m, queries).select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "id")).cast("long").alias("rank")).filter("rank <= 10")
 
 
 def _semantic(spark, sf):
@@ -50,17 +58,17 @@ def _semantic(spark, sf):
 
 @query("top_01_hybrid_search")
 def top_01(spark, sf):
-    return R.search(memories(spark, sf), asked(spark, sf), _semantic(spark, sf), as_of()).select("query_id", "id", "score", "vector_match", "rank")
+    return R.search(memories(spark, sf), passages(spark, sf), _semantic(spark, sf), as_of()).select("query_id", "id", "score", "vector_match", "rank")
 
 
 @query("agg_07_retrieval_eval")
 def agg_07(spark, sf):
     from notegrid.operators.predicates import literal_matches
 
-    full = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    full = passages(spark, sf)
     m = memories(spark, sf)
     wanted = literal_matches(m, full).select(F.col("query_id").alias("case"), "id")
-    return A.retrieval_eval(jon_24(spark, sf).select(F.col("query_id").alias("case"), "id", "rank"), wanted)
+    return A.retrieval_eval(_ranked_bm25(m, full).select(F.col("query_id").alias("case"), "id", "rank"), wanted)
 
 
 # --- sources ----------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from notegrid.operators import lifecycle as L
 from notegrid.operators import ordered as O
 from notegrid.operators import predicates as P
 from notegrid.operators import retrieval as R
-from notegrid.plans.jobs import asked
+from notegrid.plans.jobs import passages
 from notegrid.plans.registry import query
 from notegrid.plans.rows import AT_SQL
 from notegrid.schema import VIEWS, as_of, memories, table
@@ -59,7 +59,7 @@ def lif_16(spark, sf):
 @query("scr_10_debug_breakdown")
 def scr_10(spark, sf):
     m = memories(spark, sf)
-    pairs = P.literal_matches(m, asked(spark, sf)).join(m, "id").join(F.broadcast(asked(spark, sf)), "query_id")
+    pairs = P.literal_matches(m, passages(spark, sf)).join(m, "id").join(F.broadcast(passages(spark, sf)), "query_id")
     topic = R.topic_scores(pairs)
     rows = pairs.drop("query").join(topic, ["query_id", "id"])
     total = F.col("topic") * R.W_TOPIC + 0.5 * R.W_EMOTION + scores.time_score(as_of()) * R.W_TIME + scores.importance_score() * R.W_IMPORTANCE

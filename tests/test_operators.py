@@ -26,6 +26,29 @@ def test_budget_greedy(spark):
         ordered.budget_greedy(spark.createDataFrame(rows, "s long, rank long, id string, tokens long"), "s", 200, most=10).collect()
 
 
+def test_partial_ratios():
+    rng = random.Random(6)
+    pairs = [tuple("".join(rng.choice("abc d") for _ in range(rng.randint(0, n))) for n in (9, 30)) for _ in range(200)] + [("", ""), ("a", "a"), ("ab", "xab")]
+    assert all(abs(x - retrieval.partial_ratio(a, b)) < 1e-9 for x, (a, b) in zip(retrieval.partial_ratios(pairs, most=64), pairs))
+
+
+def test_search_scores_every_memory(spark, sf):
+    from notegrid.schema import as_of, memories
+
+    # "tale" is in every text, so BM25 ranks the short ones first; m30 alone has the query's letters in its name
+    m = memories(spark, sf).filter("doc_id < 40").withColumn("content", F.when(F.col("doc_id") == 30, F.lit("a tale of winding riverbanks " + "filler words " * 60)).otherwise(F.lit("tale")))
+    m = m.withColumn("name", F.when(F.col("doc_id") == 30, "windingriverbank").otherwise("x")).withColumn("resolved", F.lit(False)).withColumn("superseded_by", F.lit(None).cast("string"))
+    m = m.withColumn("domain", F.array(F.lit("winding"))).withColumn("tags", F.array(F.lit("river")))
+    queries = spark.createDataFrame([(1, "tale winding riverbank")], "query_id long, query string")
+    near = m.filter("doc_id in (30, 31)").select(F.lit(1).cast("long").alias("query_id"), "id", F.lit(0.6).alias("semantic"))
+    none = near.limit(0)
+    full = {r.id: r.score for r in retrieval.search(m, queries, none, as_of(), k=100).collect()}
+    assert "m30" in full and len(full) > 20
+    few = {r.id: r.score for r in retrieval.search(m, queries, near, as_of(), k=100, fuzzy=1).collect()}
+    whole = {r.id: r.score for r in retrieval.search(m, queries, near, as_of(), k=100).collect()}
+    assert {"m30", "m31"} <= set(few) and all(whole[i] == x for i, x in few.items())
+
+
 def test_budget_greedy_reads_the_whole_table(spark, tmp_path):
     from notegrid.plans.registry import queries
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notegrid.storage import materialize
+
 
 def attach_scores(memories: DataFrame, semantic: DataFrame, weight: float = 2.5, rest: float = 9.5) -> DataFrame:
     """semantic(id, semantic): a missing score leaves its weight out of the denominator."""
@@ -159,11 +161,18 @@ def merge_decision(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", rule.alias("decision"))
 
 
-def lineage(edges: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
-    """edges(child, parent), start(id): all ancestors of each start with their distance; a cycle stops by the depth."""
+def lineage(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """edges(child, parent), start(id): all ancestors of each start with their least distance.
+
+    Goes on until a round finds no new pair (or up to the distance `most`), so a cycle ends by itself; each round
+    is a written table.
+    """
     front = start.select("id", F.col("id").alias("at"), F.lit(0).cast("long").alias("depth"))
-    found = None
-    for _ in range(most):
-        front = front.join(edges, front["at"] == edges["child"]).select("id", F.col("parent").alias("at"), (F.col("depth") + 1).alias("depth")).distinct()
-        found = front if found is None else found.unionByName(front)
-    return found.groupBy("id", F.col("at").alias("ancestor")).agg(F.min("depth").alias("depth"))
+    found, rounds = front.limit(0), 0
+    while most is None or rounds < most:
+        step = front.join(edges, front["at"] == edges["child"]).select("id", F.col("parent").alias("at"), (F.col("depth") + 1).alias("depth")).distinct()
+        front = materialize(step.join(found.select("id", "at"), ["id", "at"], "left_anti"), "lineage")
+        if front.isEmpty():
+            break
+        found, rounds = found.unionByName(front), rounds + 1
+    return found.select("id", F.col("at").alias("ancestor"), "depth")

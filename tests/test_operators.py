@@ -66,6 +66,13 @@ def test_budget_greedy_reads_the_whole_table(spark, tmp_path):
     assert [r.id for r in sorted((r for r in got if r.session == 14), key=lambda r: r.pos)] == want
 
 
+def test_lineage_goes_to_the_root(spark):
+    chain = [(f"e{i}", f"e{i - 1}") for i in range(1, 61)] + [("x", "y"), ("y", "z"), ("z", "x")]
+    edges = spark.createDataFrame(chain, "child string, parent string").localCheckpoint()
+    got = {(r.id, r.ancestor): r.depth for r in joins.lineage(edges, spark.createDataFrame([("e60",), ("x",)], "id string")).collect()}
+    assert got == {("e60", f"e{60 - d}"): d for d in range(1, 61)} | {("x", "y"): 1, ("x", "z"): 2, ("x", "x"): 3}
+
+
 def test_chunk_turns(spark):
     rng = random.Random(4)
     rows = [(c, t, rng.choice([1, 30, 50, 99, 151, 400])) for c in range(4) for t in range(25)]

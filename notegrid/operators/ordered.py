@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,21 +61,26 @@ def admit(requests: DataFrame, held: int, cap: int, soft: int) -> DataFrame:
 def chunk_turns(turns: DataFrame, target: int) -> DataFrame:
     """turns(conv_id, turn, tokens): number of the chunk of each turn.
 
-    A turn over 1.5 times the target is a chunk of its own; others are packed in order up to the target.
+    A turn over 1.5 times the target is a chunk of its own; others are packed in order up to the target. A dialogue
+    streams through its task in order with a running state, so a long one is held in no row.
     """
-    lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "tokens"))).alias("rows"))
-    big = lambda r: r["tokens"] > int(target * 1.5)
-    fold = F.aggregate(
-        "rows",
-        F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("held"), F.lit(True).alias("closed"), F.array().cast("array<struct<turn:bigint,chunk:int>>").alias("out")),
-        lambda acc, r: F.struct(
-            F.when(big(r) | acc["closed"] | (acc["held"] + r["tokens"] > target), acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"),
-            F.when(big(r), F.lit(0)).when(acc["closed"] | (acc["held"] + r["tokens"] > target), r["tokens"]).otherwise(acc["held"] + r["tokens"]).cast("long").alias("held"),
-            big(r).alias("closed"),
-            F.array_append(acc["out"], F.struct(r["turn"].cast("long").alias("turn"), F.when(big(r) | acc["closed"] | (acc["held"] + r["tokens"] > target), acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"))).alias("out"),
-        ),
-    )
-    return lists.select("conv_id", F.inline(fold["out"]))
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("tokens").cast("long").alias("tokens"))
+    big, schema = int(target * 1.5), rows.drop("tokens").schema.add("chunk", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, chunk, held, closed, first = None, -1, 0, True, True
+        for batch in batches:
+            out = []
+            for conv, n in zip(batch.column("conv_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if first or conv != own:
+                    own, chunk, held, closed, first = conv, -1, 0, True, False
+                n = n or 0
+                fresh = n > big or closed or held + n > target
+                chunk, held, closed = chunk + fresh, 0 if n > big else n if fresh else held + n, n > big
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(out, pa.int32())], names=["conv_id", "turn", "chunk"])
+
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tokens").mapInArrow(run, schema)
 
 
 def daily_sources(rows: DataFrame, each: int, total: int) -> DataFrame:

@@ -89,6 +89,18 @@ def test_chunk_turns(spark):
             assert got[c, t] == chunk
 
 
+def test_chunk_turns_streams_a_long_dialogue(spark):
+    turns = spark.range(60_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), (1 + F.col("id") % 7).alias("tokens"))
+    got = ordered.chunk_turns(turns, 100)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    chunk, held, want = -1, 0, {}
+    for t in range(60_000):
+        n = 1 + t % 7
+        chunk, held = (chunk + 1, n) if chunk < 0 or held + n > 100 else (chunk, held + n)
+        want[t] = chunk
+    assert {r.turn: r.chunk for r in got.collect()} == want
+
+
 def test_partial_ratio():
     assert retrieval.partial_ratio("", "abc") == 0
     assert retrieval.partial_ratio("abc", "xxabcxx") == 100

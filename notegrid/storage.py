@@ -29,6 +29,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables of one job, in a folder of their own in the shared folder; close() deletes the folder.
+
+    A job that has written its result elsewhere needs its steps no more; what is written has no lineage.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.count = spark, new_path(spark, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df as Parquet and read it back."""
+        self.count += 1
+        path = f"{self.root}/{self.count:03d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class VersionedTable:
     """A table as Parquet folders v=1, v=2, ... of full states; a reader takes the highest version that has been committed."""
 

@@ -3,43 +3,49 @@
 1. Every whole text gives the set of its distinct word shingles (64-bit hashes) and two small collections
    of half-keys, SIDE each of ROWS minhash values. Texts of equal sets are one class from then on.
 2. The SIDE x SIDE table keys combine one half-key of either collection: 2 * SIDE * ROWS minhash values do
-   the work of SIDE * SIDE * 2 * ROWS. A pair at the threshold shares a key with probability 0.9994, above
-   it sooner.
-3. Half-keys that nobody shares are dropped before the keys are formed. In each bucket one member is
-   compared with the rest; confirmed links give components. Buckets that still hold several components are
-   worked off exactly: small ones by their remaining pairs, large ones by another member met by all
-   (the one with the fewest shingles of its own), then by the shared parts of their members' sets and a
-   prefix filter (rarest shingles first) between parts.
-   No bucket is cut, and members of one component aren't compared again.
-4. Components are the fixed point of minimum labels with pointer jumping.
+   the work of SIDE * SIDE * 2 * ROWS. A pair at a similarity of 0.8 shares a key with probability 0.9996,
+   above it sooner. Half-keys that nobody shares are dropped before the keys are formed.
+3. Each bucket has a hub, the member that meets most others over all its buckets; every member is compared
+   with its hubs, so there are no more comparisons than rows in buckets. Members under one hub are a group.
+   Links with hubs give components.
+4. What a group holds of different components is settled by what the members have in common with their hub h:
+   |x & y| is at most min(|x & h|, |y & h|) + min(s(x), s(y)), where s counts the shingles outside h that
+   another member has too. Only pairs whose bound reaches the threshold are compared, found by a join on
+   steps of |x & h|; all others of the group surely aren't linked. Copies with edits of their own, or texts
+   that share a passage, leave next to none. No bucket is cut, and no pair of one component is compared again.
+5. Components are the fixed point of minimum labels with pointer jumping.
+
+Groups of one hub are dealt in slices of about SLICE members, so a hub with a third of all rows fills many tasks.
 
 Defined results: a text that is null or has no word has an empty set and no links; fewer words than a
-shingle make one shingle of the whole; rows without doc_id take no part (component_id null, kept true);
-repeated rows are linked; rows that repeat a doc_id with another text follow their own text; other columns
-are ignored.
+shingle make one shingle of the whole; very long texts are taken whole; rows without doc_id take no part
+(component_id null, kept true); repeated rows are linked; rows that repeat a doc_id with another text follow
+their own text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notegrid.llm.common import map_text, materialize
-
-SIDE, ROWS = 8, 2
-#: Buckets up to this size are worked off by their remaining pairs.
-SMALL = 48
-REMEMBER = 500_000
+from notegrid.storage import Workspace
+
+SIDE, ROWS = 12, 3
+#: Members of a group that are dealt together, about.
+SLICE = 512
+#: Steps of what members share with their hub.
+STEPS = 64
+#: Bytes of words that a worker remembers, about.
+REMEMBER = 24 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _rng = np.random.default_rng(20)
-_ODD = (_rng.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_XOR = _rng.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64)
+_ODD = ((_rng.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1))[:, None]
+_XOR = _rng.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64)[:, None]
 _words: dict[bytes, int] = {}
+_held = 0
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -52,12 +58,12 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text; A-Z is lower-cased, words end at ASCII white space."""
     import xxhash
 
-    global _words
+    global _words, _held
     cut = text.encode("utf-8", "surrogatepass").lower().split()
     if not cut:
         return np.zeros(0, np.uint64)
-    if len(_words) > REMEMBER:
-        _words = {}
+    if _held > REMEMBER:
+        _words, _held = {}, 0
     held, digest = _words, xxhash.xxh3_64_intdigest
     try:
         ids = [held[w] for w in cut]
@@ -65,6 +71,7 @@ def shingle_set(text: str, size: int) -> np.ndarray:
         for w in set(cut):
             if w not in held:
                 held[w] = digest(w)
+                _held += len(w) + 150
         ids = [held[w] for w in cut]
     h = np.array(ids, np.uint64)
     n = len(h)
@@ -77,31 +84,40 @@ def shingle_set(text: str, size: int) -> np.ndarray:
 
 def half_keys(own: np.ndarray) -> np.ndarray:
     """2 * SIDE half-keys, each of ROWS minhash values."""
-    low = np.array([((own ^ x) * o).min() for x, o in zip(_XOR, _ODD, strict=True)], np.uint64).reshape(-1, ROWS)
+    low = np.full(len(_XOR), np.uint64(2**64 - 1))
+    for s in range(0, len(own), 512):
+        low = np.minimum(low, ((own[s : s + 512] ^ _XOR) * _ODD).min(axis=1))
+    low = low.reshape(-1, ROWS)
     key = np.arange(len(low), dtype=np.uint64)
     for r in range(ROWS):
         key = _mixed(key * _MIX[0] + low[:, r])
     return key.view(np.int64)
 
 
+def set_digest(own: np.ndarray) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(own.tobytes())
+
+
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("halves", T.ArrayType(T.LongType()))])
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """Per row: doc_id, set size, 128-bit digest of the set, half-keys (both null for an empty set)."""
-    def run(texts: list[str], part) -> dict:
-        from xxhash import xxh3_128_digest
 
+    def run(texts: list[str], part) -> dict:
         sets = [shingle_set(t, size) for t in texts]
-        return {"doc_id": part.column("doc_id"), "n": [len(s) for s in sets], "digest": [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "halves": [half_keys(s) if len(s) else None for s in sets]}
+        return {"doc_id": part.column("doc_id"), "n": [len(s) for s in sets], "digest": [set_digest(s) if len(s) else None for s in sets], "halves": [half_keys(s) if len(s) else None for s in sets]}
 
     return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SIGNED)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Workspace | None = None) -> DataFrame:
     """(id, component): the smallest id reachable from each id of edges(a, b)."""
-    both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "edges")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("id"), F.least("u", "w").alias("component")), "labels")
+    write = keep.write if keep else materialize
+    both = write(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "edges")
+    labels = write(both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("id"), F.least("u", "w").alias("component")), "labels")
     total = None
     while True:
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")).alias("s")).first()["s"]
@@ -111,217 +127,150 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both["v"] == labels["id"]).select(F.col("u").alias("id"), "component")
         up = labels.select(F.col("id").alias("top"), F.col("component").alias("higher"))
         jump = labels.join(up, labels["component"] == up["top"]).select("id", F.col("higher").alias("component"))
-        labels = materialize(labels.unionByName(near).unionByName(jump).groupBy("id").agg(F.min("component").alias("component")), "labels")
+        labels = write(labels.unionByName(near).unionByName(jump).groupBy("id").agg(F.min("component").alias("component")), "labels")
 
 
 #: Size of the filter on wanted ids, in bits; 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 
 
-def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents with one of the ids(doc_id).
+def picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the documents with a doc_id of wanted(doc_id, ...), beside the columns of wanted.
 
     A bitmap of hashed ids, of fixed size, leaves few others in before the texts are shuffled for the join.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    marks = ids.select(slot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    marks = wanted.select(slot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", slot)
     near = rows.join(F.broadcast(marks), F.bitmap_bucket_number("h") == F.col("bucket"))  # FILTER_BITS / 8 bytes at most
     hit = F.expr("getbit(cast(conv(hex(substring(bits, cast(bitmap_bit_position(h) div 8 as int) + 1, 1)), 16, 10) as bigint), cast(bitmap_bit_position(h) % 8 as int)) = 1")
     # an inner join on distinct ids stays above the filter; a semi join would be pushed below it
-    return near.filter(hit).select("doc_id", "text").join(ids.distinct(), "doc_id")
+    return near.filter(hit).select("doc_id", "text").join(wanted, "doc_id")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame | None, size: int, percent: int) -> DataFrame:
-    """The pairs(a, b) of class ids with 100 * intersection >= percent * union, on full sets.
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, own) of wanted(doc_id, digest, id): the set of the text that has the digest; repeated rows repeat."""
 
-    classes is given where some doc_id comes with several texts.
-    """
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = materialize(picked(docs, wanted), "texts")
-    if classes is not None:
-        def digest_of(batch_texts: list[str], part) -> dict:
-            from xxhash import xxh3_128_digest
-
-            return {"doc_id": part.column("doc_id"), "text": part.column("text"), "digest": [xxh3_128_digest(shingle_set(t, size).tobytes()) for t in batch_texts]}
-
-        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("digest", T.BinaryType())])
-        # the text of the class counts
-        texts = materialize(map_text(texts, digest_of, schema).join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    full = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-
-    def run(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for i in range(batch.num_rows):
-                if len(held) > 256:
-                    held = {}
-                if a[i] not in held:
-                    held[a[i]] = shingle_set(batch.column("ta")[i].as_py() or "", size)
-                x, y = held[a[i]], shingle_set(batch.column("tb")[i].as_py() or "", size)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * same >= percent * (len(x) + len(y) - same):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-
-    return full.mapInArrow(run, "a long, b long")
-
-
-#: Slots of the table of shingle frequencies; it orders shingles and tells some that stand in one member only.
-SLOTS = 1 << 20
-
-
-def shared_parts(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """parts(id, n, part, u, prefix) of members(id, n).
-
-    A member's set is its shared part (s shingles, by digest) and u shingles that surely stand in no other
-    member: they are alone in their slot of a frequency table of fixed size. The prefix has the rarest
-    n - ceil(n * percent / 100) + 1 shingles (by frequency of the slot, then hash) without those u.
-    """
-    texts = materialize(picked(docs, members.select(F.col("id").alias("doc_id"))), "texts")
-
-    def sets(batch_texts: list[str], part) -> dict:
-        return {"slots": [(shingle_set(t, size) % np.uint64(SLOTS)).astype(np.int32) for t in batch_texts]}
-
-    slots = map_text(texts, sets, T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType()))])).select(F.explode("slots").alias("slot"))
-    counts = slots.groupBy("slot").count().toPandas()  # SLOTS rows at most
-    often = np.zeros(SLOTS, np.int64)
-    often[counts["slot"].to_numpy(np.int64)] = counts["count"].to_numpy(np.int64)
-    held = docs.sparkSession.sparkContext.broadcast(np.minimum(often, 2**31 - 1).astype(np.int32))
-
-    def run(batch_texts: list[str], part) -> dict:
-        from xxhash import xxh3_128_digest
-
-        out: dict = {"id": part.column("doc_id"), "part": [], "s": [], "u": [], "prefix": []}
-        for t in batch_texts:
-            own = shingle_set(t, size)
-            times = held.value[(own % np.uint64(SLOTS)).astype(np.int64)]
-            shared, n = own[times > 1], len(own)
-            out["part"].append(xxh3_128_digest(shared.tobytes()))
-            out["s"].append(len(shared))
-            out["u"].append(n - len(shared))
-            take = n + -(n * percent // 100) - (1 if n * percent % 100 else 0) + 1
-            out["prefix"].append(own[np.lexsort((own, times))][n - len(shared) : take].view(np.int64))
-        return out
-
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("part", T.BinaryType()), T.StructField("s", T.LongType()), T.StructField("u", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    found = map_text(texts, run, schema).dropDuplicates(["id"]).filter("s > 0")
-    return materialize(found.join(members, "id").select("id", "n", "part", "s", "u", "prefix"), "parts")
-
-
-def compare_parts(docs: DataFrame, parts: DataFrame, classes: DataFrame | None, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and further pairs(a, b) among members, parts(id, n, comp, part, s, u, prefix), of several components.
-
-    Members of one shared part s are linked exactly where 100 * s >= percent * (s + u + u'), so each is compared with
-    the member of smallest u only: if two are linked, both are linked with it. Likewise a link between two
-    shared parts implies a link of either member with the other part's smallest, so only those are compared;
-    and only where the two smallest pass themselves. Candidate parts share one of the rarest shingles of
-    their smallest members: a pair at the threshold shares one among the n - ceil(n * percent / 100) + 1 rarest.
+    def run(texts: list[str], part) -> dict:
+        sets = [shingle_set(t, size) for t in texts]
+        fits = [set_digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
+        return {"id": part.column("id"), "own": [s.view(np.int64) if ok else None for s, ok in zip(sets, fits, strict=True)]}
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("own", T.ArrayType(T.LongType(), False))])
+    return map_text(picked(docs, wanted), run, schema).filter("own IS NOT NULL")
+
+
+def sliced(pairs: DataFrame, keep: Workspace) -> DataFrame:
+    """pairs(hub, id, ...) with the number of slices of each hub and the slice of each id."""
+    counts = keep.write(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices")), "slices")
+    return pairs.join(counts.hint("merge"), "hub").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")))
+
+
+def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(hub, slice, slices, id, ...) with the sets of either side, own and hub_own; a hub's set goes once to each of its slices."""
+    heads = pairs.select("hub", "slices").distinct().join(sets.select(F.col("id").alias("hub"), F.col("own").alias("hub_own")), "hub")
+    heads = heads.select("hub", "hub_own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    return pairs.join(sets, "id").join(heads.hint("merge"), ["hub", "slice"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs of sliced() with the sizes n and hub_n of the sets and the size of what both have."""
+    return beside(pairs, sets).select(*pairs.columns, F.size("own").cast("long").alias("n"), F.size("hub_own").cast("long").alias("hub_n"), F.size(F.array_intersect("own", "hub_own")).cast("long").alias("both"))
+
+
+def linked(percent: int):
+    return (100 + percent) * F.col("both") >= percent * (F.col("n") + F.col("hub_n"))
+
+
+def hub_pairs(classes: DataFrame, keep: Workspace) -> DataFrame:
+    """(hub, id): each class id with the hubs of its buckets."""
+    # half-keys that nobody shares can't be part of a shared table key
+    halves = classes.select("id", F.posexplode("halves").alias("at", "half"))
+    met = halves.groupBy("half").count().filter("count > 1").select("half")
+    left, right = F.collect_list(F.when(F.col("at") < SIDE, F.col("half"))), F.collect_list(F.when(F.col("at") >= SIDE, F.col("half")))
+    sides = halves.join(met.hint("merge"), "half").groupBy("id").agg(left.alias("left"), right.alias("right"))  # SIDE each at most
+    keys = keep.write(sides.select("id", F.explode(F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a, b))))).alias("key")), "keys")
+    # read from written tables, the rows of a hot key can be split in the joins
+    sizes = keep.write(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    rows = keep.write(keys.join(sizes.hint("merge"), "key"), "buckets")
+    meets = rows.groupBy("id").agg(F.sum("size").alias("meets"))
+    rows = keep.write(rows.join(meets, "id").select("key", "id", F.struct((-F.col("meets")).alias("m"), F.xxhash64("id").alias("o"), "id").alias("place")), "places")
+    hubs = keep.write(rows.groupBy("key").agg(F.min("place").alias("h")).select("key", F.col("h.id").alias("hub")), "hubs")
+    return rows.join(hubs.hint("merge"), "key").filter("id <> hub").select("hub", "id").distinct()
+
+
+def open_groups(stats: DataFrame, labels: DataFrame, percent: int, keep: Workspace) -> DataFrame:
+    """Members of the groups that hold several components: hub, hub_n, slices, slice, id, n, both, lone (not linked with the hub), comp."""
+    rows = stats.select("hub", "hub_n", "slices", "slice", "id", "n", "both", (~linked(percent)).alias("lone"))
+    now = keep.write(rows.join(labels.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "members")
+    mixed = keep.write(now.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("hub"), "mixed")
+    return keep.write(now.join(mixed.hint("merge"), "hub", "left_semi"), "open")
+
+
+def with_shared(members: DataFrame, sets: DataFrame, keep: Workspace) -> DataFrame:
+    """members with s: how many of their shingles outside the hub's set another member of the group has too."""
+    outside = keep.write(beside(members, sets).select("hub", "id", F.explode(F.array_except("own", "hub_own")).alias("shingle")), "outside")
+    shared = keep.write(outside.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("hub", "shingle"), "shared")
+    counts = outside.join(shared.hint("merge"), ["hub", "shingle"], "left_semi").groupBy("hub", "id").agg(F.count(F.lit(1)).alias("s"))
+    return members.join(counts, ["hub", "id"], "left").withColumn("s", F.coalesce("s", F.lit(0)).cast("long"))
+
+
+def bounded_pairs(members: DataFrame, percent: int, keep: Workspace) -> DataFrame:
+    """(hub, id): pairs of members of one group and different components whose bound allows a link.
+
+    One of the two (here the hub) isn't linked with the group's hub. Members stand in steps of what they share with
+    the group's hub, STEPS at most; the bounds of a step tell whether a member has to meet any of it.
     """
-    first = F.min(F.struct("u", "id", "n", "comp", "prefix")).alias("h")
-    heads = materialize(parts.groupBy("part", "s").agg(first, F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("part", "s", F.col("h.u").alias("hu"), F.col("h.id").alias("head"), F.col("h.n").alias("hn"), F.col("h.comp").alias("hcomp"), F.col("h.prefix").alias("prefix"), "lo", "hi"), "heads")
-    inside = parts.drop("prefix").join(heads.drop("s", "prefix"), "part").filter((F.col("id") != F.col("head")) & (F.col("s") * 100 >= (F.col("s") + F.col("u") + F.col("hu")) * percent))
-    links = inside.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-
-    prefix = materialize(heads.select(F.col("head").alias("id"), "hn", "lo", "hi", F.explode("prefix").alias("shingle")), "prefix")
-    mixed = prefix.groupBy("shingle").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least < most").select("shingle")
-    # members of one component throughout count as that component, others as one of their own
-    own = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("id"))
-    posts = materialize(prefix.join(mixed.hint("merge"), "shingle", "left_semi").select("shingle", "id", F.col("hn").alias("n"), own.alias("comp")), "posts")
-    met = cross_pairs(posts, "shingle", percent).withColumnRenamed("a", "x").withColumnRenamed("b", "y")
-    close = materialize(confirm(docs, met.select(F.col("x").alias("a"), F.col("y").alias("b")), classes, size, percent), "heads-met")
-    both = close.union(close.select("b", "a")).select(F.col("a").alias("head"), F.col("b").alias("other"))
-    ends = both.join(heads.select("head", "part"), "head").join(heads.select(F.col("head").alias("other"), F.col("hn").alias("on"), F.col("hcomp").alias("ocomp")), "other")
-    wide = parts.join(ends.select("part", "other", "on", "ocomp"), "part").filter((F.col("comp") != F.col("ocomp")) & (F.col("n") * 100 >= F.col("on") * percent) & (F.col("on") * 100 >= F.col("n") * percent))
-    return links.union(close), wide.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-
-
-def cross_pairs(posts: DataFrame, key: str, percent: int) -> DataFrame:
-    """Distinct (a, b) of rows of one key in different components whose sizes allow the threshold."""
-    x, y = posts.alias("x"), posts.alias("y")
-    fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    met = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & fits)
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-
-def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows(key, id, n, size) of buckets that hold several components, with their component."""
-    now = materialize(rows.drop("comp").join(labels.hint("merge"), "id", "left").select("key", "id", "n", "size", F.coalesce("component", "id").alias("comp")), "now")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    return materialize(now.join(mixed.hint("merge"), "key", "left_semi"), "open")
-
-
-def joined_labels(labels: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """labels(id, component) after new links: components of a graph of components, then both steps in one."""
-    if not links:
-        return labels
+    held = keep.write(members.withColumn("step", F.floor(F.col("both") * STEPS / (F.col("hub_n") + 1))), "profiles")
+    reach = lambda n, both, s: (100 + percent) * (F.least("x_both", both) + F.least("x_s", s)) >= percent * (F.col("x_n") + n)
+    steps = held.groupBy("hub", "step").agg(F.max("both").alias("both"), F.min("n").alias("n"), F.max("s").alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    steps = keep.write(steps.groupBy("hub").agg(F.collect_list(F.struct("step", "both", "n", "s", "lo", "hi")).alias("steps")), "steps")  # STEPS a hub at most
+    lone = held.filter("lone").select("hub", "slices", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "both", "s", "comp")])
+    near = F.filter("steps", lambda t: reach(t["n"], t["both"], t["s"]) & ((t["lo"] != F.col("x_comp")) | (t["hi"] != F.col("x_comp"))))
+    asked = lone.join(steps.hint("merge"), "hub").withColumn("t", F.explode(near)).withColumn("step", F.col("t.step")).drop("t", "steps")
+    asked = keep.write(asked.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices"), "asked")
+    once = ~F.col("lone") | (F.col("x_id") < F.col("id"))
+    met = asked.join(held.drop("slices", "hub_n").hint("merge"), ["hub", "step", "slice"]).filter((F.col("comp") != F.col("x_comp")) & once & reach(F.col("n"), F.col("both"), F.col("s")))
+    return met.select(F.col("x_id").alias("hub"), "id").distinct()
+
+
+def joined_labels(labels: DataFrame, links: DataFrame, keep: Workspace) -> DataFrame:
+    """labels(id, component) after new links(a, b): components of a graph of components, then both steps in one."""
     side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"top_{c}"))
-    named = reduce(DataFrame.union, links).join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("top_a", "a").alias("a"), F.coalesce("top_b", "b").alias("b"))
-    between = materialize(named.filter("a <> b").distinct(), "between")
-    if not between.limit(1).count():
-        return labels
-    tops = components(between).select(F.col("id").alias("component"), F.col("component").alias("higher"))
+    named = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("top_a", "a").alias("a"), F.coalesce("top_b", "b").alias("b"))
+    tops = components(named.filter("a <> b").distinct(), keep).select(F.col("id").alias("component"), F.col("component").alias("higher"))
     lone = tops.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("higher").alias("component"))
-    return materialize(labels.join(tops, "component", "left").select("id", F.coalesce("higher", "component").alias("component")).unionByName(lone), "labels")
+    return keep.write(labels.join(tops, "component", "left").select("id", F.coalesce("higher", "component").alias("component")).unionByName(lone), "labels")
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
+    keep = Workspace(docs.sparkSession, "neardup")
     signed = materialize(signatures(docs, size), "signed")
     known = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves")), "classes")
-
-    repeated = classes if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("count")).filter("count > 1").limit(1).count() else None
-
-    # half-keys that nobody shares can't be part of a shared table key
-    halves = classes.select("id", "n", F.posexplode("halves").alias("at", "half"))
-    met = halves.groupBy("half").count().filter("count > 1").select("half")
-    left, right = (F.collect_list(F.when(F.col("at") < SIDE, F.col("half"))), F.collect_list(F.when(F.col("at") >= SIDE, F.col("half"))))
-    sides = halves.join(met.hint("merge"), "half").groupBy("id", "n").agg(left.alias("left"), right.alias("right"))  # SIDE each at most
-    keys = materialize(sides.select("id", "n", F.explode(F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a, b))))).alias("key")), "keys")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    open_ = materialize(keys.join(sizes.hint("merge"), "key").withColumn("comp", F.col("id")), "open")
-
-    tested: list[DataFrame] = []
-    links: list[DataFrame] = []
-
-    def fits(n: str, m: str):
-        return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
-
-    def work_off(pairs: DataFrame) -> None:
-        new = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti") if tested else pairs
-        tested.append(materialize(new, "pairs"))
-        links.append(materialize(confirm(docs, tested[-1], repeated, size, percent), "links"))
-
-    # one member of a bucket meets the others; one order for all buckets, so that a group of copies shares its head
-    heads = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
-    star = open_.join(heads.hint("merge"), "key").filter((F.col("id") != F.col("hub")) & fits("n", "hub_n"))
-    work_off(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
-    labels = components(links[0])
-
-    open_ = still_open(open_, labels)
-    small = open_.filter(F.col("size") <= SMALL)
-    if small.limit(1).count():
-        work_off(cross_pairs(small, "key", percent))
-    large = open_.filter(F.col("size") > SMALL)
-    if large.limit(1).count():
-        parts = shared_parts(docs, materialize(large.select("id", "n").distinct(), "large"), size, percent)
-        # the member with the fewest shingles of its own is what a group of copies has in common
-        ranked = large.join(parts.select("id", "u"), "id")
-        heads = ranked.groupBy("key").agg(F.min(F.struct("u", "id", "n")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
-        star = ranked.join(heads.hint("merge"), "key").filter((F.col("id") != F.col("hub")) & fits("n", "hub_n"))
-        work_off(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
-        labels = joined_labels(labels, links[1:])
-        links = links[:1]
-        left = still_open(large, labels).select("id", "comp").distinct()
-        if left.limit(1).count():
-            sure, wide = compare_parts(docs, materialize(parts.join(left, "id"), "left"), repeated, size, percent)
-            links.append(materialize(sure, "links"))
-            work_off(wide)
-    labels = joined_labels(labels, links[1:])
-    to = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("top"))
-    own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("top", "doc_id"))
-    return signed.select("doc_id", "n", "digest").join(to, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves"))
+    classes = keep.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    pairs = keep.write(sliced(keep.write(hub_pairs(classes, keep), "pairs"), keep), "sliced")
+    ids = pairs.select(F.col("hub").alias("id")).union(pairs.select("id")).distinct()
+    wanted = keep.write(classes.join(ids, "id").select("doc_id", "digest", "id"), "wanted")
+    sets = keep.write(shingle_sets(docs, wanted, size), "sets")
+    if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("count")).filter("count > 1").limit(1).count():  # repeated rows
+        sets = keep.write(sets.dropDuplicates(["id"]), "sets")
+
+    stats = keep.write(compared(pairs, sets), "compared")
+    labels = components(stats.filter(linked(percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")), keep)
+    members = open_groups(stats, labels, percent, keep)
+    if members.limit(1).count():
+        left = keep.write(bounded_pairs(with_shared(members, sets, keep), percent, keep), "pairs")
+        found = keep.write(compared(keep.write(sliced(left, keep), "sliced"), sets).filter(linked(percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
+        labels = joined_labels(labels, found, keep)
+
+    # the component of a class is named by its smallest doc_id
+    named = keep.write(classes.select("id", "digest", "doc_id").join(labels.hint("merge"), "id"), "named")
+    tops = keep.write(named.groupBy("component").agg(F.min("doc_id").alias("top")), "tops")
+    linked_to = named.join(tops.hint("merge"), "component").select("digest", "top")
+    to = materialize(classes.select("digest", "doc_id").join(linked_to, "digest", "left").select("digest", F.coalesce("top", "doc_id").alias("top")), "to")
+    keep.close()
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id"))
+    return signed.select("doc_id", "n", "digest").join(to.hint("merge"), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))

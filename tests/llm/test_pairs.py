@@ -49,7 +49,7 @@ def variants(seed):
 def test_near_duplicates(spark, monkeypatch, size):
     from notegrid.llm import neardup
 
-    monkeypatch.setattr(neardup, "SMALL", 6)  # so that large buckets take the prefix way
+    monkeypatch.setattr(neardup, "SLICE", 6)  # so that groups are dealt in several slices
     rows = variants(size)
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n int, key string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.link(df, size).collect()}

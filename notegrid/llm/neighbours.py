@@ -4,7 +4,8 @@ Equal vectors are collapsed first (each keeps its smallest ids, as many as a res
 projects the vectors on a few random orthogonal directions, shifts them and takes the Hilbert order of the
 cells. The order of each curve is cut at quantiles of its keys into ranges of about equal size; a query is
 sent to the ranges of its own window, `share` of a curve's rows. Each range ranks its rows for its queries
-by block distances and hands on the best; the windows of all curves are merged and reranked by the exact
+(in blocks of about range_rows queries, so no task grows with the table) by block distances and hands on the
+best with all that tie with the last of them; the windows of all curves are merged and reranked by the exact
 Euclidean distance of the original vectors in double precision.
 
 Vectors spread evenly over many dimensions have no useful order: there the share must be large for a recall
@@ -12,7 +13,7 @@ of 0.9 (the README has figures). On vectors of few inner dimensions a small shar
 
 Defined results: rows whose id or vector is null, whose vector is zero, holds a null or non-finite
 component or has another than the most common size take no part; exact repeats of a row count once; ties go
-to the smaller id; other columns are ignored.
+to the smaller id; very long vectors are taken whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from notegrid.llm.common import materialize
+
 BITS, SALT_BITS = 10, 12
 
 
@@ -74,15 +77,43 @@ class Curves:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    """(vec_id, v) of the rows that take part; single precision stays, as it holds the same values in half the room."""
+    kind = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     good = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     # -0.0 and 0.0 are one value
-    good = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    good = good.withColumn("v", F.transform("v", lambda x: (x + F.lit(0.0)).cast(kind)))
     common = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return good.filter(F.size("v") == (common["n"] if common else 0)).dropDuplicates(["vec_id", "v"])
 
 
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def ranked(left: pd.DataFrame, right: pd.DataFrame, most: int) -> pd.DataFrame:
+    """The `most` nearest rows of left(vid, v) for each of right(vid, v): qid, vid, score; ties by vid."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"qid": [], "vid": [], "score": []})
+    a, b = stacked(left["v"]), stacked(right["v"])
+    ids, qids = left["vid"].to_numpy(), right["vid"].to_numpy()
+    squares, out, most = (a**2).sum(axis=1), [], min(len(a), most)
+    for s in range(0, len(b), 256):
+        q = b[s : s + 256]
+        near = squares[None, :] - 2 * q @ a.T
+        # all rows that may be as near as the last one wanted, for the rounding of the product
+        slack = 1e-12 * (squares.max() + (q**2).sum(axis=1))
+        limit = np.partition(near, most - 1, axis=1)[:, most - 1] + slack
+        row, at = np.nonzero(near <= limit[:, None])
+        exact = np.sqrt(((a[at] - q[row]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[at], exact, row))
+        row, at, exact = row[order], at[order], exact[order]
+        first = np.searchsorted(row, np.arange(len(q)))
+        keep = np.arange(len(row)) - first[row] < most
+        out.append(pd.DataFrame({"qid": qids[s : s + 256][row[keep]], "vid": ids[at[keep]], "score": exact[keep]}))
+    return pd.concat(out)
+
+
 def search(df: DataFrame, is_query, k: int = 10, curves: int = 8, dims: int = 4, share: float = 0.2, range_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 4096) -> DataFrame:
     """k nearest found for each row for which is_query holds: query_id, rank, vec_id, score.
 
@@ -92,11 +123,12 @@ def search(df: DataFrame, is_query, k: int = 10, curves: int = 8, dims: int = 4,
     first = Window.partitionBy("v").orderBy("vec_id")
     distinct = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("vid"), "ids", "v")
     asked = rows.filter(is_query)
+    kind = dict(distinct.dtypes)["v"]
     head = distinct.orderBy(F.xxhash64("vid"), "vid").limit(sample).select("v").toPandas()
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(head):
         return empty
-    curve = Curves(np.stack(head["v"].to_numpy()), curves, dims)
+    curve = Curves(stacked(head["v"]), curves, dims)
     count = distinct.count()
     ranges = max(1, min(64, count // 16), -(-count // range_rows))
     reach = int(np.ceil(share / 2 * ranges))
@@ -105,7 +137,7 @@ def search(df: DataFrame, is_query, k: int = 10, curves: int = 8, dims: int = 4,
     def keyed(batches):
         for pdf in batches:
             if len(pdf):
-                v, ids = np.stack(pdf["v"].to_numpy()), pdf["vid"].to_numpy()
+                v, ids = stacked(pdf["v"]), pdf["vid"].to_numpy()
                 for c in range(curves):
                     yield pd.DataFrame({"curve": c, "key": held.value.keys(v, ids, c)})
 
@@ -117,7 +149,7 @@ def search(df: DataFrame, is_query, k: int = 10, curves: int = 8, dims: int = 4,
             for pdf in batches:
                 if not len(pdf):
                     continue
-                v, ids = np.stack(pdf["v"].to_numpy()), pdf["vid"].to_numpy()
+                v, ids = stacked(pdf["v"]), pdf["vid"].to_numpy()
                 for c in range(curves):
                     own = np.searchsorted(ends[c], held.value.keys(v, ids, c), side="right")
                     for d in range(-spread, spread + 1):
@@ -131,28 +163,15 @@ def search(df: DataFrame, is_query, k: int = 10, curves: int = 8, dims: int = 4,
         return run
 
     asked_vectors = asked.join(distinct, "v", "left_semi").select("v").distinct().join(distinct.select("v", "vid"), "v").select("vid", "v")
-    schema = "curve int, range int, vid long, v array<double>"
+    schema = f"curve int, range int, vid long, v {kind}"
     index = distinct.select("vid", "v").mapInPandas(dealt(0), schema)
-    probes = asked_vectors.mapInPandas(dealt(min(reach, ranges - 1)), schema)
-
-    def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "vid": [], "score": []})
-        right = right.drop_duplicates("vid")
-        a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        ids, qids = left["vid"].to_numpy(), right["vid"].to_numpy()
-        squares, out = (a**2).sum(axis=1), []
-        take = min(len(a), k + 6)
-        for s in range(0, len(b), 256):
-            q = b[s : s + 256]
-            near = squares[None, :] - 2 * q @ a.T
-            best = np.argpartition(near, take - 1, axis=1)[:, :take]
-            exact = np.sqrt(((a[best] - q[:, None, :]) ** 2).sum(axis=2))
-            order = np.lexsort((ids[best], exact), axis=1)[:, : k + 1]
-            out.append(pd.DataFrame({"qid": np.repeat(qids[s : s + 256], order.shape[1]), "vid": ids[np.take_along_axis(best, order, 1)].ravel(), "score": np.take_along_axis(exact, order, 1).ravel()}))
-        return pd.concat(out)
-
-    found = index.groupBy("curve", "range").cogroup(probes.groupBy("curve", "range")).applyInPandas(lambda a, b: rank(a, b), "qid long, vid long, score double")
+    probes = materialize(asked_vectors.mapInPandas(dealt(min(reach, ranges - 1)), schema).dropDuplicates(["curve", "range", "vid"]), "probes")
+    # the queries of a range in blocks, each of which meets the range's rows
+    blocks = materialize(probes.groupBy("curve", "range").agg(F.ceil(F.count(F.lit(1)) / range_rows).alias("blocks")), "blocks")
+    probes = probes.join(blocks.hint("merge"), ["curve", "range"]).withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks"))).drop("blocks")
+    index = index.join(blocks, ["curve", "range"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+
+    found = index.groupBy("curve", "range", "block").cogroup(probes.groupBy("curve", "range", "block")).applyInPandas(lambda a, b: ranked(a, b, k + 1), "qid long, vid long, score double")
     by_score = Window.partitionBy("qid").orderBy("score", "vid")
     best = found.dropDuplicates(["qid", "vid"]).withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k + 1)
     by_id = Window.partitionBy("qid").orderBy("score", "vec_id")

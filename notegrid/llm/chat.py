@@ -6,11 +6,13 @@ assistant said (to be learned); everything else is context.
 
 A dialogue may be of any length: its turns get their rank from a range partitioning of all turns (two
 levels: rank in the range, ranks of the ranges before), and renderings come in parts of `part_turns` turns
-with the offset of each part in the whole, so no row or task holds a dialogue.
+with the offset of each part in the whole. Offsets are summed up over the parts' lengths alone, in two levels
+too, and then joined to the parts, so no row or task holds the text of a dialogue.
 
 Defined results: turns go by (turn, role, text), nulls first; a null text counts as empty, a null or blank
 role as `unknown`; rows without conv_id are one dialogue; repeated rows are turns of their own; marks inside a
-text or name are broken up; a dialogue of system turns only has no rendering; other columns are ignored.
+text or name are broken up; very long texts are rendered whole; a dialogue of system turns only has no
+rendering; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,13 +66,26 @@ def rotate(turns: DataFrame, part_turns: int = 256, system: str = "system") -> D
             F.when(t["own"], F.array_append(acc["spans"], F.struct((acc["at"] + F.length(t["head"])).alias("a"), (acc["at"] + F.length(t["head"]) + F.length(t["said"])).alias("b")))).otherwise(acc["spans"]).alias("spans"),
         ),
     )
-    done = parts.select("conv_id", "assistant", "part", F.size("turns").cast("long").alias("n_turns"), F.concat(F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["said"])), "\n"), F.lit("\n")).alias("rendered"), step.alias("s"))
-    before = Window.partitionBy("conv_id", "assistant").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = done.withColumn("start", F.coalesce(F.sum("s.at").over(before), F.lit(0)))
-    spans = F.array_join(F.transform("s.spans", lambda x: F.concat((x["a"] + F.col("start")).cast("string"), F.lit(":"), (x["b"] + F.col("start")).cast("string"))), ",")
+    whole = F.concat(F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["said"])), "\n"), F.lit("\n"))
+    done = parts.select("conv_id", "assistant", "part", F.size("turns").cast("long").alias("n_turns"), whole.alias("rendered"), step.alias("s"))
+    done = materialize(done.select("conv_id", "assistant", "part", "n_turns", "rendered", F.col("s.at").alias("size"), F.col("s.spans").alias("spans")), "parts")
+    starts = offsets(done.select("conv_id", "assistant", "part", "size"))
+    placed = done.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("assistant") == F.col("a")) & (F.col("part") == F.col("p")))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat((x["a"] + F.col("start")).cast("string"), F.lit(":"), (x["b"] + F.col("start")).cast("string"))), ",")
     return placed.select("conv_id", "assistant", "part", "start", "n_turns", "rendered", spans.alias("mask"))
 
 
+def offsets(sizes: DataFrame, block: int = 1024) -> DataFrame:
+    """Of sizes(conv_id, assistant, part, size): (c, a, p, start), the sum of the sizes before each part; by blocks of parts, then over the blocks."""
+    rows = sizes.withColumn("block", F.floor(F.col("part") / block))
+    up_to = lambda keys, order: F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = rows.groupBy("conv_id", "assistant", "block").agg(F.sum("size").alias("size"))
+    blocks = blocks.select(F.col("conv_id").alias("bc"), F.col("assistant").alias("ba"), F.col("block").alias("bb"), up_to(["conv_id", "assistant"], "block").alias("base"))
+    inner = rows.select("conv_id", "assistant", "block", "part", up_to(["conv_id", "assistant", "block"], "part").alias("inner"))
+    joined = inner.join(blocks, F.col("conv_id").eqNullSafe(F.col("bc")) & (F.col("assistant") == F.col("ba")) & (F.col("block") == F.col("bb")))
+    return joined.select(F.col("conv_id").alias("c"), F.col("assistant").alias("a"), F.col("part").alias("p"), (F.col("base") + F.col("inner")).alias("start"))
+
+
 ORACLE = """
 WITH t AS (
   SELECT conv_id, turn, CASE WHEN trim(coalesce(role, ''), ' ') = '' THEN 'unknown' ELSE replace(trim(role, ' '), '<|', '< |') END AS speaker,

@@ -5,8 +5,9 @@ bucket is encoded by the quartile its count falls in (two bits), the byte length
 byte); the digest is their hex string. Two digests are compared by a bounded score: quartile steps, the
 largest step counting double, plus the difference of lengths, cut at a bound; likeness is 1 - score / bound.
 
-Defined results: a null text counts as empty; texts under three bytes have an all-zero bucket part; equal
-texts have equal digests; null doc_ids come first in the order, ties of doc_id go by text.
+Defined results: a null text counts as empty; texts under three bytes have an all-zero bucket part; very long
+texts are taken whole; equal texts have equal digests; null doc_ids come first in the order, ties of doc_id go
+by text; repeated rows give a row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from notegrid.llm.common import map_text
 BUCKETS = 256
 #: Steps between quartiles to score; three steps count six.
 STEPS = np.array([0, 1, 2, 6], np.int64)
+#: Rows of a range of ids, about.
+RANGE_ROWS = 20_000
 #: Unlike texts of one language score about half of what unrelated bytes do; beyond the bound all are equally unlike.
 BOUND = BUCKETS * 1.6
 
@@ -93,11 +96,11 @@ EDITED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_c
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Rows (range, place, doc_id, text): every range of ids with, at place 1, the first rows of the next range.
 
-    One shuffle of the texts. The ranges' ends are approximate quantiles of the ids; only their number
-    grows with the input. Place 1 behind the last range holds the first rows of the first.
+    One shuffle of the texts; every range is a partition. The ranges' ends are approximate quantiles of the ids, for
+    about RANGE_ROWS rows a range. Place 1 behind the last range holds the first rows of the first.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ranges = ranges or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
     ends = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
     at = F.lit(0)
     if ends:
@@ -120,7 +123,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         to = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[low_id]
         lead = F.when(to.isNull(), lead).otherwise(F.array(here, F.struct(to.alias("range"), F.lit(1).alias("place"))))
     placed = rows.select(F.explode(lead).alias("to"), "doc_id", "text").select("to.range", "to.place", "doc_id", "text")
-    return placed.repartition(max(1, len(first)), "range").sortWithinPartitions("range", "place", F.col("doc_id").asc_nulls_first(), "text")
+    return placed.repartitionById(len(ends) + 1, "range").sortWithinPartitions("range", "place", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ Method. Every text is cut at single spaces into chunks whose ends are always end
 the distinct chunks that a worker hasn't seen lately are cut by the pattern into pieces. Distinct pieces
 are laid out by length class in padded matrices of ids. In each round every row merges its leftmost
 pair of minimum rank: pair ranks come from an open-addressing hash table, the row is compacted, and rows
-without a mergeable pair leave. Pieces beyond the longest class use the same rule on a heap (the matrix
-would cost the square of the length).
+without a mergeable pair leave. Documented bound: pieces beyond the longest class (256 bytes) use the same
+rule on a heap, as the matrix would cost the square of the length; the ids are the same either way.
 
-Defined results: a null text counts as empty; an empty text has 0 tokens; repeated rows give repeated
-rows; other columns are ignored; special-token strings are ordinary text.
+Defined results: a null text counts as empty; an empty text has 0 tokens; a very long text is encoded whole,
+chunk by chunk; of equal ranks the leftmost pair merges first; repeated rows give repeated rows; an empty
+table gives no rows; other columns are ignored; special-token strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from notegrid.llm.common import map_text
 
 NONE = np.int32(2**31 - 1)
 CLASSES = (4, 8, 12, 16, 24, 32, 64, 128, 256)
-#: Chunks that a worker remembers; beyond that it starts afresh.
-REMEMBER = 300_000
+#: Bytes of chunks and ids that a worker remembers, about; beyond that it starts afresh.
+REMEMBER = 160 << 20
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _coders: dict = {}
@@ -90,6 +91,7 @@ class Coder:
         self.bytes_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.token = {r: t for t, r in self.ranks.items()}
         self.seen: dict[str, tuple[int, str, bytes]] = {}
+        self.held = 0
 
     def merge_rows(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
         """Ids of pieces of at most width bytes, all rows at once."""
@@ -173,8 +175,8 @@ class Coder:
 
     def learn(self, cuts: list[list[str]]) -> None:
         """Encode the chunks that aren't remembered."""
-        if len(self.seen) > REMEMBER:
-            self.seen = {}
+        if self.held > REMEMBER:
+            self.seen, self.held = {}, 0
         new = {c for cut in cuts for c in cut if c not in self.seen}
         split = {c: self.pattern.findall(c) for c in new}
         pieces = list({p for s in split.values() for p in s})
@@ -182,6 +184,7 @@ class Coder:
         for c, s in split.items():
             got = [i for p in s for i in ids[p]]
             self.seen[c] = (len(got), ",".join(map(str, got)), self.decode(got))
+            self.held += 8 * len(c) + 400
 
     def encode(self, text: str) -> list[int]:
         cut = chunks(text)

@@ -41,9 +41,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from notegrid.llm.packing import pack
+    from notegrid.llm.packing import added_tokens, pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    # one vocabulary in two files: ranks, and the library's own with its added tokens
+    special = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

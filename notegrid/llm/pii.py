@@ -11,7 +11,9 @@ meets its kind's check (digits, Luhn, parts) and no base span.
 Every kind needs a digit or '@', so windows without either are O by definition and never reach the network.
 
 Defined results: a null text counts as empty; texts without findings have '' for spans; offsets are code
-points, ends exclusive; repeated rows give equal results; other columns are ignored.
+points, ends exclusive; very long texts are read whole, in time linear in their length but for sorting; of
+equally good sets of spans the one with the earlier ends is taken; repeated rows give equal results; an empty
+table gives no rows, and a tagger trained on made values alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -259,7 +262,7 @@ def reconcile(found: list[tuple[int, int, int, float, bool]], text: str) -> list
     best, take = [0.0], []
     ends = [e for e, *_ in spans]
     for i, (_, s, _, p) in enumerate(spans):
-        j = int(np.searchsorted(ends[:i], s, side="right"))
+        j = bisect_right(ends, s, 0, i)
         with_it = best[j] + p * (spans[i][0] - s)
         take.append((with_it > best[i], j))
         best.append(max(best[i], with_it))
@@ -365,17 +368,30 @@ def examples(texts: list[str], count: int, seed: int = 5) -> tuple[np.ndarray, n
 
 
 def fit(docs: DataFrame, sample_rows: int = 400, windows: int = 3000, steps: int = 300) -> Tagger:
-    """Train on windows of about sample_rows documents with a digit or '@' (a hash of the text decides)."""
+    """Train on windows of about sample_rows documents with a digit or '@', 4 * sample_rows distinct passages at
+    most; hashes of the text decide, so the same documents give the same tagger however they are dealt."""
     rows = docs.filter(F.col("text").rlike("[0-9@]")).select("text")
     n = rows.count()
     share = min(1 << 20, -(-(sample_rows << 20) // max(1, n)))
     # passages around the first hits keep the sample small; the training set is bounded anyway
-    picked = rows.filter(F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(1 << 20)) < share).select(F.expr("substring(text, greatest(1, regexp_instr(text, '[0-9@]') - 400), 2000)").alias("text"))
-    texts = sorted(r["text"] for r in picked.limit(4 * sample_rows).collect())
+    own = F.xxhash64("text", F.lit("pii"))
+    picked = rows.filter(F.pmod(own, F.lit(1 << 20)) < share).select(own.alias("h"), F.expr("substring(text, greatest(1, regexp_instr(text, '[0-9@]') - 400), 2000)").alias("text"))
+    texts = sorted(r["text"] for r in picked.distinct().orderBy("h", "text").limit(4 * sample_rows).collect())
     return Tagger().fit(*examples(texts, windows), steps=steps)
 
 
-FOUND = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())])
+FOUND = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()), T.StructField("n_spans", T.LongType())])
+
+
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs of overlapping spans as (start, end, kind of the first one), in order."""
+    out: list[list[int]] = []
+    for k, s, e in sorted(spans, key=lambda x: (x[1], -x[2], x[0])):
+        if out and s < out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e, k])
+    return [tuple(x) for x in out]
 
 
 def all_spans(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
@@ -383,24 +399,57 @@ def all_spans(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     out = []
     for text, got in zip(texts, tag_texts(tagger, texts), strict=True):
         base = base_spans(text)
-        out.append((base, [x for x in got if all(x[2] <= s or e <= x[1] for _, s, e in base)]))
+        taken = merged(base)
+        ends = [e for _, e, _ in taken]
+        free = []
+        for k, s, e in got:
+            i = bisect_right(ends, s)  # the first run that ends behind s
+            if i == len(taken) or e <= taken[i][0]:
+                free.append((k, s, e))
+        out.append((base, free))
     return out
 
 
+def scores_by_kind(tagger: Tagger, texts: list[str], count: int, seed: int) -> dict[str, tuple[int, int, int]]:
+    """Of made values that no base rule covers, put in passages of texts: by kind how many were there, found exactly,
+    and how many spans were added in all."""
+    rng = random.Random(seed)
+    there, found, added = ([0] * len(KINDS) for _ in range(3))
+    passages, wanted = [], []
+    for _ in range(count):
+        source = HINT.sub("", rng.choice(texts))
+        at = rng.randrange(max(1, len(source) - 2000))
+        words = source[at : at + rng.randint(50, 2000)].split(" ")
+        i = rng.randrange(len(words))
+        kind, value = made_value(rng) if rng.random() < 0.65 else (None, made_decoy(rng))
+        head = " ".join(words[:i])
+        head += " " if head else ""
+        passages.append(head + value + rng.choice([" ", ".", ", "]) + " ".join(words[i:]))
+        wanted.append((kind, len(head), len(head) + len(value)))
+    for (base, got), want in zip(all_spans(tagger, passages), wanted, strict=True):
+        for k, *_ in got:
+            added[k] += 1
+        if want[0] is not None and all(want[2] <= s or e <= want[1] for _, s, e in base):
+            there[want[0]] += 1
+            found[want[0]] += want in got
+    return {k: (there[i], found[i], added[i]) for i, k in enumerate(KINDS)}
+
+
 def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """Per row: doc_id, counts of base spans by kind, their digest, all spans as text, number of added ones."""
+    """Per row: doc_id, counts of base spans by kind, their digest, all spans as text, numbers of added and of all ones."""
     held = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(texts: list[str], part) -> dict:
         got = all_spans(held.value, texts)
         out = {f"n_{k}": [sum(x[0] == i for x in base) for base, _ in got] for i, k in enumerate(KINDS)}
-        return out | {"doc_id": part.column("doc_id"), "base_sha256": [hashlib.sha256(text_of(base).encode()).hexdigest() for base, _ in got], "spans": [text_of(base + added) for base, added in got], "n_added": [len(added) for _, added in got]}
+        return out | {"doc_id": part.column("doc_id"), "base_sha256": [hashlib.sha256(text_of(base).encode()).hexdigest() for base, _ in got], "spans": [text_of(base + added) for base, added in got], "n_added": [len(added) for _, added in got], "n_spans": [len(base) + len(added) for base, added in got]}
 
     return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, FOUND)
 
 
 def redact(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets and n_chars set anew; null texts stay null."""
+    """The documents with every run of overlapping spans replaced by the kind of its first one in brackets, and n_chars
+    set anew; null texts stay null."""
     held = docs.sparkSession.sparkContext.broadcast(tagger)
     schema = docs.schema
 
@@ -408,13 +457,11 @@ def redact(docs: DataFrame, tagger: Tagger) -> DataFrame:
         out = {c: part.column(c) for c in part.schema.names}
         new = []
         for text, (base, added), was in zip(texts, all_spans(held.value, texts), part.column("text"), strict=True):
-            end = len(text) + 1
-            for k, s, e in sorted(base + added, key=lambda x: (-x[1], -x[2])):
-                if e <= end:
-                    text, end = f"{text[:s]}[{KINDS[k].upper()}]{text[e:]}", s
-                elif s < end:  # overlaps what is replaced already: what is left of it goes too
-                    text, end = text[:s] + text[end:], s
-            new.append(text if was.is_valid else None)
+            parts, at = [], 0
+            for s, e, k in merged(base + added):
+                parts += [text[at:s], f"[{KINDS[k].upper()}]"]
+                at = e
+            new.append("".join(parts) + text[at:] if was.is_valid else None)
         out["text"] = new
         if "n_chars" in out:
             out["n_chars"] = [None if x is None else len(x) for x in new]

@@ -111,17 +111,130 @@ def test_neighbours_edges(spark):
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 100), (100, 0)]
 
 
+def test_neighbours_ties(spark):
+    import pandas as pd
+
+    from notegrid.llm.neighbours import ranked, search
+
+    # 64 distinct vectors at exactly one distance from the query
+    rows = [(0, [8.0] * 64)] + [(i, [8.0 + (j == i - 1) for j in range(64)]) for i in range(64, 0, -1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(search(df, F.col("vec_id") == 0).collect(), key=lambda r: r["rank"])
+    assert [r.vec_id for r in got] == list(range(1, 11)) and {r.score for r in got} == {1.0}
+    # blocks of queries don't change the result
+    rng = np.random.default_rng(4)
+    many = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    one, few = (sorted(map(tuple, search(many, F.col("vec_id") % 3 == 0, range_rows=r, share=1.0).collect())) for r in (8192, 16))
+    assert one == few
+    # against brute force, distances of few values
+    v = rng.integers(0, 3, (200, 4)).astype(float)
+    left = pd.DataFrame({"vid": rng.permutation(200), "v": list(v)})
+    right = pd.DataFrame({"vid": np.arange(1000, 1300), "v": list(rng.integers(0, 3, (300, 4)).astype(float))})
+    found = ranked(left, right, 7).reset_index(drop=True)
+    for i, own in found.groupby("qid"):
+        d = np.sqrt(((np.stack(left.v) - right.v[i - 1000]) ** 2).sum(axis=1))
+        want = sorted(zip(d, left.vid, strict=True))[:7]
+        assert list(zip(own.score, own.vid, strict=True)) == want
+
+
 PAGE = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="ad">Buy</div><article><h1>Head &amp; line</h1><p><b>First<br>part<p>Second  &lt;p&gt;\n text</p><aside>Side</aside><div class="share-box">Share</div></article><section id="comments-12"><article>I agree</article></section><form><p>Name</p></form><footer>&copy; x</footer></body></html>'
 
 
 def test_main_text():
     from notegrid.llm.htmltext import main_text
 
-    assert main_text(PAGE, set(), set()) == "Head & line First part Second <p> text"
-    assert main_text("", set(), set()) == "" and main_text("plain &eacute; text", set(), set()) == "plain é text"
-    assert main_text("<div><p>one</p><p><a href=x>link</a></p>two<b>bold</b></div><p class='x", set(), set()) == "one twobold"
-    assert main_text("<div class=cookie>ok</div><main><header><h1>T</h1><p>by</p></header>a < b &amp; c</main>", set(), set()) == "T a < b & c"
-    assert main_text("<script>x", set(), set()) == ""
+    assert main_text(PAGE, None, set(), set()) == "Head & line First part Second <p> text"
+    assert main_text("", None, set(), set()) == "" and main_text("plain &eacute; text", None, set(), set()) == "plain é text"
+    assert main_text("<div><p>one</p><p><a href=x>link</a></p>two<b>bold</b></div><p class='x", None, set(), set()) == "one twobold"
+    assert main_text("<div class=cookie>ok</div><main><header><h1>T</h1><p>by</p></header>a < b &amp; c</main>", None, set(), set()) == "T a < b & c"
+    assert main_text("<script>x", None, set(), set()) == ""
+
+
+def test_hostile_markup():
+    import time
+
+    from notegrid.llm.htmltext import main_text
+
+    for html in ("<a " * 330_000, "<div>" * 60_000 + "</p></span></ul>" * 30_000, '<a b="' * 150_000, "<![CDATA[" * 100_000, "<a " * 330_000 + 'b=">"', "<a b='x " * 100_000, "<" * 1_000_000):
+        start = time.time()
+        main_text(html, None, set(), set())
+        assert time.time() - start < 3
+    assert main_text("<p title='a>b'>x</p><p a=b'c>y</p><![CDATA[z]]><!-- > -->w", None, set(), set()) == "x y w"
+
+
+def plain_page(i, extra=""):
+    """No article, no telling names or tags; menus, adverts and footers differ from page to page."""
+    menu = "".join(f"<a href=/{i}{k}>go {i * 7 + k}</a> " for k in range(5))
+    body = "".join(f"<p>Paragraph {k} of story {i} says {i * k} things.</p>" for k in range(6))
+    return f"<html><body><div class=xa>{menu}</div><div class=xb>Buy thing {i}</div><div class=xc><h1>Story {i}</h1><div class=xd>{body}</div><div class=xe>Sent to all readers</div>{extra}</div><div class=xf>Imprint {i % 3}</div></body></html>"
+
+
+def plain_text(i):
+    return f"Story {i} " + " ".join(f"Paragraph {k} of story {i} says {i * k} things." for k in range(6))
+
+
+def test_pages_by_template(spark):
+    from notegrid.llm.htmltext import extract, main_text
+
+    rows = [(i, f"http://d.example/{i}", plain_page(i)) for i in range(9)]
+    rows += [(20, "http://d.example/odd", "<article><p>Another layout</p></article>"), (30, "http://e.example/1", plain_page(1))]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == plain_text(i) for i in range(9))  # slots decide, and the boxed note is template text
+    assert got[20] == "Another layout"
+    assert got[30] == main_text(plain_page(1), None, set(), set()) != plain_text(1)  # a lone page has no template
+    # an article whose class holds a word of the list is the main slot all the same
+    rows = [(i, f"http://f.example/{i}", f"<nav>{i}</nav><article class='post tags-travel'><h1>T{i}</h1><p>{'long text ' * 9}{i}</p></article><div class=comments>{'I agree ' * 5}{i}</div>") for i in range(8)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i} {'long text ' * 9}{i}" for i in range(8))
+    # pages that are near copies of one another keep what they share
+    rows = [(i, f"http://g.example/{i}", f"<div class=a>top</div><article><p>{'Shared passage. ' * 20}</p><p>day {i}</p></article>") for i in range(8)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{('Shared passage. ' * 20).strip()} day {i}" for i in range(8))
+
+
+def test_classes_equal_brute_force(spark):
+    from collections import Counter, defaultdict
+
+    from notegrid.llm.htmltext import LEAST_PAGES, SUPPORT, classes, page_tokens
+    from notegrid.storage import Workspace
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(40):
+        parts = [f"<div class=c{'abc'[k]}>{rng.choice(['same', 'other', str(i)])}</div>" * rng.randint(0, 2) for k in range(3)]
+        rng.shuffle(parts)
+        rows.append((i, f"http://h{i % 3}.example/{i}", "<body><div class=top>always</div>" + "".join(parts) + f"<p>{i // 2}</p></body>"))
+    pages = {}  # (host, page digest) -> tokens of the copy with the least digest
+    from notegrid.llm.htmltext import digest
+
+    for _, url, html in rows:
+        page, tokens = page_tokens(html)
+        key = url.split("/")[2], page
+        if key not in pages or digest(html) < pages[key][0]:
+            pages[key] = digest(html), tokens
+    vectors = defaultdict(dict)
+    for (host, page), (_, tokens) in pages.items():
+        for row in tokens:
+            vectors[host, row[0]][page] = row[4]
+    sizes = Counter(h for h, _ in pages)
+    want = {k: v for k, v in vectors.items() if sizes[k[0]] >= LEAST_PAGES and len(v) >= sizes[k[0]] * SUPPORT}
+    keep = Workspace(spark, "test")
+    got = {(r.host, r.token): r for r in classes(spark.createDataFrame(rows, "page_id long, url string, html string"), keep)[0].collect()}
+    assert set(got) == set(want) and all(got[k].support == len(v) for k, v in want.items())
+    places = defaultdict(set)
+    for (host, page), (_, tokens) in pages.items():
+        own = defaultdict(list)
+        for row in sorted(tokens, key=lambda r: (r[5], r[0])):
+            if (host, row[0]) in want:
+                own[frozenset(want[host, row[0]].items())].append(row[0])
+        for members in own.values():
+            for n, token in enumerate(members):
+                places[host, token].add(n)
+    for k, v in want.items():
+        same = {x for x in want if x[0] == k[0] and want[x] == v}
+        assert {x for x in got if x[0] == k[0] and got[x].vector == got[k].vector} == same
+        assert got[k].steady == (len(places[k]) == 1)
+    keep.close()
 
 
 def test_pages(spark):

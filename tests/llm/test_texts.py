@@ -116,20 +116,36 @@ def test_first_fit_decreasing(lengths):
     assert [(int(b), int(o)) for b, o in zip(bins, offsets, strict=True)] == [want[i] for i in range(len(lengths))]
 
 
-def test_packing(spark):
+@pytest.fixture(scope="module")
+def named():
+    from tokenizers import Tokenizer
+
+    from notegrid.llm.packing import added_tokens, encoder
+
+    special = added_tokens(P.path("byte_bpe_50k.json"))
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json")), encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, special), special
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet=st.characters(codec="utf-8"), max_size=12), st.sampled_from(["<|endoftext|>", "<|endoftext", " ", "  ", "\n", "|>", "a's"])), max_size=8))
+def test_packing_ids(named, parts):
+    library, own, special = named
+    assert special == {"<|endoftext|>": 50256}
+    text = "".join(parts)
+    assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_packing(spark, named):
     import zlib
 
     from notegrid.llm.packing import pack
 
     library = tiktoken_of("byte_bpe_50k.tiktoken")
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    rows = pack(docs_of(spark, ODD, True), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, group_pieces=4).toPandas()
+    t, _, special = named
+    rows = pack(docs_of(spark, ODD, True), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, special, group_pieces=4).toPandas()
     for i, text in enumerate(ODD):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
-        assert ids[:-1] == library.encode_ordinary(text or "")
+        assert (ids[:-1] == library.encode_ordinary(text or "")) == ("<|endoftext|>" not in (text or ""))
         own = rows[rows.doc_id == i].sort_values("start")
         assert own.start.tolist() == np.cumsum([0, *own.length[:-1]]).tolist() and own.length.sum() == len(ids) == own.doc_tokens.iloc[0]
         for s, n, c in zip(own.start, own.length, own.ids_crc32, strict=True):

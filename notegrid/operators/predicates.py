@@ -15,12 +15,15 @@ def surface_policy(memories: DataFrame, mode: str) -> DataFrame:
 
 
 def domain_prefilter(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries(query_id, domains): rows of any asked domain, or all rows where a query's domains match nothing."""
+    """queries(query_id, domains): (query_id, id) of the rows of any asked domain.
+
+    A query whose domains match nothing (or that asks for none) may use all rows; it has one row, with id null.
+    """
     wanted = queries.select("query_id", F.explode("domains").alias("d")).select("query_id", F.lower("d").alias("d")).distinct()
     rows = memories.select("id", F.explode("domain").alias("d")).select("id", F.lower("d").alias("d"))
-    hits = rows.join(F.broadcast(wanted), "d").select("query_id", "id").distinct()
-    without = queries.select("query_id").join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    return hits.unionByName(F.broadcast(without).crossJoin(memories.select("id")))
+    hits = rows.join(wanted, "d").select("query_id", "id").distinct()
+    without = queries.select("query_id").join(rows.select("d").distinct().join(wanted, "d").select("query_id"), "query_id", "left_anti")
+    return hits.unionByName(without.select("query_id", F.lit(None).cast("string").alias("id")))
 
 
 def tags_all(memories: DataFrame, tags: list[str]) -> DataFrame:
@@ -33,10 +36,11 @@ def exact_ids(memories: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def literal_matches(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs where the lower-cased query stands in name, tags, domain or content; queries are a small stated set."""
+    """Pairs where the lower-cased query stands in name, tags, domain or content; queries are a stated set, which Spark
+    broadcasts where it is small enough and else meets in blocks."""
     text = F.lower(F.concat_ws(" ", "name", F.concat_ws(" ", "tags"), F.concat_ws(" ", "domain"), "content"))
     asked = queries.select("query_id", F.lower(F.trim("query")).alias("q")).filter("q <> ''")
-    return memories.select("id", text.alias("t")).join(F.broadcast(asked), F.contains(F.col("t"), F.col("q"))).select("query_id", "id")
+    return memories.select("id", text.alias("t")).join(asked, F.contains(F.col("t"), F.col("q"))).select("query_id", "id")
 
 
 def startup_memories(memories: DataFrame, allow_digested: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegrid.functions import scores
+from notegrid.storage import materialize
 
 # fixed values of the fusion: weights of topic, emotion, time, importance, touch, semantic, BM25
 W_TOPIC, W_EMOTION, W_TIME, W_IMPORTANCE, W_TOUCH, W_SEMANTIC, W_BM25 = 4.0, 2.0, 1.5, 1.0, 1.0, 2.5, 1.5
@@ -23,23 +24,30 @@ def index_text() -> Column:
     return F.concat_ws(" ", "name", F.substring("content", 1, 1200), F.concat_ws(" ", "tags"), F.concat_ws(" ", "domain"))
 
 
+def postings(memories: DataFrame) -> DataFrame:
+    """(id, dl, token, tf, first) of the indexed texts, written once; `first` marks one row of each text."""
+    docs = memories.select("id", tokens(index_text()).alias("t")).filter(F.size("t") > 0)
+    each = docs.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "token"))
+    return materialize(each.groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"), (F.min("pos") == 0).alias("first")), "postings")
+
+
 def bm25(memories: DataFrame, queries: DataFrame) -> DataFrame:
     """queries(query_id, query): (query_id, id, bm25), the best row of each query at 1, scores above 0 only.
 
-    Postings and document frequencies are aggregated once; frequent terms meet the query terms in one join,
-    and only terms that a query holds are kept.
+    The corpus is cut into tokens once; document frequencies, the floor and the statistics come from the written
+    postings, and only postings of terms that a query holds are joined.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    docs = memories.select("id", tokens(index_text()).alias("t")).filter(F.size("t") > 0)
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    post = docs.select("id", F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    post = postings(memories)
+    stats = post.filter("first").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
     often = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = often.join(F.broadcast(stats)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    idf = materialize(often.join(F.broadcast(stats)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "idf")
     floor = idf.agg((F.avg("idf") * EPSILON).alias("floor"))  # one row
     weight = idf.join(F.broadcast(floor)).select("token", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    hit = asked.join(weight, "token").join(post, "token")
+    terms = materialize(asked.join(weight, "token"), "terms")
+    hit = terms.join(post.select("id", "dl", "token", "tf"), "token")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    raw = hit.groupBy("query_id", "id").agg(F.sum(part).alias("raw"))
+    raw = materialize(hit.groupBy("query_id", "id").agg(F.sum(part).alias("raw")), "raw")
     top = raw.groupBy("query_id").agg(F.max("raw").alias("top"))
     return raw.join(top, "query_id").filter((F.col("top") > 0) & (F.col("raw") > 0)).select("query_id", "id", (F.col("raw") / F.col("top")).alias("bm25"))
 
@@ -108,21 +116,65 @@ def partial_ratios(pairs: list[tuple[str, str]], most: int = 1 << 14) -> np.ndar
     return out
 
 
-def topic_scores(pairs: DataFrame, content_weight: float = 1.0) -> DataFrame:
-    """pairs(query_id, query, id, name, domain, tags, content): weighted fuzzy match of name, domain, tags and body, 0 to 1."""
+#: Weights of name, domain and tags in the topic score.
+FIELDS = (("name", 3.0), ("domain", 2.5), ("tags", 2.0))
+HELD = sum(w for _, w in FIELDS)
+
+
+def _matched(rows: DataFrame, columns: list[str], score, name: str) -> DataFrame:
+    """rows without the columns, with a score of them: score(query, values..., best) -> float; rows go by in batches."""
+    kept = [c for c in rows.columns if c not in columns]
+    schema = rows.select(*kept).schema.add(name, "double")
 
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 2048):
-                rows = pdf.iloc[at : at + 2048]
-                texts = [(q, n or "", list(d) if d is not None else [], list(t) if t is not None else [], (c or "")[:1000]) for q, n, d, t, c in zip(rows["query"], rows["name"], rows["domain"], rows["tags"], rows["content"], strict=True)]
-                need = list({(q or "", x or "") for q, n, d, t, c in texts for x in (n, *d, *t, c)})
+                part = pdf.iloc[at : at + 2048]
+                texts = [[q or "", *[[x or "" for x in v] if isinstance(v, (list, np.ndarray)) else [v or ""] for v in vs]] for q, *vs in zip(*[part[c] for c in columns], strict=True)]
+                need = list({(q, x) for q, *vs in texts for v in vs for x in v})
                 ratio = dict(zip(need, partial_ratios(need), strict=True))
-                best = lambda q, xs: max((ratio[q or "", x or ""] for x in xs), default=0.0)
-                got = [(3.0 * best(q, [n]) + 2.5 * best(q, d) + 2.0 * best(q, t) + content_weight * best(q, [c])) / (100 * (3.0 + 2.5 + 2.0 + content_weight)) for q, n, d, t, c in texts]
-                yield pd.DataFrame({"query_id": rows["query_id"], "id": rows["id"], "topic": got})
+                best = lambda q, v: max((ratio[q, x] for x in v), default=0.0)
+                yield part[kept].assign(**{name: [score([best(q, v) for v in vs]) for q, *vs in texts]})
+
+    return rows.select(*kept, *columns).mapInPandas(run, schema)
+
+
+def field_scores(pairs: DataFrame) -> DataFrame:
+    """pairs(query, name, domain, tags, ...): the other columns with `fields`, the weighted match of the three, 0 to HELD."""
+    lists = pairs.withColumns({c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("domain", "tags")})
+    return _matched(lists, ["query", *[c for c, _ in FIELDS]], lambda best: sum(w * x for (_, w), x in zip(FIELDS, best, strict=True)) / 100, "fields")
+
+
+def content_scores(pairs: DataFrame) -> DataFrame:
+    """pairs(query, content, ...): the other columns with `body`, the match of the first 1,000 characters, 0 to 1."""
+    return _matched(pairs.withColumn("content", F.substring("content", 1, 1000)), ["query", "content"], lambda best: best[0] / 100, "body")
+
+
+def topic(content_weight: float = 1.0) -> Column:
+    return (F.col("fields") + content_weight * F.col("body")) / (HELD + content_weight)
 
-    return pairs.select("query_id", "query", "id", "name", "domain", "tags", F.substring("content", 1, 1000).alias("content")).mapInPandas(run, "query_id long, id string, topic double")
+
+def topic_scores(pairs: DataFrame, content_weight: float = 1.0) -> DataFrame:
+    """pairs(query_id, query, id, name, domain, tags, content): weighted fuzzy match of name, domain, tags and body, 0 to 1."""
+    rows = field_scores(pairs.select("query_id", "id", "query", "name", "domain", "tags", F.col("query").alias("q"), "content"))
+    return content_scores(rows.withColumnRenamed("q", "query")).select("query_id", "id", topic(content_weight).alias("topic"))
+
+
+def raw_score(at: Column, topic: Column, valence: Column | None = None, arousal: Column | None = None) -> Column:
+    """The fused score before penalties, 0 to 100, of rows with semantic (null: none), bm25 (null: 0), literal and any_bm25."""
+    emotion = scores.emotion_score(valence, arousal) if valence is not None else F.lit(0.5)
+    return fused_from(topic, emotion * W_EMOTION + scores.time_score(at) * W_TIME + scores.importance_score() * W_IMPORTANCE + scores.touch_score() * W_TOUCH)
+
+
+def fused_from(topic: Column, base: Column) -> Column:
+    """raw_score from the topic and the weighted sum of emotion, time, importance and touch."""
+    total = topic * W_TOPIC + base + F.coalesce(F.col("semantic") * W_SEMANTIC, F.lit(0.0)) + F.when(F.col("any_bm25"), F.coalesce("bm25", F.lit(0.0)) * W_BM25).otherwise(0.0)
+    weights = W_TOPIC + W_EMOTION + W_TIME + W_IMPORTANCE + W_TOUCH + F.when(F.col("semantic").isNotNull(), W_SEMANTIC).otherwise(0.0) + F.when(F.col("any_bm25"), W_BM25).otherwise(0.0)
+    return F.least(F.lit(100.0), total / weights * 100 + F.when(F.col("literal"), LITERAL_BONUS).otherwise(0.0))
+
+
+def semantic_hit() -> Column:
+    return F.coalesce(F.col("semantic") >= SEMANTIC_THRESHOLD, F.lit(False))
 
 
 def fused(candidates: DataFrame, at: Column, valence: Column | None = None, arousal: Column | None = None) -> DataFrame:
@@ -132,38 +184,51 @@ def fused(candidates: DataFrame, at: Column, valence: Column | None = None, arou
     Rows that pass a threshold before penalties, with score and vector_match.
     """
     any_bm25 = F.col("any_bm25") if "any_bm25" in candidates.columns else F.max(F.coalesce("bm25", F.lit(0.0))).over(Window.partitionBy("query_id")) > 0
-    emotion = scores.emotion_score(valence, arousal) if valence is not None else F.lit(0.5)
-    total = F.col("topic") * W_TOPIC + emotion * W_EMOTION + scores.time_score(at) * W_TIME + scores.importance_score() * W_IMPORTANCE + scores.touch_score() * W_TOUCH + F.coalesce(F.col("semantic") * W_SEMANTIC, F.lit(0.0)) + F.when(F.col("any_bm25"), F.coalesce("bm25", F.lit(0.0)) * W_BM25).otherwise(0.0)
-    weights = W_TOPIC + W_EMOTION + W_TIME + W_IMPORTANCE + W_TOUCH + F.when(F.col("semantic").isNotNull(), W_SEMANTIC).otherwise(0.0) + F.when(F.col("any_bm25"), W_BM25).otherwise(0.0)
-    raw = F.least(F.lit(100.0), total / weights * 100 + F.when(F.col("literal"), LITERAL_BONUS).otherwise(0.0))
-    rows = candidates.withColumn("any_bm25", any_bm25).withColumn("raw", raw)
+    rows = candidates.withColumn("any_bm25", any_bm25).withColumn("raw", raw_score(at, F.col("topic"), valence, arousal))
     text_match = (F.col("raw") >= TEXT_THRESHOLD) | F.col("literal")
-    semantic_match = F.coalesce(F.col("semantic") >= SEMANTIC_THRESHOLD, F.lit(False))
     penalty = F.when(F.col("resolved"), RESOLVED_FACTOR).otherwise(1.0) * F.when(F.col("superseded_by").isNotNull(), SUPERSEDED_FACTOR).otherwise(1.0)
-    return rows.filter(text_match | semantic_match).select("query_id", "id", F.round(F.col("raw") * penalty, 2).alias("score"), (semantic_match & ~text_match).alias("vector_match"))
+    return rows.filter(text_match | semantic_hit()).select("query_id", "id", F.round(F.col("raw") * penalty, 2).alias("score"), (semantic_hit() & ~text_match).alias("vector_match"))
+
+
+LIGHT = ("resolved", "superseded_by", "last_active", "created", "importance", "activation_count", "valence", "arousal")
 
 
 def search(memories: DataFrame, queries: DataFrame, semantic: DataFrame, at: Column, k: int = 10, fuzzy: int | None = None) -> DataFrame:
-    """The k best rows of each query; semantic(query_id, id, semantic).
+    """The k best rows of each query; queries(query_id, query, and as they are wanted domains, q_valence, q_arousal), semantic(query_id, id, semantic).
 
-    Every memory is scored for every query, as a row can pass the text threshold by any of its texts. With
-    `fuzzy`, only rows with a literal hit, a vector score or a BM25 rank up to it are; their scores are the same.
+    Every memory of the asked domains (all, if none of a query's is known) is scored for every query, as a row can
+    pass the text threshold by any of its texts. The long comparison with the content is left out only where the row
+    couldn't pass even with a whole match, so the result is exact. With `fuzzy`, only rows with a literal hit, a
+    vector score or a BM25 rank up to it are scored; their scores are the same.
     """
-    from notegrid.operators.predicates import exact_ids, literal_matches
+    from notegrid.operators.predicates import domain_prefilter, exact_ids, literal_matches
 
     exact = exact_ids(memories, queries).select("query_id", "id", F.lit(100.0).alias("score"), F.lit(False).alias("vector_match"))
     rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
-    lexical = bm25(memories, rest)
-    literal = literal_matches(memories, rest).distinct().withColumn("literal", F.lit(True))
+    felt = "q_valence" in queries.columns
+    lexical = materialize(bm25(memories, rest), "lexical")
+    literal = materialize(literal_matches(memories, rest).distinct().withColumn("literal", F.lit(True)), "literal")
     close = semantic.join(rest.select("query_id"), "query_id", "left_semi")
-    pairs = memories.join(F.broadcast(rest))
+    if "domains" in queries.columns:
+        wanted = materialize(domain_prefilter(memories, rest), "domains")
+        open_to_all = rest.join(wanted.filter("id IS NULL").select("query_id"), "query_id", "left_semi")
+        own = wanted.filter("id IS NOT NULL")
+        pairs = memories.join(own, "id").join(rest, "query_id").unionByName(memories.join(open_to_all))
+    else:
+        pairs = memories.join(rest)
     if fuzzy is not None:
         ranked = lexical.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id"))).filter(F.col("r") <= fuzzy)
-        wanted = ranked.select("query_id", "id").unionByName(literal.select("query_id", "id")).unionByName(close.select("query_id", "id")).distinct()
-        pairs = wanted.join(memories, "id").join(F.broadcast(rest), "query_id")
+        few = ranked.select("query_id", "id").unionByName(literal.select("query_id", "id")).unionByName(close.select("query_id", "id")).distinct()
+        pairs = pairs.join(few, ["query_id", "id"], "left_semi")
+    emotion = scores.emotion_score(F.col("q_valence"), F.col("q_arousal")) if felt else F.lit(0.5)
+    base = emotion * W_EMOTION + scores.time_score(at) * W_TIME + scores.importance_score() * W_IMPORTANCE + scores.touch_score() * W_TOUCH
     held = lexical.select("query_id").distinct().withColumn("any_bm25", F.lit(True))  # a row a query
-    parts = topic_scores(pairs).join(lexical, ["query_id", "id"], "left").join(literal, ["query_id", "id"], "left").join(close, ["query_id", "id"], "left").join(held, "query_id", "left")
-    light = memories.select("id", "resolved", "superseded_by", "last_active", "created", "importance", "activation_count", "valence", "arousal")
-    rows = parts.join(light, "id").withColumn("literal", F.coalesce("literal", F.lit(False))).withColumn("any_bm25", F.coalesce("any_bm25", F.lit(False)))
-    best = fused(rows, at).unionByName(exact)
+    fields = field_scores(pairs.select("query_id", "id", base.alias("base"), "query", "name", "domain", "tags"))
+    parts = fields.join(lexical, ["query_id", "id"], "left").join(literal, ["query_id", "id"], "left").join(close, ["query_id", "id"], "left").join(held, "query_id", "left")
+    parts = parts.withColumn("literal", F.coalesce("literal", F.lit(False))).withColumn("any_bm25", F.coalesce("any_bm25", F.lit(False)))
+    most = fused_from((F.col("fields") + 1.0) / (HELD + 1.0), F.col("base"))
+    able = materialize(parts.filter((most >= TEXT_THRESHOLD - 1e-6) | F.col("literal") | semantic_hit()).drop("base"), "able")
+    texts = able.join(memories.select("id", "content", *LIGHT), "id").join(rest.select("query_id", "query", *(["q_valence", "q_arousal"] if felt else [])), "query_id")
+    rows = content_scores(texts).withColumn("topic", topic())
+    best = (fused(rows, at, F.col("q_valence"), F.col("q_arousal")) if felt else fused(rows, at)).unionByName(exact)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")).filter(F.col("rank") <= k)

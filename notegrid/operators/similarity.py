@@ -52,8 +52,31 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, rows: int = 4096
     return ranked.filter(F.col("rank") <= k).select("query_id", "id", "rank")
 
 
-def similarity_edges(vectors: DataFrame, threshold: float, rows: int = 2048) -> DataFrame:
-    """Pairs with cosine above the threshold, from pairs of blocks; the reference operator asks for all of them."""
+def vector_scores(queries: DataFrame, vectors: DataFrame, least: float, rows: int = 4096, query_rows: int = 1024) -> DataFrame:
+    """queries(query_id, vec_id, embedding): (query_id, id, semantic) of cosines of at least `least`, from pairs of blocks."""
+    blocks, n = _blocks(vectors.select("id", "vec_id", "embedding"), rows)
+    asked, m = _blocks(queries.select("query_id", "vec_id", "embedding"), query_rows)
+    left = blocks.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = asked.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding"), F.col("block").alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "id": [], "semantic": []})
+        sim = _unit(b["embedding"]) @ _unit(a["embedding"]).T
+        i, j = np.nonzero(sim >= least)
+        return pd.DataFrame({"query_id": b["query_id"].to_numpy()[i], "id": a["id"].to_numpy()[j], "semantic": sim[i, j]})
+
+    return left.groupBy("q", "block").cogroup(right.groupBy("q", "block")).applyInPandas(near, "query_id long, id string, semantic double")
+
+
+def best_pair(vectors: DataFrame, least: float, rows: int = 2048) -> DataFrame:
+    """The most similar pair (a, b, weight) above `least`, ties by a and b; every pair of blocks hands on its best alone."""
+    return similarity_edges(vectors, least, rows, best=True).orderBy(F.desc("weight"), "a", "b").limit(1)
+
+
+def similarity_edges(vectors: DataFrame, threshold: float, rows: int = 2048, best: bool = False) -> DataFrame:
+    """Pairs with cosine above the threshold, from pairs of blocks: all of them, or with `best` those of the highest
+    (rounded) weight of each pair of blocks. Every row meets every row, so the work grows with the square of the table."""
     blocks, n = _blocks(vectors.select("id", "vec_id", "embedding"), rows)
     left = blocks.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(n - 1))))
     right = blocks.select(*[F.col(c).alias(c) for c in ("id", "vec_id", "embedding")], F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"))
@@ -65,6 +88,9 @@ def similarity_edges(vectors: DataFrame, threshold: float, rows: int = 2048) ->
         x, y = a["vec_id"].to_numpy()[:, None], b["vec_id"].to_numpy()[None, :]
         same = a["block"].iloc[0] == a["other"].iloc[0]
         i, j = np.nonzero((sim > threshold) & ((x < y) if same else (x != y)))
+        if best and len(i):
+            top = np.round(sim[i, j], 3)
+            i, j = i[top == top.max()], j[top == top.max()]
         first = x[i, 0] < y[0, j]
         ia, jb = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
         return pd.DataFrame({"a": np.where(first, ia, jb), "b": np.where(first, jb, ia), "weight": sim[i, j]})

@@ -152,3 +152,15 @@ def receipt_audit(receipts: DataFrame, required: list[str]) -> DataFrame:
 def marked_texts(items: DataFrame, markers: dict[str, str]) -> DataFrame:
     """items(id, text): codes of the markers (regular expressions) that stand in the text."""
     return items.select("id", codes(*[(F.rlike("text", F.lit(p)), c) for c, p in markers.items()]))
+
+
+def index_drift(memories: DataFrame, vectors: DataFrame, pending: DataFrame, at: Column) -> DataFrame:
+    """(part, name, type, value): memories without a vector that aren't pending, orphan vectors, counts by type, and the listing of all rows with their score."""
+    text = lambda c: F.lit(c).cast("string")
+    none = F.lit(None).cast("double")
+    missing = memories.select("id").join(vectors.select("id"), "id", "left_anti").join(pending.select("id"), "id", "left_anti")
+    orphan = vectors.select("id").join(memories.select("id"), "id", "left_anti")
+    parts = [df.select(text(name).alias("part"), F.col("id").alias("name"), text(None).alias("type"), none.alias("value")) for name, df in (("missing", missing), ("orphan", orphan))]
+    parts.append(memories.groupBy("type").agg(F.count(F.lit(1)).cast("double").alias("value")).select(text("type").alias("part"), F.col("type").alias("name"), "type", "value"))
+    parts.append(memories.select(text("row").alias("part"), F.col("id").alias("name"), "type", scores.decay_score(at).alias("value")))
+    return reduce(DataFrame.unionByName, parts)

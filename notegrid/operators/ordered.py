@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notegrid.operators.similarity import cosine
+from notegrid.storage import materialize
+
 
 def budget_prefix(ranked: DataFrame, group: str, budget: int) -> DataFrame:
     """ranked(group, rank, id, tokens): rows up to the first that doesn't fit."""
@@ -58,6 +61,20 @@ def admit(requests: DataFrame, held: int, cap: int, soft: int) -> DataFrame:
     return out.select("seq", "id", F.col("n").isNotNull().alias("admitted"), (F.coalesce("n", F.lit(cap + 1)) > soft).alias("warned"))
 
 
+def running_max(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """rows with `before`, the highest value of the group's earlier rows (null for the first).
+
+    Within the ranges of one range partitioning, then over the ranges, so a group may be of any size.
+    """
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = materialize(rows.repartitionByRange(parts, group, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = lambda keys, by: F.max(value).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    inner = dealt.withColumn("_inner", earlier([group, "_range"], order))
+    tops = dealt.groupBy(group, "_range").agg(F.max(value).alias(value))
+    tops = tops.select(group, "_range", earlier([group], "_range").alias("_outer"))
+    return inner.join(tops, [group, "_range"]).withColumn("before", F.greatest("_inner", "_outer")).drop("_inner", "_outer", "_range")
+
+
 def chunk_turns(turns: DataFrame, target: int) -> DataFrame:
     """turns(conv_id, turn, tokens): number of the chunk of each turn.
 
@@ -104,22 +121,28 @@ def pending_days(sources: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def diverse_pick(candidates: DataFrame, group: str, most: int = 3, most_low: int = 2, cap: int = 24) -> DataFrame:
-    """candidates(group, rank, id, theme, valence), at most `cap` a group: in order, skipping a theme that is
-    there already and a third row of low valence."""
-    lists = candidates.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "theme", "valence"))).alias("rows"))
+    """candidates(group, rank, id, words, embedding or null, valence), at most `cap` a group: in order, skipping a row of
+    the theme of one that is kept, and a third row of low valence.
+
+    Of one theme are rows whose vectors have a cosine of 0.8, or that share two words and 0.6 of the smaller list.
+    """
+    fields = F.struct("rank", "id", "words", F.col("embedding").cast("array<double>").alias("embedding"), "valence")
+    lists = candidates.groupBy(group).agg(F.array_sort(F.collect_list(fields)).alias("rows"))
     checked = F.when(F.size("rows") > cap, F.raise_error(F.lit("cap the candidates of a group first"))).otherwise(F.col("rows"))
 
+    def alike(x, r):
+        shared = F.size(F.array_intersect(x["words"], r["words"]))
+        smaller = F.least(F.size(x["words"]), F.size(r["words"]))
+        near = x["embedding"].isNotNull() & r["embedding"].isNotNull() & (cosine(x["embedding"], r["embedding"]) >= 0.8)
+        return F.coalesce(near, F.lit(False)) | ((shared >= 2) & (shared >= 0.6 * smaller))
+
     def step(acc, r):
         low = (r["valence"] < 0.4).cast("int")
-        take = (F.size(acc["kept"]) < most) & ~F.array_contains(acc["themes"], r["theme"]) & (acc["low"] + low <= most_low)
-        return F.struct(
-            F.when(take, F.array_append(acc["kept"], r["id"])).otherwise(acc["kept"]).alias("kept"),
-            F.when(take, F.array_append(acc["themes"], r["theme"])).otherwise(acc["themes"]).alias("themes"),
-            F.when(take, acc["low"] + low).otherwise(acc["low"]).alias("low"),
-        )
-
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("themes"), F.lit(0).alias("low"))
-    return lists.select(group, F.aggregate(checked, start, step).alias("f")).select(group, F.posexplode("f.kept").alias("pos", "id"))
+        take = (F.size(acc["kept"]) < most) & ~F.exists(acc["kept"], lambda x: alike(x, r)) & (acc["low"] + low <= most_low)
+        return F.struct(F.when(take, F.array_append(acc["kept"], r)).otherwise(acc["kept"]).alias("kept"), F.when(take, acc["low"] + low).otherwise(acc["low"]).alias("low"))
+
+    start = F.struct(F.slice(F.col("rows"), 1, 0).alias("kept"), F.lit(0).alias("low"))
+    return lists.select(group, F.aggregate(checked, start, step).alias("f")).select(group, F.posexplode("f.kept").alias("pos", "r")).select(group, "pos", F.col("r.id").alias("id"))
 
 
 def with_fallback(first: DataFrame, second: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:

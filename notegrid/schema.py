@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append-only events of the memories, one per row of events."""
+def ledger(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Append-only events of the memories, one per row of events (those of the table, or a stream of them)."""
     n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))  # one row
     kinds = {"signup": "TraceCreated", "click": "TraceUpdated", "view": "TraceTouched", "purchase": "TraceArchived", "error": "TraceDeletedToArchive"}
     kind = F.lit("Other")
@@ -26,7 +26,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = F.when(F.col("event_type") == k, v).otherwise(kind)
     trace = F.concat(F.lit("m"), (F.col("event_id") % F.col("n")).cast("string"))
     return (
-        table(spark, sf_dir, "events")
+        (table(spark, sf_dir, "events") if events is None else events)
         .join(F.broadcast(n))
         .select((F.col("event_id") + 1).alias("seq"), trace.alias("trace_id"), kind.alias("event_type"), F.lit("dynamic").alias("trace_kind"), F.col("props").alias("payload"), F.col("ts").cast("timestamp_ntz").alias("recorded_at"), F.concat(F.lit("sha256:"), F.sha2(trace, 256)).alias("body_hash"), "user_id", "value")
     )

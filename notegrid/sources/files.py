@@ -192,3 +192,59 @@ def eval_cases(raw: DataFrame) -> DataFrame:
     ids = F.filter(F.transform(F.coalesce(F.from_json("expected", "array<string>"), F.split("expected", ",")), lambda x: F.trim(x)), lambda x: x != "")
     bad = (F.trim(F.coalesce("query", F.lit(""))) == "") | (F.size(ids) == 0)
     return raw.select("pos", F.when(bad, F.raise_error(F.concat(F.lit("unusable case "), F.col("pos").cast("string")))).otherwise(F.trim("query")).alias("query"), ids.alias("expected"))
+
+
+def row_digests(rows: DataFrame) -> DataFrame:
+    """rows(index, ...) as (index, h), h the digest of the columns in order."""
+    return rows.select("index", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in rows.columns]), 256).alias("h"))
+
+
+def tree_checksum(digests: DataFrame, fan: int = 1000, levels: int = 3) -> DataFrame:
+    """One row `checksum` of digests(index, h): digests of `fan` neighbouring indexes are joined in order and hashed, level by level.
+
+    No row holds more than fan digests (of fan^levels indexes); nothing is ordered as a whole.
+    """
+    out = digests
+    for level in range(levels):
+        group = F.lit(0).cast("long") if level == levels - 1 else F.floor(F.col("index") / fan)
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "h"))), lambda x: x["h"]), "")
+        out = out.groupBy(group.alias("g")).agg(F.sha2(joined, 256).alias("h")).select(F.col("g").alias("index"), "h")
+    return out.select(F.col("h").alias("checksum"))
+
+
+def snapshot_header(rows: DataFrame) -> DataFrame:
+    """rows(index, event_type, ...): last_index, last_type, n, contiguous and checksum of a snapshot, in one row."""
+    facts = rows.agg(F.max("index").alias("last_index"), F.max_by("event_type", "index").alias("last_type"), F.count(F.lit(1)).alias("n"), (F.max("index") - F.min("index") + 1 == F.countDistinct("index")).alias("contiguous"))
+    return facts.join(F.broadcast(tree_checksum(row_digests(rows))))
+
+
+def snapshot_problems(rows: DataFrame, header: DataFrame) -> DataFrame:
+    """What a snapshot's rows and its header disagree in, comma-joined ('' if it may be loaded), in one row."""
+    own = snapshot_header(rows).select(*[F.col(c).alias(f"own_{c}") for c in ("last_index", "last_type", "n", "contiguous", "checksum")])
+    tests = [F.when(~F.col("own_contiguous"), "gap"), *[F.when(~F.col(f"own_{c}").eqNullSafe(F.col(c)), f"bad_{c}") for c in ("last_index", "last_type", "n", "checksum")]]
+    return own.join(F.broadcast(header)).select(F.array_join(F.filter(F.array(*tests), lambda x: x.isNotNull()), ",").alias("problems"))
+
+
+def archived_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of the data files below an archive; paths are relative to it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{path}/data")
+    return files.select(F.regexp_extract("path", "/(data/.*)$", 1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_archive(path: str, tables: dict[str, DataFrame], version: str = "1") -> None:
+    """Tables as Parquet below path/data, then the manifest of all files and its totals; the manifest comes last and commits the archive."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/data/{name}")
+    found = archived_files(spark, path)
+    found.agg(F.count(F.lit(1)).alias("file_count"), F.sum("bytes").alias("total_bytes")).withColumn("version", F.lit(version)).write.json(f"{path}/totals")
+    found.write.json(f"{path}/manifest")
+
+
+def verify_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Differences between an archive's manifest and its files: (path, code); an archive without a manifest can't be read."""
+    return verify_manifest(spark.read.schema("path string, bytes long, sha256 string").json(f"{path}/manifest"), archived_files(spark, path))
+
+
+def read_archive(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/data/{name}")

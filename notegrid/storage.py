@@ -64,12 +64,26 @@ class VersionedTable:
             return []
         return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
 
+    def latest(self) -> int:
+        """Number of the newest version; 0 without any."""
+        return (self._versions() or [0])[-1]
+
     def read(self, version: int | None = None) -> DataFrame:
         found = self._versions()
         return self.spark.read.parquet(f"{self.path}/v={version or found[-1]}")
 
-    def write(self, df: DataFrame) -> int:
+    def _claim(self) -> int:
+        """The next number that nobody has claimed; the claim file is created atomically, so two writers never share one."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         number = (self._versions() or [0])[-1] + 1
+        while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(self.path, f"_claimed-{number}")):
+            number += 1
+        return number
+
+    def write(self, df: DataFrame) -> int:
+        number = self._claim()
         df.write.parquet(f"{self.path}/v={number}")
         return number
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notegrid.storage import materialize
+
 
 def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
     """rows(id, content): (id, vector, content_hash, error); a batch that fails is tried row by row."""
@@ -67,6 +69,19 @@ def first_json(text: str) -> str | None:
     return None
 
 
+def reembed(rows: DataFrame, done: DataFrame, model: Callable[[list[str]], list[list[float]]], store, signature: str) -> DataFrame:
+    """rows(id, content) for a model of another signature; done(id) has it already. (id, state, swapped): kept, made or failed.
+
+    Results are staged as a table of their own; the store gets them as its new version only if no row failed.
+    """
+    made = materialize(embed(rows.join(done.select("id"), "id", "left_anti"), model), "staged")
+    state = done.select("id", F.lit("kept").alias("state")).unionByName(made.select("id", F.when(F.col("error").isNull(), "made").otherwise("failed").alias("state")))
+    whole = not made.filter("error IS NOT NULL").limit(1).count()
+    if whole:
+        store.write(state.select("id", F.lit(signature).alias("signature")))
+    return state.withColumn("swapped", F.lit(whole))
+
+
 def with_cache(rows: DataFrame, cache: DataFrame, version: str, run: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """rows(id, content), cache(key, result): all results, and the new ones to append; only misses reach run(id, content) -> (id, result)."""
     keyed = rows.select("id", "content", F.sha2(F.concat_ws("|", F.lit(version), "content"), 256).alias("key"))

@@ -76,21 +76,39 @@ def surface_context(decisions: DataFrame, memories: DataFrame, most: int = 8) ->
 
 
 def state_key_candidates(keyed: DataFrame) -> DataFrame:
-    """keyed(id, key, created, current): for each row its other current rows of one state key, newest first."""
-    other = keyed.filter("current").select("key", F.col("id").alias("other_id"), F.col("created").alias("other_created"))
-    met = keyed.join(other, "key").filter("id <> other_id")
-    return met.select("id", "other_id", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("other_created"), "other_id")).cast("long").alias("rank"))
+    """keyed(id, key, created, current): for each row the number of other current rows of its state key and the newest of them.
+
+    A key's rows meet its two newest current rows, not one another; the whole list of a key is current_rows().
+    """
+    age = -F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("created"))
+    now = keyed.filter("current").select("key", F.struct(age.alias("age"), "id").alias("r"))
+    first = materialize(now.groupBy("key").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    second = now.join(first.hint("merge"), "key").filter(F.col("r") != F.col("first")).groupBy("key").agg(F.min("r").alias("second"))
+    heads = materialize(first.join(second, "key", "left"), "heads")
+    met = keyed.join(heads.hint("merge"), "key")
+    own = F.col("current").cast("long")
+    newest = F.when(F.col("first.id") == F.col("id"), F.col("second.id")).otherwise(F.col("first.id"))
+    return met.select("id", (F.col("n") - own).alias("candidates"), newest.alias("newest")).filter("candidates > 0")
+
+
+def current_rows(keyed: DataFrame) -> DataFrame:
+    """(key, rank, id): the current rows of each state key, newest first."""
+    return keyed.filter("current").select("key", "id", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("created"), "id")).cast("long").alias("rank"))
 
 
 def supersession_ends(links: DataFrame, most: int = 100) -> DataFrame:
     """links(id, superseded_by): the current row at the end of each chain with its length; a cycle or a chain over `most` ends null.
 
-    Every round doubles the hops covered, so a chain of `most` hops takes about log2(most) joins.
+    Every round doubles the hops covered and is a written table; it ends when no end leads further, after about
+    log2(most) rounds at most.
     """
-    steps = links.filter("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("end"), F.lit(1).alias("hops"))
+    steps = materialize(links.filter("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("end"), F.lit(1).alias("hops")), "chains")
     for _ in range(most.bit_length()):
         ahead = steps.select(F.col("id").alias("end"), F.col("end").alias("next_end"), F.col("hops").alias("more"))
-        steps = steps.join(ahead, "end", "left").select("id", F.coalesce("next_end", "end").alias("end"), F.least(F.col("hops") + F.coalesce("more", F.lit(0)), F.lit(2 * most)).alias("hops"))
+        joined = steps.join(ahead, "end", "left")
+        steps = materialize(joined.select("id", F.coalesce("next_end", "end").alias("end"), F.least(F.col("hops") + F.coalesce("more", F.lit(0)), F.lit(2 * most)).alias("hops"), F.col("next_end").isNotNull().alias("moved")), "chains")
+        if not steps.filter("moved").limit(1).count():
+            break
     return steps.select("id", F.when(F.col("hops") <= most, F.col("end")).alias("current_id"), F.col("hops").cast("long").alias("hops"))
 
 
@@ -119,13 +137,40 @@ def vector_manifest(expected: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def time_ripple(touched: DataFrame, memories: DataFrame, hours: int = 48, most: int = 5, credit: float = 0.3) -> DataFrame:
-    """Credit for up to `most` rows created within `hours` of each touched row (by id); a range join over time buckets."""
-    bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / (3600 * hours))
-    source = touched.select(F.col("id").alias("source"), F.col("created").alias("at")).withColumn("b", F.explode(F.array(*[bucket("at") + k for k in (-1, 0, 1)])))
-    # each touched row takes its first few by id, so a bucket hands on its smallest ids only where they can win
-    target = memories.filter(~F.col("pinned") & ~F.col("type").isin("permanent", "feel", "plan", "letter", "i")).select("id", "created", bucket("created").alias("b"))
-    near = source.join(target, "b").filter((F.col("source") != F.col("id")) & (F.abs(F.timestamp_diff("SECOND", F.col("created"), F.col("at"))) <= 3600 * hours))
-    first = near.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("id"))).filter(F.col("n") <= most)
+    """Credit for up to `most` rows created within `hours` of each touched row (by id).
+
+    Of hours, minutes and moments only the most + 1 smallest ids are kept, as no touched row takes more. A span is
+    its whole hours, the whole minutes of its two edge hours, and the moments of its two edge minutes, so touched
+    rows never meet rows one by one.
+    """
+    few = most + 1
+    moment = lambda c: F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(c))
+    minute, hour, span = 60_000_000, 3_600_000_000, hours * 3_600_000_000
+
+    def smallest(rows: DataFrame, key: str) -> DataFrame:
+        once = rows.select(key, "id").distinct()
+        return once.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("id"))).filter(F.col("n") <= few).select(key, "id")
+
+    target = memories.filter(~F.col("pinned") & ~F.col("type").isin("permanent", "feel", "plan", "letter", "i")).select(moment("created").alias("t"), "id")
+    moments = materialize(smallest(target, "t"), "moments")
+    minutes = materialize(smallest(moments.select(F.floor(F.col("t") / minute).alias("m"), "id"), "m"), "minutes")
+    whole = materialize(smallest(minutes.select(F.floor(F.col("m") / 60).alias("h"), "id"), "h"), "hours")
+    asked = touched.select("id", moment("created").alias("at"))
+    times = materialize(asked.select("at").distinct().select("at", F.floor(F.col("at") / minute).alias("m"), F.floor(F.col("at") / hour).alias("h")), "asked")
+    # hours wholly inside for any moment of hour h; what hours h - `hours` and h + `hours` add comes by minutes and moments
+    around = times.select(F.col("h").alias("at_h")).distinct().withColumn("h", F.explode(F.sequence(F.col("at_h") - (hours - 1), F.col("at_h") + (hours - 1))))
+    by_hour = smallest(around.join(whole, "h").select("at_h", "id"), "at_h")
+    early = F.sequence(F.col("at_m") - 60 * hours + 1, (F.col("at_h") - hours + 1) * 60)
+    late = F.sequence((F.col("at_h") + hours) * 60, F.col("at_m") + 60 * hours)
+    edges = times.select(F.col("m").alias("at_m"), F.col("h").alias("at_h")).distinct()
+    edges = edges.withColumn("m", F.explode(F.concat(F.filter(early, lambda x: x < (F.col("at_h") - hours + 1) * 60), F.filter(late, lambda x: x < F.col("at_m") + 60 * hours))))
+    by_minute = smallest(edges.join(minutes, "m").select("at_m", "id"), "at_m")
+    ends = times.withColumn("m", F.explode(F.array(F.col("m") - 60 * hours, F.col("m") + 60 * hours)))
+    close = moments.withColumn("m", F.floor(F.col("t") / minute))
+    by_moment = ends.join(close, "m").filter(F.abs(F.col("t") - F.col("at")) <= span).select("at", "id")
+    found = by_moment.unionByName(times.join(by_hour, times["h"] == by_hour["at_h"]).select("at", "id")).unionByName(times.join(by_minute, times["m"] == by_minute["at_m"]).select("at", "id"))
+    near = materialize(smallest(found, "at").groupBy("at").agg(F.array_sort(F.collect_list("id")).alias("near")), "near")  # few a moment
+    first = asked.join(near.hint("merge"), "at").select(F.explode(F.slice(F.filter("near", lambda x: x != F.col("id")), 1, most)).alias("id"))
     return first.groupBy("id").agg(F.round(F.sum(F.lit(credit)), 1).alias("credit"))
 
 

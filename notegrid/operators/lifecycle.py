@@ -17,6 +17,15 @@ def decay_cycle(memories: DataFrame, at: Column) -> DataFrame:
     return rows.select("id", auto.alias("auto_resolved"), score.alias("score"), (score < scores.ARCHIVE_BELOW).alias("archive"))
 
 
+def apply_decay(store, at: Column) -> int:
+    """One scheduled cycle over a versioned table of memories: its next version, with what the cycle resolves and archives."""
+    rows = store.read()
+    cycle = decay_cycle(rows.filter(F.col("type") != "archived"), at).select("id", "auto_resolved", "archive")
+    now = rows.join(cycle, "id", "left")
+    changed = {"resolved": F.col("resolved") | F.coalesce("auto_resolved", F.lit(False)), "type": F.when(F.col("archive"), "archived").otherwise(F.col("type"))}
+    return store.write(now.withColumns(changed).select(*rows.columns))
+
+
 def touch_many(memories: DataFrame, touches: DataFrame) -> DataFrame:
     """touches(id): whole old count plus the number of touches."""
     n = touches.groupBy("id").agg(F.count(F.lit(1)).alias("n"))

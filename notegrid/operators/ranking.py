@@ -36,6 +36,16 @@ def surface_order(memories: DataFrame, at: Column, n: int, cold: int = 2) -> Dat
     return top_rows(ranked, order, n).select("rank", "id")
 
 
+def letters_ranked(letters: DataFrame, queries: DataFrame, close: DataFrame, n: int = 50) -> DataFrame:
+    """queries(query_id, query), close(query_id, id, semantic): the n best letters of each query by vector; for a query
+    without any, those that hold its words, newest first."""
+    plain = queries.join(close.select("query_id"), "query_id", "left_anti")
+    held = letters.select("id", "created", F.lower("content").alias("t")).join(plain, F.contains("t", F.lower("query"))).select("query_id", "id", F.lit(None).cast("double").alias("score"), "created")
+    both = close.select("query_id", "id", F.col("semantic").alias("score"), F.lit(None).cast("timestamp_ntz").alias("created")).unionByName(held)
+    order = [F.desc(F.round("score", 6)), F.desc("created"), F.col("id")]
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")).filter(F.col("rank") <= n).select("query_id", "id", "score", "rank")
+
+
 def plans_ranked(memories: DataFrame, at: Column, stale_days: int, n: int) -> DataFrame:
     """Active plans, stale ones first, with the number of all of them."""
     plans = memories.filter((F.col("type") == "plan") & ~F.col("dont_surface") & ~F.col("resolved"))
@@ -45,10 +55,9 @@ def plans_ranked(memories: DataFrame, at: Column, stale_days: int, n: int) -> Da
 
 
 def weighted_sample(df: DataFrame, weight: str, n: int, temperature: float = 1.0, seed: int = 0, key: str = "id") -> DataFrame:
-    """n rows without replacement, likelier by weight^(1/temperature): the n smallest -ln(u)/w, u by hash of seed and key."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """n rows without replacement, likelier by weight^(1/temperature): the n smallest -ln(u)/w, u by digest of seed and key."""
     w = F.pow(F.greatest(F.col(weight), F.lit(1e-9)), F.lit(1.0 / temperature))
-    return df.withColumn("_k", -F.log(u) / w).orderBy("_k", key).limit(n).drop("_k")
+    return df.withColumn("_k", -F.log(seeded(seed, key)) / w).orderBy("_k", key).limit(n).drop("_k")
 
 
 def classify(docs: DataFrame, keywords: dict[str, list[str]], least: int = 2, most: int = 2) -> DataFrame:
@@ -66,9 +75,14 @@ def render_summary(js: Column) -> Column:
 
 
 def seeded(seed: Column | int, key: str = "id") -> Column:
-    """A number in 0..1 from a seed and a key, the same on every run."""
-    s = F.lit(seed) if isinstance(seed, int) else seed
-    return (F.pmod(F.xxhash64(s, F.col(key)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A number in 0..1 from a seed and a key, the same on every run and in every engine: 13 hexadecimal digits of md5."""
+    s = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
+    digits = F.substring(F.md5(F.concat_ws("|", s, F.col(key).cast("string"))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+#: seeded() for DuckDB.
+SEEDED_SQL = "((CAST('0x' || substring(md5('{0}|' || CAST({1} AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 
 def shuffle_head(ranked: DataFrame, head: int, seed: int) -> DataFrame:
@@ -91,7 +105,7 @@ def encounters(sessions: DataFrame, pool: DataFrame, chance: float, n: int, seed
     """
     size = pool.agg(F.count(F.lit(1)).alias("size"))  # one row
     drawn = sessions.filter(seeded(seed, "session") < chance).join(F.broadcast(size)).filter("size > 0")
-    start = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("session")), F.col("size"))
+    start = F.floor(seeded(seed + 1, "session") * F.col("size"))
     picks = drawn.select("session", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(n), F.col("size").cast("int")) - 1), lambda k: F.pmod(start + k, F.col("size")))).alias("slot"))
     slots = pool.select("id", "slot")
     return picks.join(slots, "slot").select("session", "id")

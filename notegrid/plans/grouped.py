@@ -45,7 +45,10 @@ def agg_05(spark, sf):
     return A.cooccurrence(A.concept_tokens(memories(spark, sf)))
 
 
-@query("agg_06_trace_catalog", VIEWS + LIVE_SQL + " SELECT trace_id, CASE arg_max(event_type, seq) WHEN 'TraceDeletedToArchive' THEN 'deleted_to_archive' WHEN 'TraceArchived' THEN 'archived' ELSE 'active' END AS state, arg_max(body_hash, seq) AS body_hash, min(created_seq) AS created_seq, max(seq) AS latest_seq, arg_max(event_type, seq) AS latest_event_type, count(*) FILTER (WHERE event_type = 'TraceTouched') + CASE WHEN arg_min(event_type, seq) = 'TraceTouched' THEN 1 ELSE 0 END AS touch_count, bool_or(event_type = 'TraceDeletedToArchive') AS deleted FROM live GROUP BY trace_id")
+CATALOG_SQL = VIEWS + LIVE_SQL + " SELECT trace_id, CASE arg_max(event_type, seq) WHEN 'TraceDeletedToArchive' THEN 'deleted_to_archive' WHEN 'TraceArchived' THEN 'archived' ELSE 'active' END AS state, arg_max(body_hash, seq) AS body_hash, min(created_seq) AS created_seq, max(seq) AS latest_seq, arg_max(event_type, seq) AS latest_event_type, count(*) FILTER (WHERE event_type = 'TraceTouched') + CASE WHEN arg_min(event_type, seq) = 'TraceTouched' THEN 1 ELSE 0 END AS touch_count, bool_or(event_type = 'TraceDeletedToArchive') AS deleted FROM live GROUP BY trace_id"
+
+
+@query("agg_06_trace_catalog", CATALOG_SQL)
 def agg_06(spark, sf):
     return A.trace_catalog(ledger(spark, sf))
 
@@ -172,17 +175,30 @@ def _ranked(spark, sf, session):
     return memories(spark, sf).select(session.alias("session"), F.col("doc_id").alias("rank"), "id", token_estimate(F.col("content")).alias("tokens"))
 
 
-@query("win_01_budget_prefix", VIEWS + f", r AS (SELECT doc_id % 10 AS session, doc_id AS rank, id, {TOKENS_SQL.format('content')} AS tokens FROM memories WHERE doc_id < 1000) SELECT * FROM (SELECT *, sum(tokens) OVER (PARTITION BY session ORDER BY rank)::BIGINT AS spent FROM r) WHERE spent <= 5000")
+RANKED_SQL = f", r AS (SELECT doc_id // 100 AS session, doc_id AS rank, id, {TOKENS_SQL.format('content')} AS tokens FROM memories)"
+
+
+@query("win_01_budget_prefix", VIEWS + RANKED_SQL + " SELECT * FROM (SELECT *, sum(tokens) OVER (PARTITION BY session ORDER BY rank)::BIGINT AS spent FROM r) WHERE spent <= 5000")
 def win_01(spark, sf):
-    return O.budget_prefix(_ranked(spark, sf, F.col("doc_id") % 10).filter("rank < 1000"), "session", 5000)  # as its SQL twin
+    return O.budget_prefix(_ranked(spark, sf, F.floor(F.col("doc_id") / 100)), "session", 5000)
+
+
+GREEDY_SQL = """, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY rank) AS k FROM r),
+g AS (SELECT session, k, id, tokens <= {budget} AS took, {budget} - CASE WHEN tokens <= {budget} THEN tokens ELSE 0 END AS room FROM n WHERE k = 1
+UNION ALL SELECT n.session, n.k, n.id, n.tokens <= g.room, g.room - CASE WHEN n.tokens <= g.room THEN n.tokens ELSE 0 END FROM g JOIN n ON n.session = g.session AND n.k = g.k + 1)
+SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY k) - 1 AS INT) AS pos, id FROM g WHERE took"""
+RECURSIVE = VIEWS.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("win_02_budget_greedy")
+@query("win_02_budget_greedy", RECURSIVE + RANKED_SQL + GREEDY_SQL.format(budget=5000))
 def win_02(spark, sf):
     return O.budget_greedy(_ranked(spark, sf, F.floor(F.col("doc_id") / 100)), "session", 5000)
 
 
-@query("win_03_chunk_turns")
+@query("win_03_chunk_turns", f"""WITH RECURSIVE r AS (SELECT conv_id, turn, {TOKENS_SQL.format('text')} AS tokens FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, tokens) AS k FROM r),
+g AS (SELECT conv_id, turn, k, 0 AS chunk, CASE WHEN tokens > 600 THEN 0 ELSE tokens END AS held, tokens > 600 AS closed FROM n WHERE k = 1
+UNION ALL SELECT n.conv_id, n.turn, n.k, g.chunk + CAST(n.tokens > 600 OR g.closed OR g.held + n.tokens > 400 AS INT), CASE WHEN n.tokens > 600 THEN 0 WHEN g.closed OR g.held + n.tokens > 400 THEN n.tokens ELSE g.held + n.tokens END, n.tokens > 600 FROM g JOIN n ON n.conv_id = g.conv_id AND n.k = g.k + 1)
+SELECT conv_id, turn, chunk FROM g""")
 def win_03(spark, sf):
     return O.chunk_turns(table(spark, sf, "conversations").select("conv_id", "turn", token_estimate(F.col("text")).alias("tokens")), 400)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from notegrid.operators import aggregates as A
 from notegrid.operators import inference as I
 from notegrid.operators import retrieval as R
-from notegrid.operators.similarity import cosine
+from notegrid.operators import similarity as SI
 from notegrid.plans.joined import mid
 from notegrid.plans.registry import query
 from notegrid.plans.rows import AT_SQL
@@ -16,11 +16,6 @@ from notegrid.sources import files as S
 from notegrid.streaming import jobs as ST
 
 
-def asked(spark, sf):
-    """Queries: the first six words of each benchmark passage."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 6).alias("query"))
-
-
 def passages(spark, sf):
     """Queries: the whole benchmark passages."""
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -29,18 +24,18 @@ def passages(spark, sf):
 BM25_SQL = VIEWS + r""", d AS (SELECT id, list_filter(string_split_regex(lower(concat_ws(' ', name, substring(content, 1, 1200), array_to_string(tags, ' '), array_to_string(domain, ' '))), '\s+'), lambda x: x <> '') AS t FROM memories),
 s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), p AS (SELECT id, dl, token, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS token FROM d) GROUP BY 1, 2, 3),
 i AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p, s GROUP BY token, n), w AS (SELECT token, CASE WHEN idf < 0 THEN (SELECT avg(idf) FROM i) * 0.25::DOUBLE ELSE idf END AS idf FROM i),
-q AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower(array_to_string(string_split(text, ' ')[1:6], ' ')), '\s+'), lambda x: x <> '')) AS token FROM benchmark) GROUP BY 1, 2),
+q AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS token FROM benchmark) GROUP BY 1, 2),
 r AS (SELECT query_id, id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS raw FROM q JOIN w USING (token) JOIN p USING (token), s GROUP BY 1, 2), b AS (SELECT query_id, id, raw / max(raw) OVER (PARTITION BY query_id) AS bm25 FROM r)"""
 
 
 @query("scr_09_bm25", BM25_SQL + " SELECT query_id, id, round(bm25, 6) AS bm25 FROM b WHERE bm25 > 0")
 def scr_09(spark, sf):
-    return R.bm25(memories(spark, sf), asked(spark, sf)).withColumn("bm25", F.round("bm25", 6))
+    return R.bm25(memories(spark, sf), passages(spark, sf)).withColumn("bm25", F.round("bm25", 6))
 
 
 @query("jon_24_fulltext_search", BM25_SQL + " SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rank FROM b WHERE bm25 > 0) WHERE rank <= 10")
 def jon_24(spark, sf):
-    return _ranked_bm25(memories(spark, sf), asked(spark, sf))
+    return _ranked_bm25(memories(spark, sf), passages(spark, sf))
 
 
 def _ranked_bm25(m, queries):
@@ -52,16 +47,40 @@ def _ranked_bm25(m, queries):
 def _semantic(spark, sf):
     """Each query's vector is that of the row of its number; only close rows count."""
     v = vectors(spark, sf)
-    q = asked(spark, sf).select("query_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    return v.join(F.broadcast(q)).select("query_id", "id", cosine(F.col("embedding"), F.col("q")).alias("semantic")).filter("semantic >= 0.4")
+    q = v.join(passages(spark, sf).select("query_id"), F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), "vec_id", "embedding")
+    return SI.vector_scores(q, v, 0.4)
 
 
 @query("top_01_hybrid_search")
 def top_01(spark, sf):
-    return R.search(memories(spark, sf), passages(spark, sf), _semantic(spark, sf), as_of()).select("query_id", "id", "score", "vector_match", "rank")
+    q = passages(spark, sf).withColumns({"domains": F.when(F.col("query_id") % 3 == 0, F.array(F.lit("SRC1"), F.lit("src2"))).when(F.col("query_id") % 3 == 1, F.array(F.lit("nothing"))), "q_valence": F.when(F.col("query_id") % 2 == 0, 0.25), "q_arousal": F.when(F.col("query_id") % 2 == 0, 0.75)})
+    return R.search(memories(spark, sf), q, _semantic(spark, sf), as_of()).select("query_id", "id", "score", "vector_match", "rank")
+
+
+@query("scr_03_topic_score")
+def scr_03(spark, sf):
+    m = memories(spark, sf)
+    pairs = m.join(m.select((F.col("doc_id") - 1).alias("doc_id"), F.col("name").alias("query")), "doc_id").withColumn("query_id", F.col("doc_id"))
+    return R.topic_scores(pairs).select("id", F.round("topic", 6).alias("topic"))
+
+
+@query("scr_08_fused_score", VIEWS + """, c AS (SELECT doc_id % 8 AS query_id, *, (doc_id * 29 % 101) / 100.0::DOUBLE AS topic, CASE WHEN doc_id % 3 = 0 THEN (doc_id * 17 % 101) / 100.0::DOUBLE END AS semantic, CASE WHEN doc_id % 8 > 1 AND doc_id % 5 = 0 THEN (doc_id * 13 % 101) / 100.0::DOUBLE END AS bm25, doc_id % 11 = 0 AS literal FROM memories),
+b AS (SELECT *, coalesce(max(bm25) OVER (PARTITION BY query_id), 0) > 0 AS any_bm25, greatest(0.0::DOUBLE, date_diff('microsecond', last_active, TIMESTAMP '2024-01-31 00:00:00') / 86400000000.0::DOUBLE) AS days FROM c),
+r AS (SELECT *, least(100.0::DOUBLE, (topic * 4.0::DOUBLE + greatest(0.0::DOUBLE, 1.0::DOUBLE - sqrt(pow(0.3::DOUBLE - valence, 2) + pow(0.6::DOUBLE - arousal, 2)) / sqrt(2.0::DOUBLE)) * 2.0::DOUBLE + exp(-0.02::DOUBLE * days) * 1.5::DOUBLE + importance / 10.0::DOUBLE + least(activation_count / 10.0::DOUBLE, 1.0::DOUBLE) + coalesce(semantic * 2.5::DOUBLE, 0) + CASE WHEN any_bm25 THEN coalesce(bm25, 0) * 1.5::DOUBLE ELSE 0 END) / (9.5::DOUBLE + CASE WHEN semantic IS NOT NULL THEN 2.5::DOUBLE ELSE 0 END + CASE WHEN any_bm25 THEN 1.5::DOUBLE ELSE 0 END) * 100 + CASE WHEN literal THEN 25.0::DOUBLE ELSE 0 END) AS raw FROM b)
+SELECT query_id, id, round(raw * CASE WHEN resolved THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN superseded_by IS NOT NULL THEN 0.12::DOUBLE ELSE 1 END, 2) AS score, coalesce(semantic >= 0.55, FALSE) AND NOT (raw >= 50 OR literal) AS vector_match FROM r WHERE raw >= 50 OR literal OR coalesce(semantic >= 0.55, FALSE)""")
+def scr_08(spark, sf):
+    d = F.col("doc_id")
+    part = lambda k: (d * k % 101) / F.lit(100.0)
+    rows = memories(spark, sf).withColumns({"query_id": d % 8, "topic": part(29), "semantic": F.when(d % 3 == 0, part(17)), "bm25": F.when((d % 8 > 1) & (d % 5 == 0), part(13)), "literal": d % 11 == 0})
+    return R.fused(rows, as_of(), F.lit(0.3), F.lit(0.6))
+
+
+EXPECTED_SQL = ", lit AS (SELECT item_id AS query_id, id FROM benchmark b JOIN memories m ON contains(lower(concat_ws(' ', m.name, array_to_string(m.tags, ' '), array_to_string(m.domain, ' '), m.content)), lower(trim(b.text))))"
 
 
-@query("agg_07_retrieval_eval")
+@query("agg_07_retrieval_eval", BM25_SQL + EXPECTED_SQL + """, top AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rank FROM b WHERE bm25 > 0) WHERE rank <= 10),
+found AS (SELECT lit.query_id, count(top.id) AS found, min(rank) AS first, count(*) AS wanted FROM lit LEFT JOIN top ON top.query_id = lit.query_id AND top.id = lit.id GROUP BY 1)
+SELECT query_id AS "case", found > 0 AS hit, round(found / wanted::DOUBLE, 6) AS recall, first, round(coalesce(1.0::DOUBLE / first, 0), 6) AS reciprocal FROM found""")
 def agg_07(spark, sf):
     from notegrid.operators.predicates import literal_matches
 
@@ -143,17 +162,25 @@ def src_08(spark, sf):
     return S.parse_vectors(rows, 64).select("id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), "error")
 
 
-@query("src_09_chat_export", "SELECT 'c' || CAST(conv_id AS VARCHAR) AS path, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, sha256(trim(text)) AS h FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS t FROM conversations) WHERE trim(text) <> ''")
+def file_of(prefix=""):
+    """Path of the export file of a turn; a file holds at most 64 turns of a conversation."""
+    return F.concat(F.lit(prefix), F.col("conv_id").cast("string"), F.lit("-"), F.floor(F.col("turn") / 64).cast("string"))
+
+
+FILE_SQL = "CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 64 AS VARCHAR)"
+
+
+@query("src_09_chat_export", f"SELECT 'c' || {FILE_SQL} AS path, t AS turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, sha256(trim(text)) AS h FROM (SELECT *, row_number() OVER (PARTITION BY {FILE_SQL} ORDER BY turn) - 1 AS t FROM conversations) WHERE trim(text) <> ''")
 def src_09(spark, sf):
     c = table(spark, sf, "conversations").withColumn("m", F.struct(F.col("turn"), F.struct(F.col("role").alias("sender"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("text"), F.when(F.col("turn") % 2 == 1, F.array(F.struct("text"))).alias("content")).alias("m")))
-    exports = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms")).select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), F.to_json(F.struct(F.transform("ms", lambda x: x["m"]).alias("chat_messages"))).alias("value"))
+    exports = c.groupBy(file_of("c").alias("path")).agg(F.array_sort(F.collect_list("m")).alias("ms")).select("path", F.to_json(F.struct(F.transform("ms", lambda x: x["m"]).alias("chat_messages"))).alias("value"))
     return S.parse_chat_export(exports).select("path", "turn", "role", F.sha2("content", 256).alias("h"))
 
 
-@query("src_11_transcripts", "SELECT 'c' || CAST(conv_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, role, sha256(trim(text)) AS h FROM conversations")
+@query("src_11_transcripts", f"SELECT 'c' || {FILE_SQL} AS path, row_number() OVER (PARTITION BY {FILE_SQL} ORDER BY turn) AS turn, role, sha256(trim(text)) AS h FROM conversations")
 def src_11(spark, sf):
     c = table(spark, sf, "conversations").withColumn("m", F.struct(F.col("turn"), F.concat("role", F.lit(": "), "text").alias("line")))
-    texts = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms")).select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), F.array_join(F.transform("ms", lambda x: x["line"]), "\n").alias("value"))
+    texts = c.groupBy(file_of("c").alias("path")).agg(F.array_sort(F.collect_list("m")).alias("ms")).select("path", F.array_join(F.transform("ms", lambda x: x["line"]), "\n").alias("value"))
     return S.parse_transcripts(texts).select("path", "turn", "role", F.sha2("content", 256).alias("h"))
 
 
@@ -173,9 +200,26 @@ def src_16(spark, sf):
     return S.to_events(m, known).select("event_id", "memory_type", "importance")
 
 
-@query("src_17_snapshot_checksum", VIEWS + "SELECT max(seq) AS last_index, arg_max(event_type, seq) AS last_type, count(*) AS n, max(seq) - min(seq) + 1 = count(DISTINCT seq) AS contiguous FROM ledger")
+ROW_SQL = "sha256(CAST(seq AS VARCHAR) || '|' || event_type || '|' || trace_id || '|' || payload)"
+LEVELS_SQL = f""", rows_ AS (SELECT seq AS i, {ROW_SQL} AS h FROM ledger), l1 AS (SELECT i // 1000 AS i, sha256(string_agg(h, '' ORDER BY i, h)) AS h FROM rows_ GROUP BY 1),
+l2 AS (SELECT i // 1000 AS i, sha256(string_agg(h, '' ORDER BY i, h)) AS h FROM l1 GROUP BY 1), l3 AS (SELECT sha256(string_agg(h, '' ORDER BY i, h)) AS checksum FROM l2)"""
+
+
+@query("src_17_snapshot_checksum", VIEWS + LEVELS_SQL + " SELECT max(seq) AS last_index, arg_max(event_type, seq) AS last_type, count(*) AS n, max(seq) - min(seq) + 1 = count(DISTINCT seq) AS contiguous, (SELECT checksum FROM l3) AS checksum, '' AS problems FROM ledger")
 def src_17(spark, sf):
-    return ledger(spark, sf).agg(F.max("seq").alias("last_index"), F.max_by("event_type", "seq").alias("last_type"), F.count(F.lit(1)).alias("n"), (F.max("seq") - F.min("seq") + 1 == F.countDistinct("seq")).alias("contiguous"))
+    rows = ledger(spark, sf).select(F.col("seq").alias("index"), "event_type", "trace_id", "payload")
+    header = S.snapshot_header(rows)
+    return header.join(S.snapshot_problems(rows, header))
+
+
+@query("src_13_archive", VIEWS + "SELECT id, sha256(content) AS h, '' AS problems FROM memories WHERE content IS NOT NULL")
+def src_13(spark, sf):
+    from notegrid.storage import new_path
+
+    path = new_path(spark, "archive")
+    S.write_archive(path, {"memories": memories(spark, sf).select("id", "content", "type"), "vectors": vectors(spark, sf)})
+    found = S.verify_archive(spark, path).agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("problems"))  # one row
+    return S.read_archive(spark, path, "memories").filter("content IS NOT NULL").select("id", F.sha2("content", 256).alias("h")).join(F.broadcast(found))
 
 
 # --- streaming --------------------------------------------------------------------------------------
@@ -197,10 +241,10 @@ def str_05(spark, sf):
     return ST.run_available(ST.daily_activity(_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))), "complete", "daily")
 
 
-@query("str_06_order_violations")
+@query("str_06_order_violations", "WITH e AS (SELECT user_id AS source, event_id AS arrival, CASE WHEN event_id % 50 = 0 THEN 0 ELSE event_id + 1 END AS seq FROM events) SELECT source, arrival, seq FROM (SELECT *, max(seq) OVER (PARTITION BY source ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e) WHERE seq <= coalesce(before, -1)")
 def str_06(spark, sf):
-    e = _stream(spark, sf).select(F.col("user_id").alias("source"), F.when(F.col("event_id") % 50 == 0, F.lit(0).cast("long")).otherwise(F.col("event_id") + 1).alias("seq"))
-    return ST.run_available(ST.order_violations(e), "append", "violations")
+    e = _stream(spark, sf).select(F.col("user_id").alias("source"), F.col("event_id").alias("arrival"), F.when(F.col("event_id") % 50 == 0, F.lit(0).cast("long")).otherwise(F.col("event_id") + 1).alias("seq"))
+    return ST.order_violations(e)
 
 
 @query("str_04_retry_queue", VIEWS + f"SELECT id, sha256(content) AS content_hash, CAST(doc_id % 6 + CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS BIGINT) AS attempts, CASE WHEN doc_id % 3 = 1 THEN {AT_SQL} + to_seconds(least(600.0, 60 * pow(2, doc_id % 6))) ELSE {AT_SQL} END AS next_attempt_at FROM memories WHERE doc_id % 3 <> 0")
@@ -239,10 +283,8 @@ def udf_02(spark, sf):
     return I.annotate(memories(spark, sf), stand_in_answer).select("id", F.array_join("domain", ",").alias("domain"), "valence", "arousal", "name")
 
 
-@query("udf_06_cached_summaries", VIEWS + "SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'cached' ELSE 'new ' || CAST(length(content) AS VARCHAR) END AS result FROM memories m WHERE NOT EXISTS (SELECT 1 FROM memories o WHERE o.content = m.content AND o.doc_id % 2 <> m.doc_id % 2)")
+@query("udf_06_cached_summaries", VIEWS + ", c AS (SELECT DISTINCT sha256(concat_ws('|', 'v1', content)) AS h FROM memories WHERE doc_id % 2 = 0) SELECT id, CASE WHEN sha256(concat_ws('|', 'v1', content)) IN (SELECT h FROM c) THEN 'cached' ELSE 'new ' || CAST(length(content) AS VARCHAR) END AS result FROM memories")
 def udf_06(spark, sf):
     m = memories(spark, sf)
-    both = m.groupBy("content").agg(F.countDistinct(F.col("doc_id") % 2).alias("n")).filter("n = 1").select("content")
-    m = m.join(both, "content", "left_semi")
     cache = m.filter("doc_id % 2 = 0").select(F.sha2(F.concat_ws("|", F.lit("v1"), "content"), 256).alias("key"), F.lit("cached").alias("result")).distinct()
     return I.with_cache(m, cache, "v1", lambda df: df.select("id", F.concat(F.lit("new "), F.length("content").cast("string")).alias("result")))[0]

@@ -80,13 +80,13 @@ def jon_09(spark, sf):
     return J.duplicate_pairs(marked, m).withColumn("score", F.round("score", 6))
 
 
-@query("jon_12_surface_context", VIEWS + ", dec AS (SELECT user_id % 20 AS session, seq AS pos, trace_id AS id, seq % 3 <> 0 AS allowed FROM ledger WHERE seq % 5 = 0), r AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY pos) AS rank, m.id, m.name, count(*) OVER (PARTITION BY session) > 8 AS truncated FROM dec JOIN memories m ON m.id = dec.id WHERE allowed) SELECT * FROM r WHERE rank <= 8")
+@query("jon_12_surface_context", VIEWS + ", dec AS (SELECT user_id AS session, seq AS pos, trace_id AS id, seq % 3 <> 0 AS allowed FROM ledger), r AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY pos) AS rank, m.id, m.name, count(*) OVER (PARTITION BY session) > 8 AS truncated FROM dec JOIN memories m ON m.id = dec.id WHERE allowed) SELECT * FROM r WHERE rank <= 8")
 def jon_12(spark, sf):
-    dec = ledger(spark, sf).filter("seq % 5 = 0").select((F.col("user_id") % 20).alias("session"), F.col("seq").alias("pos"), F.col("trace_id").alias("id"), (F.col("seq") % 3 != 0).alias("allowed"))
+    dec = ledger(spark, sf).select(F.col("user_id").alias("session"), F.col("seq").alias("pos"), F.col("trace_id").alias("id"), (F.col("seq") % 3 != 0).alias("allowed"))
     return J.surface_context(dec, memories(spark, sf))
 
 
-@query("jon_13_state_key_candidates", VIEWS + ", k AS (SELECT id, lower(domain[1]) || '-' || CAST(doc_id % 97 AS VARCHAR) AS key, created, superseded_by IS NULL AND type = 'dynamic' AS current FROM memories) SELECT a.id, b.id AS other_id, row_number() OVER (PARTITION BY a.id ORDER BY b.created DESC, b.id) AS rank FROM k a JOIN k b ON a.key = b.key AND a.id <> b.id AND b.current")
+@query("jon_13_state_key_candidates", VIEWS + ", k AS (SELECT id, lower(domain[1]) || '-' || CAST(doc_id % 97 AS VARCHAR) AS key, created, superseded_by IS NULL AND type = 'dynamic' AS current FROM memories) SELECT a.id, count(*) AS candidates, first(b.id ORDER BY b.created DESC, b.id) AS newest FROM k a JOIN k b ON a.key = b.key AND a.id <> b.id AND b.current GROUP BY a.id")
 def jon_13(spark, sf):
     from notegrid.functions.text import state_key
 
@@ -103,12 +103,12 @@ def jon_14(spark, sf):
     return J.supersession_ends(links)
 
 
-@query("jon_15_event_lineage", "SELECT 'e' || CAST(e.event_id AS VARCHAR) AS id, 'e' || CAST(p AS VARCHAR) AS ancestor, CAST(d AS BIGINT) AS depth FROM (SELECT event_id, unnest(range(1, 4)) AS d FROM events WHERE event_id % 25 = 0) e, LATERAL (SELECT e.event_id // CAST(pow(2, e.d) AS BIGINT) AS p) WHERE e.event_id // CAST(pow(2, d - 1) AS BIGINT) > 0")
+@query("jon_15_event_lineage", "SELECT 'e' || CAST(e.event_id AS VARCHAR) AS id, 'e' || CAST(p AS VARCHAR) AS ancestor, CAST(d AS BIGINT) AS depth FROM (SELECT event_id, unnest(range(1, 40)) AS d FROM events) e, LATERAL (SELECT e.event_id // CAST(pow(2, e.d) AS BIGINT) AS p) WHERE e.event_id // CAST(pow(2, d - 1) AS BIGINT) > 0")
 def jon_15(spark, sf):
     e = table(spark, sf, "events").select("event_id")
     edges = e.filter("event_id > 0").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("child"), F.concat(F.lit("e"), F.floor(F.col("event_id") / 2).cast("string")).alias("parent"))
-    start = e.filter("event_id % 25 = 0").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"))
-    return J.lineage(edges, start, most=3)
+    start = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"))
+    return J.lineage(edges, start)
 
 
 @query("jon_16_merge_decision", VIEWS + "SELECT seq AS id, CASE WHEN seq % 4 = 0 THEN 'prefer_existing' WHEN user_id % 3 > seq % 3 THEN 'prefer_new' WHEN user_id % 3 < seq % 3 THEN 'keep_both' ELSE 'mark_conflict' END AS decision FROM ledger")
@@ -135,10 +135,11 @@ def jon_19(spark, sf):
     return J.vector_manifest(memories(spark, sf), vectors(spark, sf).select("id", (F.col("vec_id") % 17 != 0).alias("valid")))
 
 
-@query("jon_20_time_ripple", VIEWS + ", t AS (SELECT id, created FROM memories WHERE doc_id % 50 = 7), n AS (SELECT t.id AS source, m.id, row_number() OVER (PARTITION BY t.id ORDER BY m.id) AS k FROM t JOIN memories m ON m.id <> t.id AND abs(date_diff('second', m.created, t.created)) <= 172800 WHERE NOT m.pinned AND m.type NOT IN ('permanent', 'feel', 'plan', 'letter', 'i')) SELECT id, round(count(*) * 0.3, 1)::DOUBLE AS credit FROM n WHERE k <= 5 GROUP BY id")
+@query("jon_20_time_ripple", VIEWS + ", t AS (SELECT id, created FROM memories WHERE id IN (SELECT trace_id FROM ledger WHERE event_type = 'TraceTouched')), n AS (SELECT t.id AS source, m.id, row_number() OVER (PARTITION BY t.id ORDER BY m.id) AS k FROM t JOIN memories m ON m.id <> t.id AND abs(date_diff('second', m.created, t.created)) <= 172800 WHERE NOT m.pinned AND m.type NOT IN ('permanent', 'feel', 'plan', 'letter', 'i')) SELECT id, round(count(*) * 0.3, 1)::DOUBLE AS credit FROM n WHERE k <= 5 GROUP BY id")
 def jon_20(spark, sf):
     m = memories(spark, sf)
-    return J.time_ripple(m.filter("doc_id % 50 = 7"), m)
+    touched = ledger(spark, sf).filter("event_type = 'TraceTouched'").select(F.col("trace_id").alias("id"))
+    return J.time_ripple(m.join(touched, "id", "left_semi"), m)
 
 
 @query("jon_21_journal_audit", VIEWS + ", p AS (SELECT seq AS command, 'k' || CAST(seq % 3 AS VARCHAR) AS key FROM ledger WHERE seq % 10 < 5), j AS (SELECT seq AS command, 'k' || CAST(seq % 3 AS VARCHAR) AS key FROM ledger WHERE seq % 10 < 3 OR seq % 10 = 9 UNION ALL SELECT seq, 'k' || CAST(seq % 3 AS VARCHAR) FROM ledger WHERE seq % 10 = 1), a AS (SELECT command, key, count(*) AS n FROM p GROUP BY 1, 2), b AS (SELECT command, key, count(*) AS n FROM j GROUP BY 1, 2) SELECT * FROM (SELECT coalesce(a.command, b.command) AS command, coalesce(a.key, b.key) AS key, CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n IS NULL THEN 'unexpected' WHEN b.n > a.n THEN 'duplicate' END AS code FROM a FULL JOIN b ON a.command = b.command AND a.key = b.key) WHERE code IS NOT NULL")

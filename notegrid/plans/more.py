@@ -15,7 +15,9 @@ from notegrid.operators import ordered as O
 from notegrid.operators import predicates as P
 from notegrid.operators import ranking as K
 from notegrid.operators import similarity as SI
-from notegrid.plans.grouped import TOKENS_SQL
+from notegrid.operators.ranking import SEEDED_SQL
+from notegrid.plans.grouped import CATALOG_SQL, GREEDY_SQL, RECURSIVE, TOKENS_SQL
+from notegrid.plans.jobs import FILE_SQL, file_of
 from notegrid.plans.joined import mid
 from notegrid.plans.registry import query
 from notegrid.plans.rows import AT_SQL
@@ -29,22 +31,36 @@ def ranked(spark, sf, n=200):
     return K.top_rows(m, [F.desc("score"), F.col("id")], n)
 
 
-@query("win_06_startup_selection")
+NEGLECTED_SQL = f"((activation_count = 0 AND importance >= 8) OR (importance >= 9 AND last_active < {{}} - INTERVAL 7 DAY))"
+STARTUP_SQL = f", pool AS (SELECT * FROM memories WHERE {ALLOWED_SQL['spontaneous']} AND NOT pinned)"
+RANKED_SQL = f", ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT *, {SCORE_SQL} AS score FROM memories WHERE {ALLOWED_SQL['spontaneous']}))"
+DAY_SQL = "TIMESTAMP '2024-01-02 00:00:00'"
+
+
+@query("win_06_startup_selection", VIEWS + STARTUP_SQL + f""", one AS (SELECT id FROM pool WHERE created BETWEEN {DAY_SQL} - INTERVAL 24 HOUR AND {DAY_SQL} ORDER BY created DESC, id LIMIT 1),
+two AS (SELECT id, row_number() OVER (ORDER BY importance DESC, created DESC, id) AS k FROM pool WHERE id NOT IN (SELECT id FROM one)),
+old AS (SELECT id FROM pool WHERE id NOT IN (SELECT id FROM one) AND id NOT IN (SELECT id FROM two WHERE k <= 2) AND NOT resolved AND {NEGLECTED_SQL.format(DAY_SQL)} ORDER BY importance DESC, id LIMIT 20)
+SELECT 1 AS slot, id FROM one UNION ALL SELECT CAST(k + 1 AS INT), id FROM two WHERE k <= 2 UNION ALL SELECT 4, id FROM (SELECT id FROM old ORDER BY {SEEDED_SQL.format(5, 'id')}, id LIMIT 1)""")
 def win_06(spark, sf):
     return K.startup_slots(memories(spark, sf), F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'"), seed=5)
 
 
-@query("top_08_shuffle_head")
+@query("top_08_shuffle_head", VIEWS + RANKED_SQL + f" SELECT row_number() OVER (ORDER BY CASE WHEN rank = 1 THEN 0 WHEN rank <= 20 THEN 1 ELSE 2 END, CASE WHEN rank BETWEEN 2 AND 20 THEN {SEEDED_SQL.format(3, 'id')} END, rank) AS pos, id FROM ranked WHERE rank <= 200")
 def top_08(spark, sf):
     return K.shuffle_head(ranked(spark, sf).select("rank", "id"), 20, seed=3)
 
 
-@query("top_09_passive_association")
+@query("top_09_passive_association", VIEWS + STARTUP_SQL + f" SELECT id FROM pool WHERE {NEGLECTED_SQL.format(AT_SQL)} ORDER BY {SEEDED_SQL.format(4, 'id')}, id LIMIT 2")
 def top_09(spark, sf):
     return K.random_rows(P.startup_memories(memories(spark, sf)).filter(P.neglected(as_of())), 2, seed=4).select("id")
 
 
-@query("top_10_resolved_encounter")
+ENCOUNTER_SQL = """, slots AS (SELECT id, row_number() OVER (ORDER BY {pool_u}, id) - 1 AS slot FROM low), z AS (SELECT count(*) AS size FROM slots),
+drawn AS (SELECT session, CAST(floor({start_u} * size) AS BIGINT) AS start, size FROM sessions, z WHERE {chance_u} < {chance} AND size > 0),
+picks AS (SELECT session, (start + k) % size AS slot FROM (SELECT *, unnest(range(0, least(3, size))) AS k FROM drawn)) SELECT session, id FROM picks JOIN slots USING (slot)"""
+
+
+@query("top_10_resolved_encounter", VIEWS + ", low AS (SELECT id FROM memories WHERE resolved), sessions AS (SELECT event_id AS session FROM events)" + ENCOUNTER_SQL.format(pool_u=SEEDED_SQL.format(9, "id"), start_u=SEEDED_SQL.format(9, "session"), chance_u=SEEDED_SQL.format(8, "session"), chance=0.03))
 def top_10(spark, sf):
     sessions = table(spark, sf, "events").select(F.col("event_id").alias("session"))
     return K.encounters(sessions, _slots(memories(spark, sf).filter("resolved").select("id"), 9), 0.03, 3, seed=8)
@@ -55,18 +71,25 @@ def _slots(pool, seed):
     return S.append_events(pool.withColumn("_u", K.seeded(seed)), F.lit(-1), ["_u", "id"]).select("id", F.col("seq").alias("slot"))
 
 
-@query("top_11_low_score_drift")
+@query("top_11_low_score_drift", VIEWS + f", low AS (SELECT id FROM memories WHERE {ALLOWED_SQL['search']} AND {SCORE_SQL} < 2), sessions AS (SELECT item_id AS session FROM benchmark)" + ENCOUNTER_SQL.format(pool_u=SEEDED_SQL.format(2, "id"), start_u=SEEDED_SQL.format(7, "session"), chance_u=SEEDED_SQL.format(6, "session"), chance=0.4))
 def top_11(spark, sf):
     low = memories(spark, sf).filter(policy.allowed("search")).withColumn("score", scores.decay_score(as_of())).filter("score < 2").select("id")
     return K.encounters(table(spark, sf, "benchmark").select(F.col("item_id").alias("session")), _slots(low, 2), 0.4, 3, seed=6)
 
 
-@query("top_12_letters_ranked", VIEWS + "SELECT id FROM memories WHERE type = 'letter' AND contains(lower(content), 'the') ORDER BY created DESC, id LIMIT 50")
+@query("top_12_letters_ranked", VIEWS + """, l AS (SELECT * FROM memories WHERE type = 'letter'), q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'the' ELSE 'que' END AS query FROM benchmark),
+v AS (SELECT query_id, l.id, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS score FROM q JOIN vectors x ON x.vec_id = q.query_id AND q.query_id % 4 < 2 JOIN vectors y ON TRUE JOIN l ON l.id = y.id),
+c AS (SELECT query_id, id, round(score, 6) AS score, NULL AS created FROM v WHERE score >= 0.2 UNION ALL SELECT q.query_id, l.id, NULL, created FROM q JOIN l ON contains(lower(content), query) WHERE query_id NOT IN (SELECT query_id FROM v WHERE score >= 0.2))
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created DESC, id) AS rank FROM c) WHERE rank <= 50""")
 def top_12(spark, sf):
-    return P.letters(memories(spark, sf), "0000", "9999", "the").orderBy(F.desc("created"), "id").limit(50).select("id")
+    letters, v = memories(spark, sf).filter("type = 'letter'"), vectors(spark, sf)
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "the").otherwise("que").alias("query"))
+    asked = v.join(q.filter("query_id % 4 < 2").select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", "vec_id", "embedding")
+    close = SI.vector_scores(asked, v.join(letters.select("id"), "id", "left_semi"), 0.2)
+    return K.letters_ranked(letters, q, close, 50).withColumn("score", F.round("score", 6))
 
 
-@query("top_14_dream_assembly")
+@query("top_14_dream_assembly", RECURSIVE + RANKED_SQL + f", r AS (SELECT CAST(0 AS BIGINT) AS session, rank, id, {TOKENS_SQL.format('content')} AS tokens FROM ranked WHERE rank <= 60)" + GREEDY_SQL.format(budget=20000))
 def top_14(spark, sf):
     rows = ranked(spark, sf, 60).select(F.lit(0).cast("long").alias("session"), "rank", "id", token_estimate(F.col("content")).alias("tokens"))
     return O.budget_greedy(rows, "session", 20_000)
@@ -84,11 +107,10 @@ def agg_08(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(token_estimate(F.col("text"))).alias("tokens"), F.substring(F.min_by("text", "turn"), 1, 100).alias("preview"))
 
 
-@query("agg_10_index_drift", VIEWS + "SELECT id, 'missing' AS kind FROM memories WHERE id NOT IN (SELECT id FROM vectors) AND doc_id % 11 <> 0 UNION ALL SELECT id, 'orphan' FROM vectors WHERE id NOT IN (SELECT id FROM memories)")
+@query("agg_10_index_drift", VIEWS + f"SELECT 'missing' AS part, id AS name, NULL AS type, NULL AS value FROM memories WHERE id NOT IN (SELECT id FROM vectors) AND doc_id % 11 <> 0 UNION ALL SELECT 'orphan', id, NULL, NULL FROM vectors WHERE id NOT IN (SELECT id FROM memories) UNION ALL SELECT 'type', type, type, count(*)::DOUBLE FROM memories GROUP BY type UNION ALL SELECT 'row', id, type, {SCORE_SQL} FROM memories")
 def agg_10(spark, sf):
-    m, v = memories(spark, sf), vectors(spark, sf)
-    missing = m.filter("doc_id % 11 <> 0").select("id").join(v.select("id"), "id", "left_anti").select("id", F.lit("missing").alias("kind"))
-    return missing.unionByName(v.select("id").join(m.select("id"), "id", "left_anti").select("id", F.lit("orphan").alias("kind")))
+    m = memories(spark, sf)
+    return A.index_drift(m, vectors(spark, sf), m.filter("doc_id % 11 = 0"), as_of())
 
 
 @query("agg_13_cluster_patterns")
@@ -115,7 +137,8 @@ def agg_14(spark, sf):
 
 @query("agg_15_best_connection", VIEWS + FEEL_PAIRS + " SELECT a, b, round(w, 3) AS weight FROM p ORDER BY round(w, 3) DESC, a, b LIMIT 1")
 def agg_15(spark, sf):
-    return _feel_edges(spark, sf).orderBy(F.desc("weight"), "a", "b").limit(1)
+    feels = vectors(spark, sf).join(memories(spark, sf).filter("doc_id % 4 = 1").select("id"), "id", "left_semi")
+    return SI.best_pair(feels, 0.3)
 
 
 @query("agg_25_decision_consistency", "SELECT event_id AS id, unnest(list_filter([CASE WHEN event_id % 6 = 0 THEN 'id_mismatch' END, CASE WHEN event_id % 5 = 0 THEN 'surface_missing' END], lambda x: x IS NOT NULL)) AS code FROM events")
@@ -186,11 +209,12 @@ def lif_03(spark, sf):
     return m.join(gone, "id", "left").select("id", F.when(F.col("gone"), "archived").otherwise(F.col("type")).alias("type"))
 
 
-@query("lif_07_semantic_merge", VIEWS + "SELECT id AS target, sha256(content || chr(10) || '---' || chr(10) || 'note ' || CAST(doc_id AS VARCHAR)) AS h, round((valence + 0.521::DOUBLE) / 2, 2) AS valence, greatest(importance, 4) AS importance FROM memories WHERE doc_id % 6 = 0 AND strlen(content) < 3000")
+@query("lif_07_semantic_merge", VIEWS + """, t AS (SELECT *, content || chr(10) || '---' || chr(10) || 'note ' || CAST(doc_id AS VARCHAR) AS joined FROM memories WHERE doc_id % 6 = 0), f AS (SELECT *, coalesce(strlen(joined) <= 4096, FALSE) AS fits FROM t)
+SELECT id AS target, sha256(CASE WHEN fits THEN joined ELSE content END) AS h, CASE WHEN fits THEN round((valence + 0.521::DOUBLE) / 2, 2) ELSE valence END AS valence, CASE WHEN fits THEN greatest(importance, 4) ELSE importance END AS importance, CASE WHEN fits THEN '' ELSE CAST(doc_id AS VARCHAR) END AS created FROM f""")
 def lif_07(spark, sf):
-    d, m = F.col("doc_id"), memories(spark, sf).filter(F.octet_length("content") < 3000)
+    d, m = F.col("doc_id"), memories(spark, sf)
     new = m.filter(d % 6 == 0).select(d.alias("seq"), F.col("id").alias("target"), F.concat(F.lit("note "), d.cast("string")).alias("content"), F.array(F.lit("x")).alias("tags"), F.lit(0.521).alias("valence"), F.lit(4).alias("importance"))
-    return L.semantic_merge(new, m).select("target", F.sha2("content", 256).alias("h"), "valence", "importance")
+    return L.semantic_merge(new, m).select("target", F.sha2("content", 256).alias("h"), "valence", "importance", F.array_join("created", ",").alias("created"))
 
 
 @query("lif_12_review_decisions", VIEWS + "SELECT id, CASE WHEN doc_id % 4 = 3 THEN 'bad_decision' ELSE 'applied' END AS status, CASE doc_id % 4 WHEN 0 THEN 9 WHEN 1 THEN 10 WHEN 2 THEN 1 ELSE importance END AS importance, CASE WHEN doc_id % 4 = 1 THEN TRUE ELSE pinned END AS pinned, CASE WHEN doc_id % 4 = 2 THEN TRUE ELSE resolved END AS resolved FROM memories")
@@ -215,11 +239,11 @@ def lif_14(spark, sf):
     return L.feel_ingest(feels, m)[1]
 
 
-@query("lif_15_batch_items", "SELECT conv_id AS batch, count(*) AS items FROM conversations WHERE turn % 3 <> 1 GROUP BY 1")
+@query("lif_15_batch_items", f"SELECT {FILE_SQL} AS batch, count(*) AS items, sum(length(trim(text)))::BIGINT AS chars FROM conversations WHERE turn % 3 <> 1 AND trim(text) <> '' GROUP BY 1")
 def lif_15(spark, sf):
     c = table(spark, sf, "conversations").withColumn("i", F.struct("turn", F.when(F.col("turn") % 3 == 1, "  ").otherwise(F.col("text")).alias("t")))
-    batches = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("i")).alias("xs")).select(F.col("conv_id").alias("batch"), F.transform("xs", lambda x: x["t"]).alias("items"))
-    return L.split_batches(batches).groupBy("batch").agg(F.count(F.lit(1)).alias("items"))
+    batches = c.groupBy(file_of().alias("batch")).agg(F.array_sort(F.collect_list("i")).alias("xs")).select("batch", F.transform("xs", lambda x: x["t"]).alias("items"))
+    return L.split_batches(batches).groupBy("batch").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("content")).alias("chars"))
 
 
 @query("lif_17_reclassify", "WITH k(domain, kw) AS (VALUES ('license', 'license'), ('license', 'mit'), ('license', 'released')), h AS (SELECT doc_id, count(*) AS hits FROM documents, k WHERE contains(lower(text), kw) GROUP BY 1 HAVING count(*) >= 2) SELECT doc_id, source AS old, 'license' AS new FROM h JOIN documents USING (doc_id)")
@@ -229,35 +253,33 @@ def lif_17(spark, sf):
     return d.select("doc_id", F.col("source").alias("old")).join(new, "doc_id").filter("old <> domains").select("doc_id", "old", F.col("domains").alias("new"))
 
 
-@query("lif_21_reembed", VIEWS + "SELECT id, doc_id % 4 = 0 AS kept FROM memories WHERE NOT contains(content, 'MIT')")
+@query("lif_21_reembed", VIEWS + "SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'kept' WHEN contains(coalesce(content, ''), 'MIT') THEN 'failed' ELSE 'made' END AS state, NOT EXISTS (SELECT 1 FROM memories WHERE doc_id % 4 <> 0 AND contains(coalesce(content, ''), 'MIT')) AS swapped FROM memories")
 def lif_21(spark, sf):
     from notegrid.plans.jobs import stand_in
 
-    m = memories(spark, sf).filter(~F.contains("content", F.lit("MIT")))
-    done = m.filter("doc_id % 4 = 0").select("id", F.lit(True).alias("kept"))
-    todo = m.join(done.select("id"), "id", "left_anti")
-    made = I.embed(todo, stand_in).filter("error IS NULL").select("id", F.lit(False).alias("kept"))
+    m = memories(spark, sf)
     store = VersionedTable(spark, new_path(spark, "reembed"))
-    store.write(done)
-    store.upsert(made)
-    return store.read()
+    store.write(m.select("id", F.lit("old").alias("signature")))
+    done = m.filter("doc_id % 4 = 0").select("id")
+    return I.reembed(m, done, stand_in, store, "new")
 
 
-@query("lif_22_import_job", "SELECT conv_id, count(*) AS items FROM (SELECT conv_id, row_number() OVER (PARTITION BY sha256(trim(text)) ORDER BY conv_id, turn) AS k FROM conversations WHERE role = 'user') WHERE k = 1 GROUP BY 1")
+@query("lif_22_import_job", f"SELECT conv_id, count(*) AS items FROM (SELECT conv_id, row_number() OVER (PARTITION BY sha256(trim(text)) ORDER BY conv_id, turn) AS k FROM conversations WHERE role = 'user') WHERE k = 1 GROUP BY 1")
 def lif_22(spark, sf):
     c = table(spark, sf, "conversations").withColumn("m", F.struct(F.col("turn"), F.concat("role", F.lit(": "), "text").alias("line")))
-    texts = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms")).select(F.col("conv_id").cast("string").alias("path"), F.array_join(F.transform("ms", lambda x: x["line"]), "\n").alias("value"))
+    texts = c.groupBy(file_of().alias("path")).agg(F.array_sort(F.collect_list("m")).alias("ms")).select("path", F.array_join(F.transform("ms", lambda x: x["line"]), "\n").alias("value"))
     turns = S.route(texts).filter("role = 'user'")
-    items = turns.select(F.col("path").cast("long").alias("conv_id"), "turn", "content", (F.col("path").cast("long") * 100000 + F.col("turn")).alias("seq"))
+    conv, part = F.split("path", "-")[0].cast("long"), F.split("path", "-")[1].cast("long")
+    items = turns.select(conv.alias("conv_id"), "turn", "content", (conv * 1000000 + part * 100 + F.col("turn")).alias("seq"))
     fate = L.exact_dedup(items, memories(spark, sf).limit(0))
     return items.join(fate.filter("disposition = 'created'"), "seq").groupBy("conv_id").agg(F.count(F.lit(1)).alias("items"))
 
 
-@query("src_10_chat_tree", "SELECT CAST(conv_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, sha256(trim(text)) AS h FROM conversations")
+@query("src_10_chat_tree", f"SELECT {FILE_SQL} AS path, row_number() OVER (PARTITION BY {FILE_SQL} ORDER BY turn) - 1 AS turn, role, sha256(trim(text)) AS h FROM conversations")
 def src_10(spark, sf):
     node = F.struct(F.struct(F.struct("role").alias("author"), F.struct(F.array("text").alias("parts")).alias("content"), (F.col("turn") * 10 + 1).cast("double").alias("create_time")).alias("message"))
-    c = table(spark, sf, "conversations").select("conv_id", F.concat(F.lit("k"), F.col("turn").cast("string")).alias("k"), node.alias("n"))
-    f = c.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("mapping")).select(F.col("conv_id").cast("string").alias("path"), F.to_json(F.struct("mapping")).alias("value"))
+    c = table(spark, sf, "conversations").select(file_of().alias("path"), F.concat(F.lit("k"), F.col("turn").cast("string")).alias("k"), node.alias("n"))
+    f = c.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("mapping")).select("path", F.to_json(F.struct("mapping")).alias("value"))
     return S.parse_chat_tree(f).select("path", "turn", "role", F.sha2("content", 256).alias("h"))
 
 
@@ -276,10 +298,12 @@ def src_15(spark, sf):
     return S.backup_diff(local, remote)
 
 
-@query("src_18_catch_up", VIEWS + "SELECT seq AS index FROM ledger WHERE seq > 100 AND seq < 700")
+@query("src_18_catch_up", VIEWS + ", z AS (SELECT max(seq) AS last FROM ledger) SELECT seq AS index FROM ledger, z WHERE seq > last // 10 AND seq < last * 9 // 10")
 def src_18(spark, sf):
     e = ledger(spark, sf).select(F.col("seq").alias("index"), "payload")
-    return S.catch_up(e.filter("index <= 500"), e.filter("index > 400 AND index <> 700"), 100).select("index")
+    last = e.agg(F.max("index").alias("last")).first()["last"]  # one row
+    snapshot, log = e.filter(F.col("index") <= last // 2), e.filter((F.col("index") > last * 4 // 10) & (F.col("index") != last * 9 // 10))
+    return S.catch_up(snapshot, log, last // 10).select("index")
 
 
 @query("src_19_attachments", VIEWS + "SELECT id, id || '/' || substring(sha256(domain[1]), 1, 16) || '.txt' AS path, strlen(domain[1]) AS bytes FROM memories")
@@ -345,20 +369,18 @@ def txt_08(spark, sf):
     return rows.mapInPandas(run, "id string, js string").select(F.col("id").cast("long").alias("doc_id"), F.get_json_object("js", "$.k").alias("k"))
 
 
-@query("str_01_stream_catalog", VIEWS + ", k AS (SELECT * FROM ledger WHERE event_type <> 'Other') SELECT trace_id, max(seq) AS latest_seq, count(*) AS events FROM k GROUP BY 1")
+@query("str_01_stream_catalog", CATALOG_SQL)
 def str_01(spark, sf):
     from notegrid.plans.jobs import _stream
-    from notegrid.streaming.jobs import run_available
+    from notegrid.streaming.jobs import stream_catalog
 
-    n = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"))  # one row
-    e = _stream(spark, sf).join(F.broadcast(n)).select(F.concat(F.lit("m"), (F.col("event_id") % F.col("n")).cast("string")).alias("trace_id"), (F.col("event_id") + 1).alias("seq"))
-    return run_available(e.groupBy("trace_id").agg(F.max("seq").alias("latest_seq"), F.count(F.lit(1)).alias("events")), "complete", "catalog")
+    return stream_catalog(ledger(spark, sf, _stream(spark, sf)).select("seq", "trace_id", "event_type", "body_hash", "payload"))
 
 
-@query("str_07_surfacing_log", "SELECT user_id AS run, event_type AS kind, count(*) AS entries FROM events GROUP BY 1, 2")
+@query("str_07_surfacing_log", "SELECT event_type AS kind, arg_max(user_id, event_id) AS newest_run, max(event_id) AS newest, count(*) AS entries FROM events GROUP BY 1")
 def str_07(spark, sf):
     from notegrid.plans.jobs import _stream
     from notegrid.streaming.jobs import run_available
 
     log = run_available(_stream(spark, sf).select(F.col("user_id").alias("run"), F.col("event_type").alias("kind"), "event_id"), "append", "surfacing")
-    return log.groupBy("run", "kind").agg(F.count(F.lit(1)).alias("entries"))
+    return log.groupBy("kind").agg(F.max_by("run", "event_id").alias("newest_run"), F.max("event_id").alias("newest"), F.count(F.lit(1)).alias("entries"))

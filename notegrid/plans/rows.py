@@ -9,6 +9,7 @@ from notegrid.functions import policy, scores, text
 from notegrid.functions.policy import ALLOWED_SQL, AUDIT_SQL, REASONS_SQL
 from notegrid.functions.scores import DAYS_SQL, SCORE_SQL
 from notegrid.operators import predicates as P
+from notegrid.operators.ranking import SEEDED_SQL
 from notegrid.plans.registry import query
 from notegrid.schema import AS_OF, VIEWS, as_of, ledger, memories, table, vectors
 
@@ -20,11 +21,11 @@ for _mode in ("spontaneous", "importance", "dream", "search"):
 
 @query("flt_02_domain_prefilter", VIEWS + """, q AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN ['SRC1', 'src2'] WHEN 1 THEN ['nothing'] ELSE ['src3'] END AS domains FROM benchmark),
 hits AS (SELECT query_id, id FROM q, memories WHERE list_has_any(list_transform(domains, lambda x: lower(x)), list_transform(domain, lambda x: lower(x))))
-SELECT query_id, count(*) AS n, min(id) AS lo, max(id) AS hi FROM (SELECT * FROM hits UNION ALL SELECT q.query_id, m.id FROM q, memories m WHERE q.query_id NOT IN (SELECT query_id FROM hits)) GROUP BY query_id""")
+SELECT query_id, id FROM hits UNION ALL SELECT query_id, NULL FROM q WHERE query_id NOT IN (SELECT query_id FROM hits)""")
 def flt_02(spark, sf):
     b = F.col("item_id") % 3
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(b == 0, F.array(F.lit("SRC1"), F.lit("src2"))).when(b == 1, F.array(F.lit("nothing"))).otherwise(F.array(F.lit("src3"))).alias("domains"))
-    return P.domain_prefilter(memories(spark, sf), q).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return P.domain_prefilter(memories(spark, sf), q)
 
 
 @query("flt_03_tags_all", VIEWS + "SELECT id FROM memories WHERE list_has_all(tags, ['en'])")
@@ -280,7 +281,7 @@ def top_13(spark, sf):
     return plans_ranked(memories(spark, sf), as_of(), 20, 5)
 
 
-@query("top_07_weighted_sample")
+@query("top_07_weighted_sample", VIEWS + f"SELECT id, score FROM (SELECT id, {SCORE_SQL} AS score FROM memories WHERE {ALLOWED_SQL['spontaneous']} ORDER BY score DESC, id LIMIT 200) ORDER BY -ln({SEEDED_SQL.format(7, 'id')}) / greatest(score, 1e-9), id LIMIT 20")
 def top_07(spark, sf):
     from notegrid.operators.ranking import weighted_sample
 

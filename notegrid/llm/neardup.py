@@ -243,8 +243,18 @@ def joined_labels(labels: DataFrame, links: DataFrame, keep: Workspace) -> DataF
     return keep.write(labels.join(tops, "component", "left").select("id", F.coalesce("higher", "component").alias("component")).unionByName(lone), "labels")
 
 
-def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
+def with_digest(docs: DataFrame, column: str, size: int = 5) -> DataFrame:
+    """docs with the digest of each row's set (null for an empty one) in a column of its own."""
+
+    def run(texts: list[str], part) -> dict:
+        sets = [shingle_set(t, size) for t in texts]
+        return {c: part.column(c) for c in part.schema.names} | {column: [set_digest(s) if len(s) else None for s in sets]}
+
+    return map_text(docs, run, T.StructType([*docs.schema.fields, T.StructField(column, T.BinaryType())]))
+
+
+def link(docs: DataFrame, size: int = 5, percent: int = 80, digests: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept; with `digests` also the digest of the row's set."""
     keep = Workspace(docs.sparkSession, "neardup")
     signed = materialize(signatures(docs, size), "signed")
     known = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
@@ -273,4 +283,4 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     to = materialize(classes.select("digest", "doc_id").join(linked_to, "digest", "left").select("digest", F.coalesce("top", "doc_id").alias("top")), "to")
     keep.close()
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id"))
-    return signed.select("doc_id", "n", "digest").join(to.hint("merge"), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return signed.select("doc_id", "n", "digest").join(to.hint("merge"), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), *(["digest"] if digests else []))

@@ -1,8 +1,13 @@
 """Corpus pipeline: language ID, quality, near-dedup, PII, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of
-documents; the last returns packed pieces. Rows that a filter can't judge for lack of an id are judged by
-their text like all others.
+documents; the last returns packed pieces.
+
+Defined results, of every stage: rows are judged by their text alone, whatever is null or repeated in other
+columns; very long texts are taken whole; an empty table gives an empty one; other columns, of any name, stay as
+they are. Null and empty texts go in the first stage, as they have no letter; where a later stage gets them, the
+quality stage scores them like an empty text, near-dedup keeps one for each doc_id, PII leaves them as they are
+and packing gives them their end id.
 """
 
 from __future__ import annotations
@@ -53,12 +58,23 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest doc_id of each group of near-duplicates (five words, 0.8)."""
-    kept = materialize(neardup.link(docs).filter("kept").groupBy(F.col("doc_id").alias("kept_id")).count(), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    if kept.filter("count > 1 AND kept_id IS NOT NULL").limit(1).count():  # rows that repeat a doc_id: one stays
-        out = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.filter(F.col("doc_id").isNull()))
-    return out
+    """Keep the document of smallest doc_id of each group of near-duplicates (five words, 0.8).
+
+    Rows that repeat a doc_id are told apart by the set of their text; of equal ones one row stays. Rows without a
+    doc_id all stay.
+    """
+    found = materialize(neardup.link(docs, digests=True), "linked")
+    twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if not twice.limit(1).count():
+        kept = materialize(found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+        return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    name = "set_digest"
+    while name in docs.columns:
+        name += "_"
+    rows = neardup.with_digest(docs, name)
+    kept = materialize(found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct(), "kept")
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("kept_id")) & rows[name].eqNullSafe(F.col("kept_digest")), "left_semi")
+    return rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", name]).unionByName(rows.filter("doc_id IS NULL")).drop(name)
 
 
 def pii_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +84,8 @@ def pii_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    special = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special)
 
 
 STAGES = [("language_id", language_id), ("quality", quality_filter), ("near_dedup", near_dedup), ("pii", pii_removal), ("packing", pack)]

@@ -25,3 +25,28 @@ def test_repeated_rows_and_clashes(spark, sf):
     assert cp.language_id(spark, docs, sf).count() == 3
     assert cp.quality_filter(spark, docs, sf).columns == docs.columns
     assert cp.near_dedup(spark, docs.limit(0), sf).count() == 0
+
+
+def test_repeated_ids_of_different_texts(spark, sf):
+    a, b, c = ("".join(f"{w}{i} " for i in range(30)) for w in ("red", "blue", "green"))
+    rows = [(1, a, "en"), (1, b, "en"), (1, b, "en"), (2, b, "en"), (3, c, "en"), (0, c, "en"), (None, a, "en"), (4, None, "en"), (4, "", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, set_digest string")
+    got = cp.near_dedup(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got.collect()) == sorted([(1, a), (1, b), (0, c), (-1, a), (4, "")])
+
+
+def test_stage_edges(spark, sf):
+    word = "the of and to in is that was for as with on by at from this be are it an "
+    mail = "write to ann.bell@mail.example.com or 10.20.30.40 soon "
+    rows = [(1, None, 1.5, None), (2, "", 1.5, 0), (3, word * 2000 + mail, 1.5, 3), (4, mail, None, len(mail)), (None, mail, 2.5, None), (3, word * 2000 + mail, 1.5, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, n_chars long")
+    red = {(r.doc_id, r.score): r for r in cp.pii_removal(spark, docs, sf).collect()}
+    assert len(red) == 5 and red[1, 1.5].text is None and red[1, 1.5].n_chars is None and red[2, 1.5].text == ""
+    assert red[4, None].text.startswith("write to [EMAIL] or [IP] soon") and red[4, None].n_chars == len(red[4, None].text)
+    assert red[3, 1.5].text.startswith(word * 2000) and "ann.bell" not in red[3, 1.5].text
+    packed = cp.pack(spark, docs, sf)
+    sizes = {r.doc_id: r.n for r in packed.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
+    assert sizes[1] == sizes[2] == 1 and sizes[3] > 2 * 2000 * 15 and packed.filter("length > 2048").count() == 0
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name

@@ -9,8 +9,9 @@ The model is fitted on about sample_per_lang labelled rows of each language (a h
 keeps the words_per_lang most frequent words and grams_per_lang n-grams of each.
 
 Defined results: `und` and score 0 where the text is null or has no letter, or where nothing was learned;
-a text of letters that the model has never seen gets the language with most labelled rows; repeated rows
-get equal results; other columns are ignored.
+a text of letters that the model has never seen gets the language with most labelled rows; of equally likely
+languages the one with more labelled rows is taken; very long texts are read whole; repeated rows get equal
+results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notegrid.llm.common import crc_fold, map_text
+from notegrid.llm.common import crc_fold, map_text, materialize
 
 LONGEST = 4
 EVIDENCE = 20
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, sample_per_lang: int = 800, words_per_lang: int = 20_00
 
     summed = map_text(sample, count, COUNTS, most_bytes=16 << 20).groupBy("kind", "item").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)])
     most = F.greatest(*[F.col(f"n{i}") for i in range(len(langs))]) if len(langs) > 1 else F.col("n0")
-    kept = summed.filter(most >= 2).withColumn("most", most)
+    kept = materialize(summed.filter(most >= 2).withColumn("most", most), "counts")
     counts: dict[int, dict[str, np.ndarray]] = {}
     top = kept.filter(F.col("kind") == 0).orderBy(F.desc("most"), "item").limit(words_per_lang * len(langs))
     counts[0] = {r[1]: np.array(r[2 : 2 + len(langs)], np.float64) for r in top.collect()}

@@ -5,8 +5,10 @@ most about sample_rows labelled rows (a hash of doc_id decides): each level sums
 (node, statistic, bin) histograms with one bincount. All trees have one depth and are flattened into three
 arrays, so a batch of documents walks every tree at once by numpy indexing.
 
-Defined results: a null text counts as empty and is scored like one; labels that are null or whose row has
-no document teach nothing; without labels every score is 0.5, with one class only it is near that class.
+Defined results: a null text counts as empty and is scored like one; very long texts are measured whole; labels
+that are null or whose row has no document teach nothing; without labels every score is 0.5, with one class only
+it is near that class; of equally good cuts the first is taken; repeated rows get equal scores; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

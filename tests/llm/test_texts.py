@@ -194,6 +194,63 @@ def test_quality(spark, sf):
     assert quality.held_out_quality(docs.limit(0), labels).count() == 0
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="abC1é .!#\n%X漢", max_size=60), min_size=1, max_size=6))
+def test_statistics_equal_plain_ones(texts):
+    import math
+    from collections import Counter
+
+    from notegrid.llm.quality import STATISTICS, statistics
+
+    got = statistics(texts)
+    for row, text in zip(got, texts, strict=True):
+        own = dict(zip(STATISTICS, row, strict=True))
+        data, words = text.encode(), text.split()
+        share = lambda f: sum(map(f, data)) / max(1, len(data))
+        want = {"log_chars": math.log1p(len(data)), "upper": share(lambda b: 65 <= b < 91), "lower": share(lambda b: 97 <= b < 123), "digit": share(lambda b: 48 <= b < 58), "space": share(lambda b: b == 32), "newline": share(lambda b: b == 10), "beyond_ascii": share(lambda b: b >= 128), "exclamation": share(lambda b: b == 33)}
+        want["entropy"] = -sum(n / len(data) * math.log2(n / len(data)) for n in Counter(data).values()) if data else 0
+        if words:
+            lines = [x for x in text.split("\n") if x]
+            want |= {"word_length": sum(map(len, words)) / len(words), "distinct_words": len(set(words)) / len(words), "top_word": max(Counter(words).values()) / len(words), "distinct_pairs": len(set(zip(words, words[1:]))) / max(1, len(words) - 1), "upper_words": sum(len(w) > 1 and w.isupper() for w in words) / len(words), "title_words": sum(w.istitle() for w in words) / len(words), "repeated_lines": 1 - len(set(lines)) / len(lines) if lines else 0, "short_words": sum(len(w) <= 3 for w in words) / len(words)}
+        for k, v in want.items():
+            assert abs(own[k] - v) < 1e-4, k
+
+
+def test_language_equals_plain_scoring():
+    import math
+    import re
+
+    from notegrid.llm.language import EVIDENCE, LONGEST, Model, grams
+
+    rng = random.Random(3)
+    word = lambda n=4: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, n)))
+    counts = {0: {word(): np.array([rng.randint(0, 9), rng.randint(0, 9)], float) for _ in range(30)}}
+    for n in range(1, LONGEST + 1):
+        counts[n] = {rng.choice(grams(word(), n) or ["<a"]): np.array([rng.randint(0, 9), rng.randint(0, 9)], float) for _ in range(8)}
+    model = Model(["x", "y"], counts)
+    logs = {k: dict(zip(own, np.log((np.array(list(own.values())) + 0.5) / (np.array(list(own.values())) + 0.5).sum(axis=0)), strict=True)) for k, own in counts.items()}
+
+    def plain(text):
+        total, used = np.zeros(2), 0
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            if w in logs[0]:
+                total, used = total + logs[0][w], used + 1
+                continue
+            for n in range(LONGEST, 0, -1):
+                if at := [logs[n][g] for g in grams(w, n) if g in logs[n]]:
+                    total, used = total + sum(at) / len(at), used + 1
+                    break
+        if not re.search(r"[^\W\d_]", text):
+            return "und", 0.0
+        p = np.exp((total / used * min(used, EVIDENCE) if used else total) - 0)
+        return ["x", "y"][int(p.argmax())], float(p.max() / p.sum())
+
+    texts = [" ".join(rng.choice([word(6), word(), "12", "-a-b", "Éa"]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    for t, lang, score in zip(texts, *model.predict(texts), strict=True):
+        want = plain(t)
+        assert (lang == want[0] or abs(want[1] - 0.5) < 1e-9) and math.isclose(score, want[1], abs_tol=1e-9), t
+
+
 def test_trees_walk():
     from notegrid.llm.quality import grow
 

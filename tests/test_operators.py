@@ -232,3 +232,164 @@ def test_policy_is_never_bypassed(spark, sf):
     m = memories(spark, sf)
     scored = gated_score(m, [(F.lit(1.0), 1.0)], [F.lit(5.0)], "dream").join(m.filter(~policy.allowed("dream")).select("id"), "id", "left_semi")
     assert scored.count() > 0 and scored.filter("surface <> 0").count() == 0
+
+
+def test_time_ripple_equals_brute_force(spark):
+    import datetime as dt
+
+    rng = random.Random(12)
+    start = dt.datetime(2024, 1, 5, 7, 0, 0)
+    at = [start + dt.timedelta(seconds=rng.choice([0, 60, 3600, 172800, 172801, rng.randint(0, 400000)])) for _ in range(150)]
+    rows = [(f"m{i:03d}", at[i], i % 17 == 0, "dynamic" if i % 5 else "plan") for i in range(150)]
+    df = spark.createDataFrame(rows, "id string, created timestamp_ntz, pinned boolean, type string")
+    touched = [r for i, r in enumerate(rows) if i % 3 == 0]
+    want: dict = {}
+    for t in touched:
+        near = sorted(r[0] for r in rows if r[0] != t[0] and not r[2] and r[3] == "dynamic" and abs((r[1] - t[1]).total_seconds()) <= 48 * 3600)[:5]
+        for i in near:
+            want[i] = want.get(i, 0) + 0.3
+    got = {r.id: r.credit for r in joins.time_ripple(df.filter("int(substring(id, 2, 3)) % 3 = 0"), df).collect()}
+    assert got == {k: round(v, 1) for k, v in want.items()}
+
+
+def test_state_keys_equal_brute_force(spark):
+    import datetime as dt
+
+    rng = random.Random(13)
+    rows = [(f"m{i}", rng.choice("abc") if i % 2 else "hot", dt.datetime(2024, 1, 1 + rng.randint(0, 3)), rng.random() < 0.6) for i in range(80)]
+    got = {r.id: (r.candidates, r.newest) for r in joins.state_key_candidates(spark.createDataFrame(rows, "id string, key string, created timestamp_ntz, current boolean")).collect()}
+    want = {}
+    for i, k, _, _ in rows:
+        others = sorted(((r[2], r[0]) for r in rows if r[1] == k and r[3] and r[0] != i), key=lambda x: (-x[0].timestamp(), x[1]))
+        if others:
+            want[i] = len(others), others[0][1]
+    assert got == want
+
+
+def test_archive_finds_tampering(spark, tmp_path):
+    import glob
+    import os
+
+    path = f"{tmp_path}/archive"
+    files.write_archive(path, {"a": spark.range(50), "b": spark.range(7).repartition(2)})
+    assert files.verify_archive(spark, path).count() == 0
+    assert files.read_archive(spark, path, "a").count() == 50
+    victim = sorted(glob.glob(f"{path}/data/a/*.parquet"))[0]
+    with open(victim, "ab") as f:
+        f.write(b"x")
+    gone = sorted(glob.glob(f"{path}/data/b/*.parquet"))[0]
+    os.remove(gone)
+    spark.range(3).write.parquet(f"{path}/data/c")
+    got = {r.code for r in files.verify_archive(spark, path).collect()}
+    assert got == {"size", "missing", "extra"}
+
+
+def test_snapshot_checksum(spark):
+    rows = spark.range(1, 2501).select(F.col("id").alias("index"), F.lit("x").alias("event_type"), F.col("id").cast("string").alias("payload"))
+    header = files.snapshot_header(rows)
+    level = {i: hashlib.sha256(f"{i}|x|{i}".encode()).hexdigest() for i in range(1, 2501)}
+    for _ in range(2):
+        up: dict = {}
+        for i in sorted(level):
+            up[i // 1000] = up.get(i // 1000, "") + level[i]
+        level = {k: hashlib.sha256(v.encode()).hexdigest() for k, v in up.items()}
+    assert header.first()["checksum"] == hashlib.sha256("".join(level[k] for k in sorted(level)).encode()).hexdigest()
+    assert files.snapshot_problems(rows, header).first()["problems"] == ""
+    assert files.snapshot_problems(rows.filter("index <> 7"), header).first()["problems"] == "gap,bad_n,bad_checksum"
+    other = rows.withColumn("payload", F.when(F.col("index") == 9, "z").otherwise(F.col("payload")))
+    assert files.snapshot_problems(other, header).first()["problems"] == "bad_checksum"
+
+
+def test_streams_of_several_batches(spark, tmp_path):
+    from notegrid.operators.aggregates import KNOWN, trace_catalog
+    from notegrid.streaming import jobs
+
+    rng = random.Random(14)
+    rows = [(s, f"t{rng.randint(0, 6)}", rng.choice([*KNOWN, "Other"]), f"h{s}", "{}") for s in range(1, 91)]
+    rng.shuffle(rows)  # events come in any order
+    schema = "seq long, trace_id string, event_type string, body_hash string, payload string"
+    for i in range(3):
+        spark.createDataFrame(rows[i * 30 : i * 30 + 30], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
+    show = lambda df: sorted(map(tuple, df.collect()))
+    assert show(jobs.stream_catalog(stream)) == show(trace_catalog(spark.createDataFrame(rows, schema)))
+
+    sent = [(rng.randint(0, 2), n, rng.choice([n, n, n - 5])) for n in range(60)]
+    for i in range(3):
+        spark.createDataFrame(sent[i * 20 : i * 20 + 20], "source long, arrival long, seq long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/sent")
+        spark.read.parquet(f"{tmp_path}/sent").count()
+    top: dict = {}
+    want = []
+    for source, n, seq in sent:
+        if seq <= top.get(source, -1):
+            want.append((source, n, seq))
+        top[source] = max(seq, top.get(source, -1))
+    stream = spark.readStream.schema("source long, arrival long, seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/sent")
+    assert show(jobs.order_violations(stream)) == sorted(want)
+
+
+def test_versions_are_claimed_once(spark, tmp_path):
+    store = VersionedTable(spark, f"{tmp_path}/table")
+    assert [store._claim(), store._claim()] == [1, 2] and store.latest() == 0
+    assert store.write(spark.range(2)) == 3 and store.latest() == 3
+
+
+def test_diverse_pick(spark):
+    rng = random.Random(15)
+    rows = []
+    for s in range(6):
+        for r in range(12):
+            words = list(dict.fromkeys(rng.choice("abcdef") for _ in range(rng.randint(0, 4))))
+            vector = [rng.choice([0.0, 1.0]) for _ in range(3)] if r % 3 else None
+            rows.append((s, r, f"x{s}-{r}", words, vector, rng.choice([0.1, 0.6])))
+    got = ordered.diverse_pick(spark.createDataFrame(rows, "s long, rank long, id string, words array<string>, embedding array<double>, valence double"), "s").collect()
+
+    def alike(a, b):
+        if a[4] is not None and b[4] is not None:
+            na, nb = sum(x * x for x in a[4]) ** 0.5, sum(x * x for x in b[4]) ** 0.5
+            if na and nb and sum(x * y for x, y in zip(a[4], b[4])) / na / nb >= 0.8 - 1e-12:
+                return True
+        shared = len(set(a[3]) & set(b[3]))
+        return shared >= 2 and shared >= 0.6 * min(len(a[3]), len(b[3]))
+
+    for s in range(6):
+        kept: list = []
+        for r in (x for x in rows if x[0] == s):
+            if len(kept) < 3 and not any(alike(k, r) for k in kept) and sum(k[5] < 0.4 for k in kept) + (r[5] < 0.4) <= 2:
+                kept.append(r)
+        assert [x.id for x in sorted((x for x in got if x.s == s), key=lambda x: x.pos)] == [k[2] for k in kept]
+
+
+def test_search_equals_a_sequential_version(spark, sf):
+    from notegrid.schema import as_of, memories
+
+    m = memories(spark, sf).filter("doc_id < 60")
+    queries = spark.createDataFrame([(1, "the of", ["src1"], 0.2, 0.9), (2, "que de la", ["nowhere"], None, None), (3, "src2 en", None, 0.5, 0.5)], "query_id long, query string, domains array<string>, q_valence double, q_arousal double")
+    near = m.filter("doc_id % 7 = 1").select(F.lit(3).cast("long").alias("query_id"), "id", ((F.col("doc_id") % 10) / 10.0).alias("semantic"))
+    got = {(r.query_id, r.id): (r.score, r.rank) for r in retrieval.search(m, queries, near, as_of(), k=100).collect()}
+    lexical = {(r.query_id, r.id): r.bm25 for r in retrieval.bm25(m, queries).collect()}
+    from notegrid.functions import scores
+
+    want: dict = {}
+    rows = m.withColumns({"t": scores.time_score(as_of()), "i": scores.importance_score(), "u": scores.touch_score()}).collect()
+    close = {(r.query_id, r.id): r.semantic for r in near.collect()}
+    for q in queries.collect():
+        asked = {d.lower() for d in q.domains or []}
+        pool = [r for r in rows if asked & {d.lower() for d in r.domain}] or rows
+        for r in pool:
+            ratio = lambda xs: max((retrieval.partial_ratio(q.query, x or "") for x in xs), default=0.0)
+            topic = (3 * ratio([r["name"]]) + 2.5 * ratio(r.domain) + 2 * ratio(r.tags) + ratio([(r.content or "")[:1000]])) / 850
+            emotion = 0.5 if q.q_valence is None else max(0.0, 1 - ((q.q_valence - r.valence) ** 2 + (q.q_arousal - r.arousal) ** 2) ** 0.5 / 2**0.5)
+            total, weights = topic * 4 + emotion * 2 + r.t * 1.5 + r.i + r.u, 9.5
+            semantic = close.get((q.query_id, r.id))
+            if semantic is not None:
+                total, weights = total + 2.5 * semantic, weights + 2.5
+            if any(k[0] == q.query_id for k in lexical):
+                total, weights = total + 1.5 * lexical.get((q.query_id, r.id), 0.0), weights + 1.5
+            text = " ".join([r["name"] or "", *r.tags, *r.domain, r.content or ""]).lower()
+            literal = q.query.lower() in text
+            raw = min(100.0, total / weights * 100 + (25 if literal else 0))
+            if raw >= 50 or literal or (semantic or 0) >= 0.55:
+                want[q.query_id, r.id] = raw * (0.3 if r.resolved else 1) * (0.12 if r.superseded_by else 1)
+    assert set(got) == set(want) and len(want) > 10
+    assert all(abs(got[k][0] - v) < 0.011 for k, v in want.items())

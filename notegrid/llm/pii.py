@@ -367,7 +367,7 @@ def examples(texts: list[str], count: int, seed: int = 5) -> tuple[np.ndarray, n
     return xs, ys
 
 
-def fit(docs: DataFrame, sample_rows: int = 400, windows: int = 3000, steps: int = 300) -> Tagger:
+def fit(docs: DataFrame, sample_rows: int = 400, windows: int = 6000, steps: int = 900) -> Tagger:
     """Train on windows of about sample_rows documents with a digit or '@', 4 * sample_rows distinct passages at
     most; hashes of the text decide, so the same documents give the same tagger however they are dealt."""
     rows = docs.filter(F.col("text").rlike("[0-9@]")).select("text")

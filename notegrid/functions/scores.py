@@ -40,7 +40,7 @@ def decay_score(at: Column, resolved: Column | None = None) -> Column:
 def emotion_score(valence: Column, arousal: Column) -> Column:
     """Closeness in the valence-arousal plane; 0.5 where the query has no coordinates."""
     distance = F.sqrt(F.pow(valence - F.col("valence"), 2) + F.pow(arousal - F.col("arousal"), 2))
-    return F.coalesce(F.greatest(F.lit(0.0), 1.0 - distance / F.lit(2.0**0.5)), F.lit(0.5))
+    return F.when(distance.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1.0 - distance / F.lit(2.0**0.5)))  # greatest() would skip the null
 
 
 def time_score(at: Column) -> Column:

@@ -228,7 +228,7 @@ def snapshot_problems(rows: DataFrame, header: DataFrame) -> DataFrame:
 def archived_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of the data files below an archive; paths are relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{path}/data")
-    return files.select(F.regexp_extract("path", "/(data/.*)$", 1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.regexp_extract("path", ".*/(data/.*)$", 1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def write_archive(path: str, tables: dict[str, DataFrame], version: str = "1") -> None:

@@ -277,6 +277,7 @@ def test_archive_finds_tampering(spark, tmp_path):
     victim = sorted(glob.glob(f"{path}/data/a/*.parquet"))[0]
     with open(victim, "ab") as f:
         f.write(b"x")
+    os.remove(os.path.join(os.path.dirname(victim), f".{os.path.basename(victim)}.crc"))  # the local file system's own checksum
     gone = sorted(glob.glob(f"{path}/data/b/*.parquet"))[0]
     os.remove(gone)
     spark.range(3).write.parquet(f"{path}/data/c")

@@ -134,18 +134,40 @@ def components(edges: DataFrame, keep: Workspace | None = None) -> DataFrame:
 FILTER_BITS = 1 << 26
 
 
-def picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of the documents with a doc_id of wanted(doc_id, ...), beside the columns of wanted.
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
 
-    A bitmap of hashed ids, of fixed size, leaves few others in before the texts are shuffled for the join.
+def marked(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows(doc_id, ...) with a boolean column, false where the doc_id surely isn't one of ids(doc_id).
+
+    It is read from a bitmap of hashed ids of fixed size, FILTER_BITS / 8 bytes at most.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    marks = wanted.select(slot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", slot)
-    near = rows.join(F.broadcast(marks), F.bitmap_bucket_number("h") == F.col("bucket"))  # FILTER_BITS / 8 bytes at most
-    hit = F.expr("getbit(cast(conv(hex(substring(bits, cast(bitmap_bit_position(h) div 8 as int) + 1, 1)), 16, 10) as bigint), cast(bitmap_bit_position(h) % 8 as int)) = 1")
+    h, bucket, bits = (unused(rows, x) for x in ("_slot", "_bucket", "_bits"))
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
+    marks = ids.select(slot.alias(h)).groupBy(F.bitmap_bucket_number(h).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias(bits))
+    near = rows.withColumn(h, slot).join(F.broadcast(marks), F.bitmap_bucket_number(h) == F.col(bucket), "left")
+    hit = F.expr(f"getbit(cast(conv(hex(substring({bits}, cast(bitmap_bit_position({h}) div 8 as int) + 1, 1)), 16, 10) as bigint), cast(bitmap_bit_position({h}) % 8 as int)) = 1")
+    return near.withColumn(column, F.coalesce(hit, F.lit(False))).drop(h, bucket, bits)
+
+
+def picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the documents with a doc_id of wanted(doc_id, ...), beside the columns of wanted; few other texts are shuffled."""
+    near = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "_near")
     # an inner join on distinct ids stays above the filter; a semi join would be pushed below it
-    return near.filter(hit).select("doc_id", "text").join(wanted, "doc_id")
+    return near.filter("_near").drop("_near").join(wanted, "doc_id")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of gone(doc_id); rows that surely stay aren't shuffled. Other columns, of any name, stay."""
+    flag, other = unused(docs, "_near"), unused(docs, "_gone")
+    near = marked(docs, gone, flag)
+    left_out = gone.select(F.col("doc_id").alias(other)).distinct()
+    doubtful = near.filter(flag).drop(flag).join(left_out.hint("merge"), F.col("doc_id") == F.col(other), "left_anti")
+    return near.filter(~F.col(flag)).drop(flag).unionByName(doubtful)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:

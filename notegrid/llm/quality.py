@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics of every text are computed once in Arrow batches. Trees are grown on binned statistics of at
-most about sample_rows labelled rows (a hash of doc_id decides): each level sums gradients into
+Statistics of every text are computed once in Arrow batches. Trees are grown on binned statistics of the rows of
+at most sample_rows labels (a hash of doc_id decides): each level sums gradients into
 (node, statistic, bin) histograms with one bincount. All trees have one depth and are flattened into three
 arrays, so a batch of documents walks every tree at once by numpy indexing.
 
@@ -134,13 +134,21 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return map_text(source, lambda texts, part: {c: part.column(c) for c in keep} | {"statistics": list(statistics(texts))}, schema)
 
 
+def sampled(labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
+    """(doc_id, y) of the sample_rows usable labels(doc_id, quality) that come first by a hash of the doc_id."""
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
+    return known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", "y").limit(sample_rows)
+
+
 def fit(measured: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Trees:
-    """Fit on measured(doc_id, statistics) and labels(doc_id, quality)."""
-    known = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("double").alias("y"))
-    n = known.count()
-    share = min(1 << 20, -(-(sample_rows << 20) // max(1, n)))
-    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < share)
-    rows = measured.join(known, "doc_id").select("doc_id", "statistics", "y").toPandas().sort_values("doc_id", kind="stable")  # bounded by sample_rows
+    """Fit on measured(doc_id, statistics) and labels(doc_id, quality), of which sample_rows at most are taken."""
+    return fit_sample(measured, sampled(labels, sample_rows))
+
+
+def fit_sample(measured: DataFrame, sample: DataFrame) -> Trees:
+    """Fit on measured(doc_id, statistics) and a sample(doc_id, y) of bounded size."""
+    rows = measured.join(F.broadcast(sample), "doc_id").select("doc_id", "statistics", "y").toPandas()
+    rows = rows.sort_values(["doc_id", "y"], kind="stable")
     x = np.stack(rows["statistics"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, len(STATISTICS)))
     return grow(x, rows["y"].to_numpy(np.float64))
 

@@ -51,9 +51,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that look like label 1 of labels.quality."""
-    labels = table(spark, sf_dir, "labels")
-    known = docs.join(labels.select(F.col("doc_id").alias("labelled")), F.col("doc_id") == F.col("labelled"), "left_semi")
-    trees = spark.sparkContext.broadcast(quality.fit(quality.measure(known.select("doc_id", "text")), labels))
+    sample = materialize(quality.sampled(table(spark, sf_dir, "labels")), "labels")  # of bounded size, so the texts stay where they are
+    known = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")
+    trees = spark.sparkContext.broadcast(quality.fit_sample(quality.measure(known), sample))
     return keep_texts(docs, lambda texts: (trees.value.score(quality.statistics(texts)) >= LEAST_QUALITY).tolist())
 
 
@@ -66,8 +66,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialize(neardup.link(docs, digests=True), "linked")
     twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if not twice.limit(1).count():
-        kept = materialize(found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-        return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+        return neardup.without(docs, materialize(found.filter("NOT kept").select("doc_id"), "gone"))
     name = "set_digest"
     while name in docs.columns:
         name += "_"

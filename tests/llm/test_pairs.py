@@ -65,6 +65,16 @@ def test_near_duplicates_edges(spark):
     assert neardup.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_without(spark):
+    from notegrid.llm import neardup
+
+    docs = spark.range(300).select(F.when(F.col("id") != 7, F.col("id")).alias("doc_id"), F.col("id").alias("_near"), F.lit("x").alias("_bits"), F.col("id").alias("_gone"))
+    gone = spark.range(0, 600, 3).select(F.col("id").alias("doc_id"))
+    got = neardup.without(docs, gone)
+    assert got.columns == docs.columns and sorted(r._near for r in got.collect()) == [i for i in range(300) if i % 3 or i == 7]
+    assert neardup.without(docs, gone.limit(0)).count() == 300 and neardup.without(docs.limit(0), gone).count() == 0
+
+
 def test_prefix_and_components(spark):
     from notegrid.llm import neardup
 

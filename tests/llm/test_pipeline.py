@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from notegrid.llm import neardup
 from notegrid.llm.common import materialize
@@ -40,7 +42,7 @@ def test_stage_edges(spark, sf):
     word = "the of and to in is that was for as with on by at from this be are it an "
     mail = "write to ann.bell@mail.example.com or 10.20.30.40 soon "
     rows = [(1, None, 1.5, None), (2, "", 1.5, 0), (3, word * 2000 + mail, 1.5, 3), (4, mail, None, len(mail)), (None, mail, 2.5, None), (3, word * 2000 + mail, 1.5, 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, n_chars long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, n_chars long").withColumn("lang", F.lit("en"))
     red = {(r.doc_id, r.score): r for r in cp.pii_removal(spark, docs, sf).collect()}
     assert len(red) == 5 and red[1, 1.5].text is None and red[1, 1.5].n_chars is None and red[2, 1.5].text == ""
     assert red[4, None].text.startswith("write to [EMAIL] or [IP] soon") and red[4, None].n_chars == len(red[4, None].text)

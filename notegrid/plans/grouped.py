@@ -160,12 +160,14 @@ def agg_30(spark, sf):
     return memories(spark, sf).agg(F.countDistinct("id").alias("total"), F.count_if("pinned").alias("pinned"), F.count_if((F.col("type") == "permanent") & ~F.col("pinned")).alias("permanent_unpinned"))
 
 
-@query("agg_31_receipt_audit", "SELECT event_id AS id, unnest(CASE event_id % 4 WHEN 0 THEN ['missing_stage'] WHEN 1 THEN ['misordered'] ELSE [] END) AS code FROM events")
+@query("agg_31_receipt_audit", """WITH r AS (SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS id, list(event_type ORDER BY event_id) AS s FROM events GROUP BY 1),
+p AS (SELECT id, list_filter([coalesce(list_position(s, 'view'), 0), coalesce(list_position(s, 'click'), 0), coalesce(list_position(s, 'purchase'), 0)], lambda x: x > 0) AS p FROM r)
+SELECT id, 'missing_stage' AS code FROM p WHERE len(p) < 3 UNION ALL SELECT id, 'misordered' FROM p WHERE p <> list_sort(p)""")
 def agg_31(spark, sf):
-    st = lambda *x: F.array(*map(F.lit, x))
-    k = F.col("event_id") % 4
-    r = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(k == 0, st("plan", "commit")).when(k == 1, st("decide", "plan", "commit")).otherwise(st("plan", "decide", "commit")).alias("stages"))
-    return A.receipt_audit(r, ["plan", "decide", "commit"])
+    # a receipt is what a user did on a day, in order
+    own = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.to_date(F.col("ts").cast("timestamp_ntz")).cast("string"))
+    acts = table(spark, sf, "events").groupBy(own.alias("id")).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
+    return A.receipt_audit(acts.select("id", F.transform("x", lambda e: e["event_type"]).alias("stages")), ["view", "click", "purchase"])
 
 
 # --- ordered ----------------------------------------------------------------------------------------
@@ -256,10 +258,10 @@ def set_02(spark, sf):
     return memories(spark, sf).select("id", F.array_join(F.array_sort(F.array_union(F.concat("tags", "domain"), "tags")), ",").alias("merged"))
 
 
-@query("set_03_quotes_union", VIEWS + "SELECT id, 'a,b,c' AS quotes, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS dropped FROM memories")
+@query("set_03_quotes_union", VIEWS + ", w AS (SELECT id, string_split(name, ' ') AS w FROM memories), b AS (SELECT id, list_concat(w[1:2], w[2:4]) AS b FROM w), d AS (SELECT id, list_filter(b, lambda x, i: list_position(b, x) = i) AS d FROM b) SELECT id, array_to_string(d[1:3], ',') AS quotes, greatest(0, len(d) - 3)::BIGINT AS dropped FROM d")
 def set_03(spark, sf):
-    q = lambda *x: F.array(*map(F.lit, x))
-    rows = memories(spark, sf).select("id", q("a", "b").alias("existing"), F.when(F.col("doc_id") % 2 == 0, q("b", "c", "d")).otherwise(q("b", "c")).alias("incoming"))
+    words = F.split("name", " ")
+    rows = memories(spark, sf).select("id", F.slice(words, 1, 2).alias("existing"), F.slice(words, 2, 3).alias("incoming"))
     return L.quotes_union(rows).withColumn("quotes", F.array_join("quotes", ","))
 
 

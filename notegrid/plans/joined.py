@@ -86,12 +86,12 @@ def jon_12(spark, sf):
     return J.surface_context(dec, memories(spark, sf))
 
 
-@query("jon_13_state_key_candidates", VIEWS + ", k AS (SELECT id, lower(domain[1]) || '-' || CAST(doc_id % 97 AS VARCHAR) AS key, created, superseded_by IS NULL AND type = 'dynamic' AS current FROM memories) SELECT a.id, count(*) AS candidates, first(b.id ORDER BY b.created DESC, b.id) AS newest FROM k a JOIN k b ON a.key = b.key AND a.id <> b.id AND b.current GROUP BY a.id")
+@query("jon_13_state_key_candidates", VIEWS + ", k AS (SELECT id, lower(domain[1]) || '-' || CAST(doc_id % 5 AS VARCHAR) AS key, created, superseded_by IS NULL AND type = 'dynamic' AS current FROM memories) SELECT a.id, count(*) AS candidates, first(b.id ORDER BY b.created DESC, b.id) AS newest FROM k a JOIN k b ON a.key = b.key AND a.id <> b.id AND b.current GROUP BY a.id")
 def jon_13(spark, sf):
     from notegrid.functions.text import state_key
 
     m = memories(spark, sf)
-    key = state_key(F.concat(F.element_at("domain", 1), F.lit("-"), (F.col("doc_id") % 97).cast("string")))
+    key = state_key(F.concat(F.element_at("domain", 1), F.lit("-"), (F.col("doc_id") % 5).cast("string")))
     return J.state_key_candidates(m.select("id", key.alias("key"), "created", (F.col("superseded_by").isNull() & (F.col("type") == "dynamic")).alias("current")))
 
 

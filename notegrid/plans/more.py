@@ -177,10 +177,11 @@ def win_13(spark, sf):
     return O.pending_days(e, done)
 
 
-@query("set_04_append_lists", VIEWS + "SELECT id, 'a,b,' || CAST(doc_id % 3 AS VARCHAR) AS meaning FROM memories")
+@query("set_04_append_lists", VIEWS + "SELECT id, sha256(array_to_string(list_concat(string_split(substring(content, 1, 400), ' '), [CAST(doc_id % 3 AS VARCHAR)])[1:50], ',')) AS h FROM memories WHERE content IS NOT NULL")
 def set_04(spark, sf):
     new = F.array((F.col("doc_id") % 3).cast("string"))
-    return memories(spark, sf).select("id", F.array_join(F.slice(F.concat(F.array(F.lit("a"), F.lit("b")), new), 1, 50), ",").alias("meaning"))
+    held = F.split(F.substring("content", 1, 400), " ")
+    return memories(spark, sf).filter("content IS NOT NULL").select("id", F.sha2(F.array_join(F.slice(F.concat(held, new), 1, 50), ","), 256).alias("h"))
 
 
 @query("scr_12_feel_relevance", VIEWS + ", x AS (SELECT doc_id % 5 AS reference, id, CASE WHEN doc_id % 2 = 0 THEN valence END AS c, arousal AS o FROM memories WHERE type = 'feel'), s AS (SELECT reference, id, round(CASE WHEN c IS NOT NULL THEN 0.7::DOUBLE * c + 0.3::DOUBLE * o ELSE o END, 6) AS score FROM x) SELECT * FROM (SELECT reference, id, score, row_number() OVER (PARTITION BY reference ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.5) WHERE rank <= 5")
@@ -232,11 +233,13 @@ def lif_13(spark, sf):
     return L.plan_actions(plans, acts, as_of()).select("id", "status", "last_confirmed_at", F.size("change_log").alias("entries"))
 
 
-@query("lif_14_feel_ingest", VIEWS + "SELECT id, TRUE AS digested, valence AS model_valence FROM memories WHERE doc_id % 10 = 4")
+@query("lif_14_feel_ingest", VIEWS + "SELECT 'source' AS part, id, NULL AS triggered_by, valence AS value FROM memories WHERE doc_id % 10 = 4 UNION ALL SELECT 'feel', 'feel_' || CAST(doc_id AS VARCHAR), id, length(content)::DOUBLE FROM memories WHERE doc_id % 10 = 4")
 def lif_14(spark, sf):
     m = memories(spark, sf)
     feels = m.filter("doc_id % 10 = 4").select(F.col("doc_id").alias("seq"), "content", F.col("id").alias("source"), "valence")
-    return L.feel_ingest(feels, m)[1]
+    new, marked = L.feel_ingest(feels, m)
+    sources = marked.filter("digested").select(F.lit("source").alias("part"), "id", F.lit(None).cast("string").alias("triggered_by"), F.col("model_valence").alias("value"))
+    return sources.unionByName(new.filter("type = 'feel'").select(F.lit("feel").alias("part"), "id", "triggered_by", F.length("content").cast("double").alias("value")))
 
 
 @query("lif_15_batch_items", f"SELECT {FILE_SQL} AS batch, count(*) AS items, sum(length(trim(text)))::BIGINT AS chars FROM conversations WHERE turn % 3 <> 1 AND trim(text) <> '' GROUP BY 1")

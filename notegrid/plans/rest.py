@@ -111,8 +111,10 @@ def str_08(spark, sf):
     return store.read().select("id", "type", "resolved")
 
 
-@query("udf_04_extract_memories", "SELECT conv_id, count(*) AS items FROM conversations WHERE length(text) > 100 GROUP BY 1")
+@query("udf_04_extract_memories", "SELECT conv_id, count(*) AS items, sum(greatest(1, least(10, length(text) % 15)))::BIGINT AS importance FROM conversations WHERE length(text) > 100 AND trim(substring(text, 1, 10), ' ') <> '' GROUP BY 1")
 def udf_04(spark, sf):
+    import json
+
     rows = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("content"))
-    items = I.extract(rows, lambda t: '[{"content": "x", "importance": 12}]' if len(t) > 100 else "nothing")
-    return items.filter("importance = 10").groupBy(F.split("id", "-")[0].cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("items"))
+    items = I.extract(rows, lambda t: json.dumps([{"content": t[:10], "importance": len(t) % 15}]) if len(t) > 100 else "nothing")
+    return items.groupBy(F.split("id", "-")[0].cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("items"), F.sum("importance").alias("importance"))

@@ -28,7 +28,7 @@ from notegrid.llm.common import crc_fold, map_text, materialize
 
 LONGEST = 4
 EVIDENCE = 20
-REMEMBER = 300_000
+REMEMBER = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("item", T.StringType()), T.StructField("n", T.LongType())])
 

@@ -72,6 +72,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notegrid.llm.collocations import mine
+
+    return mine(table(spark, sf_dir, "documents"))
+
+
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notegrid.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notegrid.llm.negatives import mine
+
+    rows = table(spark, sf_dir, "embeddings")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", wrong), F.col("vid") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,10 +99,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_chat_rotation, op3_pii, op4_neighbours, op5_near_duplicates, op6_packing, op7_quality, op8_html_text, op9_language, op10_byte_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_chat_rotation, op3_pii, op4_neighbours, op5_near_duplicates, op6_packing, op7_quality, op8_html_text, op9_language, op10_byte_bpe, op11_collocations, op12_mix, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from notegrid.llm.chat import ORACLE
+    from notegrid.llm import chat, collocations, mixing, negatives
 
-    return {"op2_chat_rotation": ORACLE}
+    return {"op2_chat_rotation": chat.ORACLE, "op11_collocations": collocations.ORACLE, "op12_mix": mixing.ORACLE, "op13_hard_negatives": negatives.ORACLE}

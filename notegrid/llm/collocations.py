@@ -41,10 +41,12 @@ LONGEST = 5
 FILTER_BITS = 1 << 26
 #: Common prefixes that are dealt by one word more, at most.
 HOT = 4096
+#: Words that are named by number, at most, and their greatest length.
+LISTED, LISTED_BYTES = 1 << 16, 32
 #: Suffixes of one document in so many are looked at for common prefixes.
 ESTIMATE = 16
 #: Text of one batch, suffixes of one bucket (about).
-BATCH_BYTES, BUCKET_WORDS = 12 << 20, 1 << 20
+BATCH_BYTES, BUCKET_WORDS = 5 << 20, 1 << 20
 WORD_BITS = 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,9 +75,9 @@ class Words:
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
         coded = words.dictionary_encode()
         self.words: list[bytes] = coded.dictionary.to_pylist()
-        self.codes = coded.indices.to_numpy().astype(np.int64)
-        self.piece = np.cumsum(_BREAK[data])[starts]
-        self.doc = np.searchsorted(ends, starts, side="right")
+        self.codes = coded.indices.to_numpy()
+        self.piece = np.cumsum(_BREAK[data], dtype=np.int32)[starts]
+        self.doc = np.searchsorted(ends, starts, side="right").astype(np.int32)
 
 
 def batches_of(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -117,8 +119,8 @@ class Suffixes:
     """Distinct suffixes of a batch: matrix of codes + 1 (0: none), langs, counts."""
 
     def __init__(self, lang: np.ndarray, matrix: np.ndarray):
-        low, high = matrix[:, 0] << WORD_BITS | matrix[:, 1], matrix[:, 2] << 2 * WORD_BITS | matrix[:, 3] << WORD_BITS | matrix[:, 4]
-        low |= lang << 2 * WORD_BITS
+        col = lambda k: matrix[:, k].astype(np.int64)
+        low, high = lang.astype(np.int64) << 2 * WORD_BITS | col(0) << WORD_BITS | col(1), col(2) << 2 * WORD_BITS | col(3) << WORD_BITS | col(4)
         order = np.lexsort((high, low))
         low, high = low[order], high[order]
         new = np.ones(len(order), bool)
@@ -128,11 +130,10 @@ class Suffixes:
         self.matrix, self.lang = matrix[order[first]], lang[order[first]]
 
 
-def suffix_matrix(words: Words, lang: np.ndarray, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(lang, matrix) of all suffixes of two words or more; frequent: per word of the batch, whether it can be in a phrase."""
-    codes, piece, n = words.codes, words.piece, len(words.codes)
-    ok = np.ones(n, bool) if frequent is None else frequent
-    matrix = np.zeros((n, LONGEST), np.int64)
+def suffix_matrix(codes: np.ndarray, piece: np.ndarray, lang: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lang, matrix) of all suffixes of two words or more; ok: per word, whether it can be in a phrase."""
+    n = len(codes)
+    matrix = np.zeros((n, LONGEST), np.int32)
     going = ok.copy()
     matrix[:, 0] = np.where(going, codes + 1, 0)
     for k in range(1, LONGEST):
@@ -144,31 +145,35 @@ def suffix_matrix(words: Words, lang: np.ndarray, frequent: np.ndarray | None) -
     return lang[keep], matrix[keep]
 
 
-def blob(rows: np.ndarray, suffixes: Suffixes, words: list[bytes], langs: list[str]) -> bytes:
-    """Some suffixes with their own lists of words and langs."""
-    matrix = suffixes.matrix[rows]
-    used, own = np.unique(matrix, return_inverse=True)
-    zero = int(used[0] != 0)  # code 0 must stay "none"
-    own = own.reshape(matrix.shape) + zero
-    names = b"\n".join(words[c - 1] for c in used if c)
-    kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-    lang_used, lang_own = np.unique(suffixes.lang[rows], return_inverse=True)
-    tongue = json.dumps([langs[i] for i in lang_used]).encode()
-    parts = [names, tongue, own.astype(kind).T.tobytes(), lang_own.astype(np.uint32).tobytes(), suffixes.counts[rows].astype(np.uint32).tobytes()]
-    return zlib.compress(struct.pack("<IB", len(rows), np.dtype(kind).itemsize) + b"".join(struct.pack("<I", len(p)) + p for p in parts), 1)
+def blob(matrix: np.ndarray, lang: np.ndarray, counts: np.ndarray, words: list[bytes], langs: list[str], listed: int) -> bytes:
+    """Some suffixes. matrix: 0 none, 1 to listed a word of the common list, beyond that listed + 1 + number in words; the blob has its own list of these and of langs."""
+    matrix, other = matrix.copy(), matrix > listed
+    used, own = np.unique(matrix[other], return_inverse=True)
+    matrix[other] = listed + 1 + own
+    tongues, lang = np.unique(lang, return_inverse=True)
+    bytes_of = lambda x, n: np.ascontiguousarray(np.moveaxis(x.astype("<u4").view(np.uint8).reshape(*x.shape, 4)[..., :n], -1, 0)).tobytes()
+    parts = [b"\n".join(words[c - listed - 1] for c in used), json.dumps([langs[i] for i in tongues]).encode(), bytes_of(matrix.T, 3), bytes_of(lang, 3), bytes_of(counts, 4)]
+    whole = struct.pack("<I", len(matrix)) + b"".join(struct.pack("<I", len(p)) + p for p in parts)
+    return struct.pack("<I", len(whole)) + pa.compress(whole, codec="zstd", asbytes=True)
 
 
 def unblob(data: bytes) -> tuple[list[bytes], list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, langs, matrix, lang numbers, counts."""
-    data = zlib.decompress(data)
-    n, width = struct.unpack_from("<IB", data)
-    at, parts = 5, []
+    """Own words, langs, matrix, lang numbers, counts."""
+    whole = pa.decompress(data[4:], struct.unpack_from("<I", data)[0], codec="zstd", asbytes=True)
+    (n,) = struct.unpack_from("<I", whole)
+    at, parts = 4, []
     for _ in range(5):
-        (size,) = struct.unpack_from("<I", data, at)
-        parts.append(data[at + 4 : at + 4 + size])
+        (size,) = struct.unpack_from("<I", whole, at)
+        parts.append(whole[at + 4 : at + 4 + size])
         at += 4 + size
-    matrix = np.frombuffer(parts[2], np.uint16 if width == 2 else np.uint32).reshape(LONGEST, n).T.astype(np.int32)
-    return parts[0].split(b"\n"), json.loads(parts[1]), matrix, np.frombuffer(parts[3], np.uint32), np.frombuffer(parts[4], np.uint32).astype(np.int64)
+
+    def number(x: bytes, planes: int, size: int) -> np.ndarray:
+        out = np.zeros((size, 4), np.uint8)
+        out[:, :planes] = np.frombuffer(x, np.uint8).reshape(planes, size).T
+        return out.view("<u4").ravel()
+
+    matrix = number(parts[2], 3, n * LONGEST).reshape(LONGEST, n).T.astype(np.int32)
+    return parts[0].split(b"\n") if parts[0] else [], json.loads(parts[1]), matrix, number(parts[3], 3, n), number(parts[4], 4, n).astype(np.int64)
 
 
 def depths(hash_of: np.ndarray, lang_hash: np.ndarray, matrix: np.ndarray, lang: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +240,7 @@ def phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     def coded(part: pa.Table) -> tuple[Words, list[str], np.ndarray]:
         words = Words(part.column("text").combine_chunks())
         lang = part.column("lang").combine_chunks().dictionary_encode()
-        return words, lang.dictionary.to_pylist(), lang.indices.to_numpy().astype(np.int64)[words.doc]
+        return words, lang.dictionary.to_pylist(), lang.indices.to_numpy()[words.doc]
 
     def counted(batches):
         """Counts of words, and of prefixes of some documents (words: 2 and more)."""
@@ -243,11 +248,11 @@ def phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
             words, langs, lang = coded(part)
             if not len(words.codes):
                 continue
-            pair, n = np.unique(lang * len(words.words) + words.codes, return_counts=True)
+            pair, n = np.unique(lang.astype(np.int64) * len(words.words) + words.codes, return_counts=True)
             at, code = np.divmod(pair, len(words.words))
             out = [([langs[i] for i in at], [words.words[c].decode() for c in code], np.ones(len(n), np.int32), n)]
             some = words.doc % ESTIMATE == 0
-            s = Suffixes(*suffix_matrix(words, lang, some))
+            s = Suffixes(*suffix_matrix(words.codes[some], words.piece[some], lang[some], np.ones(np.count_nonzero(some), bool)))
             for k in range(2, LONGEST):
                 starts = np.flatnonzero((np.diff(s.matrix[:, :k], axis=0, prepend=-1) != 0).any(axis=1) | (np.diff(s.lang, prepend=-1) != 0)) if len(s.lang) else np.zeros(0, np.int64)
                 if not len(starts):
@@ -271,6 +276,9 @@ def phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     for r in bits:  # buckets of 4096 bytes, from 1
         held[(r["b"] - 1) << 12 : r["b"] << 12] = np.frombuffer(r["bits"], np.uint8)
     known = spark.sparkContext.broadcast(held)
+    # words that suffixes name by number instead of by text; the rest is slower, not different
+    usual = single.filter(f"octet_length(phrase) <= {LISTED_BYTES}").groupBy("phrase").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "phrase").limit(LISTED)
+    listed = spark.sparkContext.broadcast([r["phrase"].encode() for r in usual.select("phrase").collect()])
     total = totals.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_WORDS))
     # prefixes that would fill a quarter of a bucket; there are at most 4 x buckets of each length, and the list holds the first HOT
@@ -286,14 +294,15 @@ def phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
     def dealt(batches):
         schema = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
+        number, usual = {w: i + 1 for i, w in enumerate(listed.value)}, len(listed.value)
         for part in gathered(batches, BATCH_BYTES):
             w, langs, lang = coded(part)
             if not len(w.codes):
                 continue
-            pair, back = np.unique(lang * len(w.words) + w.codes, return_inverse=True)
+            pair, back = np.unique(lang.astype(np.int64) * len(w.words) + w.codes, return_inverse=True)
             slots = np.fromiter((filter_slot(langs[p // len(w.words)], w.words[p % len(w.words)]) for p in pair.tolist()), np.int64, len(pair))
             frequent = (known.value[slots >> 3] >> (slots & 7)) & 1 > 0
-            s = Suffixes(*suffix_matrix(w, lang, frequent[back]))
+            s = Suffixes(*suffix_matrix(w.codes, w.piece, lang, frequent[back]))
             if not len(s.lang):
                 continue
             hash_of = np.concatenate((np.zeros(1, np.uint64), hashes(w.words)))
@@ -301,21 +310,26 @@ def phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            named = np.fromiter((number.get(x, usual + 1 + i) for i, x in enumerate(w.words)), np.int32, len(w.words))
+            matrix = np.concatenate((np.zeros(1, np.int32), named))[s.matrix]
             for rows in np.split(order, cuts[1:]):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[rows[0]]], pa.int64()), pa.array([blob(rows, s, w.words, langs)], pa.binary())], schema=schema)
+                data = blob(matrix[rows], s.lang[rows], s.counts[rows], w.words, langs, usual)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[rows[0]]], pa.int64()), pa.array([data], pa.binary())], schema=schema)
 
     def sorted_out(table):
         parts = [unblob(x) for x in table.column("data").to_pylist()]
+        usual = len(listed.value)
         names = pa.array([w for p in parts for w in p[0]], pa.binary()).dictionary_encode()
         tongues = pa.array([w for p in parts for w in p[1]], pa.string()).dictionary_encode()
-        name_of, tongue_of = names.dictionary.to_pylist(), tongues.dictionary.to_pylist()
+        name_of, tongue_of = [*listed.value, *names.dictionary.to_pylist()], tongues.dictionary.to_pylist()
         code, lang_code = names.indices.to_numpy(), tongues.indices.to_numpy()
         matrices, langs, at, lang_at = [], [], 0, 0
         for words, own, matrix, lang, _ in parts:
-            matrices.append(np.concatenate(([0], code[at : at + len(words)] + 1)).astype(np.int32)[matrix])
+            matrices.append(np.concatenate((np.arange(usual + 1), code[at : at + len(words)] + usual + 1)).astype(np.int32)[matrix])
             langs.append(lang_code[lang_at : lang_at + len(own)][lang])
             at, lang_at = at + len(words), lang_at + len(own)
         matrix, lang, counts = np.concatenate(matrices), np.concatenate(langs).astype(np.int64), np.concatenate([p[4] for p in parts])
+        del parts, matrices, langs
         depth, _ = depths(np.concatenate((np.zeros(1, np.uint64), hashes(name_of))), hashes([x.encode() for x in tongue_of]), matrix, lang, hot)
         out = []
 

@@ -52,6 +52,7 @@ def test_collocations(spark, monkeypatch, bucket):
 
     monkeypatch.setattr(c, "BUCKET_WORDS", bucket)  # many buckets, and many prefixes dealt by more words
     monkeypatch.setattr(c, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(c, "LISTED", 5)
     rows = phrase_rows(bucket)
     df = spark.createDataFrame([(t, lang, 1.5, "x") for t, lang in rows], "text string, lang string, score double, phrase string").repartition(3)
     for least, top in ((4, 2000), (9, 7)):

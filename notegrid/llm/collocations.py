@@ -151,7 +151,7 @@ def blob(matrix: np.ndarray, lang: np.ndarray, counts: np.ndarray, words: list[b
     used, own = np.unique(matrix[other], return_inverse=True)
     matrix[other] = listed + 1 + own
     tongues, lang = np.unique(lang, return_inverse=True)
-    bytes_of = lambda x, n: np.ascontiguousarray(np.moveaxis(x.astype("<u4").view(np.uint8).reshape(*x.shape, 4)[..., :n], -1, 0)).tobytes()
+    bytes_of = lambda x, n: np.ascontiguousarray(np.moveaxis(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(*x.shape, 4)[..., :n], -1, 0)).tobytes()
     parts = [b"\n".join(words[c - listed - 1] for c in used), json.dumps([langs[i] for i in tongues]).encode(), bytes_of(matrix.T, 3), bytes_of(lang, 3), bytes_of(counts, 4)]
     whole = struct.pack("<I", len(matrix)) + b"".join(struct.pack("<I", len(p)) + p for p in parts)
     return struct.pack("<I", len(whole)) + pa.compress(whole, codec="zstd", asbytes=True)

@@ -63,6 +63,33 @@ def trace_catalog(ledger: DataFrame) -> DataFrame:
     return live.groupBy("trace_id").agg(state.alias("state"), F.max_by("body_hash", "seq").alias("body_hash"), F.min("created_seq").alias("created_seq"), F.max("seq").alias("latest_seq"), last.alias("latest_event_type"), touches.cast("long").alias("touch_count"), F.bool_or(F.col("event_type") == "TraceDeletedToArchive").alias("deleted"))
 
 
+def ledger_fields(ledger: DataFrame) -> DataFrame:
+    """Events with what the catalog takes from their payload: kind and payload_kind (null: none), body_hash, resolved (null: not said), tombstone."""
+    said = lambda name: F.get_json_object("payload", f"$.{name}")
+    some = lambda c: F.when(c != "", c)
+    true = lambda c: ~F.coalesce(c, F.lit("")).isin("", "false", "0", "[]", "{}")
+    tombstone = true(said("tombstone")) | F.coalesce(F.lower(said("erasure_mode")) == "tombstone_only", F.lit(False))
+    return ledger.select("seq", "trace_id", "event_type", some(F.col("trace_kind")).alias("kind"), some(said("type")).alias("payload_kind"), some(F.col("body_hash")).alias("body_hash"), F.when(said("resolved").isNotNull(), true(said("resolved"))).alias("resolved"), tombstone.alias("tombstone"))
+
+
+def trace_projection(ledger: DataFrame) -> DataFrame:
+    """The whole catalog row of each trace after all its events: kind, state, body hash, seqs, touches, resolved, deleted, tombstone.
+
+    A new TraceCreated starts afresh; a trace that begins with a touch counts that touch twice; a kind or body hash
+    that an event doesn't say stays.
+    """
+    known = ledger_fields(ledger).filter(F.col("event_type").isin(*KNOWN) & (F.coalesce("trace_id", F.lit("")) != ""))
+    made = known.groupBy("trace_id").agg(F.coalesce(F.max(F.when(F.col("event_type") == "TraceCreated", F.col("seq"))), F.min("seq")).alias("created_seq"))
+    live = known.join(made, "trace_id").filter("seq >= created_seq")
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    state = F.when(F.col("tombstone"), "tombstone").when(F.col("event_type") == "TraceDeletedToArchive", "deleted_to_archive").when((F.col("event_type") == "TraceArchived") | (F.coalesce("kind", F.lit("")) == "archived"), "archived").otherwise("active")
+    touches = F.count_if(F.col("event_type") == "TraceTouched") + F.when(F.min_by("event_type", "seq") == "TraceTouched", 1).otherwise(0)
+    return live.withColumn("now", state).groupBy("trace_id").agg(
+        F.coalesce(newest("kind"), F.min_by("payload_kind", "seq"), F.lit("dynamic")).alias("trace_kind"), F.max_by("now", "seq").alias("state"), F.coalesce(newest("body_hash"), F.lit("")).alias("body_hash"), F.min("created_seq").alias("created_seq"), F.max("seq").alias("latest_seq"), F.max_by("event_type", "seq").alias("latest_event_type"),
+        touches.cast("long").alias("touch_count"), F.coalesce(newest("resolved"), F.lit(False)).alias("resolved"), F.bool_or(F.col("event_type") == "TraceDeletedToArchive").alias("deleted"), F.bool_or("tombstone").alias("tombstone"),
+    )
+
+
 def trace_metadata(ledger: DataFrame) -> DataFrame:
     """Merged payload of each trace: the latest value of every key since its last creation."""
     known = ledger.filter(F.col("event_type").isin(*KNOWN))

@@ -45,14 +45,6 @@ def agg_05(spark, sf):
     return A.cooccurrence(A.concept_tokens(memories(spark, sf)))
 
 
-CATALOG_SQL = VIEWS + LIVE_SQL + " SELECT trace_id, CASE arg_max(event_type, seq) WHEN 'TraceDeletedToArchive' THEN 'deleted_to_archive' WHEN 'TraceArchived' THEN 'archived' ELSE 'active' END AS state, arg_max(body_hash, seq) AS body_hash, min(created_seq) AS created_seq, max(seq) AS latest_seq, arg_max(event_type, seq) AS latest_event_type, count(*) FILTER (WHERE event_type = 'TraceTouched') + CASE WHEN arg_min(event_type, seq) = 'TraceTouched' THEN 1 ELSE 0 END AS touch_count, bool_or(event_type = 'TraceDeletedToArchive') AS deleted FROM live GROUP BY trace_id"
-
-
-@query("agg_06_trace_catalog", CATALOG_SQL)
-def agg_06(spark, sf):
-    return A.trace_catalog(ledger(spark, sf))
-
-
 @query("agg_06_trace_metadata", VIEWS + LIVE_SQL + " SELECT trace_id, 'k' AS key, arg_max(json_extract_string(payload, '$.k'), seq) AS value FROM live GROUP BY 1")
 def agg_06b(spark, sf):
     return A.trace_metadata(ledger(spark, sf))

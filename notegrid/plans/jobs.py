@@ -241,12 +241,6 @@ def str_05(spark, sf):
     return ST.run_available(ST.daily_activity(_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))), "complete", "daily")
 
 
-@query("str_06_order_violations", "WITH e AS (SELECT user_id AS source, event_id AS arrival, CASE WHEN event_id % 50 = 0 THEN 0 ELSE event_id + 1 END AS seq FROM events) SELECT source, arrival, seq FROM (SELECT *, max(seq) OVER (PARTITION BY source ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e) WHERE seq <= coalesce(before, -1)")
-def str_06(spark, sf):
-    e = _stream(spark, sf).select(F.col("user_id").alias("source"), F.col("event_id").alias("arrival"), F.when(F.col("event_id") % 50 == 0, F.lit(0).cast("long")).otherwise(F.col("event_id") + 1).alias("seq"))
-    return ST.order_violations(e)
-
-
 @query("str_04_retry_queue", VIEWS + f"SELECT id, sha256(content) AS content_hash, CAST(doc_id % 6 + CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS BIGINT) AS attempts, CASE WHEN doc_id % 3 = 1 THEN {AT_SQL} + to_seconds(least(600.0, 60 * pow(2, doc_id % 6))) ELSE {AT_SQL} END AS next_attempt_at FROM memories WHERE doc_id % 3 <> 0")
 def str_04(spark, sf):
     d, m = F.col("doc_id"), memories(spark, sf)

@@ -16,7 +16,7 @@ from notegrid.operators import predicates as P
 from notegrid.operators import ranking as K
 from notegrid.operators import similarity as SI
 from notegrid.operators.ranking import SEEDED_SQL
-from notegrid.plans.grouped import CATALOG_SQL, GREEDY_SQL, RECURSIVE, TOKENS_SQL
+from notegrid.plans.grouped import GREEDY_SQL, RECURSIVE, TOKENS_SQL
 from notegrid.plans.jobs import FILE_SQL, file_of
 from notegrid.plans.joined import mid
 from notegrid.plans.registry import query
@@ -331,13 +331,6 @@ def src_21(spark, sf):
     return S.merge_vectors(v.select("id", "embedding"), other, id_map, 64)[1]
 
 
-@query("src_22_trace_catalog_table", VIEWS + "SELECT trace_id, count(*) > 0 AS listed FROM ledger WHERE event_type <> 'Other' GROUP BY 1")
-def src_22(spark, sf):
-    store = VersionedTable(spark, new_path(spark, "catalog"))
-    store.write(A.trace_catalog(ledger(spark, sf)).withColumn("search_text", F.concat_ws(" ", "trace_id", "state", "latest_event_type")))
-    return store.read().select("trace_id", (F.length("search_text") > 0).alias("listed"))
-
-
 @query("udf_03_split", VIEWS + "SELECT id, CAST(len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS items FROM memories")
 def udf_03(spark, sf):
     return I.split(memories(spark, sf), lambda t: t.split("\n")).groupBy("id").agg(F.count(F.lit(1)).alias("items"))
@@ -372,14 +365,6 @@ def txt_08(spark, sf):
     return rows.mapInPandas(run, "id string, js string").select(F.col("id").cast("long").alias("doc_id"), F.get_json_object("js", "$.k").alias("k"))
 
 
-@query("str_01_stream_catalog", CATALOG_SQL)
-def str_01(spark, sf):
-    from notegrid.plans.jobs import _stream
-    from notegrid.streaming.jobs import stream_catalog
-
-    return stream_catalog(ledger(spark, sf, _stream(spark, sf)).select("seq", "trace_id", "event_type", "body_hash", "payload"))
-
-
 @query("str_07_surfacing_log", "SELECT event_type AS kind, arg_max(user_id, event_id) AS newest_run, max(event_id) AS newest, count(*) AS entries FROM events GROUP BY 1")
 def str_07(spark, sf):
     from notegrid.plans.jobs import _stream

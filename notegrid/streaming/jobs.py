@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegrid.operators.aggregates import trace_catalog
-from notegrid.operators.ordered import running_max
 from notegrid.storage import VersionedTable, new_path
 
 
@@ -48,57 +46,6 @@ def daily_activity(events: DataFrame, late: str = "7 days") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day", "1 day", "4 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.to_date("w.start").alias("day"), "event_type", "n", "total")
 
 
-def by_batches(df: DataFrame, name: str, each: Callable[[DataFrame, int], None]) -> None:
-    """Run each(batch, number) over all that is there; a batch may come again under its number after a failure."""
-    query = df.writeStream.foreachBatch(each).option("checkpointLocation", new_path(df.sparkSession, f"{name}-state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
-def order_violations(events: DataFrame) -> DataFrame:
-    """events(source, arrival, seq): rows whose seq isn't above the highest that the source sent before.
-
-    Rows of a batch go by their arrival number; what a batch holds before them is a running maximum in two levels,
-    what came in earlier batches is the highest seq of each source, kept with the batch's own result.
-    """
-    spark = events.sparkSession
-    out, tops = new_path(spark, "violations"), new_path(spark, "tops")
-    spark.createDataFrame([], "source long, top long").write.parquet(f"{tops}/batch=-1")
-
-    def each(batch: DataFrame, number: int) -> None:
-        known = spark.read.parquet(tops).filter(F.col("batch") < number).groupBy("source").agg(F.max("top").alias("top"))
-        rows = running_max(batch, "source", "arrival", "seq").join(known, "source", "left")
-        late = rows.filter(F.col("seq") <= F.greatest(F.coalesce("before", F.lit(-1)), F.coalesce("top", F.lit(-1))))
-        late.select("source", "arrival", "seq").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        batch.groupBy("source").agg(F.max("seq").alias("top")).write.mode("overwrite").parquet(f"{tops}/batch={number}")
-
-    by_batches(events, "violations", each)
-    return spark.read.schema("source long, arrival long, seq long").parquet(f"{out}/batch=*")
-
-
-def stream_catalog(events: DataFrame) -> DataFrame:
-    """The catalog of all traces after the stream's events (seq, trace_id, event_type, body_hash, payload): equal to trace_catalog() of the log.
-
-    Every batch is kept under its number; the traces that it names are worked out anew from all their events, in
-    whatever order they came, and put into a new version of the catalog.
-    """
-    spark = events.sparkSession
-    log = new_path(spark, "ledger")
-    store = VersionedTable(spark, new_path(spark, "catalog"))
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        changed = batch.select("trace_id").distinct()
-        history = spark.read.schema(batch.schema).parquet(f"{log}/batch=*")
-        new = trace_catalog(history.join(changed, "trace_id", "left_semi"))
-        if store.latest():
-            store.upsert(new, "trace_id")
-        else:
-            store.write(new)
-
-    by_batches(events, "catalog", each)
-    return store.read()
-
-
 def retry_queue(queue: DataFrame, results: DataFrame, at, base: int = 60, most: int = 3600) -> DataFrame:
     """queue(id, content_hash, attempts), results(id, content_hash, ok): what stays in the queue, with its next attempt.
 

@@ -301,34 +301,6 @@ def test_snapshot_checksum(spark):
     assert files.snapshot_problems(other, header).first()["problems"] == "bad_checksum"
 
 
-def test_streams_of_several_batches(spark, tmp_path):
-    from notegrid.operators.aggregates import KNOWN, trace_catalog
-    from notegrid.streaming import jobs
-
-    rng = random.Random(14)
-    rows = [(s, f"t{rng.randint(0, 6)}", rng.choice([*KNOWN, "Other"]), f"h{s}", "{}") for s in range(1, 91)]
-    rng.shuffle(rows)  # events come in any order
-    schema = "seq long, trace_id string, event_type string, body_hash string, payload string"
-    for i in range(3):
-        spark.createDataFrame(rows[i * 30 : i * 30 + 30], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
-    show = lambda df: sorted(map(tuple, df.collect()))
-    assert show(jobs.stream_catalog(stream)) == show(trace_catalog(spark.createDataFrame(rows, schema)))
-
-    sent = [(rng.randint(0, 2), n, rng.choice([n, n, n - 5])) for n in range(60)]
-    for i in range(3):
-        spark.createDataFrame(sent[i * 20 : i * 20 + 20], "source long, arrival long, seq long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/sent")
-        spark.read.parquet(f"{tmp_path}/sent").count()
-    top: dict = {}
-    want = []
-    for source, n, seq in sent:
-        if seq <= top.get(source, -1):
-            want.append((source, n, seq))
-        top[source] = max(seq, top.get(source, -1))
-    stream = spark.readStream.schema("source long, arrival long, seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/sent")
-    assert show(jobs.order_violations(stream)) == sorted(want)
-
-
 def test_versions_are_claimed_once(spark, tmp_path):
     store = VersionedTable(spark, f"{tmp_path}/table")
     assert [store._claim(), store._claim()] == [1, 2] and store.latest() == 0

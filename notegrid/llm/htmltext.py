@@ -15,7 +15,9 @@ text: text inside a container of its own class, unless the pages that have it ar
 main slots hold mostly text that half of the host's pages have). So text that merely repeats stays. Where no slot
 prevails and the page has an article there, that is taken. A page
 without its host's main slot, and a page of a host with too few pages, is judged by itself: its article, or all
-but the containers named as something else and blocks of links.
+but the containers named as something else and blocks of links. A name says so only if all its words do; an article's
+own name gives way to its having most text; and a page with visible unlinked text never comes out empty because of
+names: then the container with most of it is taken, whatever it is called.
 
 Pages of a host whose own text is the same count as one page, whatever stands around it. A host's template holds
 only tokens that stand on at least SUPPORT of its pages, so its size is bounded by the average number of tokens
@@ -55,35 +57,42 @@ BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd br hr pre blockquo
 DROPPED_TAGS = frozenset("head nav aside header footer form button select dialog menu fieldset".split())
 #: Words in a class, id or role that name something else than the article.
 DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments reply replies consent cookie cookies disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related respond rail search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets navigation complementary contentinfo alert dialog login skip".split())
+#: Words that may stand beside one of those in a name (comment-list, site-footer); beside any other word (ad-free, has-sidebar) it names nothing.
+BESIDE_WORDS = frozenset("area bar block body bottom box button card col column container content feed global group header icon inner item items layer left link links list main outer page panel post posts primary right row secondary section site slot space stories story strip text thread title top unit wrap wrapper".split())
 WORDS = re.compile(r"[a-z]+")
 HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
-def label_of(tag: str, attributes: str) -> tuple[str, bool]:
-    """Role of a container (tag, class and id without digits), and whether it names something to leave out."""
+def label_of(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Role of a container (tag, class and id without digits), whether its tag or state leaves it out, and whether its name says so."""
     dropped = tag in DROPPED_TAGS
     if not attributes.strip():
-        return tag, dropped
-    role = tag
+        return tag, dropped, False
+    role, named = tag, False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
             role += "." + re.sub(r"[\d/]+", "", value)
-            words = WORDS.findall(value)
-            dropped |= tag not in ("html", "body") and any(w in DROPPED_WORDS for w in words)
+            if tag not in ("html", "body"):
+                named = named or any(says_other(WORDS.findall(part)) for part in value.split())
         elif name == "hidden" or value == "true":
             dropped = True
-    return role, dropped
+    return role, dropped, named
+
+
+def says_other(words: list[str]) -> bool:
+    return any(w in DROPPED_WORDS for w in words) and all(w in DROPPED_WORDS or w in BESIDE_WORDS for w in words)
 
 
 class Block:
     """A text block: its container, whether one around it is named as something else (anywhere; or inside its article
-    or main), whether it stands in one, its tag's being a heading, and how much of it is linked."""
+    or main), whether it stands in one, whether that one's own name says something else, whether a tag or state around
+    it leaves it out, its tag's being a heading, and how much of it is linked."""
 
-    __slots__ = ("text", "box", "dropped", "inside", "main", "heading", "linked", "at")
+    __slots__ = ("text", "box", "dropped", "inside", "main", "own", "tagged", "heading", "linked", "at")
 
-    def __init__(self, text: str, box: int, dropped: bool, inside: bool, main: bool, heading: bool, linked: int, at: int):
-        self.text, self.box, self.dropped, self.inside, self.main, self.heading, self.linked, self.at = text, box, dropped, inside, main, heading, linked, at
+    def __init__(self, text: str, box: int, dropped: bool, inside: bool, main: bool, own: bool, tagged: bool, heading: bool, linked: int, at: int):
+        self.text, self.box, self.dropped, self.inside, self.main, self.own, self.tagged, self.heading, self.linked, self.at = text, box, dropped, inside, main, own, tagged, heading, linked, at
 
 
 class Box:
@@ -152,8 +161,8 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, Box]]:
     out: list[Block] = []
     boxes = {ROOT: Box(0, "", False, 0)}
     boxes[ROOT].times = 1
-    # (tag, token, dropped anywhere, dropped since the last article, in an article)
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", ROOT, False, False, False)]
+    # (tag, token, dropped anywhere, dropped since the last article, in an article, its own name says so, left out by a tag)
+    stack: list[tuple[str, int, bool, bool, bool, bool, bool]] = [("", ROOT, False, False, False, False, False)]
     opened: dict[str, int] = {}
     parts: list[str] = []
     anchor, linked, heading, count = 0, 0, "", 0
@@ -163,10 +172,10 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, Box]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                _, token, dropped, inside, main = stack[-1]
+                _, token, dropped, inside, main, own, tagged = stack[-1]
                 count += 1
                 linked = min(linked, len(text))
-                out.append(Block(text, token, dropped, inside, main, heading != "", linked, count))
+                out.append(Block(text, token, dropped, inside, main, own, tagged, heading != "", linked, count))
                 boxes[token].chars += len(text)
                 boxes[token].linked += linked
                 boxes[token].titles += heading == "h1" and not dropped
@@ -203,11 +212,15 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, Box]]:
             elif tag != "br":
                 heading = ""
             if tag in CONTAINERS:
-                _, parent, dropped, inside, main = stack[-1]
-                role, named = label_of(tag, attributes)
+                _, parent, dropped, inside, main, own, tagged = stack[-1]
+                role, out_by_tag, by_name = label_of(tag, attributes)
+                named = out_by_tag or by_name
                 token = digest(f"{parent:x}/{role}")
                 fresh = tag in ("article", "main")
-                stack.append((tag, token, dropped or named, named if fresh else inside or named, main or fresh))
+                # an article inside another is judged by its name; the outermost one's name only weighs
+                inside = (main and (inside or named)) if fresh else inside or named
+                own = (own or by_name and not main) if fresh else own
+                stack.append((tag, token, dropped or named, inside, main or fresh, own, tagged or out_by_tag))
                 opened[tag] = opened.get(tag, 0) + 1
                 count += 1
                 boxes.setdefault(token, Box(parent, tag, named, count)).times += 1
@@ -220,14 +233,39 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, Box]]:
     return out, boxes
 
 
+def unlinked(blocks: list[Block]) -> int:
+    return sum(len(b.text) - b.linked for b in blocks)
+
+
 def kept_of(blocks: list[Block], boxes: dict[int, Box]) -> list[Block]:
-    """Blocks of the page's own text, judged by the page alone: those of its article, if it has one."""
-    kept = [b for b in blocks if not b.dropped or (b.heading and b.main and boxes[b.box].tag == "header")]
+    """Blocks of the page's own text, judged by the page alone: those of its article, if it has one.
+
+    Names weigh only: an article with another name counts if it has more text than all that has none, and where
+    names leave nothing, the container with most unlinked text is taken, whatever it is called.
+    """
+    kept = [b for b in blocks if not b.dropped or (b.heading and b.main and boxes[b.box].tag == "header" and not b.own)]
     if not any(b.main for b in kept):
-        nested = [b for b in blocks if b.main and not b.inside]
-        kept = nested or kept
+        nested = [b for b in blocks if b.main and not b.inside and not b.own]
+        named = [b for b in blocks if b.main and not b.inside and b.own and not b.tagged]
+        kept = nested or (named if unlinked(named) > unlinked(kept) else kept)
     inner = [b for b in kept if b.main]
-    return inner or kept
+    return inner or (kept if unlinked(kept) else densest(blocks, boxes))
+
+
+def densest(blocks: list[Block], boxes: dict[int, Box]) -> list[Block]:
+    """Blocks in and under the container that holds most unlinked text of its own, but for what a tag leaves out and what is made of links."""
+    seen = [b for b in blocks if not b.tagged and 2 * b.linked <= len(b.text)]
+    own: dict[int, int] = {}
+    for b in seen:
+        own[b.box] = own.get(b.box, 0) + len(b.text) - b.linked
+    if not own:
+        return []
+    best = max(own, key=lambda k: (own[k], -boxes[k].at))
+    under = {best}
+    for token, box in boxes.items():  # parents come first
+        if box.parent in under:
+            under.add(token)
+    return [b for b in seen if b.box in under]
 
 
 def in_slot(blocks: list[Block], boxes: dict[int, Box], main: int, linky: set[int]) -> list[Block]:
@@ -251,7 +289,7 @@ def main_text(html: str, main: int | None, template: set[int], linky: set[int])
             return " ".join(b.text for b in own)
     kept = kept_of(blocks, boxes)
     if not any(b.main for b in kept):
-        kept = [b for b in kept if 2 * b.linked <= len(b.text) and b.box not in linky]
+        kept = [b for b in kept if 2 * b.linked <= len(b.text) and b.box not in linky] or densest(blocks, boxes)
     return " ".join(b.text for b in kept if text_token(b) not in template)
 
 

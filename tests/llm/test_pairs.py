@@ -282,6 +282,40 @@ def test_pages_repeated_text(spark):
     assert got[100] == got[101] == "Twice" and got[110] == "Page 0" and got[111] == "Page 1"
 
 
+def test_names_only_weigh():
+    from notegrid.llm.htmltext import main_text
+
+    read = lambda html: main_text(html, None, set(), set())
+    assert read('<nav><a href=x>Home</a></nav><article class="post ad-free"><p>Hello world body</p></article>') == "Hello world body"
+    assert read('<div class="content share-enabled has-sidebar"><p>Body here text</p></div>') == "Body here text"
+    assert read('<article class="post tags-travel"><p>Article text</p></article><div><p>Side</p></div>') == "Article text"
+    assert read('<article class="notice"><p>The long one of them</p></article><div class=x><p>side</p></div>') == "The long one of them"
+    assert read('<article class="comment"><p>hi</p></article><div><p>The longer text of the page</p></div>') == "The longer text of the page"
+    assert read('<main><article class="comment-list"><p>a reply</p></article><p>real text</p></main>') == "real text"
+    assert read('<div class="site-footer">Imprint</div><div><p>Text</p></div>') == "Text"
+    assert read("<nav>menu</nav>") == read('<div hidden="">x</div>') == ""
+
+
+def test_visible_text_is_never_lost_by_names():
+    from notegrid.llm.htmltext import main_text
+
+    rng = random.Random(9)
+    for _ in range(400):
+        depth, parts = 0, []
+        for k in range(rng.randint(1, 12)):
+            if depth and rng.random() < 0.4:
+                parts.append("</div>")
+                depth -= 1
+            else:
+                name = "-".join(rng.choices(["ad", "comment", "share", "free", "list", "menu", "a", "promo"], k=rng.randint(1, 2)))
+                parts.append(f"<{'div'} class='{name}'>")
+                depth += 1
+                if rng.random() < 0.5:
+                    parts.append(f"<p>visible {k}</p>" if rng.random() < 0.8 else f"<a href=x>linked {k}</a>")
+        html = "".join(parts)
+        assert bool(main_text(html, None, set(), set())) or "visible" not in html, html
+
+
 def test_rotation(spark, duck, sf):
     from notegrid.llm.chat import ORACLE, rotate
 

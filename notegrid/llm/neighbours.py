@@ -122,7 +122,8 @@ def search(df: DataFrame, is_query, k: int = 10, curves: int = 8, dims: int = 4,
     rows = usable(df, id_col, vector_col)
     first = Window.partitionBy("v").orderBy("vec_id")
     distinct = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("vid"), "ids", "v")
-    asked = rows.filter(is_query)
+    distinct = materialize(distinct, "distinct")
+    asked = materialize(rows.filter(is_query), "asked")
     kind = dict(distinct.dtypes)["v"]
     head = distinct.orderBy(F.xxhash64("vid"), "vid").limit(sample).select("v").toPandas()
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

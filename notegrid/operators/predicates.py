@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegrid.functions import policy, scores
+from notegrid.storage import materialize
 
 
 def surface_policy(memories: DataFrame, mode: str) -> DataFrame:
@@ -36,11 +37,50 @@ def exact_ids(memories: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def literal_matches(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs where the lower-cased query stands in name, tags, domain or content; queries are a stated set, which Spark
-    broadcasts where it is small enough and else meets in blocks."""
+    """Pairs where the lower-cased query stands in name, tags, domain or content.
+
+    A text that holds a query holds its tokens (what blanks divide) but for the first and last as tokens of its own;
+    the rarest of them anchors the query by an equi join, and only the pairs that meet there are looked at. A query
+    of one or two tokens is anchored by the corpus's tokens that hold its longer one, which the rarest gram of that
+    one finds among the distinct tokens in the same way.
+    """
     text = F.lower(F.concat_ws(" ", "name", F.concat_ws(" ", "tags"), F.concat_ws(" ", "domain"), "content"))
-    asked = queries.select("query_id", F.lower(F.trim("query")).alias("q")).filter("q <> ''")
-    return memories.select("id", text.alias("t")).join(asked, F.contains(F.col("t"), F.col("q"))).select("query_id", "id")
+    texts = memories.select("id", text.alias("t"))
+    asked = materialize(queries.select("query_id", F.lower(F.trim("query")).alias("q")).filter("q <> ''"), "asked")
+    tokens = texts.select("id", F.explode(F.array_distinct(F.split("t", " "))).alias("token")).filter("token <> ''")
+
+    parts = F.split("q", " ")
+    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != "")
+    whole = asked.select("query_id", F.explode(F.array_distinct(inner)).alias("token"))
+    anchors = _rarest(whole, tokens, "token")
+    short = asked.filter(F.size(inner) == 0)
+    if short.limit(1).count():
+        ends = F.array_sort(parts, lambda a, b: F.length(b) - F.length(a))
+        piece = short.select("query_id", F.element_at(ends, 1).alias("piece"))
+        sizes = [r["n"] for r in piece.select(F.least(F.length("piece"), F.lit(GRAM)).alias("n")).distinct().collect()]  # GRAM at most
+        grams = lambda c: F.array_distinct(F.concat(*[_grams(c, n) for n in sizes]))
+        held = tokens.select("token").distinct().select("token", F.explode(grams("token")).alias("gram"))
+        own = piece.select("query_id", "piece", F.explode(grams("piece")).alias("gram")).filter(F.length("gram") == F.least(F.length("piece"), F.lit(GRAM)))
+        near = _rarest(own.select("query_id", "gram"), held, "gram").join(piece, "query_id").join(held, "gram")
+        anchors = anchors.unionByName(near.filter(F.contains("token", "piece")).select("query_id", "token"))
+    met = tokens.join(materialize(anchors, "anchors"), "token").select("query_id", "id").distinct()
+    return met.join(texts, "id").join(asked, "query_id").filter(F.contains("t", "q")).select("query_id", "id")
+
+
+#: Length of the grams that a query without whole tokens is anchored by.
+GRAM = 3
+
+
+def _grams(c: str, n: int) -> Column:
+    found = F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, F.lit(n)))
+    return F.when(F.length(c) >= n, found).otherwise(F.array().cast("array<string>"))
+
+
+def _rarest(wanted: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Of wanted(query_id, key): the key of each query that fewest rows of held have; none, if one of its keys isn't held at all."""
+    seen = held.join(wanted.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    least = wanted.join(seen, key, "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), key)).alias("r"))
+    return least.filter("r.n > 0").select("query_id", F.col(f"r.{key}").alias(key))
 
 
 def startup_memories(memories: DataFrame, allow_digested: bool = False) -> DataFrame:

@@ -241,14 +241,6 @@ def str_05(spark, sf):
     return ST.run_available(ST.daily_activity(_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))), "complete", "daily")
 
 
-@query("str_04_retry_queue", VIEWS + f"SELECT id, sha256(content) AS content_hash, CAST(doc_id % 6 + CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS BIGINT) AS attempts, CASE WHEN doc_id % 3 = 1 THEN {AT_SQL} + to_seconds(least(600.0, 60 * pow(2, doc_id % 6))) ELSE {AT_SQL} END AS next_attempt_at FROM memories WHERE doc_id % 3 <> 0")
-def str_04(spark, sf):
-    d, m = F.col("doc_id"), memories(spark, sf)
-    queue = m.select("id", F.sha2("content", 256).alias("content_hash"), (d % 6).alias("attempts"))
-    results = m.select("id", F.when(d % 3 == 2, "old").otherwise(F.sha2("content", 256)).alias("content_hash"), (d % 3 == 0).alias("ok"))
-    return ST.retry_queue(queue, results, as_of(), most=600)
-
-
 # --- batch inference --------------------------------------------------------------------------------
 
 

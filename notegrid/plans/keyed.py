@@ -85,3 +85,30 @@ def str_06(spark, sf):
     k = F.col("event_id")
     sent = _stream(spark, sf).select(F.col("user_id").alias("source"), k.alias("arrival"), F.when(k % 50 == 0, F.lit(0).cast("long")).when(k % 70 == 1, k - 30).otherwise(k + 1).alias("seq"))
     return ST.order_violations(sent, new_path(spark, "stream-order")).read()
+
+
+#: Five commands for each id, from the events: the first enqueues; the others enqueue again, finish or fail, for one of two texts.
+QUEUE_SQL = """WITH RECURSIVE c AS (SELECT 'q' || CAST(event_id // 5 AS VARCHAR) AS id, event_id AS n, event_id % 5 AS k, CASE WHEN event_id % 5 = 0 OR event_type IN ('signup', 'click') THEN 'enqueue' WHEN event_type = 'view' THEN 'done' WHEN event_id % 13 = 0 THEN 'discard' ELSE 'failed' END AS op,
+  'h' || CAST(user_id % 2 AS VARCHAR) AS h, event_id * 10.0::DOUBLE AS t, event_type AS error, event_type = 'signup' AS reset FROM events),
+s AS (SELECT id, -1::BIGINT AS k, FALSE AS pending, NULL::VARCHAR AS content_hash, NULL::DOUBLE AS queued_at, 0::BIGINT AS attempts, 0.0::DOUBLE AS next_attempt_at, '' AS last_error FROM c WHERE k = 0
+  UNION ALL SELECT id, c.k,
+    CASE WHEN op = 'enqueue' THEN TRUE WHEN op = 'discard' OR (op = 'done' AND pending AND content_hash = h) THEN FALSE ELSE pending END, CASE WHEN op = 'enqueue' THEN h ELSE content_hash END,
+    CASE WHEN op = 'enqueue' AND NOT (pending AND content_hash = h) THEN t ELSE queued_at END,
+    CASE WHEN op = 'enqueue' AND (reset OR NOT pending OR content_hash <> h) THEN 0 WHEN op = 'failed' AND pending AND content_hash = h THEN attempts + 1 ELSE attempts END,
+    CASE WHEN op = 'enqueue' AND (reset OR NOT pending) THEN 0.0 WHEN op = 'failed' AND pending AND content_hash = h THEN t + least(300.0, 5.0 * pow(2, attempts)) ELSE next_attempt_at END,
+    CASE WHEN op = 'enqueue' AND (reset OR NOT pending) THEN '' WHEN op = 'failed' AND pending AND content_hash = h THEN error ELSE last_error END
+  FROM s JOIN c USING (id) WHERE c.k = s.k + 1)
+SELECT id, arg_max(content_hash, k) AS content_hash, arg_max(attempts, k) AS attempts, arg_max(queued_at, k) AS queued_at, arg_max(next_attempt_at, k) AS next_attempt_at, arg_max(last_error, k) AS last_error FROM s GROUP BY id HAVING arg_max(pending, k)"""
+
+
+@query("str_04_reembed_queue", QUEUE_SQL)
+def str_04(spark, sf):
+    from notegrid.schema import table
+
+    k, kind, path = F.col("event_id"), F.col("event_type"), new_path(spark, "queue")
+    op = F.when((k % 5 == 0) | kind.isin("signup", "click"), "enqueue").when(kind == "view", "done").when(k % 13 == 0, "discard").otherwise("failed")
+    commands = table(spark, sf, "events").select(F.concat(F.lit("q"), F.floor(k / 5).cast("string")).alias("id"), k.alias("n"), op.alias("op"), F.concat(F.lit("h"), (F.col("user_id") % 2).cast("string")).alias("content_hash"), (k * 10.0).alias("at"), kind.alias("error"), (kind == "signup").alias("reset"))
+    for part in ("n % 5 < 3", "n % 5 >= 3"):  # the stream goes on with what has come since
+        commands.filter(part).write.mode("append").parquet(f"{path}/log")
+        items, _ = ST.stream_queue(spark.readStream.schema(commands.schema).parquet(f"{path}/log"), path)
+    return items.read().filter("pending").select("id", "content_hash", "attempts", "queued_at", "next_attempt_at", "last_error")

@@ -44,16 +44,3 @@ def touch_counts(events: DataFrame) -> DataFrame:
 def daily_activity(events: DataFrame, late: str = "7 days") -> DataFrame:
     """Events of each day from 4 o'clock on; days close when they can't get late events any more."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day", "1 day", "4 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.to_date("w.start").alias("day"), "event_type", "n", "total")
-
-
-def retry_queue(queue: DataFrame, results: DataFrame, at, base: int = 60, most: int = 3600) -> DataFrame:
-    """queue(id, content_hash, attempts), results(id, content_hash, ok): what stays in the queue, with its next attempt.
-
-    A result for an older text is ignored; failures wait base * 2^(attempts - 1) seconds, `most` at longest.
-    """
-    r = results.select("id", F.col("content_hash").alias("done_hash"), "ok")
-    rows = queue.join(r, "id", "left").withColumn("counts", F.coalesce(F.col("done_hash") == F.col("content_hash"), F.lit(False)))
-    failed = F.col("counts") & ~F.col("ok")
-    tries = F.col("attempts") + failed.cast("int")
-    wait = F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), F.greatest(tries - 1, F.lit(0))))
-    return rows.filter(~(F.col("counts") & F.col("ok"))).select("id", "content_hash", tries.cast("long").alias("attempts"), F.when(failed, at + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))).otherwise(at).alias("next_attempt_at"))

@@ -1,4 +1,4 @@
-"""Streams that keep their state by key in Spark's state store: the catalog of traces, and the order of sources.
+"""Streams that keep their state by key in Spark's state store: the catalog of traces, the order of sources, the re-embedding queue.
 
 A batch costs what it brings: a key's state is read and written only when the batch names it, results are
 appended under the batch's number (a batch that comes again replaces its own), and readers take the newest row
@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from notegrid.operators.aggregates import KNOWN, ledger_fields
+from notegrid.operators.ordered import running_max
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -184,3 +185,121 @@ def order_violations(events: DataFrame, path: str) -> ChangeLog:
     log = ChangeLog(events.sparkSession, f"{path}/violations", VIOLATION)
     run_keyed(events.filter("source IS NOT NULL AND seq IS NOT NULL"), "source", Rising(), VIOLATION, log.put, f"{path}/state")
     return log
+
+
+# --- re-embedding queue -----------------------------------------------------------------------------
+
+ITEM = "pending boolean, content_hash string, queued_at double, updated_at double, attempts long, next_attempt_at double, last_attempt_at double, last_error string, n long"
+OUTCOMES = "outcomes array<struct<n: bigint, ok: boolean, at: double>>"
+CIRCUIT = "failures long, last_id string, open_until double, trips long, processed long"
+
+
+class Waits:
+    """Waiting times in seconds: of an item, doubling from base to most; of all work after `threshold` failures in a row on changing items."""
+
+    def __init__(self, base: float = 5.0, most: float = 300.0, threshold: int = 3, circuit_base: float = 30.0, circuit_most: float = 600.0):
+        self.base, self.most, self.threshold, self.circuit_base, self.circuit_most = base, max(base, most), threshold, circuit_base, max(circuit_base, circuit_most)
+
+
+def queue_step(item: tuple | None, c: tuple, waits: Waits) -> tuple[tuple, bool | None]:
+    """(item, outcome) after a command (n, op, content_hash, at, error, reset); outcome: whether an attempt on the wanted text went well, None if there was none."""
+    n, op, wanted, at, error, reset = c
+    pending, digest, queued, updated, attempts, due, tried, said, _ = item or (False, None, None, None, 0, 0.0, None, "", None)
+    gone = (False, None, None, at, 0, 0.0, None, "", n)
+    if op == "discard" or (op == "enqueue" and not wanted):
+        return gone, None
+    if op == "enqueue":
+        same = pending and digest == wanted
+        if not pending:
+            tried = None
+        return (True, wanted, queued if same else at, at, attempts if same and not reset else 0, 0.0 if reset or not pending else due, tried, "" if reset or not pending else said, n), None
+    if not pending or digest != wanted:  # of a text that isn't wanted any more
+        return (pending, digest, queued, updated, attempts, due, tried, said, n), None
+    if op == "done":
+        return gone, True
+    attempts += 1
+    return (True, digest, queued, at, attempts, at + min(waits.most, waits.base * 2.0 ** min(attempts - 1, 16)), at, (error or "")[:300], n), False
+
+
+class Queue(StatefulProcessor):
+    """Keeps the wanted text of each id; a command that comes again is passed over by its number."""
+
+    def __init__(self, waits: Waits):
+        self.waits = waits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.item = handle.getValueState("item", ITEM)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        item, outcomes = tuple(self.item.get()) if self.item.exists() else None, []
+        pdf = pd.concat(rows)[["n", "op", "content_hash", "at", "error", "reset"]].sort_values("n")
+        for c in map(plain, pdf.itertuples(index=False, name=None)):
+            if item is None or c[0] > item[8]:
+                item, ok = queue_step(item, c, self.waits)
+                if ok is not None:
+                    outcomes.append({"n": c[0], "ok": ok, "at": c[3]})
+        self.item.update(item)
+        out = pd.DataFrame([(key[0], *item)], columns=["id", *(c.split()[0] for c in ITEM.split(", "))])
+        yield out.assign(outcomes=pd.Series([outcomes], dtype=object))
+
+    def close(self) -> None:
+        pass
+
+
+def circuit_step(outcomes: DataFrame, before: DataFrame, waits: Waits) -> DataFrame:
+    """CIRCUIT after outcomes(id, n, ok, at), from the row before it: one row.
+
+    Failures in a row count when they fall on another item than the last one; from `threshold` on each opens the
+    circuit for longer; a success closes it. Outcomes are put in order in a run of failures at a time; as work
+    pauses while the circuit is open, such a run is short.
+    """
+    rows = running_max(outcomes.withColumns({"all": F.lit(0), "good": F.when(F.col("ok"), F.col("n"))}), "all", "n", "good").withColumnRenamed("before", "run")
+    rows = rows.crossJoin(before.select([F.col(c).alias(f"old_{c}") for c in before.columns]))  # one row
+    first, order = F.col("run").isNull(), Window.partitionBy("run").orderBy("n")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    failed = rows.filter("NOT ok")
+    failed = failed.withColumn("counts", (F.coalesce(F.lag("id").over(order), F.when(first, F.col("old_last_id"))).eqNullSafe(F.col("id")) == F.lit(False)).cast("long"))
+    failed = failed.withColumn("k", F.sum("counts").over(order) + F.when(first, F.col("old_failures")).otherwise(0))
+    wait = F.least(F.lit(waits.circuit_most), waits.circuit_base * F.pow(F.lit(2.0), F.least(F.col("k") - waits.threshold, F.lit(16))))
+    failed = failed.withColumn("until", F.when((F.col("counts") == 1) & (F.col("k") >= waits.threshold), F.col("at") + wait))
+    open_until = F.greatest(F.coalesce(F.max("until").over(earlier), F.lit(0.0)), F.when(first, F.col("old_open_until")).otherwise(0.0))
+    failed = failed.withColumn("trip", (F.col("until").isNotNull() & (open_until <= F.col("at"))).cast("long"))
+    runs = failed.groupBy("run").agg(F.max("k").alias("failures"), F.max_by("id", "n").alias("last_id"), F.greatest(F.coalesce(F.max("until"), F.lit(0.0)), F.when(F.col("run").isNull(), F.max("old_open_until")).otherwise(0.0)).alias("open_until"), F.sum("trip").alias("trips"))
+    good = outcomes.agg(F.max(F.when(F.col("ok"), F.col("n"))).alias("last_good"), F.count_if("ok").alias("done"))
+    last = runs.crossJoin(good).filter(F.col("run").eqNullSafe(F.col("last_good"))).select("failures", "last_id", "open_until")  # at most one row each
+    trips = runs.agg(F.coalesce(F.sum("trips"), F.lit(0)).alias("more"))
+    state = before.crossJoin(good).crossJoin(trips).join(last.select(*[F.col(c).alias(f"new_{c}") for c in last.columns]), F.lit(True), "left")
+    now = lambda c, none: F.when(F.col("new_failures").isNotNull(), F.col(f"new_{c}")).when(F.col("last_good").isNotNull(), F.lit(none)).otherwise(F.col(c))
+    return state.select(now("failures", 0).alias("failures"), now("last_id", None).alias("last_id"), now("open_until", 0.0).alias("open_until"), (F.col("trips") + F.col("more")).alias("trips"), (F.col("processed") + F.col("done")).alias("processed"))
+
+
+def stream_queue(commands: DataFrame, path: str, waits: Waits | None = None) -> tuple[ChangeLog, ChangeLog]:
+    """Bring the queue under `path` up to date with a stream of commands(id, n, op, content_hash, at, error, reset): (items, circuit).
+
+    op: enqueue (no text hash: discard), discard, done, failed. n numbers the commands; those of one id come in
+    order. The newest text of an id replaces an older one; results for older texts are passed over.
+    """
+    spark, waits = commands.sparkSession, waits or Waits()
+    items, circuit = ChangeLog(spark, f"{path}/items", f"id string, {ITEM}", "id"), ChangeLog(spark, f"{path}/circuit", f"one int, {CIRCUIT}", "one")
+    start = spark.createDataFrame([(1, 0, None, 0.0, 0, 0)], f"one int, {CIRCUIT}")
+
+    def put(batch: DataFrame, number: int) -> None:
+        held = spark.read.schema(batch.schema)
+        raw = ChangeLog(spark, f"{path}/steps", "id string", None)
+        raw.put(batch, number)  # worked out once
+        rows = held.parquet(f"{path}/steps/batch={number}")
+        items.put(rows.drop("outcomes"), number)
+        known = circuit.changes().filter(F.col("batch") < number) if number else None
+        before = known.groupBy().agg(F.max_by(F.struct(*start.columns), "batch").alias("r")).select("r.*") if number else start
+        told = rows.select("id", F.inline("outcomes").alias("n", "ok", "at"))
+        circuit.put(circuit_step(told, before.drop("one"), waits).select(F.lit(1).alias("one"), "*"), number)
+
+    run_keyed(commands.filter("id IS NOT NULL AND id <> ''"), "id", Queue(waits), f"id string, {ITEM}, {OUTCOMES}", put, f"{path}/state")
+    return items, circuit
+
+
+def due(items: ChangeLog, circuit: ChangeLog, at: float) -> DataFrame:
+    """Items to try now, first the one that waits longest: none while the circuit is open."""
+    open_ = circuit.read().filter(F.col("open_until") > at).select("one")
+    ready = items.read().filter(F.col("pending") & (F.col("next_attempt_at") <= at))
+    return ready.join(open_, F.lit(True), "left_anti").orderBy("next_attempt_at", "queued_at", "id").select("id", "content_hash", "attempts")

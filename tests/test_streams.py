@@ -92,3 +92,53 @@ def test_order_stream_restarts(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/sent")
         log = stateful.order_violations(stream, f"{tmp_path}/out")
         assert show(log.read()) == sorted(w for w in want if w[1] < 30 * (i + 1))
+
+
+def walk_queue(commands, waits):
+    """One command after the other: items, circuit and what would be tried at each time."""
+    items, c = {}, {"failures": 0, "last": None, "open": 0.0, "trips": 0, "processed": 0}
+    for id_, n, op, digest, at, error, reset in commands:
+        if op == "discard" or (op == "enqueue" and not digest):
+            items.pop(id_, None)
+        elif op == "enqueue":
+            old = items.get(id_, {})
+            same = old.get("hash") == digest
+            items[id_] = {"hash": digest, "queued": old["queued"] if same else at, "attempts": old["attempts"] if same and not reset else 0, "due": 0.0 if reset else old.get("due", 0.0), "tried": old.get("tried"), "error": "" if reset else old.get("error", "")}
+        elif items.get(id_, {}).get("hash") == digest:
+            if op == "done":
+                items.pop(id_)
+                c.update(failures=0, last=None, open=0.0, processed=c["processed"] + 1)
+            else:
+                i = items[id_]
+                i["attempts"] += 1
+                i.update(due=at + min(waits.most, waits.base * 2 ** (i["attempts"] - 1)), tried=at, error=error[:300])
+                if c["last"] != id_:
+                    c.update(last=id_, failures=c["failures"] + 1)
+                    if c["failures"] >= waits.threshold:
+                        c["trips"] += c["open"] <= at
+                        c["open"] = max(c["open"], at + min(waits.circuit_most, waits.circuit_base * 2 ** (c["failures"] - waits.threshold)))
+    return {k: (i["hash"], i["queued"], i["attempts"], i["due"], i["tried"], i["error"]) for k, i in items.items()}, c
+
+
+def test_queue_restarts(spark, tmp_path):
+    rng = random.Random(8)
+    schema = "id string, n long, op string, content_hash string, at double, error string, reset boolean"
+    waits, commands = stateful.Waits(threshold=3), []
+    for n in range(260):
+        op = rng.choice(["enqueue", "enqueue", "failed", "failed", "failed", "done" if n % 100 < 60 else "failed", "discard" if n % 9 == 0 else "failed"])
+        commands.append((f"i{rng.randint(0, 6)}", n, op, rng.choice(["a", "a", "b", "" if n % 11 == 0 else "a"]), n * 7.0, "no " * 150, n % 3 == 0))
+    at = 0
+    for k, size in enumerate((40, 1, 90, 9, 120)):
+        part = commands[at : at + size] + commands[max(0, at - 5) : at]  # some come again
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        at += size
+        items, circuit = stateful.stream_queue(spark.readStream.schema(schema).parquet(f"{tmp_path}/log"), f"{tmp_path}/out", waits)
+        want, c = walk_queue(commands[:at], waits)
+        got = {r.id: (r.content_hash, r.queued_at, r.attempts, r.next_attempt_at, r.last_attempt_at, r.last_error) for r in items.read().filter("pending").collect()}
+        assert got == want, k
+        now = circuit.read().first()
+        assert (now.failures, now.last_id, now.open_until, now.trips, now.processed) == (c["failures"], c["last"], c["open"], c["trips"], c["processed"]), k
+        for moment in (at * 7.0, at * 7.0 + 700):
+            ready = sorted((due, queued, i) for i, (_, queued, _, due, _, _) in want.items() if due <= moment) if c["open"] <= moment else []
+            assert [r.id for r in stateful.due(items, circuit, moment).collect()] == [i for *_, i in ready]
+    assert c["trips"] and c["processed"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notegrid.functions import policy, scores
@@ -293,6 +294,26 @@ def src_12(spark, sf):
     return S.detect_format(f).select("path", "format")
 
 
+@query("src_12_route_files", f"SELECT {FILE_SQL} AS path, CASE WHEN role = 'system' AND conv_id % 9 IN (0, 1, 2, 6) THEN 'user' ELSE role END AS role, sha256(trim(text)) AS h, row_number() OVER (PARTITION BY {FILE_SQL} ORDER BY turn) AS nth FROM conversations")
+def src_12_route(spark, sf):
+    """Files of every form that an export comes in, by conversation; through detection and the parsers back to turns."""
+    form, cjk = F.col("conv_id") % 9, F.when(F.col("role") == "assistant", "Claude: ").when(F.col("role") == "system", "system: ").otherwise("我：")
+    who = F.when(F.col("role") == "system", "user").otherwise(F.col("role"))
+    said = F.struct(F.col("turn"), F.struct(who.alias("sender"), F.col("text").alias("text")).alias("plain"), F.struct(who.alias("role"), F.col("text").alias("content")).alias("simple"), F.struct(F.struct(F.col("role")).alias("author"), F.struct(F.array("text").alias("parts")).alias("content"), (F.col("turn") * 5 + 1.0).alias("create_time")).alias("deep"), F.concat(F.col("role"), F.lit(": "), "text").alias("line"), F.concat(cjk, "text").alias("other"))
+    c = table(spark, sf, "conversations").groupBy("conv_id", file_of().alias("path")).agg(F.array_sort(F.collect_list(said)).alias("ms"))
+    pick = lambda name, rows="ms": F.transform(rows, lambda x: x[name])
+    js = lambda name, rows="ms": F.to_json(pick(name, rows))
+    wrap = lambda key, inner: F.concat(F.lit(f'{{"{key}":'), inner, F.lit("}"))
+    tree = wrap("mapping", F.to_json(F.map_from_entries(F.transform("ms", lambda x: F.struct(F.concat(F.lit("n"), x["turn"].cast("string")), F.struct(x["deep"].alias("message")))))))
+    halves = F.concat(F.lit("["), wrap("chat_messages", js("plain", F.slice("ms", 1, 2))), F.lit(","), wrap("messages", js("simple", F.slice("ms", 3, 64))), F.lit("]"))
+    value = F.when(form == 0, wrap("chat_messages", js("plain"))).when(form == 1, wrap("messages", js("simple"))).when(form == 2, halves).when(form == 3, tree).when(form == 4, F.concat(F.lit(" ["), tree, F.lit("]"))).when(form == 5, wrap("messages", js("deep"))).when(form == 6, js("simple")).when(form == 7, F.array_join(pick("line"), "\n")).otherwise(F.array_join(pick("other"), "\n"))
+    turns = S.route(c.select("path", value.alias("value")))
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("turn"))
+    # the forms of plain messages know two roles
+    told = turns.withColumn("nth", nth.cast("long")).withColumn("h", F.sha2("content", 256))
+    return told.select("path", "role", "h", "nth")
+
+
 @query("src_15_backup_diff", VIEWS + "SELECT id AS path, CASE doc_id % 4 WHEN 0 THEN 'remove' WHEN 1 THEN 'upload' WHEN 2 THEN 'upload' ELSE 'unchanged' END AS action FROM memories")
 def src_15(spark, sf):
     k, m = F.col("doc_id") % 4, memories(spark, sf)

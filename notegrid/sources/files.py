@@ -88,7 +88,10 @@ def parse_vectors(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", F.when(error.isNull(), v).alias("v"), error.alias("error"))
 
 
-ROLES = r"^\s*(?i)(user|human|assistant|ai|system)\s*[:：]\s*(.*)$"
+#: Names of the two sides at the start of a line, as fixed values.
+ASSISTANTS = ("assistant", "claude", "ai", "gpt", "bot", "deepseek")
+PEOPLE = ("human", "user", "你", "我")
+ROLES = rf"^\s*(?i)({'|'.join((*PEOPLE, *ASSISTANTS, 'system'))})\s*[:：]\s*(.*)$"
 
 
 def parse_transcripts(files: DataFrame) -> DataFrame:
@@ -97,18 +100,42 @@ def parse_transcripts(files: DataFrame) -> DataFrame:
     role = F.lower(F.regexp_extract("line", ROLES, 1))
     marked = lines.withColumn("role", role).withColumn("said", F.when(role != "", F.regexp_extract("line", ROLES, 2)).otherwise(F.col("line")))
     numbered = marked.withColumn("turn", F.sum((F.col("role") != "").cast("int")).over(Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    name = F.when(F.max("role").isin("assistant", "ai"), "assistant").when(F.max("role") == "system", "system").otherwise("user")
+    name = F.when(F.max("role").isin(*ASSISTANTS), "assistant").when(F.max("role") == "system", "system").otherwise("user")
     turns = numbered.groupBy("path", "turn").agg(name.alias("role"), F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), "\n")).alias("content"))
     return turns.filter("content <> ''")
 
 
+BLANK = " \\t\\n\\r\\u000b\\u000c"
+_OBJECT = "schema_of_variant({}) LIKE 'OBJECT%'"
+#: The conversations of a parsed file: the objects of a list, or the one object; a bare list of messages is one conversation.
+_CONVERSATIONS = f"""CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN
+  CASE WHEN try_variant_get(v, '$[0].role', 'string') IS NOT NULL AND try_variant_get(v, '$[0].content', 'variant') IS NOT NULL THEN array(try_parse_json(concat('{{"messages":', to_json(v), '}}')))
+  ELSE filter(try_variant_get(v, '$', 'array<variant>'), c -> {_OBJECT.format('c')}) END
+  WHEN {_OBJECT.format('v')} THEN array(v) ELSE array() END"""
+
+
+def _conversations(files: DataFrame) -> DataFrame:
+    return files.select("path", F.try_parse_json("value").alias("v")).select("path", F.expr(_CONVERSATIONS).alias("convs"))
+
+
+def _joined(parts: str) -> str:
+    """SQL for the text of a list of variants, joined by a blank."""
+    return f"btrim(array_join(filter(transform(coalesce({parts}, array()), p -> try_variant_get(p, '$', 'string')), s -> s IS NOT NULL AND s <> ''), ' '), '{BLANK}')"
+
+
 def parse_chat_export(files: DataFrame) -> DataFrame:
-    """files(path, value) of JSON exports with chat_messages: (path, turn, role, content), blank messages dropped."""
-    schema = "chat_messages array<struct<sender:string,role:string,text:string,content:array<struct<text:string>>,created_at:string>>"
-    each = files.select("path", F.posexplode(F.from_json("value", schema)["chat_messages"]).alias("turn", "m"))
-    said = F.trim(F.coalesce("m.text", F.array_join(F.transform("m.content", lambda p: p["text"]), " "), F.lit("")))
-    role = F.when(F.lower(F.coalesce("m.sender", "m.role")).isin("assistant", "ai"), "assistant").otherwise("user")
-    return each.select("path", F.col("turn").cast("long").alias("turn"), role.alias("role"), said.alias("content"), F.col("m.created_at").alias("at")).filter("content <> ''")
+    """files(path, value) of JSON exports with chat_messages or messages, one conversation or a list: (path, turn, role, content, at), blank messages dropped.
+
+    A message's text is its `text`, else its `content`: a string or a list of parts with a text. Turns are counted over all conversations of the file.
+    """
+    messages = "flatten(transform(convs, c -> filter(coalesce(try_variant_get(c, '$.chat_messages', 'array<variant>'), try_variant_get(c, '$.messages', 'array<variant>'), array()), m -> schema_of_variant(m) LIKE 'OBJECT%')))"
+    each = _conversations(files).select("path", F.posexplode(F.expr(messages)).alias("turn", "m"))
+    each = each.withColumn("raw", F.expr("coalesce(try_variant_get(m, '$.text', 'variant'), try_variant_get(m, '$.content', 'variant'))"))
+    parts = "transform(filter(try_variant_get(raw, '$', 'array<variant>'), p -> schema_of_variant(p) LIKE 'OBJECT%'), p -> coalesce(try_variant_get(p, '$.text', 'string'), ''))"
+    said = F.expr(f"btrim(CASE WHEN schema_of_variant(raw) = 'STRING' THEN try_variant_get(raw, '$', 'string') WHEN schema_of_variant(raw) LIKE 'ARRAY%' THEN array_join({parts}, ' ') ELSE '' END, '{BLANK}')")
+    name = F.expr("lower(coalesce(try_variant_get(m, '$.sender', 'string'), try_variant_get(m, '$.role', 'string')))")
+    at = F.expr("coalesce(try_variant_get(m, '$.created_at', 'string'), try_variant_get(m, '$.timestamp', 'string'))")
+    return each.select("path", F.col("turn").cast("long").alias("turn"), F.when(name.isin("assistant", "ai"), "assistant").otherwise("user").alias("role"), said.alias("content"), at.alias("at")).filter("content <> ''")
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -131,20 +158,33 @@ def to_events(memories: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def parse_chat_tree(files: DataFrame) -> DataFrame:
-    """files(path, value) of JSON exports with a mapping of messages: turns in the order of create_time."""
-    schema = "mapping map<string,struct<message:struct<author:struct<role:string>,content:struct<parts:array<string>>,create_time:double>>>"
-    each = files.select("path", F.explode(F.map_entries(F.from_json("value", schema)["mapping"])).alias("e")).select("path", F.col("e.key").alias("key"), F.col("e.value.message").alias("m")).filter("m IS NOT NULL")
-    said = F.trim(F.array_join(F.coalesce("m.content.parts", F.array().cast("array<string>")), " "))
-    rows = each.select("path", F.coalesce("m.create_time", F.lit(0.0)).alias("at"), "key", F.when(F.col("m.author.role") == "assistant", "assistant").when(F.col("m.author.role") == "system", "system").otherwise("user").alias("role"), said.alias("content")).filter("content <> ''")
-    return rows.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("at", "key")) - 1).cast("long").alias("turn"), "role", "content", F.timestamp_seconds("at").alias("at"))
+    """files(path, value) of JSON exports with a mapping of messages, one conversation or a list: turns in the order of create_time.
+
+    Nodes of one time go by their key. A conversation without a mapping has a flat list of messages, whose content is
+    an object with parts or a string; its order stays.
+    """
+    node = f"""named_struct('at', coalesce(try_variant_get(e.value, '$.message.create_time', 'double'), 0D), 'key', e.key, 'role', try_variant_get(e.value, '$.message.author.role', 'string'), 'said', {_joined("try_variant_get(e.value, '$.message.content.parts', 'array<variant>')")})"""
+    tree = f"array_sort(transform(filter(map_entries(mapping), e -> schema_of_variant(try_variant_get(e.value, '$.message', 'variant')) LIKE 'OBJECT%'), e -> {node}))"
+    raw = "coalesce(try_variant_get(m, '$.content', 'variant'), try_variant_get(m, '$.text', 'variant'))"
+    body = f"""CASE WHEN schema_of_variant({raw}) LIKE 'OBJECT%' THEN {_joined(f"try_variant_get({raw}, '$.parts', 'array<variant>')")} ELSE btrim(coalesce(try_variant_get({raw}, '$', 'string'), ''), '{BLANK}') END"""
+    flat = f"transform(filter(coalesce(try_variant_get(c, '$.messages', 'array<variant>'), array()), m -> schema_of_variant(m) LIKE 'OBJECT%'), m -> named_struct('at', coalesce(try_variant_get(m, '$.timestamp', 'double'), try_variant_get(m, '$.create_time', 'double'), 0D), 'key', '', 'role', coalesce(nullif(try_variant_get(m, '$.role', 'string'), ''), try_variant_get(m, '$.author.role', 'string')), 'said', {body}))"
+    mapped = F.expr("transform(convs, c -> named_struct('c', c, 'mapping', coalesce(try_variant_get(c, '$.mapping', 'map<string,variant>'), map())))")
+    each = _conversations(files).select("path", F.posexplode(mapped).alias("conv", "x")).select("path", "conv", F.col("x.c").alias("c"), F.col("x.mapping").alias("mapping"))
+    each = each.select("path", "conv", F.posexplode(F.expr(f"filter(CASE WHEN size(mapping) > 0 THEN {tree} ELSE {flat} END, n -> n.said <> '')")).alias("pos", "n"))
+    role = F.when(F.col("n.role") == "assistant", "assistant").when(F.col("n.role") == "system", "system").otherwise("user")
+    turn = F.row_number().over(Window.partitionBy("path").orderBy("conv", "pos")) - 1
+    return each.select("path", turn.cast("long").alias("turn"), role.alias("role"), F.col("n.said").alias("content"), F.timestamp_seconds("n.at").alias("at"))
 
 
 def detect_format(files: DataFrame) -> DataFrame:
-    """files(path, value) with `format`: messages, tree, transcript or empty."""
+    """files(path, value) with `format`: messages, tree, transcript or empty; JSON of no known form, or broken, is a transcript."""
     head = F.regexp_extract("value", r"\S", 0)
-    js = (F.lower("path").endswith(".json")) | head.isin("{", "[")
-    kind = F.when(head == "", "empty").when(js & F.rlike("value", F.lit('"mapping"\\s*:')), "tree").when(js & F.rlike("value", F.lit('"(chat_)?messages"\\s*:')), "messages").otherwise("transcript")
-    return files.withColumn("format", kind)
+    v = F.when(F.lower("path").endswith(".json") | head.isin("{", "["), F.try_parse_json("value"))
+    rows = files.withColumn("_v", v).withColumn("_s", F.expr("CASE WHEN schema_of_variant(_v) LIKE 'ARRAY%' THEN try_variant_get(_v, '$[0]', 'variant') ELSE _v END"))
+    has = lambda name: F.expr(f"try_variant_get(_s, '$.{name}', 'variant') IS NOT NULL")
+    parts = F.expr("coalesce(schema_of_variant(try_variant_get(_s, '$.messages[0].content', 'variant')) LIKE 'OBJECT%', false)")
+    kind = F.when(F.coalesce(head, F.lit("")) == "", "empty").when(has("chat_messages"), "messages").when(has("mapping"), "tree").when(has("messages"), F.when(parts, "tree").otherwise("messages")).when(has("role") & has("content"), "messages").otherwise("transcript")
+    return rows.withColumn("format", kind).drop("_v", "_s")
 
 
 def route(files: DataFrame) -> DataFrame:

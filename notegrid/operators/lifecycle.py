@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegrid.functions import scores
+from notegrid.storage import Conflict, VersionedTable, materialize
 
 
 def decay_cycle(memories: DataFrame, at: Column) -> DataFrame:
@@ -94,6 +95,34 @@ def versioned(notes: DataFrame) -> DataFrame:
     return changed.select("key", F.row_number().over(by).cast("long").alias("revision"), F.col("seq").alias("valid_from"), F.lead("seq").over(by).alias("valid_to"), "h")
 
 
+def save_notes(store: VersionedTable, edits: DataFrame) -> DataFrame:
+    """Save edits(key, day, content, expected_revision) into a table of notes(key, day, revision, content, h): one row of fate each.
+
+    fate: created, updated, unchanged, conflict (an expected revision that isn't the current one; null expects
+    nothing), bad_title (the first line doesn't name the day), empty, or superseded (another edit of the key in this
+    batch is preferred: the one of highest expected revision, then greatest content). Only created and updated
+    rows are written; a writer that comes between makes the edits be judged anew.
+    """
+    title = F.regexp_extract(F.substring_index(F.ltrim("content"), "\n", 1), r"(\d{4}-\d{2}-\d{2})", 1)
+    bad = F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "empty").when(title != F.coalesce(F.date_format("day", "yyyy-MM-dd"), F.lit("?")), "bad_title")
+    asked = edits.select("key", "day", "content", F.col("expected_revision").alias("expected"), F.sha2("content", 256).alias("new_h"), bad.alias("bad"))
+    nth = F.row_number().over(Window.partitionBy("key", F.col("bad").isNull()).orderBy(F.desc_nulls_last("expected"), F.desc("content")))
+    asked = materialize(asked.withColumn("first", (nth == 1) & F.col("bad").isNull()), "edits")
+    while True:
+        base = store.latest()
+        now = store.read(base).select("key", "revision", F.col("h").alias("old_h"))
+        both = asked.join(now, "key", "left")
+        fate = F.coalesce(F.col("bad"), F.when(F.col("expected").isNotNull() & (F.col("expected") != F.coalesce("revision", F.lit(0))), "conflict").when(~F.col("first"), "superseded").when(F.col("revision").isNull(), "created").when(F.col("old_h") == F.col("new_h"), "unchanged").otherwise("updated"))
+        judged = materialize(both.select("key", "day", "content", "expected", "new_h", F.coalesce("revision", F.lit(0)).alias("was"), fate.alias("fate")), "judged")
+        saved = judged.filter("fate IN ('created', 'updated')").select("key", "day", (F.col("was") + 1).cast("long").alias("revision"), "content", F.col("new_h").alias("h"))
+        old = store.read(base)
+        try:
+            store.write(old.join(saved.select("key"), "key", "left_anti").select(*old.columns).unionByName(saved.select(*old.columns)), base)
+        except Conflict:
+            continue
+        return judged.select("key", "expected", F.when(F.col("fate").isin("created", "updated"), F.col("was") + 1).otherwise(F.col("was")).cast("long").alias("revision"), "fate")
+
+
 def quotes_union(rows: DataFrame, most: int = 3) -> DataFrame:
     """rows(id, existing, incoming) of quotes: existing first, distinct, at most so many; and how many were dropped."""
     both = F.array_distinct(F.concat("existing", "incoming"))

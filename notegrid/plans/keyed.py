@@ -112,3 +112,21 @@ def str_04(spark, sf):
         commands.filter(part).write.mode("append").parquet(f"{path}/log")
         items, _ = ST.stream_queue(spark.readStream.schema(commands.schema).parquet(f"{path}/log"), path)
     return items.read().filter("pending").select("id", "content_hash", "attempts", "queued_at", "next_attempt_at", "last_error")
+
+
+@query("lif_19_saved_notes", "WITH k AS (SELECT DISTINCT conv_id AS key FROM conversations) SELECT CAST(key AS VARCHAR) AS key, CASE WHEN key % 7 = 1 THEN 9 WHEN key % 2 = 1 THEN CASE WHEN key % 3 = 0 THEN 0 ELSE 1 END END AS expected, CASE WHEN key % 5 = 0 OR key % 7 = 1 OR key % 4 = 0 THEN CASE WHEN key % 3 = 0 AND NOT (key % 5 <> 0 AND key % 7 <> 1) THEN 0 ELSE 1 END ELSE CASE WHEN key % 3 = 0 THEN 1 ELSE 2 END END AS revision, CASE WHEN key % 5 = 0 THEN 'bad_title' WHEN key % 7 = 1 THEN 'conflict' WHEN key % 3 = 0 THEN 'created' WHEN key % 4 = 0 THEN 'unchanged' ELSE 'updated' END AS fate FROM k")
+def lif_19_saved(spark, sf):
+    """Notes of two thirds of the dialogues are there; then each is edited: some without the day in the title, some from a wrong revision, some unchanged."""
+    from notegrid.operators.lifecycle import save_notes
+    from notegrid.schema import table
+
+    k = F.col("conv_id")
+    keys = table(spark, sf, "conversations").select("conv_id").distinct()
+    text = lambda title, body: F.concat(title, F.lit("\n"), body)
+    day, first = F.lit("2024-01-02").cast("date"), F.concat(F.lit("note "), k.cast("string"))
+    store = VersionedTable(spark, new_path(spark, "notes"))
+    old = keys.filter(k % 3 != 0).select(k.cast("string").alias("key"), day.alias("day"), F.lit(1).cast("long").alias("revision"), text(F.lit("# 2024-01-02"), first).alias("content"))
+    store.write(old.withColumn("h", F.sha2("content", 256)))
+    title, body = F.when(k % 5 == 0, "no day").otherwise("# 2024-01-02"), F.when(k % 4 == 0, first).otherwise(F.concat(first, F.lit(" again")))
+    expected = F.when(k % 7 == 1, 9).when(k % 2 == 1, F.when(k % 3 == 0, 0).otherwise(1))
+    return save_notes(store, keys.select(k.cast("string").alias("key"), day.alias("day"), text(title, body).alias("content"), expected.alias("expected_revision")))

@@ -28,7 +28,7 @@ def run_available(df: DataFrame, mode: str, name: str, each: Callable[[DataFrame
         store = VersionedTable(spark, out)
         query = df.writeStream.outputMode(mode).foreachBatch(lambda batch, _: store.write(batch)).option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
-        return spark.read.schema(df.schema).parquet(f"{out}/v={store.latest()}") if store.latest() else spark.createDataFrame([], df.schema)
+        return store.read() if store.latest() else spark.createDataFrame([], df.schema)
     else:
         write = each
         query = df.writeStream.outputMode(mode).foreachBatch(lambda batch, _: write(batch, out)).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -301,10 +301,42 @@ def test_snapshot_checksum(spark):
     assert files.snapshot_problems(other, header).first()["problems"] == "bad_checksum"
 
 
-def test_versions_are_claimed_once(spark, tmp_path):
+def test_two_upserts_at_once_both_survive(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from notegrid.storage import Conflict
+
     store = VersionedTable(spark, f"{tmp_path}/table")
-    assert [store._claim(), store._claim()] == [1, 2] and store.latest() == 0
-    assert store.write(spark.range(2)) == 3 and store.latest() == 3
+    assert store.latest() == 0 and store.write(spark.range(20).withColumn("v", F.lit("old"))) == 1
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda k: VersionedTable(spark, store.path).upsert(spark.range(k * 3, k * 3 + 3).withColumn("v", F.lit(f"w{k}"))), range(4)))
+    assert sorted(done) == [2, 3, 4, 5]
+    assert {r.id: r.v for r in store.read().collect()} == {i: f"w{i // 3}" if i < 12 else "old" for i in range(20)}
+    with pytest.raises(Conflict):
+        store.write(spark.range(1).withColumn("v", F.lit("stale")), base=3)
+    assert store.latest() == 5 and store.read(1).filter("v = 'old'").count() == 20
+    (tmp_path / "table/commits/6").touch()  # its writer died
+    assert store.latest() == 5
+    with pytest.raises(Conflict):
+        store.upsert(spark.range(1).withColumn("v", F.lit("x")), tries=2)
+
+
+def test_saved_notes(spark, tmp_path):
+    import datetime
+
+    from notegrid.operators.lifecycle import save_notes
+
+    day = datetime.date(2024, 1, 2)
+    store = VersionedTable(spark, f"{tmp_path}/notes")
+    store.write(spark.createDataFrame([], "key string, day date, revision long, content string, h string"))
+    schema = "key string, day date, content string, expected_revision long"
+    save = lambda *rows: {(r.key, r.expected, r.revision, r.fate) for r in save_notes(store, spark.createDataFrame(rows, schema)).collect()}
+    text = "# 2024-01-02\n"
+    assert save(("a", day, text + "one", None), ("b", day, "no date", None), ("c", day, " ", None), ("d", day, text, 3), ("e", day, "2024-01-03 x", 0)) == {("a", None, 1, "created"), ("b", None, 0, "bad_title"), ("c", None, 0, "empty"), ("d", 3, 0, "conflict"), ("e", 0, 0, "bad_title")}
+    assert save(("a", day, text + "one", 1), ("d", day, text, 0)) == {("a", 1, 1, "unchanged"), ("d", 0, 1, "created")}
+    assert save(("a", day, text + "two", 1), ("a", day, text + "three", None), ("a", day, text + "four", 0)) == {("a", 1, 2, "updated"), ("a", None, 1, "superseded"), ("a", 0, 1, "conflict")}
+    assert {(r.key, r.revision, r.content) for r in store.read().collect()} == {("a", 2, text + "two"), ("d", 1, text)}
+
 
 
 def test_diverse_pick(spark):

@@ -28,7 +28,8 @@ from notegrid.llm.common import crc_fold, map_text, materialize
 
 LONGEST = 4
 EVIDENCE = 20
-REMEMBER = 150_000
+#: Bytes (about) that a worker remembers of tokens it has scored.
+REMEMBER = 24 << 20
 WORD = re.compile(r"[^\W\d_]+")
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("item", T.StringType()), T.StructField("n", T.LongType())])
 
@@ -58,6 +59,7 @@ class Model:
 
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
+        self.held = 0
         self.table = np.zeros((0, len(self.langs) + 1))
         self.letters = np.zeros(0, bool)
 
@@ -106,6 +108,7 @@ class Model:
                 new[:, j] = np.bincount(owner, means[:, j], minlength=len(tokens))
             new[:, -1] = np.bincount(owner, minlength=len(tokens))
         base = len(self.seen)
+        self.held += sum(map(len, tokens)) + len(tokens) * (200 + 8 * len(self.langs))
         self.seen.update(zip(tokens, range(base, base + len(tokens)), strict=True))
         self.table = np.concatenate([self.table, new])
         self.letters = np.concatenate([self.letters, np.array(letters, bool)])
@@ -113,7 +116,7 @@ class Model:
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        if len(self.seen) > REMEMBER:
+        if self.held > REMEMBER:
             self.forget()
         cuts = [x.lower().split() for x in texts]
         new = set()
@@ -138,7 +141,11 @@ class Model:
 
 
 def fit(docs: DataFrame, sample_per_lang: int = 800, words_per_lang: int = 20_000, grams_per_lang: int = 20_000) -> Model:
-    """Fit on documents(doc_id, text, lang); rows without lang or text teach nothing."""
+    """Fit on documents(doc_id, text, lang); rows without lang or text teach nothing.
+
+    Of all words, and of all n-grams, the model holds as many as the parameters give for each language, those of
+    largest count in any of them; so a language whose sample has more text may hold more than its share.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = sorted(((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect()), key=lambda x: (-x[1], x[0]))  # a row a language
     if not sizes:

@@ -28,13 +28,14 @@ LEAST_LANGUAGE_SCORE = 0.5
 LEAST_QUALITY = 0.7
 
 
-def keep_texts(docs: DataFrame, judge: Callable[[list[str]], list[bool]]) -> DataFrame:
-    """The rows whose text judge keeps; columns stay as they are, whatever their names."""
+def keep_texts(docs: DataFrame, judge: Callable[[list[str]], list[bool]], done: Callable[[], None] = lambda: None) -> DataFrame:
+    """The rows whose text judge keeps; columns stay as they are, whatever their names. done: called at the end of a partition."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array(judge([x or "" for x in part.column("text").to_pylist()]), pa.bool_()))
+        done()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -46,7 +47,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def judge(texts: list[str]) -> list[bool]:
         return [x != "und" and s >= LEAST_LANGUAGE_SCORE for x, s in zip(*model.value.predict(texts), strict=True)]
 
-    return keep_texts(docs, judge)
+    return keep_texts(docs, judge, lambda: model.value.forget())  # later stages need the room
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,20 +96,107 @@ def current_rows(keyed: DataFrame) -> DataFrame:
     return keyed.filter("current").select("key", "id", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("created"), "id")).cast("long").alias("rank"))
 
 
-def supersession_ends(links: DataFrame, most: int = 100) -> DataFrame:
-    """links(id, superseded_by): the current row at the end of each chain with its length; a cycle or a chain over `most` ends null.
+def supersession_chain(rows: DataFrame, most: int = 100) -> DataFrame:
+    """rows(id, superseded_by, state_key), id unique: (id, current_id, hops, code) of every row that is superseded.
 
-    Every round doubles the hops covered and is a written table; it ends when no end leads further, after about
-    log2(most) rounds at most.
+    code says why a chain has no current row: self_link, cycle (a row comes again within `most` hops), too_long,
+    missing_target (it leads to no row), key_mismatch (two neighbours of it have different keys; blank ones fit all);
+    else it is null. hops counts as far as the chain was followed. Blank ids and links are none.
+
+    Paths are doubled: each round joins a path's last row to that row's own path, so about log2(most) written tables
+    do. A path holds at most `most` + 1 ids, and as many as its chain is long where that is shorter.
     """
-    steps = materialize(links.filter("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("end"), F.lit(1).alias("hops")), "chains")
-    for _ in range(most.bit_length()):
-        ahead = steps.select(F.col("id").alias("end"), F.col("end").alias("next_end"), F.col("hops").alias("more"))
-        joined = steps.join(ahead, "end", "left")
-        steps = materialize(joined.select("id", F.coalesce("next_end", "end").alias("end"), F.least(F.col("hops") + F.coalesce("more", F.lit(0)), F.lit(2 * most)).alias("hops"), F.col("next_end").isNotNull().alias("moved")), "chains")
-        if not steps.filter("moved").limit(1).count():
+    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    keyed = materialize(rows.filter(blank(F.col("id")).isNotNull()).select(blank(F.col("id")).alias("id"), blank(F.col("superseded_by")).alias("next"), blank(F.col("state_key")).alias("key")), "chains")
+    links = keyed.filter("next IS NOT NULL")
+    after = keyed.select(F.col("id").alias("next"), F.col("key").alias("next_key"), F.lit(True).alias("there"))
+    mixed = F.coalesce(F.col("key") != F.col("next_key"), F.lit(False))
+    paths = materialize(links.join(after.hint("merge"), "next", "left").select("id", F.array("next").alias("path"), F.col("there").isNull().alias("lost"), mixed.alias("mixed"), F.lit(True).alias("moved")), "chains")
+    for _ in range((most + 1).bit_length()):
+        ahead = paths.select(F.col("id").alias("at"), F.col("path").alias("more"), F.col("lost").alias("lost_on"), F.col("mixed").alias("mixed_on"))
+        met = paths.withColumn("at", F.element_at("path", -1)).join(ahead.hint("merge"), "at", "left")
+        open_ = F.col("more").isNotNull() & (F.size("path") <= most)
+        path = F.when(open_, F.slice(F.concat("path", "more"), 1, most + 1)).otherwise(F.col("path"))
+        paths = materialize(met.select("id", path.alias("path"), F.coalesce("lost_on", "lost").alias("lost"), (F.col("mixed") | F.coalesce("mixed_on", F.lit(False))).alias("mixed"), open_.alias("moved")), "chains")
+        if not paths.filter("moved").limit(1).count():
             break
-    return steps.select("id", F.when(F.col("hops") <= most, F.col("end")).alias("current_id"), F.col("hops").cast("long").alias("hops"))
+    walked = F.concat(F.array("id"), F.slice("path", 1, most))
+    code = (
+        F.when(F.col("id") == F.col("path")[0], "self_link")
+        .when((F.size("path") > most) & (F.size(F.array_distinct(walked)) < F.size(walked)), "cycle")
+        .when(F.size("path") > most, "too_long")
+        .when(F.col("lost"), "missing_target")
+        .when(F.col("mixed"), "key_mismatch")
+    )
+    return paths.select("id", F.when(code.isNull(), F.element_at("path", -1)).alias("current_id"), F.least(F.size("path"), F.lit(most)).cast("long").alias("hops"), code.alias("code"))
+
+
+#: Kinds of rows that may be superseded.
+ORDINARY = ("dynamic", "permanent")
+
+
+def set_supersessions(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """rows(id, type, superseded_by, state_key), asked(seq, old_id, new_id, state_key), seq unique: what becomes of each.
+
+    (seq, old_id, new_id, status, state_key): superseded, unchanged (the link is there already, with the key asked for),
+    or the first rule that turns it down: blank_id, self_link, missing_old, missing_new, not_ordinary,
+    already_superseded, historical_target, no_key, key_mismatch. state_key is what both rows then hold.
+
+    Requests count in the order of seq. Links and keys are those before the batch, but for what its earlier accepted
+    requests change: a row that one of them supersedes is no target any more, and has its link already; of requests
+    for one target without a key the first that passes by itself names the key. Of requests for one old row that pass by
+    themselves, the first stands for all: where it is turned down because of another one, the later ones are `deferred`, to be asked again.
+    A request waits for the earlier one that supersedes its target, and holds if that doesn't, so it holds if the
+    number of requests it waits for, one behind the other, is even; doubling counts them. An accepted target is
+    current, so no accepted link closes a cycle.
+    """
+    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    side = lambda p: rows.select(blank(F.col("id")).alias(f"{p}_id"), F.coalesce("type", F.lit("dynamic")).alias(f"{p}_type"), blank(F.col("superseded_by")).alias(f"{p}_next"), blank(F.col("state_key")).alias(f"{p}_key"))
+    want = asked.select("seq", blank(F.col("old_id")).alias("old_id"), blank(F.col("new_id")).alias("new_id"), blank(F.col("state_key")).alias("key"))
+    met = want.join(side("old").hint("merge"), "old_id", "left").join(side("new").hint("merge"), "new_id", "left")
+    keys = F.array_distinct(F.array_compact(F.array("key", "old_key", "new_key")))
+    again = F.when(F.col("key").isNull() | F.col("key").eqNullSafe(F.col("old_key")), "unchanged").otherwise("key_mismatch")
+    reason = (
+        F.when(F.col("old_id").isNull() | F.col("new_id").isNull(), "blank_id")
+        .when(F.col("old_id") == F.col("new_id"), "self_link")
+        .when(F.col("old_type").isNull(), "missing_old")
+        .when(F.col("new_type").isNull(), "missing_new")
+        .when(~F.col("old_type").isin(*ORDINARY) | ~F.col("new_type").isin(*ORDINARY), "not_ordinary")
+        .when(F.col("old_next") == F.col("new_id"), again)
+        .when(F.col("old_next").isNotNull(), "already_superseded")
+        .when(F.col("new_next").isNotNull(), "historical_target")
+        .when(F.size(keys) == 0, "no_key")
+        .when(F.size(keys) > 1, "key_mismatch")
+    )
+    held = F.when(reason.isNull(), keys[0]).when(reason == "unchanged", F.col("old_key"))
+    fixed = F.col("old_next").isNotNull() | F.coalesce(~reason.isin("historical_target", "no_key", "key_mismatch"), F.lit(False))
+    judged = materialize(met.select("seq", "old_id", "new_id", "key", reason.alias("reason"), fixed.alias("fixed"), held.alias("state_key"), F.col("new_key").isNull().alias("fills")), "asked")
+    named = judged.filter("reason IS NULL AND fills").groupBy("new_id").agg(F.min_by("state_key", "seq").alias("named"))
+    fit = judged.join(named.hint("merge"), "new_id", "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("fills") & (F.col("named") != F.col("state_key")), "key_mismatch").otherwise(F.col("reason")))
+    fit = materialize(fit.drop("named", "fills"), "asked")
+    firsts = materialize(fit.filter("reason IS NULL").groupBy("old_id").agg(F.min("seq").alias("first"), F.min_by("new_id", "seq").alias("target")), "asked")
+    # waits: the request that supersedes this one's target and comes before it
+    open_ = firsts.select(F.col("first").alias("seq"), F.col("target"))
+    waits = materialize(open_.join(firsts.select(F.col("old_id").alias("target"), F.col("first").alias("before")).hint("merge"), "target", "left").select("seq", F.when(F.col("before") < F.col("seq"), F.col("before")).alias("before")), "waits")
+    waits = waits.withColumn("odd", F.col("before").isNotNull())
+    while not waits.filter("before IS NOT NULL").isEmpty():
+        ahead = waits.select(F.col("seq").alias("before"), F.col("before").alias("further"), F.col("odd").alias("odd_on"))
+        met = waits.join(ahead.hint("merge"), "before", "left")
+        waits = materialize(met.select("seq", F.col("further").alias("before"), (F.col("odd") != F.coalesce("odd_on", F.lit(False))).alias("odd")), "waits")
+    kept = materialize(waits.filter("NOT odd").select("seq").join(fit.hint("merge"), "seq").select(F.col("seq").alias("own_seq"), "old_id", F.col("new_id").alias("own_target"), F.col("state_key").alias("own_key")), "kept")
+    out = fit.join(kept.hint("merge"), "old_id", "left").join(kept.select(F.col("old_id").alias("new_id"), F.col("own_seq").alias("gone_seq")).hint("merge"), "new_id", "left")
+    reason, late = F.col("reason"), F.col("own_seq") < F.col("seq")
+    same = F.when(F.col("key") != F.col("own_key"), "key_mismatch").otherwise("unchanged")
+    status = (
+        F.when(F.col("fixed"), reason)
+        .when(late, F.when(F.col("own_target") == F.col("new_id"), same).otherwise("already_superseded"))
+        .when((reason == "historical_target") | (F.col("gone_seq") < F.col("seq")), "historical_target")
+        .when(reason.isNotNull(), reason)
+        .when(F.col("own_seq") == F.col("seq"), "superseded")
+        .otherwise("deferred")
+    )
+    key = F.when(status == "superseded", F.col("state_key")).when(status == "unchanged", F.when(late, F.col("own_key")).otherwise(F.col("state_key")))
+    return out.select("seq", "old_id", "new_id", status.alias("status"), key.alias("state_key"))
 
 
 def preservation(source: DataFrame, target: DataFrame) -> DataFrame:

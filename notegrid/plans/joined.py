@@ -95,12 +95,44 @@ def jon_13(spark, sf):
     return J.state_key_candidates(m.select("id", key.alias("key"), "created", (F.col("superseded_by").isNull() & (F.col("type") == "dynamic")).alias("current")))
 
 
-@query("jon_14_supersession_chain", VIEWS + ", RECURSIVE_LINKS AS (SELECT doc_id, 'm' || CAST(doc_id AS VARCHAR) AS id, least(doc_id + 6 - doc_id % 7, (SELECT max(doc_id) FROM documents)) AS e FROM documents WHERE doc_id % 7 < 6 AND doc_id < (SELECT max(doc_id) FROM documents)) SELECT id, 'm' || CAST(e AS VARCHAR) AS current_id, CAST(e - doc_id AS BIGINT) AS hops FROM RECURSIVE_LINKS")
-def jon_14(spark, sf):
+#: Links of every kind: chains of 150 rows (too long at first) in every other block of 150, else groups of ten with
+#: a chain, a row that leads to itself, a circle with a way into it, and a row that leads nowhere.
+CHAINS_SQL = """, chains AS (SELECT id, CASE WHEN doc_id // 150 % 2 = 0 THEN CASE WHEN doc_id % 150 < 149 THEN 'm' || CAST(doc_id + 1 AS VARCHAR) END
+  ELSE CASE doc_id % 10 WHEN 3 THEN NULL WHEN 4 THEN id WHEN 7 THEN 'm' || CAST(doc_id - 2 AS VARCHAR) WHEN 8 THEN 'gone' WHEN 9 THEN 'm' || CAST(doc_id - 4 AS VARCHAR) ELSE 'm' || CAST(doc_id + 1 AS VARCHAR) END END AS nxt,
+  CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 10 = 2 AND doc_id // 10 % 4 = 1 THEN 'other' ELSE 'own' END AS key FROM memories)"""
+
+
+def _chains(spark, sf):
     d = F.col("doc_id")
-    top = table(spark, sf, "documents").agg(F.max("doc_id").alias("top"))  # one row
-    links = table(spark, sf, "documents").join(F.broadcast(top)).filter((d % 7 < 6) & (d < F.col("top"))).select(mid(d).alias("id"), mid(d + 1).alias("superseded_by"))
-    return J.supersession_ends(links)
+    tens = F.when(d % 10 == 3, F.lit(None)).when(d % 10 == 4, mid(d)).when(d % 10 == 7, mid(d - 2)).when(d % 10 == 8, "gone").when(d % 10 == 9, mid(d - 4)).otherwise(mid(d + 1))
+    nxt = F.when(F.floor(d / 150) % 2 == 0, F.when(d % 150 < 149, mid(d + 1))).otherwise(tens)
+    key = F.when(d % 6 == 0, F.lit(None)).when((d % 10 == 2) & (F.floor(d / 10) % 4 == 1), "other").otherwise("own")
+    return memories(spark, sf).select("id", "doc_id", "type", nxt.alias("superseded_by"), key.alias("state_key"))
+
+
+@query("jon_14_supersession_chain", VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + CHAINS_SQL + """, walk AS (
+SELECT c.id AS start, c.nxt AS cur, 1 AS hops, [c.id] AS seen, coalesce(c.key <> n.key, false) AS mixed, n.id IS NOT NULL AS there, n.nxt, n.key FROM chains c LEFT JOIN chains n ON n.id = c.nxt WHERE c.nxt IS NOT NULL
+UNION ALL SELECT w.start, w.nxt, w.hops + 1, list_append(w.seen, w.cur), w.mixed OR coalesce(w.key <> n.key, false), n.id IS NOT NULL, n.nxt, n.key FROM walk w LEFT JOIN chains n ON n.id = w.nxt WHERE w.nxt IS NOT NULL AND w.hops < 100 AND NOT list_contains(w.seen, w.cur)),
+last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops DESC) = 1),
+coded AS (SELECT *, CASE WHEN cur = start AND hops = 1 THEN 'self_link' WHEN list_contains(seen, cur) THEN 'cycle' WHEN nxt IS NOT NULL THEN 'too_long' WHEN NOT there THEN 'missing_target' WHEN mixed THEN 'key_mismatch' END AS code FROM last)
+SELECT start AS id, CASE WHEN code IS NULL THEN cur END AS current_id, CAST(CASE WHEN code IN ('self_link', 'cycle') THEN 100 ELSE hops END AS BIGINT) AS hops, code FROM coded""")
+def jon_14(spark, sf):
+    return J.supersession_chain(_chains(spark, sf))
+
+
+@query("jon_14_set_supersession", VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + """, asked AS (SELECT doc_id, doc_id * 7919 % 100003 AS seq, 'm' || CAST(doc_id AS VARCHAR) AS old_id, 'm' || CAST(doc_id + 1 AS VARCHAR) AS new_id, CASE WHEN doc_id % 4 = 0 THEN 'own' WHEN doc_id % 31 = 5 THEN 'other' END AS asked_key FROM documents),
+keyed AS (SELECT id, doc_id, type, superseded_by AS nxt, CASE WHEN doc_id % 3 <> 0 THEN 'own' END AS key FROM memories),
+j AS (SELECT a.*, o.nxt IS NULL AS is_open, o.key AS ok, n.key AS nk, CASE WHEN n.id IS NULL THEN 'missing_new' WHEN o.type NOT IN ('dynamic', 'permanent') OR n.type NOT IN ('dynamic', 'permanent') THEN 'not_ordinary' WHEN o.nxt = a.new_id THEN CASE WHEN asked_key IS NULL OR asked_key IS NOT DISTINCT FROM o.key THEN 'unchanged' ELSE 'key_mismatch' END WHEN n.nxt IS NOT NULL THEN 'historical_target' WHEN coalesce(asked_key, o.key, n.key) IS NULL THEN 'no_key' WHEN asked_key = 'other' THEN CASE WHEN o.key IS NULL AND n.key IS NULL THEN NULL ELSE 'key_mismatch' END END AS reason FROM asked a JOIN keyed o ON o.doc_id = a.doc_id LEFT JOIN keyed n ON n.doc_id = a.doc_id + 1),
+dep AS (SELECT a.seq, b.seq AS before FROM j a LEFT JOIN j b ON b.old_id = a.new_id AND b.seq < a.seq AND b.reason IS NULL WHERE a.reason IS NULL),
+w AS (SELECT seq, true AS holds FROM dep WHERE before IS NULL UNION ALL SELECT d.seq, NOT w.holds FROM w JOIN dep d ON d.before = w.seq),
+g AS (SELECT b.old_id, b.seq FROM j b JOIN w ON w.seq = b.seq WHERE w.holds),
+s AS (SELECT j.*, CASE WHEN g.seq < j.seq AND (reason IS NULL OR reason IN ('no_key', 'key_mismatch')) AND is_open THEN 'historical_target' ELSE coalesce(reason, 'superseded') END AS status FROM j LEFT JOIN g ON g.old_id = j.new_id)
+SELECT seq, old_id, new_id, status, CASE WHEN status = 'unchanged' THEN ok WHEN status = 'superseded' THEN coalesce(asked_key, ok, nk) END AS state_key FROM s""")
+def jon_14_set(spark, sf):
+    """One request a row, to be replaced by the next row, in a mixed order."""
+    d, m = F.col("doc_id"), memories(spark, sf)
+    asked = m.select((d * 7919 % 100003).alias("seq"), mid(d).alias("old_id"), mid(d + 1).alias("new_id"), F.when(d % 4 == 0, "own").when(d % 31 == 5, "other").alias("state_key"))
+    return J.set_supersessions(m.select("id", "type", "superseded_by", F.when(d % 3 != 0, "own").alias("state_key")), asked)
 
 
 @query("jon_15_event_lineage", "SELECT 'e' || CAST(e.event_id AS VARCHAR) AS id, 'e' || CAST(p AS VARCHAR) AS ancestor, CAST(d AS BIGINT) AS depth FROM (SELECT event_id, unnest(range(1, 40)) AS d FROM events) e, LATERAL (SELECT e.event_id // CAST(pow(2, e.d) AS BIGINT) AS p) WHERE e.event_id // CAST(pow(2, d - 1) AS BIGINT) > 0")

@@ -122,11 +122,76 @@ def test_partial_ratio():
         assert abs(retrieval.partial_ratio(a, b) - want) < 1e-9
 
 
-def test_supersession_cycle_and_length(spark):
-    links = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")] + [(f"n{i}", f"n{i + 1}") for i in range(130)]
-    got = {r.id: (r.current_id, r.hops) for r in joins.supersession_ends(spark.createDataFrame(links, "id string, superseded_by string")).collect()}
-    assert got["a"] == ("c", 2) and got["b"] == ("c", 1)
-    assert got["x"][0] is None and got["n0"][0] is None and got["n60"] == ("n130", 70)
+def test_supersession_chain_equals_a_walk(spark):
+    rng = random.Random(8)
+    rows = [("a", "b", "k"), ("b", "c", " "), ("c", None, "k"), ("s", "s", None), ("x", "y", None), ("y", "x", None), ("t", "x", None), ("g", "gone", None), ("h", "g", None), ("p", "q", "1"), ("q", None, "2"), (None, "a", None), ("", "a", None)]
+    rows += [(f"n{i}", f"n{i + 1}" if i < 130 else "", None) for i in range(131)]
+    rows += [(f"c{i}", f"c{(i + 1) % 101}", None) for i in range(101)] + [(f"d{i}", f"d{(i + 1) % 100}", None) for i in range(100)]
+    rows += [(f"r{i}", f"r{rng.randrange(260)}" if rng.random() < 0.9 else None, rng.choice(["u", "u", "u", "v", None])) for i in range(250)]
+    data = {i: ((n or "").strip() or None, (k or "").strip() or None) for i, n, k in rows if i}
+    want = {}
+    for i, (n, _) in data.items():
+        if not n:
+            continue
+        seen, at, code, mixed, hops = {i}, n, None, False, 1
+        last = i
+        while True:
+            if at in seen:
+                code, hops = ("self_link" if n == i else "cycle"), 100
+                break
+            seen.add(at)
+            if at not in data:
+                code = "missing_target"
+                break
+            mixed |= bool(data[last][1] and data[at][1] and data[last][1] != data[at][1])
+            if not data[at][0]:
+                code = "key_mismatch" if mixed else None
+                break
+            if hops == 100:
+                code = "too_long"
+                break
+            last, at, hops = at, data[at][0], hops + 1
+        want[i] = (None if code else at, hops, code)
+    got = {r.id: (r.current_id, r.hops, r.code) for r in joins.supersession_chain(spark.createDataFrame(rows, "id string, superseded_by string, state_key string")).collect()}
+    assert got == want
+    assert {c for *_, c in want.values()} == {None, "self_link", "cycle", "too_long", "missing_target", "key_mismatch"}
+    assert joins.supersession_chain(spark.createDataFrame([], "id string, superseded_by string, state_key string")).count() == 0
+
+
+def test_set_supersessions_equals_one_by_one(spark):
+    rng = random.Random(9)
+    rows = {f"r{i}": ["dynamic" if rng.random() < 0.9 else "plan", f"r{rng.randrange(300)}" if rng.random() < 0.1 else None, "k" if rng.random() < 0.95 else "other"] for i in range(300)}
+    asked = [(s, f"r{o}" if rng.random() < 0.97 else rng.choice(["no", " "]), f"r{rng.choice([(o + 1) % 310, rng.randrange(310)])}", None) for s, o in enumerate(rng.sample(range(300), 300))]
+    got = {r.seq: r.status for r in joins.set_supersessions(spark.createDataFrame([(i, *v) for i, v in rows.items()], "id string, type string, superseded_by string, state_key string"), spark.createDataFrame(asked, "seq long, old_id string, new_id string, state_key string")).collect()}
+    now = {i: list(v) for i, v in rows.items()}
+    for s, o, n, _ in asked:
+        if not o.strip():
+            status = "blank_id"
+        elif o == n:
+            status = "self_link"
+        elif o not in now:
+            status = "missing_old"
+        elif n not in now:
+            status = "missing_new"
+        elif now[o][0] == "plan" or now[n][0] == "plan":
+            status = "not_ordinary"
+        elif now[o][1]:
+            status = "unchanged" if now[o][1] == n else "already_superseded"
+        elif now[n][1]:
+            status = "historical_target"
+        elif now[o][2] != now[n][2]:
+            status = "key_mismatch"
+        else:
+            status, now[o][1] = "superseded", n
+        assert got[s] == status, (s, o, n)
+    assert sum(v == "superseded" for v in got.values()) > 50
+
+
+def test_set_supersessions_keys_and_repeats(spark):
+    rows = spark.createDataFrame([(i, None, None, k) for i, k in [("a", "k"), ("b", None), ("c", None), ("d", "z"), ("e", None), ("g", "k")]] + [("f", "dynamic", "e", "k")], "id string, type string, superseded_by string, state_key string")
+    asked = [(1, "a", "b", None), (2, "d", "b", None), (3, "a", "b", None), (4, "a", "c", "k"), (5, "c", "e", None), (6, "c", "e", "new"), (7, "f", "e", "k"), (8, "f", "e", "x"), (9, "f", "b", "k"), (10, "a", "b", "x"), (11, "e", "c", "new"), (12, "e", "b", "k"), (13, "b", "a", "k"), (14, "g", "a", None), (15, "g", "b", None)]
+    got = {r.seq: (r.status, r.state_key) for r in joins.set_supersessions(rows, spark.createDataFrame(asked, "seq long, old_id string, new_id string, state_key string")).collect()}
+    assert got == {1: ("superseded", "k"), 2: ("key_mismatch", None), 3: ("unchanged", "k"), 4: ("already_superseded", None), 5: ("no_key", None), 6: ("superseded", "new"), 7: ("unchanged", "k"), 8: ("key_mismatch", None), 9: ("already_superseded", None), 10: ("key_mismatch", None), 11: ("historical_target", None), 12: ("superseded", "k"), 13: ("historical_target", None), 14: ("historical_target", None), 15: ("deferred", None)}
 
 
 def test_cosine_edges(spark):

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from notegrid.functions.text import token_estimate
 from notegrid.operators.similarity import cosine
 from notegrid.storage import materialize
 
@@ -75,29 +78,137 @@ def running_max(rows: DataFrame, group: str, order: str, value: str) -> DataFram
     return inner.join(tops, [group, "_range"]).withColumn("before", F.greatest("_inner", "_outer")).drop("_inner", "_outer", "_range")
 
 
+def _steps(tokens: np.ndarray, target: int, big: int) -> list[tuple[int, int, int, int, bool]]:
+    """What turns do to each number of tokens held before them: (lo, hi, exit, chunks begun, whether exit adds to what was held).
+
+    target + 1 stands for a chunk that takes no more. From a turn that begins a chunk the next such turn follows from
+    sums alone; the turns that can be the first are those within `target` tokens, and all are followed side by side.
+    """
+    m, full = len(tokens), target + 1
+    upto = np.cumsum(tokens)
+    large = np.flatnonzero(tokens > big)
+    after = np.where(tokens > big, full, np.minimum(tokens, full))
+    # the first turn behind each that doesn't fit, or is large
+    free = np.searchsorted(upto, upto + (target - after), side="right")
+    following = np.append(large, m)[np.searchsorted(large, np.arange(m), side="right")]
+    following = np.maximum(np.minimum(free, following), np.arange(1, m + 1))
+    # held tokens 0..full: the first turn at which each breaks (m: none)
+    held = np.arange(full + 1)
+    first = np.minimum(np.searchsorted(upto, target - held, side="right"), large[0] if len(large) else m)
+    starts = np.unique(first[first < m])
+    at, begun = starts.copy(), np.zeros(len(starts), np.int64)
+    last, going = starts.copy(), np.arange(len(starts))
+    while len(going):
+        last[going], begun[going] = at[going], begun[going] + 1
+        at[going] = following[at[going]]
+        going = going[at[going] < m]
+    exits = np.minimum(after[last] + upto[-1] - upto[last], full) if len(starts) else starts
+    out = []
+    passing = held[first == m]
+    if len(passing):
+        out.append((0, int(passing[-1]), int(upto[-1]), 0, True))
+    for k, j in enumerate(starts):
+        own = held[first == j]
+        out.append((int(own[0]), int(own[-1]), int(exits[k]), int(begun[k]), False))
+    return out
+
+
 def chunk_turns(turns: DataFrame, target: int) -> DataFrame:
     """turns(conv_id, turn, tokens): number of the chunk of each turn.
 
-    A turn over 1.5 times the target is a chunk of its own; others are packed in order up to the target. A dialogue
-    streams through its task in order with a running state, so a long one is held in no row.
+    A turn over 1.5 times the target is a chunk of its own; others are packed in order up to the target. Null tokens
+    count as none, null ids are one dialogue, null turns come first; equal turns go by tokens.
+
+    The turns are dealt by ranges of (dialogue, turn), so a dialogue of any size fills many tasks. Of a range's first
+    and last dialogue, which may go on in other ranges, one task each works out what the range does to every number of
+    tokens held before it (at most target + 2 steps); a pass over these steps gives each range's own start, and the
+    ranges are folded from there. The steps are a few rows for each range, and the ranges as many as
+    spark.sql.shuffle.partitions says.
     """
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("tokens").cast("long").alias("tokens"))
-    big, schema = int(target * 1.5), rows.drop("tokens").schema.add("chunk", "integer")
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    big, full, kind = int(target * 1.5), target + 1, rows.schema["conv_id"].dataType
+    order = ["_range", "conv_id", "turn", "tokens"]
+    dealt = materialize(rows.repartitionByRange(parts, "conv_id", "turn", "tokens").withColumn("_range", F.spark_partition_id()), "turns")
+    edge = F.struct("conv_id")
+    edges = dealt.groupBy("_range").agg(F.min(edge).alias("low"), F.max(edge).alias("high"))  # a row a range
+    open_ = dealt.join(F.broadcast(edges), "_range").filter(F.col("conv_id").eqNullSafe(F.col("low.conv_id")) | F.col("conv_id").eqNullSafe(F.col("high.conv_id"))).select(*order)
+    steps_schema = T.StructType().add("_range", "integer").add("conv_id", kind).add("lo", "long").add("hi", "long").add("exit", "long").add("begun", "long").add("adds", "boolean")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(type of dialogues, range, dialogue, tokens) of ordered rows."""
+        own, held, c_type = None, [], None
+        for batch in batches:
+            c_type = batch.schema.field("conv_id").type
+            r, c, n = batch.column("_range").to_numpy(), batch.column("conv_id").to_pylist(), batch.column("tokens").to_numpy()
+            cuts = [0, *(i for i in range(1, len(c)) if r[i] != r[i - 1] or c[i] != c[i - 1]), len(c)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
+                    continue
+                key = (int(r[x]), c[x])
+                if key != own and held:
+                    yield c_type, *own, np.concatenate(held)
+                    held = []
+                own = key
+                held.append(n[x:y])
+        if held:
+            yield c_type, *own, np.concatenate(held)
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c_type, r, c, tokens in pieces(batches):
+            columns = list(zip(*[(r, c, *s) for s in _steps(tokens, target, big)], strict=True))
+            types = [pa.int32(), c_type, *[pa.int64()] * 4, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=steps_schema.names)
+
+    steps = open_.repartition("_range").sortWithinPartitions(*order).mapInArrow(sum_up, steps_schema)
+    entry_schema = T.StructType().add("_range", "integer").add("conv_id", kind).add("held", "long").add("chunk", "long")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, first, held, chunk, at = None, True, full, -1, None
+        for batch in batches:
+            out = []
+            for s in batch.to_pylist():
+                if first or s["conv_id"] != own:
+                    own, first, held, chunk, at = s["conv_id"], False, full, -1, None
+                if s["_range"] != at and s["lo"] <= held <= s["hi"]:
+                    out.append((s["_range"], own, held, chunk))
+                    held, chunk, at = s["exit"] + (held if s["adds"] else 0), chunk + s["begun"], s["_range"]
+            types = [pa.int32(), batch.schema.field("conv_id").type, pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=entry_schema.names)
+
+    entries = materialize(steps.repartition("conv_id").sortWithinPartitions("conv_id", "_range", "lo").mapInArrow(follow, entry_schema), "entries")
+    known = entries.select(F.col("_range").alias("_r"), F.col("conv_id").alias("_c"), "held", "chunk")  # two rows a range at most
+    met = dealt.join(F.broadcast(known), (F.col("_range") == F.col("_r")) & F.col("conv_id").eqNullSafe(F.col("_c")), "left").select(*order, "held", "chunk")
+    schema = rows.drop("tokens").schema.add("chunk", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, chunk, held, closed, first = None, -1, 0, True, True
+        own, held, chunk = None, full, -1
         for batch in batches:
             out = []
-            for conv, n in zip(batch.column("conv_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                if first or conv != own:
-                    own, chunk, held, closed, first = conv, -1, 0, True, False
-                n = n or 0
-                fresh = n > big or closed or held + n > target
-                chunk, held, closed = chunk + fresh, 0 if n > big else n if fresh else held + n, n > big
+            for r, conv, n, h, k in zip(*(batch.column(c).to_pylist() for c in ("_range", "conv_id", "tokens", "held", "chunk")), strict=True):
+                if (r, conv) != own:
+                    own, held, chunk = (r, conv), full if h is None else h, -1 if k is None else k
+                fresh = n > big or held + n > target
+                chunk, held = chunk + fresh, full if n > big else min(n if fresh else held + n, full)
                 out.append(chunk)
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(out, pa.int32())], names=["conv_id", "turn", "chunk"])
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tokens").mapInArrow(run, schema)
+    return met.repartition("_range").sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def chunks(turns: DataFrame, target: int, label: str = "user") -> DataFrame:
+    """turns(conv_id, turn, role, content, ts string), turn unique in its dialogue: (conv_id, chunk, content, start, end, turn_count).
+
+    Lines are "[who] content", the user's under `label`; a chunk holds 1.5 times the target at most. start is the first
+    time that isn't blank, end that of the last turn, both '' if there is none.
+    """
+    who = F.when(F.lower("role").isin("user", "human"), F.lit(label)).otherwise("AI")
+    lines = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.concat(F.lit("["), who, F.lit("] "), F.coalesce("content", F.lit(""))).alias("line"), F.coalesce("ts", F.lit("")).alias("ts"))
+    numbered = chunk_turns(lines.select("conv_id", "turn", token_estimate(F.col("line")).alias("tokens")), target)
+    met = lines.join(numbered.hint("merge"), lines["conv_id"].eqNullSafe(numbered["conv_id"]) & lines["turn"].eqNullSafe(numbered["turn"])).select(lines["conv_id"], lines["turn"], "line", "ts", "chunk")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"])
+    start = F.coalesce(F.min_by(F.when(F.col("ts") != "", F.col("ts")), F.when(F.col("ts") != "", F.col("turn"))), F.lit(""))
+    return met.groupBy("conv_id", "chunk").agg(F.array_join(texts, "\n").alias("content"), start.alias("start"), F.max_by("ts", "turn").alias("end"), F.count(F.lit(1)).alias("turn_count"))
 
 
 def daily_sources(rows: DataFrame, each: int, total: int) -> DataFrame:

@@ -197,6 +197,18 @@ def win_03(spark, sf):
     return O.chunk_turns(table(spark, sf, "conversations").select("conv_id", "turn", token_estimate(F.col("text")).alias("tokens")), 400)
 
 
+LINE_SQL = "'[' || CASE WHEN role = 'user' THEN 'user' ELSE 'AI' END || '] ' || text"
+
+
+@query("win_03_chunks", f"""WITH RECURSIVE r AS (SELECT conv_id, turn, {LINE_SQL} AS line, {TOKENS_SQL.format('(' + LINE_SQL + ')')} AS tokens, CASE WHEN turn % 3 = 0 THEN '' ELSE 't' || CAST(turn AS VARCHAR) END AS ts FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM r),
+g AS (SELECT conv_id, turn, line, ts, k, 0 AS chunk, CASE WHEN tokens > 600 THEN 0 ELSE tokens END AS held, tokens > 600 AS closed FROM n WHERE k = 1
+UNION ALL SELECT n.conv_id, n.turn, n.line, n.ts, n.k, g.chunk + CAST(n.tokens > 600 OR g.closed OR g.held + n.tokens > 400 AS INT), CASE WHEN n.tokens > 600 THEN 0 WHEN g.closed OR g.held + n.tokens > 400 THEN n.tokens ELSE g.held + n.tokens END, n.tokens > 600 FROM g JOIN n ON n.conv_id = g.conv_id AND n.k = g.k + 1)
+SELECT conv_id, chunk, sha256(string_agg(line, chr(10) ORDER BY turn)) AS h, coalesce(min_by(ts, turn) FILTER (ts <> ''), '') AS start, max_by(ts, turn) AS "end", count(*) AS turn_count FROM g GROUP BY conv_id, chunk""")
+def win_03_chunks(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("t"), F.col("turn").cast("string"))).alias("ts"))
+    return O.chunks(turns, 400).withColumn("h", F.sha2("content", 256)).drop("content")
+
+
 @query("win_04_importance_reserved", VIEWS + ", r AS (SELECT id, importance, row_number() OVER (PARTITION BY importance ORDER BY created DESC, id DESC) AS k, created FROM memories WHERE importance >= 7) SELECT id, importance FROM r ORDER BY CASE WHEN k = 1 THEN 0 ELSE 1 END, importance DESC, created DESC, id DESC LIMIT 20")
 def win_04(spark, sf):
     return O.importance_reserved(memories(spark, sf), 7, 20)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,16 +90,62 @@ def test_chunk_turns(spark):
             assert got[c, t] == chunk
 
 
-def test_chunk_turns_streams_a_long_dialogue(spark):
-    turns = spark.range(60_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), (1 + F.col("id") % 7).alias("tokens"))
-    got = ordered.chunk_turns(turns, 100)
-    assert "collect_list" not in got._jdf.queryExecution().toString()
-    chunk, held, want = -1, 0, {}
-    for t in range(60_000):
-        n = 1 + t % 7
-        chunk, held = (chunk + 1, n) if chunk < 0 or held + n > 100 else (chunk, held + n)
-        want[t] = chunk
-    assert {r.turn: r.chunk for r in got.collect()} == want
+def folded(tokens, target):
+    chunk, held, out = -1, target + 1, []
+    for n in tokens:
+        if n > target * 1.5:
+            chunk, held = chunk + 1, target + 1
+        elif held + n > target:
+            chunk, held = chunk + 1, n
+        else:
+            held += n
+        out.append(chunk)
+    return out
+
+
+def test_steps_equal_the_fold():
+    rng = random.Random(12)
+    for _ in range(300):
+        target = rng.choice([1, 5, 20, 60])
+        tokens = [rng.choice([0, 1, 2, 5, 9, 20, 31, 95]) for _ in range(rng.randint(1, 40))]
+        steps = ordered._steps(np.array(tokens), target, int(target * 1.5))
+        assert sum(hi - lo + 1 for lo, hi, *_ in steps) == target + 2
+        for h in range(target + 2):
+            (_, _, out, begun, adds), = [s for s in steps if s[0] <= h <= s[1]]
+            chunk, held = 0, h
+            for n in tokens:
+                if n > int(target * 1.5):
+                    chunk, held = chunk + 1, target + 1
+                elif held + n > target:
+                    chunk, held = chunk + 1, n
+                else:
+                    held += n
+            assert (min(held, target + 1), chunk) == (out + (h if adds else 0), begun)
+
+
+def test_chunk_turns_deals_a_long_dialogue(spark):
+    """One dialogue has two thirds of all turns; it lies in many ranges, as do nulls and turns without tokens."""
+    rng = random.Random(13)
+    data = {c: [rng.choice([0, 1, 3, 7, 40, 151, 400]) for _ in range(n)] for c, n in [(None, 900), (1, 40), (2, 6000), (3, 1), (4, 1500), (5, 600)]}
+    data[5] = [0] * 600
+    rows = [(c, t, n if n or t % 2 else None) for c, ns in data.items() for t, n in enumerate(ns)]
+    rng.shuffle(rows)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = ordered.chunk_turns(spark.createDataFrame(rows, "conv_id long, turn long, tokens long"), 100)
+        got = {(r.conv_id, r.turn): r.chunk for r in found.collect()}
+        empty = ordered.chunk_turns(spark.createDataFrame([], "conv_id string, turn int, tokens int"), 100).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == {(c, t): k for c, ns in data.items() for t, k in enumerate(folded(ns, 100))}
+    assert not empty
+
+
+def test_chunks(spark):
+    rows = [("a", 0, "human", "x" * 40, None), ("a", 1, "assistant", None, "t1"), ("a", 2, "user", "y" * 4000, "t2"), ("a", 3, "user", "z", "")]
+    got = [tuple(r) for r in ordered.chunks(spark.createDataFrame(rows, "conv_id string, turn int, role string, content string, ts string"), 100, "Kim").orderBy("chunk").collect()]
+    assert got == [("a", 0, "[Kim] " + "x" * 40 + "\n[AI] ", "t1", "t1", 2), ("a", 1, "[Kim] " + "y" * 4000, "t2", "t2", 1), ("a", 2, "[Kim] z", "", "", 1)]
 
 
 def test_partial_ratio():

@@ -143,3 +143,33 @@ class VersionedTable:
                     raise
                 time.sleep(0.2)
         raise AssertionError
+
+
+class AppendedTable:
+    """A table in parts, each written once; a part counts from when its marker is there.
+
+    A job that was stopped before the marker writes its part anew, and of rows that two jobs wrote under one key one
+    is read (their other columns must agree, or either must do).
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str]):
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def append(self, df: DataFrame) -> None:
+        part = f"part-{uuid.uuid4().hex}"
+        columns = self.spark.createDataFrame([], self.schema).columns
+        df.select(*columns).write.parquet(f"{self.path}/{part}")
+        self._fs.create(self._at(f"commits/{part}"), False).close()
+
+    def read(self, where: str = "true") -> DataFrame:
+        """The rows for which `where` holds, one of each key."""
+        root = self._at("commits")
+        parts = sorted(s.getPath().getName() for s in self._fs.listStatus(root)) if self._fs.exists(root) else []
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{p}" for p in parts]).filter(where).dropDuplicates(self.key)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from notegrid.functions.text import token_estimate
 from notegrid.operators.inference import first_json
 from notegrid.operators.ordered import chunks as chunked
-from notegrid.sources.files import route
+from notegrid.sources.files import detect_format, route
 from notegrid.storage import AppendedTable, Conflict, VersionedTable, materialize
 
 TERMINAL = ("archived", "tombstone")
@@ -46,6 +47,27 @@ def extract_chunks(rows: DataFrame, model: Callable[[str], str]) -> DataFrame:
     return answered.select("source", "chunk", F.when(F.col("error").isNull(), items).alias("items"), "error")
 
 
+def preview(files: DataFrame, target: int = 10_000, label: str = "user") -> DataFrame:
+    """files(path, value), path unique: what an import of each would meet; nothing is written but steps of the work.
+
+    (path, format, turns, chunks, tokens, preview, samples, error): tokens over the chunks' texts, the first 600
+    characters of the first chunk, the first three turns (role, 160 characters); error is empty_file or no_turns.
+    A chunk is one call of a model.
+    """
+    kinds = detect_format(files).select("path", "format")
+    turns = materialize(route(files), "turns")
+    rows = chunked(turns.select(F.col("path").alias("conv_id"), "turn", "role", "content", F.lit("").alias("ts")), target, label)
+    per = rows.groupBy(F.col("conv_id").alias("path")).agg(F.count(F.lit(1)).alias("chunks"), F.sum(token_estimate(F.col("content"))).alias("tokens"), F.substring(F.max(F.when(F.col("chunk") == 0, F.col("content"))), 1, 600).alias("preview"))
+    counts = turns.groupBy("path").agg(F.count(F.lit(1)).alias("turns"))
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("turn"))
+    heads = turns.withColumn("n", nth).filter("n <= 3").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "role", F.substring("content", 1, 160).alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("samples"))
+    met = kinds.join(counts, "path", "left").join(per, "path", "left").join(heads, "path", "left")
+    error = F.when(F.col("format") == "empty", "empty_file").when(F.col("turns").isNull(), "no_turns")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    return met.select("path", "format", zero("turns"), zero("chunks"), zero("tokens"), "preview", F.coalesce("samples", none).alias("samples"), error.alias("error"))
+
+
 class ImportJob:
     """Import of export files into a versioned table of memories(id, type, importance, content, created, ...).
 

@@ -103,9 +103,26 @@ def top_15(spark, sf):
     return part(m.filter("pinned"), "pinned", 20, F.desc("importance"), "id").unionByName(part(m.filter(policy.allowed("spontaneous") & ~F.col("pinned")), "top", 10, F.desc("score"), "id")).unionByName(part(m.filter("type = 'i'"), "self", 3, F.desc("created"), "id"))
 
 
-@query("agg_08_import_preview", f"SELECT conv_id, count(*) AS turns, sum({TOKENS_SQL.format('text')})::BIGINT AS tokens, substring(arg_min(text, turn), 1, 100) AS preview FROM conversations GROUP BY conv_id")
+PREVIEW_SQL = f"""WITH RECURSIVE t AS (SELECT {FILE_SQL} AS path, row_number() OVER (PARTITION BY {FILE_SQL} ORDER BY turn) AS n, CASE WHEN role = 'system' THEN 'system' ELSE role END AS role, trim(text) AS said, '[' || CASE WHEN role = 'user' THEN 'user' ELSE 'AI' END || '] ' || trim(text) AS line FROM conversations),
+r AS (SELECT *, {TOKENS_SQL.format('line')} AS tokens FROM t),
+g AS (SELECT path, n, line, 0 AS chunk, CASE WHEN tokens > 600 THEN 0 ELSE tokens END AS held, tokens > 600 AS closed FROM r WHERE n = 1
+UNION ALL SELECT r.path, r.n, r.line, g.chunk + CAST(r.tokens > 600 OR g.closed OR g.held + r.tokens > 400 AS INT), CASE WHEN r.tokens > 600 THEN 0 WHEN g.closed OR g.held + r.tokens > 400 THEN r.tokens ELSE g.held + r.tokens END, r.tokens > 600 FROM g JOIN r ON r.path = g.path AND r.n = g.n + 1),
+c AS (SELECT path, chunk, string_agg(line, chr(10) ORDER BY n) AS content FROM g GROUP BY 1, 2),
+p AS (SELECT path, count(*) AS chunks, sum({TOKENS_SQL.format('content')})::BIGINT AS tokens, substring(max(content) FILTER (chunk = 0), 1, 600) AS preview FROM c GROUP BY 1),
+s AS (SELECT path, count(*) AS turns, string_agg(role || '=' || substring(said, 1, 160), '|' ORDER BY n) FILTER (n <= 3) AS samples FROM t GROUP BY 1)
+SELECT path, 'transcript' AS format, turns, chunks, tokens, sha256(preview) AS preview, sha256(samples) AS samples, CAST(NULL AS VARCHAR) AS error FROM p JOIN s USING (path) UNION ALL SELECT 'blank', 'empty', 0, 0, 0, NULL, NULL, 'empty_file'"""
+
+
+@query("agg_08_import_preview", PREVIEW_SQL)
 def agg_08(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(token_estimate(F.col("text"))).alias("tokens"), F.substring(F.min_by("text", "turn"), 1, 100).alias("preview"))
+    from notegrid.operators.imports import preview
+
+    c = table(spark, sf, "conversations").withColumn("m", F.struct(F.col("turn"), F.concat("role", F.lit(": "), "text").alias("line")))
+    texts = c.groupBy(file_of().alias("path")).agg(F.array_sort(F.collect_list("m")).alias("ms")).select("path", F.array_join(F.transform("ms", lambda x: x["line"]), "\n").alias("value"))
+    blank = table(spark, sf, "documents").agg(F.lit("blank").alias("path"), F.lit(" \n").alias("value"))  # one row
+    seen = preview(texts.unionByName(blank), 400)
+    samples = F.array_join(F.transform("samples", lambda x: F.concat(x["role"], F.lit("="), x["content"])), "|")
+    return seen.withColumn("preview", F.sha2("preview", 256)).withColumn("samples", F.when(F.size("samples") > 0, F.sha2(samples, 256)))
 
 
 @query("agg_10_index_drift", VIEWS + f"SELECT 'missing' AS part, id AS name, NULL AS type, NULL AS value FROM memories WHERE id NOT IN (SELECT id FROM vectors) AND doc_id % 11 <> 0 UNION ALL SELECT 'orphan', id, NULL, NULL FROM vectors WHERE id NOT IN (SELECT id FROM memories) UNION ALL SELECT 'type', type, type, count(*)::DOUBLE FROM memories GROUP BY type UNION ALL SELECT 'row', id, type, {SCORE_SQL} FROM memories")
@@ -268,15 +285,36 @@ def lif_21(spark, sf):
     return I.reembed(m, done, stand_in, store, "new")
 
 
-@query("lif_22_import_job", f"SELECT conv_id, count(*) AS items FROM (SELECT conv_id, row_number() OVER (PARTITION BY sha256(trim(text)) ORDER BY conv_id, turn) AS k FROM conversations WHERE role = 'user') WHERE k = 1 GROUP BY 1")
+IMPORT_SQL = f""", f AS (SELECT {FILE_SQL} AS path, sha256('user' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS source, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS value FROM conversations GROUP BY 1),
+k AS (SELECT source, min(path) AS path FROM f GROUP BY 1),
+t AS (SELECT k.source, row_number() OVER (PARTITION BY k.source ORDER BY turn) AS n, '[' || CASE WHEN role = 'user' THEN 'user' ELSE 'AI' END || '] ' || trim(text) AS line FROM conversations JOIN k ON k.path = {FILE_SQL}),
+r AS (SELECT *, {TOKENS_SQL.format('line')} AS tokens FROM t),
+g AS (SELECT source, n, line, 0 AS chunk, CASE WHEN tokens > 600 THEN 0 ELSE tokens END AS held, tokens > 600 AS closed FROM r WHERE n = 1
+UNION ALL SELECT r.source, r.n, r.line, g.chunk + CAST(r.tokens > 600 OR g.closed OR g.held + r.tokens > 400 AS INT), CASE WHEN r.tokens > 600 THEN 0 WHEN g.closed OR g.held + r.tokens > 400 THEN r.tokens ELSE g.held + r.tokens END, r.tokens > 600 FROM g JOIN r ON r.source = g.source AND r.n = g.n + 1),
+c AS (SELECT source, chunk, string_agg(line, chr(10) ORDER BY n) AS content FROM g GROUP BY 1, 2),
+i AS (SELECT source, chunk, 0 AS pos, trim(substring(content, 1, 60)) AS content, CASE WHEN length(content) % 2 = 1 THEN 9 ELSE 5 END AS importance FROM c UNION ALL SELECT source, chunk, 1, trim(right(content, 12)), 4 FROM c),
+q AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY source, chunk, pos) = 1 AND content NOT IN (SELECT content FROM memories WHERE importance < 9) AS fresh FROM i WHERE content <> ''),
+d AS (SELECT *, fresh AND importance = 9 AND row_number() OVER (PARTITION BY fresh AND importance = 9 ORDER BY source, chunk, pos) > 24 AS less FROM q)
+SELECT c.source, c.chunk, count(*) FILTER (fresh) AS created, count(*) FILTER (NOT fresh) AS deduplicated, count(*) FILTER (less) AS degraded FROM c LEFT JOIN d ON d.source = c.source AND d.chunk = c.chunk GROUP BY 1, 2"""
+
+
+@query("lif_22_import_job", VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + IMPORT_SQL)
 def lif_22(spark, sf):
+    """The progress of every chunk, of an import of all conversations as transcripts."""
+    from notegrid.operators.imports import ImportJob
+
+    def model(text):
+        import json
+
+        return json.dumps([{"content": text[:60], "importance": 9 if len(text) % 2 else 5}, {"content": text[-12:], "importance": 4}])
+
     c = table(spark, sf, "conversations").withColumn("m", F.struct(F.col("turn"), F.concat("role", F.lit(": "), "text").alias("line")))
     texts = c.groupBy(file_of().alias("path")).agg(F.array_sort(F.collect_list("m")).alias("ms")).select("path", F.array_join(F.transform("ms", lambda x: x["line"]), "\n").alias("value"))
-    turns = S.route(texts).filter("role = 'user'")
-    conv, part = F.split("path", "-")[0].cast("long"), F.split("path", "-")[1].cast("long")
-    items = turns.select(conv.alias("conv_id"), "turn", "content", (conv * 1000000 + part * 100 + F.col("turn")).alias("seq"))
-    fate = L.exact_dedup(items, memories(spark, sf).limit(0))
-    return items.join(fate.filter("disposition = 'created'"), "seq").groupBy("conv_id").agg(F.count(F.lit(1)).alias("items"))
+    store = VersionedTable(spark, new_path(spark, "imported"))
+    store.write(memories(spark, sf).filter("importance < 9").select("id", "type", "importance", "content", "created"))
+    job = ImportJob(spark, new_path(spark, "import"), store, model, as_of(), target=400, quota=24, batches=2)
+    job.run(texts)
+    return job.done.read()
 
 
 @query("src_10_chat_tree", f"SELECT {FILE_SQL} AS path, row_number() OVER (PARTITION BY {FILE_SQL} ORDER BY turn) - 1 AS turn, role, sha256(trim(text)) AS h FROM conversations")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -54,18 +56,68 @@ def annotate(rows: DataFrame, model: Callable[[str], str]) -> DataFrame:
     return rows.select("id", "content").mapInPandas(run, "id string, answer string").select("id", F.slice(F.coalesce(a["domain"], F.array(F.lit("general"))), 1, 3).alias("domain"), unit(a["valence"], 0.5).alias("valence"), unit(a["arousal"], 0.3).alias("arousal"), F.coalesce(a["tags"], F.array().cast("array<string>")).alias("tags"), F.substring(a["name"], 1, 20).alias("name"))
 
 
-def first_json(text: str) -> str | None:
-    """The first complete JSON object or array in a chatty answer."""
-    import json
+_WS = re.compile(r"[ \t\n\r]*")
+_STRING = re.compile(r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"')
+_SCALAR = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity")
 
-    decoder = json.JSONDecoder()
-    for i, c in enumerate(text):
-        if c in "{[":
+
+def first_json(text: str | None) -> str | None:
+    """The first complete JSON object or array in a chatty answer, written anew; None if there is none.
+
+    Brackets are tried from the left. What a failed try has learnt is kept: a bracket that was still open then fails
+    as well, one that was closed is whole, so a text is read about twice at most. An array too deep to be loaded, or
+    with a number too long for it, is returned as it stands.
+    """
+    text = text or ""
+    whole: dict[int, int] = {}
+    failed: set[int] = set()
+
+    def end_of(start: int) -> int | None:
+        open_, at, want = [], start, "value"
+        while True:
+            at = _WS.match(text, at).end()
+            c = text[at : at + 1]
+            closes = bool(open_) and c == ("]" if text[open_[-1]] == "[" else "}")
+            if closes and want in ("first", "next"):
+                at += 1
+                whole[open_.pop()] = at
+                if not open_:
+                    return at
+                want = "next"
+            elif want == "next":
+                if c != ",":
+                    break
+                at, want = at + 1, "value" if text[open_[-1]] == "[" else "key"
+            elif want == "key" or (want == "first" and text[open_[-1]] == "{"):
+                key = _STRING.match(text, at)
+                colon = _WS.match(text, key.end()).end() if key else -1
+                if not key or text[colon : colon + 1] != ":":
+                    break
+                at, want = colon + 1, "value"
+            elif c and c in "{[":
+                if at in failed:
+                    break
+                if at in whole:
+                    at, want = whole[at], "next"
+                else:
+                    open_.append(at)
+                    at, want = at + 1, "first"
+            else:
+                found = (_STRING if c == '"' else _SCALAR).match(text, at)
+                if not found:
+                    break
+                at, want = found.end(), "next"
+        failed.update(open_)
+        return None
+
+    for found in re.finditer(r"[{\[]", text):
+        start = found.start()
+        end = None if start in failed else whole.get(start) or end_of(start)
+        if end:
             try:
-                value, _ = decoder.raw_decode(text, i)
-            except ValueError:
-                continue
-            return json.dumps(value, ensure_ascii=False)
+                return json.dumps(json.loads(text[start:end]), ensure_ascii=False)
+            except (ValueError, RecursionError):
+                return text[start:end]
     return None
 
 

@@ -1,7 +1,9 @@
 """Operators that SQL can't express, against sequential versions; storage, sources and inference."""
 
 import hashlib
+import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -301,6 +303,40 @@ def test_inference(spark):
 
 
 
+def test_first_json_equals_trying_every_bracket():
+    decoder = json.JSONDecoder()
+
+    def plain(text):
+        for i, c in enumerate(text):
+            if c in "{[":
+                try:
+                    return json.dumps(decoder.raw_decode(text, i)[0], ensure_ascii=False)
+                except ValueError:
+                    continue
+        return None
+
+    rng = random.Random(14)
+    parts = ["[", "]", "{", "}", '"', '"a"', ":", ",", " ", "1", "-0.5e3", "01", "true", "nul", "NaN", "-Infinity", "\\", '\\"', "\\u12aF", "\n", "x", '"k": ', "[1, 2]", '{"a": [', "é"]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert inference.first_json(text) == plain(text), text
+        found += inference.first_json(text) is not None
+    assert found > 2000
+    assert inference.first_json(None) is None
+
+
+@pytest.mark.parametrize("part", ["[", '{"a":', '["', '{"[":', "[1,", '"[', '[{"', '["\\"', "[[]"])
+def test_first_json_reads_long_texts_once(part):
+    start = time.process_time()
+    text = part * (1_000_000 // len(part))
+    inference.first_json(text)
+    assert inference.first_json("[[[" + "[1]," * 250_000 + "{") == "[1]"
+    assert time.process_time() - start < 30
+    deep = "[" * 200_000 + "]" * 200_000
+    assert inference.first_json(f"so {deep}!") == deep
+
+
 def test_leader_clusters(spark):
     rng = random.Random(8)
     for _ in range(3):

@@ -139,24 +139,21 @@ def agg_13(spark, sf):
     return clusters.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).select("leader", "n", F.when(F.col("n") >= 5, "pin").otherwise("review").alias("suggestion")).orderBy(F.desc("n"), "leader").limit(20)
 
 
-FEEL_PAIRS = ", f AS (SELECT v.* FROM vectors v JOIN memories m ON m.id = v.id WHERE m.doc_id % 4 = 1), p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS w FROM f a JOIN f b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3)"
+FEEL_PAIRS = ", f AS (SELECT v.*, m.pinned, m.created FROM vectors v JOIN memories m ON m.id = v.id WHERE m.type = 'feel'), p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS w FROM f a JOIN f b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.2)"
 
 
-def _feel_edges(spark, sf):
-    feels = vectors(spark, sf).join(memories(spark, sf).filter("doc_id % 4 = 1").select("id"), "id", "left_semi")
-    return SI.similarity_edges(feels, 0.3)
+def _feels(spark, sf):
+    return vectors(spark, sf).join(memories(spark, sf).filter("type = 'feel'").select("id", "pinned", "created"), "id")
 
 
-@query("agg_14_crystallized", VIEWS + FEEL_PAIRS + " SELECT id, count(*) AS similar FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id HAVING count(*) >= 2")
+@query("agg_14_crystallized", VIEWS + FEEL_PAIRS + ', c AS (SELECT id, count(*) AS "similar" FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id HAVING count(*) >= 2) SELECT id, "similar", row_number() OVER (ORDER BY created, id) = 1 AS hint FROM c JOIN f USING (id) WHERE NOT pinned')
 def agg_14(spark, sf):
-    e = _feel_edges(spark, sf)
-    return e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("similar")).filter("similar >= 2")
+    return SI.crystallized(_feels(spark, sf), 0.2)
 
 
 @query("agg_15_best_connection", VIEWS + FEEL_PAIRS + " SELECT a, b, round(w, 3) AS weight FROM p ORDER BY round(w, 3) DESC, a, b LIMIT 1")
 def agg_15(spark, sf):
-    feels = vectors(spark, sf).join(memories(spark, sf).filter("doc_id % 4 = 1").select("id"), "id", "left_semi")
-    return SI.best_pair(feels, 0.3)
+    return SI.best_pair(_feels(spark, sf), 0.2)
 
 
 @query("agg_25_decision_consistency", "SELECT event_id AS id, unnest(list_filter([CASE WHEN event_id % 6 = 0 THEN 'id_mismatch' END, CASE WHEN event_id % 5 = 0 THEN 'surface_missing' END], lambda x: x IS NOT NULL)) AS code FROM events")
@@ -218,7 +215,7 @@ def scr_13(spark, sf):
 
 @query("jon_10_duplicate_marking", VIEWS + ", p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS w FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id), e AS (SELECT a AS id, b AS other, round(w, 3) AS w FROM p WHERE w > 0.35 UNION ALL SELECT b, a, round(w, 3) FROM p WHERE w > 0.35) SELECT id, other, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, other DESC) AS k FROM e) WHERE k = 1")
 def jon_10(spark, sf):
-    return SI.best_neighbour(SI.similarity_edges(vectors(spark, sf), 0.35))
+    return SI.nearest_other(vectors(spark, sf), 0.35)
 
 
 @query("lif_03_archive", VIEWS + "SELECT id, CASE WHEN doc_id % 9 = 0 THEN 'archived' ELSE type END AS type FROM memories")

@@ -50,7 +50,7 @@ def jon_11(spark, sf):
     m, v = memories(spark, sf), vectors(spark, sf)
     plans = P.active_plans(m).select("id", "doc_id")
     events = v.join(m.filter("type = 'letter'").select("id"), "id", "left_semi").select(F.col("vec_id").alias("query_id"), "vec_id", "embedding")
-    near = SI.vector_scores(events, v.join(plans.select("id"), "id", "left_semi"), 0.2).filter("semantic > 0.2")
+    near = SI.vector_scores(events, v.join(plans.select("id"), "id", "left_semi"), 0.2, k=20).filter("semantic > 0.2")
     close = near.select(mid(F.col("query_id")).alias("event"), "id", (-F.round("semantic", 6)).alias("o"))
     without = events.select(mid(F.col("query_id")).alias("event")).join(close.select("event"), "event", "left_anti")
     first = plans.orderBy("doc_id").limit(10).select("id", F.col("doc_id").cast("double").alias("o"))  # ten rows

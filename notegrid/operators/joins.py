@@ -308,3 +308,81 @@ def lineage(edges: DataFrame, start: DataFrame, most: int | None = None) -> Data
             break
         found, rounds = found.unionByName(front), rounds + 1
     return found.select("id", F.col("at").alias("ancestor"), "depth")
+
+
+def duplicate_events(events: DataFrame) -> DataFrame:
+    """Ids that more than one event has, with their number; the operators of the graph below take ids as unique."""
+    return events.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def parent_links(events: DataFrame) -> DataFrame:
+    """events(id, seq, parents): (child, pos, parent) of the parents that are events, at their place in the list (from 0).
+
+    A parent that is named twice counts where it comes first; null lists and ids, unknown parents and an event that
+    names itself give nothing.
+    """
+    named = events.select(F.col("id").alias("child"), F.posexplode("parents").alias("pos", "parent")).filter("parent IS NOT NULL AND child <> parent")
+    first = named.groupBy("child", "parent").agg(F.min("pos").alias("pos"))
+    known = events.filter("id IS NOT NULL").select(F.col("id").alias("parent")).distinct()
+    return first.join(known, "parent", "left_semi").select("child", "pos", "parent")
+
+
+def event_children(events: DataFrame) -> DataFrame:
+    """(parent, child, seq): the events that name a known event as a parent, once each; seq is their order."""
+    seqs = events.select(F.col("id").alias("child"), "seq")
+    return parent_links(events).join(seqs, "child").select("parent", "child", "seq")
+
+
+def actor_events(events: DataFrame) -> DataFrame:
+    """events(id, seq, actor): (actor, place, id), the place of each event among its actor's, in order of seq.
+
+    Places come from counts of ranges of (actor, seq), so an actor with most of the events fills many tasks.
+    """
+    laid = materialize(events.select("id", "seq", "actor").repartitionByRange("actor", "seq", "id").sortWithinPartitions("actor", "seq", "id").withColumn("part", F.spark_partition_id()), "actors")
+    by = Window.partitionBy("part", "actor").orderBy("seq", "id")
+    sizes = laid.groupBy("actor", "part").agg(F.count(F.lit(1)).alias("n"))  # a row for each actor and range that it lies in
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("actor").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    placed = laid.withColumn("k", F.row_number().over(by)).alias("l")
+    met = placed.join(before.alias("b"), (F.col("l.part") == F.col("b.part")) & F.col("l.actor").eqNullSafe(F.col("b.actor")))
+    return met.select("l.actor", (F.col("k") + F.coalesce("before", F.lit(0))).cast("long").alias("place"), "l.id")
+
+
+#: Stands behind the path of an event, so that it comes after all whose paths go on from there.
+AFTER_ALL = 2147483647
+
+
+def least_paths(links: DataFrame, start: DataFrame) -> DataFrame:
+    """links(child, pos, parent), start(id): (id, ancestor, path), each start's ancestors and itself with the least path to them.
+
+    A path is the list of places that lead from the start to the ancestor; the least one by place is that by which a
+    depth-first walk comes there first. A path whose end has a lesser one already isn't followed any further, so each
+    round only goes on from what the last one bettered, and a cycle ends by itself (in one the order is still that
+    of the least paths). A round is a written table; there are as many as the longest least path is long.
+    """
+    best = materialize(start.select("id").distinct().select("id", F.col("id").alias("ancestor"), F.array().cast("array<int>").alias("path")), "paths")
+    front = best
+    while True:
+        ahead = front.select("id", F.col("ancestor").alias("child"), "path").join(links.hint("merge"), "child")
+        found = ahead.select("id", F.col("parent").alias("ancestor"), F.array_append("path", F.col("pos")).alias("path")).groupBy("id", "ancestor").agg(F.min("path").alias("path"))
+        held = best.select("id", "ancestor", F.col("path").alias("had"))
+        front = materialize(found.join(held.hint("merge"), ["id", "ancestor"], "left").filter("had IS NULL OR path < had").drop("had"), "paths")
+        if front.isEmpty():
+            return best
+        kept = best.join(front.select("id", "ancestor").hint("merge"), ["id", "ancestor"], "left_anti")
+        best = materialize(kept.unionByName(front), "paths")
+
+
+def source_chains(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """events(id, seq, parents, sources): (id, place, source), the sources that each event (or those of start(id)) comes from.
+
+    They are those of its parents, depth first in the order of the lists, and then its own; each source once, where
+    it comes first. Null sources and starts that aren't events give nothing.
+    """
+    known = events.filter("id IS NOT NULL").select("id")
+    asked = known if start is None else known.join(start.select("id"), "id", "left_semi")
+    paths = least_paths(materialize(parent_links(events), "links"), asked)
+    own = events.select(F.col("id").alias("ancestor"), F.posexplode("sources").alias("pos", "source")).filter("source IS NOT NULL")
+    order = F.struct(F.array_append("path", F.lit(AFTER_ALL)).alias("path"), "pos")
+    first = paths.join(own.hint("merge"), "ancestor").groupBy("id", "source").agg(F.min(order).alias("first"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("first"))
+    return first.select("id", place.cast("long").alias("place"), "source")

@@ -143,6 +143,36 @@ def jon_15(spark, sf):
     return J.lineage(edges, start)
 
 
+def _graph(spark, sf):
+    """Events with one or two parents each (and an unknown one), in either order."""
+    e = F.col("event_id")
+    name = lambda c: F.concat(F.lit("e"), c.cast("string"))
+    half, third = name(F.floor(e / 2)), name(F.floor(e / 3))
+    parents = F.when(e == 0, F.array(F.lit("x"))).when(e % 8 == 0, F.array(third, F.lit("x"), half)).when(e % 4 == 0, F.array(half, third)).otherwise(F.array(half))
+    return table(spark, sf, "events").select(name(e).alias("id"), e.alias("seq"), F.col("user_id").alias("actor"), parents.alias("parents"), F.array(F.col("event_type"), F.concat(F.lit("user"), (F.col("user_id") % 4).cast("string"))).alias("sources"))
+
+
+GRAPH_SQL = """WITH RECURSIVE g AS (SELECT event_id AS id, CASE WHEN event_id = 0 THEN [] WHEN event_id % 8 = 0 THEN [event_id // 3, -1, event_id // 2] WHEN event_id % 4 = 0 THEN [event_id // 2, event_id // 3] ELSE [event_id // 2] END AS parents, user_id AS actor, [event_type, 'user' || CAST(user_id % 4 AS VARCHAR)] AS sources FROM events),
+l AS (SELECT id AS child, parent, min(pos) AS pos FROM (SELECT id, unnest(parents) AS parent, unnest(range(len(parents))) AS pos FROM g) WHERE parent >= 0 AND parent <> id GROUP BY 1, 2)"""
+
+
+@query("jon_15_source_chain", GRAPH_SQL + """, p AS (SELECT id, id AS at, CAST([] AS BIGINT[]) AS path FROM g UNION ALL SELECT p.id, l.parent, list_append(p.path, l.pos) FROM p JOIN l ON l.child = p.at),
+s AS (SELECT p.id, source, min(list_concat(path, [2147483647, k])) AS first FROM p JOIN (SELECT id, unnest(sources) AS source, unnest(range(len(sources))) AS k FROM g) o ON o.id = p.at GROUP BY 1, 2)
+SELECT 'e' || CAST(id AS VARCHAR) AS id, row_number() OVER (PARTITION BY id ORDER BY first) AS place, source FROM s""")
+def jon_15_chain(spark, sf):
+    return J.source_chains(_graph(spark, sf))
+
+
+@query("jon_15_children", GRAPH_SQL + " SELECT 'e' || CAST(parent AS VARCHAR) AS parent, 'e' || CAST(child AS VARCHAR) AS child, child AS seq FROM l")
+def jon_15_children(spark, sf):
+    return J.event_children(_graph(spark, sf))
+
+
+@query("jon_15_actor_events", GRAPH_SQL + " SELECT actor, row_number() OVER (PARTITION BY actor ORDER BY id) AS place, 'e' || CAST(id AS VARCHAR) AS id FROM g")
+def jon_15_actors(spark, sf):
+    return J.actor_events(_graph(spark, sf))
+
+
 @query("jon_16_merge_decision", VIEWS + "SELECT seq AS id, CASE WHEN seq % 4 = 0 THEN 'prefer_existing' WHEN user_id % 3 > seq % 3 THEN 'prefer_new' WHEN user_id % 3 < seq % 3 THEN 'keep_both' ELSE 'mark_conflict' END AS decision FROM ledger")
 def jon_16(spark, sf):
     pairs = ledger(spark, sf).select(F.col("seq").alias("id"), F.col("body_hash").alias("ex_hash"), F.when(F.col("seq") % 4 == 0, F.col("body_hash")).otherwise("other").alias("in_hash"), F.lit(1).alias("ex_term"), (F.col("seq") % 3).alias("ex_index"), F.lit(1).alias("in_term"), (F.col("user_id") % 3).alias("in_index"))

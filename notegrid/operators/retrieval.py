@@ -193,42 +193,103 @@ def fused(candidates: DataFrame, at: Column, valence: Column | None = None, arou
 LIGHT = ("resolved", "superseded_by", "last_active", "created", "importance", "activation_count", "valence", "arousal")
 
 
-def search(memories: DataFrame, queries: DataFrame, semantic: DataFrame, at: Column, k: int = 10, fuzzy: int | None = None) -> DataFrame:
+def _near_fields(memories: DataFrame, queries: DataFrame, known: DataFrame, at: Column, rows: int, query_rows: int) -> DataFrame:
+    """(query_id, id, fields, bm25, literal, semantic) of the pairs that could be found, from blocks of queries against blocks of memories.
+
+    queries(query_id, query, open, any_bm25, feel): `feel` bounds the weighted emotion, and where `open` is false only
+    pairs with `own` count. known(query_id, id, bm25, literal, semantic, own) has what is known of a pair already and
+    goes to the block with its memory. A pair is kept if it has a hit, or would pass the text threshold with a whole
+    match of its content; names are only compared where it would with a whole match of the name as well.
+    """
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    n, m = blocks(memories, rows), blocks(queries, query_rows)
+    of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    base = scores.time_score(at) * W_TIME + scores.importance_score() * W_IMPORTANCE + scores.touch_score() * W_TOUCH
+    held = known.withColumn("q", of("query_id", m)).groupBy("id", "q").agg(F.collect_list(F.struct("query_id", "bm25", "literal", "semantic", "own")).alias("known"))
+    texts = memories.select("id", "name", "domain", "tags", base.alias("base"), of("id", n).alias("block")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left = texts.join(held.hint("merge"), ["id", "q"], "left")
+    right = queries.select("query_id", "query", "open", "any_bm25", "feel", of("query_id", m).alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id string, fields double, bm25 double, literal boolean, semantic double"
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": b["query_id"][:0], "id": a["id"][:0], "fields": 0.0, "bm25": 0.0, "literal": False, "semantic": 0.0})]
+        asked = [q or "" for q in b["query"]]
+        place = {q: k for k, q in enumerate(b["query_id"])}
+        bm_on, feel = b["any_bm25"].to_numpy(bool), b["feel"].to_numpy(float)
+        ratio: dict[str, np.ndarray] = {}  # of a tag or domain with every query of the block
+
+        def best(values) -> np.ndarray:
+            for x in values:
+                if x not in ratio:
+                    ratio[x] = partial_ratios([(q, x) for q in asked])
+            return np.max([ratio[x] for x in values], axis=0) if len(values) else np.zeros(len(asked))
+
+        for k in range(len(a) if len(b) else 0):
+            row = a.iloc[k]
+            bm, lit, sem, able = np.zeros(len(b)), np.zeros(len(b), bool), np.full(len(b), np.nan), b["open"].to_numpy(bool).copy()
+            for x in row["known"] if row["known"] is not None else ():
+                j = place[x["query_id"]]
+                bm[j], lit[j], sem[j] = x["bm25"] or 0.0, bool(x["literal"]), np.nan if x["semantic"] is None else x["semantic"]
+                able[j] |= bool(x["own"])
+            ratio = ratio if len(ratio) < 4096 else {}
+            listed = [best([v or "" for v in (row[c] if row[c] is not None else ())]) for c, _ in FIELDS[1:]]
+            rest = feel + row["base"] + np.nan_to_num(sem * W_SEMANTIC) + np.where(bm_on, bm * W_BM25, 0.0)
+            weights = W_TOPIC + W_EMOTION + W_TIME + W_IMPORTANCE + W_TOUCH + np.where(np.isnan(sem), 0.0, W_SEMANTIC) + np.where(bm_on, W_BM25, 0.0)
+            hit = lit | (np.nan_to_num(sem, nan=-1.0) >= SEMANTIC_THRESHOLD)
+            passes = lambda fields: able & (hit | (((fields + 1.0) / (HELD + 1.0) * W_TOPIC + rest) / weights * 100 >= TEXT_THRESHOLD - 1e-6))  # noqa: E731, B023
+            total = lambda name: sum(w * x for (_, w), x in zip(FIELDS, (name, *listed), strict=True)) / 100  # noqa: E731, B023
+            need = np.flatnonzero(passes(total(np.full(len(b), 100.0))))
+            if not len(need):
+                continue
+            name = np.zeros(len(b))
+            name[need] = partial_ratios([(asked[j], row["name"] or "") for j in need])
+            fields = total(name)
+            kept = need[passes(fields)[need]]
+            found.append(pd.DataFrame({"query_id": b["query_id"].to_numpy()[kept], "id": row["id"], "fields": fields[kept], "bm25": bm[kept], "literal": lit[kept], "semantic": sem[kept]}))
+        return pd.concat(found)
+
+    out = left.groupBy("q", "block").cogroup(right.groupBy("q", "block")).applyInPandas(meet, schema)
+    return out.withColumn("semantic", F.when(~F.isnan("semantic"), F.col("semantic")))
+
+
+def search(memories: DataFrame, queries: DataFrame, semantic: DataFrame, at: Column, k: int = 10, fuzzy: int | None = None, rows: int = 2048, query_rows: int = 256) -> DataFrame:
     """The k best rows of each query; queries(query_id, query, and as they are wanted domains, q_valence, q_arousal), semantic(query_id, id, semantic).
 
     Every memory of the asked domains (all, if none of a query's is known) is scored for every query, as a row can
-    pass the text threshold by any of its texts. The long comparison with the content is left out only where the row
-    couldn't pass even with a whole match, so the result is exact. With `fuzzy`, only rows with a literal hit, a
-    vector score or a BM25 rank up to it are scored; their scores are the same.
+    pass the text threshold by any of its texts: blocks of queries meet blocks of memories. The comparison with the
+    name, and the long one with the content, are left out only where the row couldn't pass even with a whole match,
+    so the result is exact. With `fuzzy`, only rows with a literal hit, a vector score or a BM25 rank up to it are
+    scored; their scores are the same.
     """
     from notegrid.operators.predicates import domain_prefilter, exact_ids, literal_matches
 
     exact = exact_ids(memories, queries).select("query_id", "id", F.lit(100.0).alias("score"), F.lit(False).alias("vector_match"))
-    rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
+    rest = materialize(queries.join(exact.select("query_id"), "query_id", "left_anti"), "queries")
     felt = "q_valence" in queries.columns
     lexical = materialize(bm25(memories, rest), "lexical")
-    literal = materialize(literal_matches(memories, rest).distinct().withColumn("literal", F.lit(True)), "literal")
+    literal = literal_matches(memories, rest).distinct()
     close = semantic.join(rest.select("query_id"), "query_id", "left_semi")
+    fact = lambda df, **c: df.select("query_id", "id", *[c.get(x, F.lit(None)).cast(t).alias(x) for x, t in (("bm25", "double"), ("literal", "boolean"), ("semantic", "double"), ("own", "boolean"))])
+    facts = fact(lexical, bm25=F.col("bm25")).unionByName(fact(literal, literal=F.lit(True))).unionByName(fact(close, semantic=F.col("semantic")))
+    held = lexical.select("query_id").distinct().withColumn("any_bm25", F.lit(True))  # a row a query
+    asked = rest.join(held, "query_id", "left").withColumn("any_bm25", F.coalesce("any_bm25", F.lit(False))).withColumn("feel", F.lit(W_EMOTION * (1.0 if felt else 0.5)))
     if "domains" in queries.columns:
         wanted = materialize(domain_prefilter(memories, rest), "domains")
-        open_to_all = rest.join(wanted.filter("id IS NULL").select("query_id"), "query_id", "left_semi")
-        own = wanted.filter("id IS NOT NULL")
-        pairs = memories.join(own, "id").join(rest, "query_id").unionByName(memories.join(open_to_all))
+        asked = asked.join(wanted.filter("id IS NULL").select("query_id", F.lit(True).alias("open")), "query_id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        facts = facts.unionByName(fact(wanted.filter("id IS NOT NULL"), own=F.lit(True)))
     else:
-        pairs = memories.join(rest)
+        asked = asked.withColumn("open", F.lit(True))
+    known = facts.groupBy("query_id", "id").agg(F.max("bm25").alias("bm25"), F.coalesce(F.bool_or("literal"), F.lit(False)).alias("literal"), F.max("semantic").alias("semantic"), F.coalesce(F.bool_or("own"), F.lit(False)).alias("own"))
     if fuzzy is not None:
-        ranked = lexical.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id"))).filter(F.col("r") <= fuzzy)
-        few = ranked.select("query_id", "id").unionByName(literal.select("query_id", "id")).unionByName(close.select("query_id", "id")).distinct()
-        pairs = pairs.join(few, ["query_id", "id"], "left_semi")
+        ranked = lexical.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id"))).filter(F.col("r") <= fuzzy).select("query_id", "id", F.lit(True).alias("first"))
+        few = known.join(ranked, ["query_id", "id"], "left").join(asked.select("query_id", "open"), "query_id").filter("first OR literal OR semantic IS NOT NULL")
+        known = few.withColumn("own", F.col("own") | F.col("open")).drop("first", "open")
+        asked = asked.withColumn("open", F.lit(False))
+    able = materialize(_near_fields(memories, asked, known, at, rows, query_rows), "able")
+    texts = able.join(memories.select("id", "content", *LIGHT), "id").join(asked.select("query_id", "query", "any_bm25", *(["q_valence", "q_arousal"] if felt else [])), "query_id")
     emotion = scores.emotion_score(F.col("q_valence"), F.col("q_arousal")) if felt else F.lit(0.5)
     base = emotion * W_EMOTION + scores.time_score(at) * W_TIME + scores.importance_score() * W_IMPORTANCE + scores.touch_score() * W_TOUCH
-    held = lexical.select("query_id").distinct().withColumn("any_bm25", F.lit(True))  # a row a query
-    fields = field_scores(pairs.select("query_id", "id", base.alias("base"), "query", "name", "domain", "tags"))
-    parts = fields.join(lexical, ["query_id", "id"], "left").join(literal, ["query_id", "id"], "left").join(close, ["query_id", "id"], "left").join(held, "query_id", "left")
-    parts = parts.withColumn("literal", F.coalesce("literal", F.lit(False))).withColumn("any_bm25", F.coalesce("any_bm25", F.lit(False)))
-    most = fused_from((F.col("fields") + 1.0) / (HELD + 1.0), F.col("base"))
-    able = materialize(parts.filter((most >= TEXT_THRESHOLD - 1e-6) | F.col("literal") | semantic_hit()).drop("base"), "able")
-    texts = able.join(memories.select("id", "content", *LIGHT), "id").join(rest.select("query_id", "query", *(["q_valence", "q_arousal"] if felt else [])), "query_id")
-    rows = content_scores(texts).withColumn("topic", topic())
-    best = (fused(rows, at, F.col("q_valence"), F.col("q_arousal")) if felt else fused(rows, at)).unionByName(exact)
+    most = fused_from((F.col("fields") + 1.0) / (HELD + 1.0), base)
+    scored = content_scores(texts.filter((most >= TEXT_THRESHOLD - 1e-6) | F.col("literal") | semantic_hit())).withColumn("topic", topic())
+    best = (fused(scored, at, F.col("q_valence"), F.col("q_arousal")) if felt else fused(scored, at)).unionByName(exact)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")).filter(F.col("rank") <= k)

@@ -520,6 +520,9 @@ def test_search_equals_a_sequential_version(spark, sf):
     queries = spark.createDataFrame([(1, "the of", ["src1"], 0.2, 0.9), (2, "que de la", ["nowhere"], None, None), (3, "src2 en", None, 0.5, 0.5)], "query_id long, query string, domains array<string>, q_valence double, q_arousal double")
     near = m.filter("doc_id % 7 = 1").select(F.lit(3).cast("long").alias("query_id"), "id", ((F.col("doc_id") % 10) / 10.0).alias("semantic"))
     got = {(r.query_id, r.id): (r.score, r.rank) for r in retrieval.search(m, queries, near, as_of(), k=100).collect()}
+    small = retrieval.search(m, queries, near, as_of(), k=100, rows=7, query_rows=2)
+    assert {(r.query_id, r.id): (r.score, r.rank) for r in small.collect()} == got
+    assert retrieval.search(m, queries.limit(0), near, as_of()).count() == retrieval.search(m.limit(0), queries, near, as_of()).count() == 0
     lexical = {(r.query_id, r.id): r.bm25 for r in retrieval.bm25(m, queries).collect()}
     from notegrid.functions import scores
 

@@ -112,6 +112,47 @@ def ledger_invariants(ledger: DataFrame) -> DataFrame:
     return t.select("trace_id", codes((F.col("gone") & ~F.col("kept"), "erased_without_archive"), (F.col("lo") != F.col("hi"), "hash_changed")))
 
 
+# fixed values of the log: kinds of events, and the words that count as true
+CREATES = ("TraceCreated", "MemoryCreated", "BucketCreated")
+TOMBSTONES = ("TombstoneWritten", "TraceDeletedToArchive")
+PHYSICAL_ERASURES = ("TracePhysicallyErased", "TracePurged", "TraceHardDeleted", "PhysicalErase", "StoragePurged")
+ADMIN_ERASURES = ("AdminErasure", "AdminErasureRequested", "AdminErasurePerformed", "AdminErase", "TraceAdminErased")
+RECONSTRUCTIONS = ("TraceReconstructed", "TraceReconstruction", "TraceReconsolidated", "ReconstructionWritten")
+TRUE = ("1", "true", "yes", "on")
+
+
+def erasure_violations(events: DataFrame) -> DataFrame:
+    """events(seq, trace_id, event_type, body_hash, payload), payload a JSON text: (seq, trace_id, code) of what the log mustn't hold.
+
+    no_silent_erasure: a physical erasure of a trace that has no tombstone anywhere in the log and wasn't created as
+    erasable test data. admin_erasure_logged_as_internal_forgetting: an admin erasure that says it forgets, or doesn't
+    say it is an external storage action. reconstruction_overwrote_original_trace: a reconstruction that says it
+    replaces the original, or updates it with another hash than the original's (its payload's, or that of the first
+    creation before it). Blank trace ids, null and broken payloads say nothing.
+
+    A trace's facts are one aggregate; only erasures and reconstructions are joined to them.
+    """
+    said = lambda k: F.coalesce(F.lower(F.trim(F.get_json_object("payload", f"$.{k}"))).isin(*TRUE), F.lit(False))
+    text = lambda k: F.coalesce(F.get_json_object("payload", f"$.{k}"), F.lit(""))
+    kind, named = F.col("event_type"), events.filter(F.trim("trace_id") != "").withColumn("trace_id", F.trim("trace_id"))
+    erased = F.coalesce(kind.isin(*PHYSICAL_ERASURES), F.lit(False)) | said("physical_erasure")
+    created = kind.isin(*CREATES)
+    hashed = F.when(created & (F.col("body_hash") != ""), F.col("seq"))
+    test = created & (F.get_json_object("payload", "$.provenance.kind") == "test") & (F.get_json_object("payload", "$.provenance.erasable") == "true")
+    facts = named.groupBy("trace_id").agg(F.bool_or(F.coalesce(kind.isin(*TOMBSTONES), F.lit(False)) | said("tombstone")).alias("kept"), F.bool_or(F.coalesce(test, F.lit(False))).alias("test"), F.min(hashed).alias("first"), F.min_by("body_hash", hashed).alias("first_hash"))
+    action = F.lower(F.when(text("storage_action") != "", text("storage_action")).otherwise(text("action")))
+    outside = said("external_storage_action") | action.isin("external", "external_storage", "external_storage_action")
+    inside = said("internal_forgetting") | action.isin("internal_forgetting", "forgetting", "forget")
+    acts = named.filter(erased | kind.isin(*ADMIN_ERASURES, *RECONSTRUCTIONS)).join(facts.hint("merge"), "trace_id")
+    own = F.when(text("original_body_hash") != "", text("original_body_hash")).when(F.col("first") <= F.col("seq"), F.col("first_hash"))
+    replaced = said("overwrites_original") | said("replaces_original") | said("falsifies_original") | F.coalesce((F.col("body_hash") != "") & (F.col("body_hash") != own) & said("updates_original"), F.lit(False))
+    return acts.select("seq", "trace_id", codes(
+        (erased & ~F.col("kept") & ~F.col("test"), "no_silent_erasure"),
+        (kind.isin(*ADMIN_ERASURES) & (inside | ~outside), "admin_erasure_logged_as_internal_forgetting"),
+        (kind.isin(*RECONSTRUCTIONS) & replaced, "reconstruction_overwrote_original_trace"),
+    ))
+
+
 def replay_validation(ledger: DataFrame, order: str = "pos") -> DataFrame:
     """ledger with a dense file position: rows whose seq doesn't grow, traces missing, malformed body hashes.
 
@@ -176,6 +217,37 @@ def receipt_audit(receipts: DataFrame, required: list[str]) -> DataFrame:
     return receipts.select("id", codes((F.size(F.array_except(want, "stages")) > 0, "missing_stage"), (places != F.array_sort(places), "misordered")))
 
 
+def boundary_audit(receipts: DataFrame, mutating: list[str], mutation_stages: list[str], read_stages: list[str], validation: str, append: str) -> DataFrame:
+    """receipts(id, kind, stages, events, ledger_appended, preflight_allowed, validation_allowed, direct_write): (id, code, stage) of every issue.
+
+    A command mutates if its kind is one of `mutating`, it names events or has appended to the ledger; then
+    mutation_stages are asked for, else read_stages. Codes: adapter_direct_memory_write, missing_boundary_stage (one row for each
+    stage), boundary_stage_order_invalid (by where a stage first stands), ledger_append_after_policy_denial,
+    mutation_without_events, mutation_without_ledger_append, and ledger_append_without_event_policy_validation (the
+    validation is missing, failed or comes after the append). Null flags are false, null lists empty.
+    """
+    words = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = receipts.select("id", "kind", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("stages", "events")], *[true(c).alias(c) for c in ("ledger_appended", "preflight_allowed", "validation_allowed", "direct_write")])
+    some = F.size("events") > 0
+    rows = rows.withColumn("mutates", F.coalesce(F.col("kind").isin(*mutating), F.lit(False)) | some | F.col("ledger_appended"))
+    rows = rows.withColumn("want", F.when(F.col("mutates"), words(mutation_stages)).otherwise(words(read_stages)))
+    at = lambda x: F.array_position("stages", x)
+    places = F.transform(F.filter("want", lambda x: F.array_contains("stages", x)), at)
+    valid = F.col("validation_allowed") & (at(validation) > 0) & (at(validation) < at(append))
+    issue = lambda test, code: F.when(test, F.struct(F.lit(code).alias("code"), F.lit(None).cast("string").alias("stage")))
+    missing = F.transform(F.array_except("want", "stages"), lambda x: F.struct(F.lit("missing_boundary_stage").alias("code"), x.alias("stage")))
+    single = F.array_compact(F.array(
+        issue(F.col("direct_write"), "adapter_direct_memory_write"),
+        issue(places != F.array_sort(places), "boundary_stage_order_invalid"),
+        issue(F.col("ledger_appended") & ~F.col("preflight_allowed"), "ledger_append_after_policy_denial"),
+        issue(F.col("mutates") & ~some, "mutation_without_events"),
+        issue(F.col("mutates") & ~F.col("ledger_appended"), "mutation_without_ledger_append"),
+        issue(F.col("ledger_appended") & ~valid, "ledger_append_without_event_policy_validation"),
+    ))
+    return rows.select("id", F.explode(F.concat(missing, single)).alias("i")).select("id", "i.code", "i.stage")
+
+
 def marked_texts(items: DataFrame, markers: dict[str, str]) -> DataFrame:
     """items(id, text): codes of the markers (regular expressions) that stand in the text."""
     return items.select("id", codes(*[(F.rlike("text", F.lit(p)), c) for c, p in markers.items()]))

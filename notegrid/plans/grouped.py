@@ -85,6 +85,23 @@ def agg_17(spark, sf):
     return A.ledger_invariants(ledger(spark, sf).withColumn("body_hash", F.when(F.col("seq") % 37 == 0, "other").otherwise(F.col("body_hash"))))
 
 
+ERASURES_SQL = VIEWS + """, e AS (SELECT seq, trace_id, CASE event_type WHEN 'TraceArchived' THEN 'TraceHardDeleted' WHEN 'TraceTouched' THEN 'AdminErasure' WHEN 'TraceUpdated' THEN 'TraceReconstructed' ELSE event_type END AS kind, CASE WHEN seq % 3 = 0 THEN 'other' ELSE 'own' END AS hash FROM ledger),
+f AS (SELECT trace_id, bool_or(kind = 'TraceDeletedToArchive') AS kept, bool_or(kind = 'TraceCreated' AND seq % 2 = 0) AS test, min(seq) FILTER (kind = 'TraceCreated') AS first, min_by(hash, seq) FILTER (kind = 'TraceCreated') AS first_hash FROM e GROUP BY 1)
+SELECT seq, trace_id, 'no_silent_erasure' AS code FROM e JOIN f USING (trace_id) WHERE kind = 'TraceHardDeleted' AND NOT kept AND NOT test UNION ALL SELECT seq, trace_id, 'admin_erasure_logged_as_internal_forgetting' FROM e WHERE kind = 'AdminErasure' AND seq % 4 <> 1
+UNION ALL SELECT seq, trace_id, 'reconstruction_overwrote_original_trace' FROM e JOIN f USING (trace_id) WHERE kind = 'TraceReconstructed' AND (seq % 10 = 0 OR (seq % 2 = 0 AND first < seq AND first_hash <> hash))"""
+
+
+@query("agg_17_erasure_invariants", ERASURES_SQL)
+def agg_17_erasures(spark, sf):
+    s, k = F.col("seq"), F.col("event_type")
+    kind = F.when(k == "TraceArchived", "TraceHardDeleted").when(k == "TraceTouched", "AdminErasure").when(k == "TraceUpdated", "TraceReconstructed").otherwise(k)
+    made = F.when(s % 2 == 0, '{"provenance": {"kind": "test", "erasable": true}}').otherwise('{"provenance": {"kind": "test", "erasable": "no"}}')
+    admin = F.when(s % 4 == 0, '{"storage_action": "external", "internal_forgetting": "yes"}').when(s % 4 == 1, '{"external_storage_action": true}').when(s % 4 == 2, '{"action": "Forget"}')
+    again = F.when(s % 10 == 0, '{"replaces_original": 1}').when(s % 2 == 0, '{"updates_original": true}').otherwise("{}")
+    payload = F.when(k == "TraceCreated", made).when(k == "TraceTouched", admin).when(k == "TraceUpdated", again)
+    return A.erasure_violations(ledger(spark, sf).select("seq", "trace_id", kind.alias("event_type"), F.when(s % 3 == 0, "other").otherwise("own").alias("body_hash"), payload.alias("payload")))
+
+
 @query("agg_18_decision_audit", VIEWS + f"SELECT id, CASE WHEN contains(reasons, 'dont_surface') THEN 'dont_surface_leak' ELSE 'policy_bypass' END AS code FROM (SELECT id, {REASONS_SQL['spontaneous']} AS reasons FROM memories WHERE doc_id % 3 = 0) WHERE reasons <> ''")
 def agg_18(spark, sf):
     return A.decision_audit(memories(spark, sf).withColumn("allowed", F.col("doc_id") % 3 == 0), policy.denial_reasons("spontaneous"))
@@ -162,6 +179,24 @@ def agg_31(spark, sf):
     return A.receipt_audit(acts.select("id", F.transform("x", lambda e: e["event_type"]).alias("stages")), ["view", "click", "purchase"])
 
 
+BOUNDARY_SQL = """WITH r AS (SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS id, list(event_type ORDER BY event_id) AS s, min(event_id) AS k FROM events GROUP BY 1),
+q AS (SELECT id, s, k % 3 = 0 AS kind, list_contains(s, 'purchase') AS wrote, list_contains(s, 'signup') AS named, k % 5 <> 0 AS allowed, k % 7 <> 0 AS valid, k % 11 = 0 AS direct FROM r), p AS (SELECT *, kind OR wrote OR named AS m FROM q),
+w AS (SELECT *, CASE WHEN m THEN ['view', 'click', 'purchase'] ELSE ['view', 'click'] END AS want FROM p), o AS (SELECT *, list_filter(list_transform(want, lambda x: coalesce(list_position(s, x), 0)), lambda x: x > 0) AS places FROM w)
+SELECT id, 'missing_boundary_stage' AS code, stage FROM (SELECT id, s, unnest(want) AS stage FROM w) WHERE NOT list_contains(s, stage) UNION ALL SELECT id, 'boundary_stage_order_invalid', NULL FROM o WHERE places <> list_sort(places) UNION ALL SELECT id, 'adapter_direct_memory_write', NULL FROM w WHERE direct
+UNION ALL SELECT id, 'ledger_append_after_policy_denial', NULL FROM w WHERE wrote AND NOT allowed UNION ALL SELECT id, 'mutation_without_events', NULL FROM w WHERE m AND NOT named UNION ALL SELECT id, 'mutation_without_ledger_append', NULL FROM w WHERE m AND NOT wrote
+UNION ALL SELECT id, 'ledger_append_without_event_policy_validation', NULL FROM w WHERE wrote AND NOT (valid AND coalesce(list_position(s, 'click'), 0) > 0 AND list_position(s, 'click') < list_position(s, 'purchase'))"""
+
+
+@query("agg_31_boundary_audit", BOUNDARY_SQL)
+def agg_31_boundary(spark, sf):
+    # a command is what a user did on a day, in order; a purchase stands for the append to the ledger
+    own = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.to_date(F.col("ts").cast("timestamp_ntz")).cast("string"))
+    acts = table(spark, sf, "events").groupBy(own.alias("id")).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"), F.min("event_id").alias("k"))
+    stages, k = F.transform("x", lambda e: e["event_type"]), F.col("k")
+    receipts = acts.select("id", F.when(k % 3 == 0, "write").otherwise("read").alias("kind"), stages.alias("stages"), F.filter(stages, lambda e: e == "signup").alias("events"), F.array_contains(stages, "purchase").alias("ledger_appended"), (k % 5 != 0).alias("preflight_allowed"), (k % 7 != 0).alias("validation_allowed"), (k % 11 == 0).alias("direct_write"))
+    return A.boundary_audit(receipts, ["write"], ["view", "click", "purchase"], ["view", "click"], "click", "purchase")
+
+
 # --- ordered ----------------------------------------------------------------------------------------
 
 

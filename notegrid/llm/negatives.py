@@ -17,7 +17,7 @@ Vectors spread evenly over many dimensions leave little to prune (the README has
 keep more than half of a bucket, it is multiplied out as a block.
 
 Components are whole numbers (the scaled vectors' floor), and scores are exact: products are summed in double
-precision while all sums stay below 2^53, and as Python's numbers beyond.
+precision while a hundred times all sums stays below 2^53, and as Python's numbers beyond.
 
 Defined results: rows whose id, label or vector is null, whose vector holds a null or non-finite component or
 has another than the most common size take no part; rows of one id count once, with the smallest label, then
@@ -37,7 +37,7 @@ from notegrid.llm.common import materialize
 
 FOCUS = 4  # focus coordinates of an anchor
 SLACK = 1e-9  # for the rounding of angles
-EXACT = 1 << 53
+EXACT = 1 << 53  # bands compare scores times 100
 
 
 class Bucket:
@@ -91,7 +91,7 @@ class Bucket:
     def products(self, anchors: np.ndarray, bounds: np.ndarray):
         """(anchor number, row numbers, exact scores) for every anchor with candidates."""
         reach = float(np.abs(self.v).max(initial=0)) * float(np.abs(anchors).max(initial=0)) * max(1, self.v.shape[1])
-        whole, kind = (self.v, float) if reach < EXACT else (np.array([[int(x) for x in row] for row in self.v], dtype=object), object)
+        whole, kind = (self.v, float) if 100 * reach < EXACT else (np.array([[int(x) for x in row] for row in self.v], dtype=object), object)
         asked = anchors if kind is float else np.array([[int(x) for x in row] for row in anchors], dtype=object)
         found = self.candidates(anchors, bounds)
         full = np.array([i for i, f in enumerate(found) if f is None], dtype=np.int64)
@@ -184,7 +184,7 @@ def mine(df: DataFrame, is_anchor: Column, scale: int = 256, positives: int = 5,
     spans = reach.groupBy("label").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
     reach = materialize(reach, "reach")
     longest = reach.groupBy("bucket").agg(F.max("longest").alias("longest"))
-    anchors = index.filter(is_anchor).select(F.col("vid").alias("anchor"), "label", "v", "length", F.pmod(F.xxhash64("vid"), F.lit(blocks)).alias("block"))
+    anchors = index.filter(is_anchor).select(F.col("vid").alias("anchor"), "label", "v", "length", F.pmod(F.xxhash64("vid"), F.lit(blocks)).cast("int").alias("block"))  # of the type of dealt's: cogroup hashes int and long differently
     anchors = materialize(anchors.join(spans, "label"), "anchors")
     dealt = index.drop("length").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -204,7 +204,7 @@ def mine(df: DataFrame, is_anchor: Column, scale: int = 256, positives: int = 5,
 
     # a band over a negative score is empty
     bands = chosen.filter("score >= 0").groupBy("anchor").agg(F.collect_set("score").alias("bands"))  # `positives` at most
-    asked = anchors.join(bands, "anchor").withColumn("bound", F.array_min("bands") * F.lit(percent) / 100.0)
+    asked = anchors.join(bands, "anchor").withColumn("bound", F.array_min("bands").cast("double") * F.lit(percent) / 100.0)
     asked = asked.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))).join(longest, "bucket")
     asked = asked.filter(F.col("bound") <= F.col("longest") * F.col("length") * (1 + SLACK)).select("bucket", "block", "anchor", "label", "v", "bound", "bands")
     found = met(asked, lambda rows, asked: negatives_in(rows, asked, negatives, percent), "anchor long, positive_score long, vid long, score long")

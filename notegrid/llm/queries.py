@@ -88,7 +88,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notegrid.llm.negatives import mine
 
     rows = table(spark, sf_dir, "embeddings")
-    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     return mine(rows.withColumn("label", wrong), F.col("vid") % 100 == 0)
 
 

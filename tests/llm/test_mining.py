@@ -193,6 +193,25 @@ def test_negatives_large_and_repeated(spark):
     assert {tuple(r) for r in mine(df, F.col("vid") % 100 == 0, bucket_rows=9).collect()} == brute_negatives(same)
 
 
+@pytest.mark.parametrize("size", [1, 3e4, 1e6])  # with products times 100 beyond 2^53 and 2^63
+def test_negatives_in_many_partitions(spark, size):
+    from notegrid.llm.negatives import mine
+
+    rng = random.Random(8)
+    rows = [(i * 5, rng.choice([1, 2]), [rng.gauss(0.3, 1) * size for _ in range(3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    old = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("7", "false"), strict=True):  # as large tables fill them
+        spark.conf.set(n, v)
+    try:
+        got = [tuple(r) for r in mine(df, F.col("vid") % 100 == 0, bucket_rows=60).collect()]
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+    assert got and set(got) == brute_negatives(rows) and len(got) == len(set(got))
+
+
 def test_candidates_lose_nothing():
     from notegrid.llm.negatives import Bucket
 

@@ -372,17 +372,74 @@ def least_paths(links: DataFrame, start: DataFrame) -> DataFrame:
         best = materialize(kept.unionByName(front), "paths")
 
 
+def by_place(rows: DataFrame) -> DataFrame:
+    """rows(id, pos, k, source): (id, place, source), each source of an id once, where it comes first by (pos, k)."""
+    first = rows.repartition("id").groupBy("id", "source").agg(F.min(F.struct("pos", "k")).alias("first"))
+    return first.select("id", F.row_number().over(Window.partitionBy("id").orderBy("first")).cast("long").alias("place"), "source")
+
+
+def chains_by_generation(links: DataFrame, ids: DataFrame, own: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """links(child, pos, parent), ids(id), own(id, k, source): (chains(id, place, source), rest(id)).
+
+    An event's turn comes when all its parents have theirs, so its chain is worked out once, from those of its
+    parents; what is written is the chains and the links, whatever the number of ancestors. A round takes a
+    generation; rest are the events on a cycle or behind one, whose turn never comes.
+    """
+    need = materialize(links.groupBy("child").agg(F.count(F.lit(1)).alias("n")), "need")
+    front = materialize(ids.join(need, F.col("id") == F.col("child"), "left_anti").select("id", F.array().cast("array<int>").alias("gens")), "turn")
+    rest = materialize(ids.join(front, "id", "left_anti"), "rest")
+    waiting, chains = None, []
+    while not front.isEmpty():
+        rows = own.join(front, "id", "left_semi").select("id", F.lit(AFTER_ALL).alias("pos"), "k", "source")
+        used = sorted(r[0] for r in front.select(F.explode("gens")).distinct().collect())  # numbers of generations
+        if used:
+            known = chains[used[0]]
+            for g in used[1:]:
+                known = known.unionByName(chains[g])
+            asked = links.join(front.select(F.col("id").alias("child")), "child", "left_semi")
+            rows = rows.unionByName(asked.join(known.withColumnRenamed("id", "parent"), "parent").select(F.col("child").alias("id"), "pos", F.col("place").alias("k"), "source"))
+        arrived = links.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").groupBy("child").agg(F.count(F.lit(1)).alias("got")).withColumn("gens", F.array(F.lit(len(chains))))
+        chains.append(materialize(by_place(rows), "chains"))
+        if waiting is not None:
+            both = waiting.unionByName(arrived).groupBy("child")
+            arrived = both.agg(F.sum("got").alias("got"), F.flatten(F.collect_list("gens")).alias("gens"))  # one of each generation
+        told = materialize(arrived.join(need, "child"), "turn")
+        front = told.filter("got = n").select(F.col("child").alias("id"), "gens")
+        waiting = told.filter("got < n").select("child", "got", "gens")
+        rest = rest.join(front, "id", "left_anti")
+        if len(chains) % 16 == 0:
+            rest = materialize(rest, "rest")
+    out = chains[0] if chains else None
+    for c in chains[1:]:
+        out = out.unionByName(c)
+    return out, materialize(rest, "rest")
+
+
 def source_chains(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """events(id, seq, parents, sources): (id, place, source), the sources that each event (or those of start(id)) comes from.
 
     They are those of its parents, depth first in the order of the lists, and then its own; each source once, where
-    it comes first. Null sources and starts that aren't events give nothing.
+    it comes first. Null sources and starts that aren't events give nothing. Events on a cycle or behind one go by
+    their least paths, a row for each ancestor; all others by their parents' chains.
     """
-    known = events.filter("id IS NOT NULL").select("id")
-    asked = known if start is None else known.join(start.select("id"), "id", "left_semi")
-    paths = least_paths(materialize(parent_links(events), "links"), asked)
-    own = events.select(F.col("id").alias("ancestor"), F.posexplode("sources").alias("pos", "source")).filter("source IS NOT NULL")
-    order = F.struct(F.array_append("path", F.lit(AFTER_ALL)).alias("path"), "pos")
-    first = paths.join(own.hint("merge"), "ancestor").groupBy("id", "source").agg(F.min(order).alias("first"))
+    ids = events.filter("id IS NOT NULL").select("id").distinct()
+    asked = materialize(ids if start is None else ids.join(start.select("id"), "id", "left_semi"), "starts")
+    links = materialize(parent_links(events), "links")
+    own = materialize(events.select("id", F.posexplode("sources").alias("k", "source")).filter("id IS NOT NULL AND source IS NOT NULL").withColumn("k", F.col("k").cast("long")), "own")
+    used, needed = asked, links
+    if start is not None:  # they and their ancestors
+        front = asked
+        while not front.isEmpty():
+            above = links.join(front.select(F.col("id").alias("child")), "child", "left_semi").select(F.col("parent").alias("id")).distinct()
+            front = materialize(above.join(used, "id", "left_anti"), "above")
+            used = materialize(used.unionByName(front), "used")
+        needed = materialize(links.join(used.select(F.col("id").alias("child")), "child", "left_semi"), "links")
+    chains, rest = chains_by_generation(needed, used, own)
+    behind = asked.join(rest, "id", "left_semi")
+    out = by_place(own.limit(0).withColumn("pos", F.lit(AFTER_ALL))) if chains is None else chains if start is None else chains.join(asked, "id", "left_semi")
+    if behind.isEmpty():
+        return out
+    order = F.struct(F.array_append("path", F.lit(AFTER_ALL)).alias("path"), "k")
+    first = least_paths(needed, behind).join(own.withColumnRenamed("id", "ancestor").hint("merge"), "ancestor").groupBy("id", "source").agg(F.min(order).alias("first"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("first"))
-    return first.select("id", place.cast("long").alias("place"), "source")
+    return out.unionByName(first.select("id", place.cast("long").alias("place"), "source"))

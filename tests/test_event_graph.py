@@ -68,3 +68,32 @@ def test_children_actors_and_repeated_ids(spark):
         own = [f"e{i}" for i in range(40) if (None if i % 9 == 8 else f"u{i % 3}") == actor]
         assert places[actor] == {k + 1: x for k, x in enumerate(own)}
     assert [tuple(r) for r in J.duplicate_events(df.unionByName(df.filter("seq < 1"))).collect()] == [("e0", 2)]
+
+
+def written_rows(monkeypatch):
+    """What operators of joins write from now on: [rows, tables]."""
+    told, write = [0, 0], J.materialize
+
+    def count(df, name):
+        out = write(df, name)
+        told[0], told[1] = told[0] + out.count(), told[1] + 1
+        return out
+
+    monkeypatch.setattr(J, "materialize", count)
+    return told
+
+
+def test_source_chains_write_no_row_for_an_ancestor(spark, monkeypatch):
+    events = {f"e{i}": ([f"e{j}" for j in range(max(0, i - 60), i, 8)], ["a"]) for i in range(80)}
+    told = written_rows(monkeypatch)
+    got = [tuple(r) for r in J.source_chains(table(spark, events)).collect()]
+    assert sorted(got) == sorted((k, 1, "a") for k in events)
+    assert told[0] < 20 * len(events)
+
+
+def test_source_chains_behind_a_cycle_and_beside_it(spark):
+    events = {"a": (["b"], ["sa"]), "b": (["a", "d"], ["sb"]), "c": (["d", "b"], ["sc", "sd"]), "d": ([], ["sd", "sa"]), "f": (["d", "f"], ["sf"])}
+    got = {}
+    for r in sorted(J.source_chains(table(spark, events)).collect(), key=lambda r: r.place):
+        got.setdefault(r.id, []).append(r.source)
+    assert got == {k: chain(events, k) for k in events}

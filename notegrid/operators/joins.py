@@ -296,17 +296,29 @@ def merge_decision(pairs: DataFrame) -> DataFrame:
 def lineage(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """edges(child, parent), start(id): all ancestors of each start with their least distance.
 
-    Goes on until a round finds no new pair (or up to the distance `most`), so a cycle ends by itself; each round
-    is a written table.
+    Where all children are starts, distances are doubled: all within `reach` are known, and those at just `reach`
+    lead on to what is within `reach` of them, so the rounds are as many as the longest least distance has binary
+    digits. Otherwise a round takes a generation of the starts alone. It goes on until a round finds no new pair (or
+    up to the distance `most`), so a cycle ends by itself; each round is a written table.
     """
-    front = start.select("id", F.col("id").alias("at"), F.lit(0).cast("long").alias("depth"))
-    found, rounds = front.limit(0), 0
-    while most is None or rounds < most:
-        step = front.join(edges, front["at"] == edges["child"]).select("id", F.col("parent").alias("at"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = materialize(step.join(found.select("id", "at"), ["id", "at"], "left_anti"), "lineage")
+    steps = edges.filter("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").alias("id"), F.col("parent").alias("at")).distinct()
+    steps = materialize(steps.withColumn("depth", F.lit(1).cast("long")), "lineage")
+    own = materialize(start.select("id").distinct(), "lineage")
+    whole = steps.join(own, "id", "left_anti").isEmpty()
+    found = front = steps if whole else steps.join(own, "id", "left_semi")
+    if most is not None and most < 1:
+        return found.limit(0).select("id", F.col("at").alias("ancestor"), "depth")
+    reach = 1
+    while most is None or reach < most:
+        on = (found if whole else steps).select(F.col("id").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"))
+        ahead = front.filter(F.col("depth") == reach).join(on, "at").select("id", F.col("further").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
+        if most is not None:
+            ahead = ahead.filter(F.col("depth") <= most)
+        least = ahead.groupBy("id", "at").agg(F.min("depth").alias("depth"))
+        front = materialize(least.join(found.select("id", "at"), ["id", "at"], "left_anti"), "lineage")
         if front.isEmpty():
             break
-        found, rounds = found.unionByName(front), rounds + 1
+        found, reach = found.unionByName(front), 2 * reach if whole else reach + 1
     return found.select("id", F.col("at").alias("ancestor"), "depth")
 
 

@@ -97,3 +97,24 @@ def test_source_chains_behind_a_cycle_and_beside_it(spark):
     for r in sorted(J.source_chains(table(spark, events)).collect(), key=lambda r: r.place):
         got.setdefault(r.id, []).append(r.source)
     assert got == {k: chain(events, k) for k in events}
+
+
+def test_lineage_doubles_its_distances(spark, monkeypatch):
+    rng = random.Random(4)
+    up = {i: {rng.randrange(max(0, i - 4), i) for _ in range(2)} for i in range(1, 70)} | {0: {3}, 100: {100}}
+    edges = spark.createDataFrame([(f"e{c}", f"e{p}") for c, ps in up.items() for p in ps], "child string, parent string")
+
+    def walk(i, most):
+        out, front, depth = {}, {i}, 0
+        while front and (most is None or depth < most):
+            depth, front = depth + 1, {p for c in front for p in up.get(c, ())} - set(out)
+            out |= dict.fromkeys(front, depth)
+        return {(f"e{i}", f"e{p}", d) for p, d in out.items()}
+
+    told = written_rows(monkeypatch)
+    all_, few = (spark.createDataFrame([(f"e{i}",) for i in x], "id string") for x in (up, (69, 100, 7, 500)))
+    for most in (None, 5):
+        assert sorted(map(tuple, J.lineage(edges, all_, most).collect())) == sorted(r for i in up for r in walk(i, most))
+        assert told[1] < 12
+        assert sorted(map(tuple, J.lineage(edges, few, most).collect())) == sorted(r for i in (69, 100, 7) for r in walk(i, most))
+        told[1] = 0

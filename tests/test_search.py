@@ -32,3 +32,22 @@ def test_literal_matches(spark):
     assert literal_matches(memories.limit(0), queries).count() == literal_matches(memories, queries.limit(0)).count() == 0
     many = memories.select(F.col("id").alias("query_id"), F.col("content").alias("query"))  # as many queries as texts
     assert literal_matches(memories, many).filter("query_id = id").count() == len({r[0] for r in rows if (r[4] or "").strip(" ")})
+
+
+def test_postings_of_a_text_lie_in_one_task(spark, monkeypatch):
+    from notegrid.operators import retrieval as R
+
+    monkeypatch.setattr(R, "TEXTS_A_TASK", 16)
+    rng = random.Random(6)
+    rows = [(f"m{i}", "n", [], [], " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(20))) for i in range(100)]
+    memories = spark.createDataFrame(rows, "id string, name string, tags array<string>, domain array<string>, content string")
+    files = R.postings(memories).withColumn("file", F.input_file_name()).groupBy("id").agg(F.count_distinct("file").alias("n"))
+    assert files.count() == 100 and files.filter("n > 1").count() == 0
+    asked = spark.createDataFrame([(1, "aa b c"), (2, "hhh"), (3, "nowhere"), (4, "n n")], "query_id long, query string")
+    want = {}
+    for r in R.bm25(memories, asked).collect():
+        want.setdefault(r.query_id, []).append((-round(r.bm25, 9), r.id))
+    got = {}
+    for r in R.first_by_bm25(memories, asked, 7, slices=3).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    assert got and got == {q: {k + 1: i for k, (_, i) in enumerate(sorted(x)[:7])} for q, x in want.items()}

@@ -184,7 +184,8 @@ def set_supersessions(rows: DataFrame, asked: DataFrame) -> DataFrame:
         met = waits.join(ahead.hint("merge"), "before", "left")
         waits = materialize(met.select("seq", F.col("further").alias("before"), (F.col("odd") != F.coalesce("odd_on", F.lit(False))).alias("odd")), "waits")
     kept = materialize(waits.filter("NOT odd").select("seq").join(fit.hint("merge"), "seq").select(F.col("seq").alias("own_seq"), "old_id", F.col("new_id").alias("own_target"), F.col("state_key").alias("own_key")), "kept")
-    out = fit.join(kept.hint("merge"), "old_id", "left").join(kept.select(F.col("old_id").alias("new_id"), F.col("own_seq").alias("gone_seq")).hint("merge"), "new_id", "left")
+    own = kept.dropDuplicates(["old_id"])  # where numbers repeat, what holds comes several times
+    out = fit.join(own.hint("merge"), "old_id", "left").join(kept.select(F.col("old_id").alias("new_id"), F.col("own_seq").alias("gone_seq")).hint("merge"), "new_id", "left")
     reason, late = F.col("reason"), F.col("own_seq") < F.col("seq")
     same = F.when(F.col("key") != F.col("own_key"), "key_mismatch").otherwise("unchanged")
     status = (

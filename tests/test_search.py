@@ -51,3 +51,20 @@ def test_postings_of_a_text_lie_in_one_task(spark, monkeypatch):
     for r in R.first_by_bm25(memories, asked, 7, slices=3).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.id
     assert got and got == {q: {k + 1: i for k, (_, i) in enumerate(sorted(x)[:7])} for q, x in want.items()}
+
+
+def test_search_compares_contents_only_where_they_could_count(spark, sf, monkeypatch):
+    from notegrid.operators import retrieval as R
+    from notegrid.schema import as_of, memories
+
+    m = memories(spark, sf).filter("doc_id < 120")
+    queries = spark.createDataFrame([(1, "the of", 0.2, 0.9), (2, "que de la", None, None)], "query_id long, query string, q_valence double, q_arousal double")
+    near = m.filter("doc_id % 7 = 1").select(F.lit(2).cast("long").alias("query_id"), "id", ((F.col("doc_id") % 10) / 10.0).alias("semantic"))
+    compared, plain = [], R.content_scores
+    monkeypatch.setattr(R, "content_scores", lambda pairs: compared.append(pairs.count()) or plain(pairs))
+    found = lambda k: {(r.query_id, r.id, r.score, r["rank"]) for r in R.search(m, queries, near, as_of(), k=k, rows=50).collect()}
+    whole = found(1000)
+    every = sum(compared)
+    compared.clear()
+    assert found(3) == {x for x in whole if x[3] <= 3}
+    assert sum(compared) < every / 4, (sum(compared), every)

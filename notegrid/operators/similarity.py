@@ -18,6 +18,8 @@ from notegrid.storage import materialize
 
 #: Bounds of what the deal is fitted on: rows of the sample, directions chosen from it, and those that blocks keep their angles to.
 SAMPLE, DIRECTIONS, LANDMARKS = 8192, 1024, 128
+#: How many ranges a deal has, while a range needn't hold more blocks than the second number.
+RANGES, RANGE = 32, 8
 #: Angles that rounding may blur.
 SLACK = 1e-6
 
@@ -106,7 +108,8 @@ def arrange(vectors: DataFrame, toward: np.ndarray, rows: int, zeros: bool = Fal
                 yield part.assign(d=np.int32(d), pivot=pivot, away=away)
 
     dealt = vectors.select("id", "vec_id", "embedding").mapInPandas(deal, ", ".join([f"id {schema['id'].dataType.simpleString()}", f"embedding {schema['embedding'].dataType.simpleString()}", DEALT]))
-    parts = max(1, -(-total // (8 * rows)))
+    side = min(RANGE, max(1, -(-total // (RANGES * rows))))
+    parts = max(1, -(-total // (side * rows)))
     order = ["d", "pivot", "away", "vec_id"]
     ranged = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 32))
 
@@ -182,15 +185,32 @@ def near_blocks(left: DataFrame, right: DataFrame | None, least: float | None, h
 
 
 def _met(left: DataFrame, right: DataFrame, pairs: DataFrame, task: Callable, schema: str) -> DataFrame:
-    """task(a, b, cosines) over every pair of blocks that is left; only their rows are shipped."""
-    row = [c for c in ("id", "vec_id", "embedding")]
-    a = left.select(*row, "block").join(pairs.hint("merge"), "block")
-    b = right.select(*[F.col(c).alias(c) for c in row], F.col("block").alias("other")).join(pairs.select(F.col("block").alias("block"), F.col("other").alias("other")).hint("merge"), "other")
+    """task(a, b, cosines) over every pair of blocks that is left; only their rows are shipped.
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return task(x, y, _unit(x["embedding"]) @ _unit(y["embedding"]).T)
-
-    return a.groupBy("block", "other").cogroup(b.groupBy("block", "other")).applyInPandas(run, schema)
+    Blocks of one range of the deal go to tasks together, so a block is shipped once to each range that it meets. A
+    task holds two ranges, and hands on what it finds in a pair of blocks before it takes up the next.
+    """
+    near = pairs.select("block", "other", F.shiftright("block", 32).alias("g"), F.shiftright("other", 32).alias("h"))
+    tasks = max(1, near.select("g", "h").distinct().count())
+    columns = ["g", "h", "side", F.col("id").cast("string").alias("id"), "vec_id", "embedding", "block", "other"]
+    none = {"side": F.lit(2), "id": F.lit(""), "vec_id": F.lit(0).cast("long"), "embedding": F.lit(None).cast(left.schema["embedding"].dataType)}
+    a = left.select("id", "vec_id", "embedding", "block").join(near.select("block", "g", "h").distinct().hint("merge"), "block").withColumns({"side": F.lit(0), "other": F.lit(-1).cast("long")})
+    b = right.select("id", "vec_id", "embedding", "block").join(near.select(F.col("other").alias("block"), "g", "h").distinct().hint("merge"), "block").withColumns({"side": F.lit(1), "other": F.lit(-1).cast("long")})
+    rows = a.select(*columns).union(b.select(*columns)).union(near.withColumns(none).select(*columns))
+    types = [None if df.schema["id"].dataType.simpleString() == "string" else np.int64 for df in (left, right)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.concat(list(batches), ignore_index=True)
+        sides = []
+        for k, kind in enumerate(types):
+            own = held[held["side"] == k]
+            own = own.astype({"id": kind}) if kind else own
+            sides.append({n: (x, _unit(x["embedding"])) for n, x in own[["id", "vec_id", "embedding", "block"]].groupby("block")})
+        for p, q in held.loc[held["side"] == 2, ["block", "other"]].itertuples(index=False, name=None):
+            (x, u), (y, v) = sides[0][p], sides[1][q]
+            yield task(x.assign(block=p, other=q), y.assign(block=p, other=q), u @ v.T)
+
+    return rows.repartition(tasks, "g", "h").groupBy("g", "h").applyInPandas(run, schema)
 
 
 def _themselves(vectors: DataFrame, threshold: float, rows: int) -> tuple[DataFrame, DataFrame]:

@@ -119,3 +119,24 @@ def test_topk_of_two_vectors_among_allowed_rows(spark):
             want |= {(q, i, k + 1) for k, (_, _, i) in enumerate(ranked[:6])}
     got = {tuple(r) for r in S.vector_topk(queries, df, 6, rows=17, query_rows=3, allowed=allowed).collect()}
     assert got == want
+
+
+def test_ranges_ship_blocks_once(spark, monkeypatch):
+    rows = np.random.default_rng(12).normal(size=(600, 16))  # no structure, so all blocks meet
+    df = table(spark, rows)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = {(f"v{i:05d}", f"v{j:05d}") for i, j in zip(*np.nonzero(np.triu(unit @ unit.T, 1) > 0.5), strict=True)}
+    blocks, shipped = [], []
+    plain = S._met
+
+    def met(left, right, pairs, task, schema):
+        blocks.append(pairs.count())
+        out = plain(left, right, pairs, task, schema)
+        shipped.append(pairs.selectExpr("block", "shiftright(other, 32) AS h").distinct().count())
+        return out
+
+    monkeypatch.setattr(S, "_met", met)
+    monkeypatch.setattr(S, "RANGES", 4)
+    got = {(r.a, r.b) for r in S.similarity_edges(df, 0.5, rows=16).collect()}
+    assert got == want and len(want) > 50
+    assert shipped[0] < blocks[0] / 3, (shipped, blocks)

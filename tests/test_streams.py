@@ -142,3 +142,28 @@ def test_queue_restarts(spark, tmp_path):
             ready = sorted((due, queued, i) for i, (_, queued, _, due, _, _) in want.items() if due <= moment) if c["open"] <= moment else []
             assert [r.id for r in stateful.due(items, circuit, moment).collect()] == [i for *_, i in ready]
     assert c["trips"] and c["processed"]
+
+
+def test_a_key_costs_one_read_and_one_write_and_no_frames():
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    queue = stateful.Queue(stateful.Waits())
+    queue.item = Value()
+    command = lambda n, op: Row(id="a", n=n, op=op, content_hash="h", at=n * 1.0, error="no", reset=False)
+    first = list(queue.handleInputRows(("a",), iter([command(2, "failed"), command(1, "enqueue")]), None))
+    again = list(queue.handleInputRows(("a",), iter([command(2, "failed"), command(3, "done")]), None))
+    assert [(r.pending, r.attempts, [(o.n, o.ok) for o in r.outcomes]) for r in first + again] == [(True, 1, [(2, False)]), (False, 0, [(3, True)])]
+    assert calls == ["get", "update"] * 2

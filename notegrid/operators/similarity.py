@@ -356,15 +356,15 @@ def leader_clusters(rows: DataFrame, edges: DataFrame, least: int = 3) -> DataFr
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     x, y = order.select(F.col("id").alias("a"), F.col("pos").alias("pa")), order.select(F.col("id").alias("b"), F.col("pos").alias("pb"))
     earlier = materialize(both.join(x, "a").join(y, "b").filter("pb < pa").select(F.col("a").alias("id"), F.col("b").alias("before")), "earlier")
-    state = materialize(order.join(earlier.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("leads")), "state")  # nobody before them
-    while True:
-        known = state.select(F.col("id").alias("before"), "leads")
-        seen = earlier.join(known, "before", "left").groupBy("id").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_or(F.col("leads").isNull()).alias("waits"))
-        settled = seen.filter("led OR NOT waits").select("id", (~F.col("led")).alias("leads")).join(state.select("id"), "id", "left_anti")
-        new = materialize(settled, "settled")
-        if not new.limit(1).count():
-            break
-        state = materialize(state.unionByName(new), "state")
+    new = materialize(order.join(earlier.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("leads")), "state")  # nobody before them
+    waiting, state = earlier, new
+    while new.limit(1).count():
+        # a row's edges go once it is settled, and edges to rows that don't lead go at once, so rounds grow smaller
+        told = waiting.join(new.select(F.col("id").alias("before"), "leads"), "before", "left")
+        seen = told.groupBy("id").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_or(F.col("leads").isNull()).alias("waits"))
+        new = materialize(seen.filter("led OR NOT waits").select("id", (~F.col("led")).alias("leads")), "settled")
+        waiting = materialize(told.filter("leads IS NULL").select("id", "before").join(new.select("id"), "id", "left_anti"), "waiting")
+        state = state.unionByName(new)
     leaders = state.filter("leads").select(F.col("id").alias("before"))
     first = earlier.join(leaders, "before").join(order.select(F.col("id").alias("before"), "pos"), "before").groupBy("id").agg(F.min_by("before", "pos").alias("leader"))
     members = first.select("leader", "id").unionByName(leaders.select(F.col("before").alias("leader"), F.col("before").alias("id")))

@@ -140,3 +140,20 @@ def test_ranges_ship_blocks_once(spark, monkeypatch):
     got = {(r.a, r.b) for r in S.similarity_edges(df, 0.5, rows=16).collect()}
     assert got == want and len(want) > 50
     assert shipped[0] < blocks[0] / 3, (shipped, blocks)
+
+
+def test_rounds_of_leaders_grow_smaller(spark, monkeypatch):
+    sizes, plain = [], S.materialize
+
+    def written(df, name):
+        out = plain(df, name)
+        if name in ("earlier", "waiting"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "materialize", written)
+    rows = spark.createDataFrame([(f"v{i:03d}", i) for i in range(12)], "id string, pos long")
+    edges = spark.createDataFrame([(f"v{i:03d}", f"v{i + 1:03d}") for i in range(11)], "a string, b string")  # the longest chain there is
+    got = {(r.leader, r.id) for r in S.leader_clusters(rows, edges, 1).collect()}
+    assert got == {(f"v{i - i % 2:03d}", f"v{i:03d}") for i in range(12)}
+    assert len(sizes) > 5 and all(b < a or not a for a, b in zip(sizes, sizes[1:])) and sizes[-1] == 0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrid.llm import language, neardup, packing, pii, quality
-from notegrid.llm.common import materialize, slices, table
+from notegrid.llm.common import materialize, release, slices, table
 
 #: A document goes if no language of the corpus reaches this posterior.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -36,6 +36,7 @@ def keep_texts(docs: DataFrame, judge: Callable[[list[str]], list[bool]], done:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array(judge([x or "" for x in part.column("text").to_pylist()]), pa.bool_()))
         done()
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

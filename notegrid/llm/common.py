@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,13 +13,21 @@ from pyspark.sql import types as T
 
 from notegrid.storage import materialize
 
-__all__ = ["crc_fold", "map_text", "materialize", "slices", "table"]
+__all__ = ["crc_fold", "map_text", "materialize", "release", "slices", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that is free back to the system at the end of a partition: workers stay for the stages after."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose text stays near most_bytes (one row at least)."""
     import pyarrow.compute as pc
@@ -48,6 +58,7 @@ def map_text(df: DataFrame, fn: Callable[[list[str], pa.RecordBatch], dict], sch
                 cols = [out[n] if isinstance(out[n], (pa.Array, pa.ChunkedArray)) else pa.array(out[n], type=target.field(n).type) for n in names]
                 cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
                 yield pa.RecordBatch.from_arrays([c.cast(target.field(n).type) for c, n in zip(cols, names, strict=True)], schema=target)
+        release()
 
     return df.mapInArrow(run, schema)
 

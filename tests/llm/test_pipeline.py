@@ -52,3 +52,25 @@ def test_stage_edges(spark, sf):
     assert sizes[1] == sizes[2] == 1 and sizes[3] > 2 * 2000 * 15 and packed.filter("length > 2048").count() == 0
     for name, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_stages_give_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from notegrid.llm import common
+
+    class Docs:
+        schema = None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    calls = []
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "release", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["a", None, "bb"]})
+    run = corpus_pipeline.keep_texts(Docs(), lambda texts: [len(t) == 1 for t in texts])
+    assert [b.to_pydict() for b in run([batch])] == [{"text": ["a"]}] and calls == [1]
+    monkeypatch.undo()
+    common.release()

@@ -227,37 +227,49 @@ def vector_manifest(expected: DataFrame, stored: DataFrame) -> DataFrame:
 def time_ripple(touched: DataFrame, memories: DataFrame, hours: int = 48, most: int = 5, credit: float = 0.3) -> DataFrame:
     """Credit for up to `most` rows created within `hours` of each touched row (by id).
 
-    Of hours, minutes and moments only the most + 1 smallest ids are kept, as no touched row takes more. A span is
-    its whole hours, the whole minutes of its two edge hours, and the moments of its two edge minutes, so touched
-    rows never meet rows one by one.
+    Of days' hours, hours' minutes and moments only the most + 1 smallest ids are kept, as no touched row takes more. A
+    span is its whole hours, the whole minutes of its two edge hours, and the moments of its two edge minutes. A day is
+    one row with the ids of its hours, an hour one with those of its minutes; an asked hour or minute takes its own
+    part of the few such rows it meets, and isn't dealt out into all the hours and minutes that it covers.
     """
     few = most + 1
     moment = lambda c: F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(c))
-    minute, hour, span = 60_000_000, 3_600_000_000, hours * 3_600_000_000
+    minute, hour, span, inner = 60_000_000, 3_600_000_000, hours * 3_600_000_000, hours - 1
 
     def smallest(rows: DataFrame, key: str) -> DataFrame:
         once = rows.select(key, "id").distinct()
         return once.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("id"))).filter(F.col("n") <= few).select(key, "id")
 
+    def held(rows: DataFrame, part: str, whole: str, width: int) -> DataFrame:
+        return rows.groupBy(F.floor(F.col(part) / width).alias(whole)).agg(F.array_sort(F.collect_list(F.struct("id", part))).alias("held"))
+
+    def first_of(held: str, keep) -> Column:
+        return F.slice(F.transform(F.filter(held, keep), lambda x: x["id"]), 1, few)
+
+    def least(*ids: str) -> Column:
+        return F.slice(F.array_sort(F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in ids]))), 1, few)
+
     target = memories.filter(~F.col("pinned") & ~F.col("type").isin("permanent", "feel", "plan", "letter", "i")).select(moment("created").alias("t"), "id")
     moments = materialize(smallest(target, "t"), "moments")
-    minutes = materialize(smallest(moments.select(F.floor(F.col("t") / minute).alias("m"), "id"), "m"), "minutes")
-    whole = materialize(smallest(minutes.select(F.floor(F.col("m") / 60).alias("h"), "id"), "h"), "hours")
-    asked = touched.select("id", moment("created").alias("at"))
-    times = materialize(asked.select("at").distinct().select("at", F.floor(F.col("at") / minute).alias("m"), F.floor(F.col("at") / hour).alias("h")), "asked")
+    whole = materialize(held(smallest(moments.select(F.floor(F.col("t") / minute).alias("m"), "id"), "m"), "m", "h", 60), "hours")
+    days = held(whole.select("h", F.explode(F.slice(F.array_distinct("held.id"), 1, few)).alias("id")), "h", "d", 24)
+    asked = materialize(touched.select("id", moment("created").alias("at")), "asked")
+    times = materialize(asked.select("at").distinct().select("at", F.floor(F.col("at") / minute).alias("m"), F.floor(F.col("at") / hour).alias("h")), "times")
+    edges = times.select("m", "h").distinct()
     # hours wholly inside for any moment of hour h; what hours h - `hours` and h + `hours` add comes by minutes and moments
-    around = times.select(F.col("h").alias("at_h")).distinct().withColumn("h", F.explode(F.sequence(F.col("at_h") - (hours - 1), F.col("at_h") + (hours - 1))))
-    by_hour = smallest(around.join(whole, "h").select("at_h", "id"), "at_h")
-    early = F.sequence(F.col("at_m") - 60 * hours + 1, (F.col("at_h") - hours + 1) * 60)
-    late = F.sequence((F.col("at_h") + hours) * 60, F.col("at_m") + 60 * hours)
-    edges = times.select(F.col("m").alias("at_m"), F.col("h").alias("at_h")).distinct()
-    edges = edges.withColumn("m", F.explode(F.concat(F.filter(early, lambda x: x < (F.col("at_h") - hours + 1) * 60), F.filter(late, lambda x: x < F.col("at_m") + 60 * hours))))
-    by_minute = smallest(edges.join(minutes, "m").select("at_m", "id"), "at_m")
+    around = edges.select("h").distinct().withColumn("d", F.explode(F.sequence(F.floor((F.col("h") - inner) / 24), F.floor((F.col("h") + inner) / 24))))
+    inside = around.join(days, "d").select("h", F.explode(first_of("held", lambda x: F.abs(x["h"] - F.col("h")) <= inner)).alias("id"))
+    inside = smallest(inside, "h").groupBy("h").agg(F.collect_list("id").alias("inside"))
+    early = whole.select((F.col("h") + hours).alias("h"), "held").hint("merge")
+    late = whole.select((F.col("h") - hours).alias("h"), "held").hint("merge")
+    by_minute = edges.join(early, "h", "left").select("m", "h", first_of("held", lambda x: x["m"] > F.col("m") - 60 * hours).alias("early"))
+    by_minute = by_minute.join(late, "h", "left").select("m", "h", "early", first_of("held", lambda x: x["m"] < F.col("m") + 60 * hours).alias("late"))
+    by_minute = materialize(by_minute.join(inside, "h", "left").select("m", least("inside", "early", "late").alias("around")), "around")
     ends = times.withColumn("m", F.explode(F.array(F.col("m") - 60 * hours, F.col("m") + 60 * hours)))
     close = moments.withColumn("m", F.floor(F.col("t") / minute))
     by_moment = ends.join(close, "m").filter(F.abs(F.col("t") - F.col("at")) <= span).select("at", "id")
-    found = by_moment.unionByName(times.join(by_hour, times["h"] == by_hour["at_h"]).select("at", "id")).unionByName(times.join(by_minute, times["m"] == by_minute["at_m"]).select("at", "id"))
-    near = materialize(smallest(found, "at").groupBy("at").agg(F.array_sort(F.collect_list("id")).alias("near")), "near")  # few a moment
+    by_moment = smallest(by_moment, "at").groupBy("at").agg(F.collect_list("id").alias("close"))
+    near = materialize(times.join(by_minute, "m").join(by_moment, "at", "left").select("at", least("around", "close").alias("near")), "near")
     first = asked.join(near.hint("merge"), "at").select(F.explode(F.slice(F.filter("near", lambda x: x != F.col("id")), 1, most)).alias("id"))
     return first.groupBy("id").agg(F.round(F.sum(F.lit(credit)), 1).alias("credit"))
 

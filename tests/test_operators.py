@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against sequential versions; storage, sources and inference."""
 
 import hashlib
+import itertools
 import json
 import random
 import time
@@ -400,6 +401,39 @@ def test_time_ripple_equals_brute_force(spark):
     assert got == {k: round(v, 1) for k, v in want.items()}
 
 
+def shipped(spark, work):
+    """What work() returns, and the most rows that one stage of it ships."""
+    sc = spark.sparkContext
+    sc.setJobGroup("shipped", "")
+    try:
+        out = work()
+    finally:
+        sc._jsc.clearJobGroup()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    stages = {i for j in tracker.getJobIdsForGroup("shipped") for i in tracker.getJobInfo(j).stageIds}
+    known = [i for i in stages if tracker.getStageInfo(i)]  # Spark forgets skipped stages first
+    return out, max(store.lastStageAttempt(i).shuffleWriteRecords() for i in known)
+
+
+def test_time_ripple_ships_no_row_for_a_minute_of_a_span(spark):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 5, 20, 30, 0)
+    at = [start + dt.timedelta(minutes=(i % 600) + 2880 * (i % 7 > 3), seconds=i % 3 * 20) for i in range(2400)]
+    rows = [(f"m{i:04d}", at[i], i % 50 == 0, "dynamic" if i % 9 else "plan") for i in range(2400)]
+    df = spark.createDataFrame(rows, "id string, created timestamp_ntz, pinned boolean, type string")
+    got, most = shipped(spark, lambda: {r.id: r.credit for r in joins.time_ripple(df, df).collect()})
+    able = [(r[0], r[1]) for r in rows if not r[2] and r[3] == "dynamic"]
+    want: dict = {}
+    for i, t, *_ in rows:
+        near = (a for a, u in able if a != i and abs(u - t) <= dt.timedelta(hours=48))
+        for a in itertools.islice(near, 5):
+            want[a] = want.get(a, 0) + 0.3
+    assert got == {k: round(v, 1) for k, v in want.items()}
+    assert most <= 2 * len(rows)
+
+
 def test_state_keys_equal_brute_force(spark):
     import datetime as dt
 

@@ -244,12 +244,12 @@ def time_ripple(touched: DataFrame, memories: DataFrame, hours: int = 48, most:
         return rows.groupBy(F.floor(F.col(part) / width).alias(whole)).agg(F.array_sort(F.collect_list(F.struct("id", part))).alias("held"))
 
     def first_of(held: str, keep) -> Column:
-        return F.slice(F.transform(F.filter(held, keep), lambda x: x["id"]), 1, few)
+        return F.slice(F.array_distinct(F.transform(F.filter(held, keep), lambda x: x["id"])), 1, few)
 
     def least(*ids: str) -> Column:
         return F.slice(F.array_sort(F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in ids]))), 1, few)
 
-    target = memories.filter(~F.col("pinned") & ~F.col("type").isin("permanent", "feel", "plan", "letter", "i")).select(moment("created").alias("t"), "id")
+    target = memories.filter(~F.col("pinned") & ~F.col("type").isin("permanent", "feel", "plan", "letter", "i")).select(moment("created").alias("t"), "id").dropna()
     moments = materialize(smallest(target, "t"), "moments")
     whole = materialize(held(smallest(moments.select(F.floor(F.col("t") / minute).alias("m"), "id"), "m"), "m", "h", 60), "hours")
     days = held(whole.select("h", F.explode(F.slice(F.array_distinct("held.id"), 1, few)).alias("id")), "h", "d", 24)
@@ -258,8 +258,8 @@ def time_ripple(touched: DataFrame, memories: DataFrame, hours: int = 48, most:
     edges = times.select("m", "h").distinct()
     # hours wholly inside for any moment of hour h; what hours h - `hours` and h + `hours` add comes by minutes and moments
     around = edges.select("h").distinct().withColumn("d", F.explode(F.sequence(F.floor((F.col("h") - inner) / 24), F.floor((F.col("h") + inner) / 24))))
-    inside = around.join(days, "d").select("h", F.explode(first_of("held", lambda x: F.abs(x["h"] - F.col("h")) <= inner)).alias("id"))
-    inside = smallest(inside, "h").groupBy("h").agg(F.collect_list("id").alias("inside"))
+    inside = around.join(days, "d").select("h", first_of("held", lambda x: F.abs(x["h"] - F.col("h")) <= inner).alias("inside"))
+    inside = inside.groupBy("h").agg(F.flatten(F.collect_list("inside")).alias("inside"))  # few days an hour
     early = whole.select((F.col("h") + hours).alias("h"), "held").hint("merge")
     late = whole.select((F.col("h") - hours).alias("h"), "held").hint("merge")
     by_minute = edges.join(early, "h", "left").select("m", "h", first_of("held", lambda x: x["m"] > F.col("m") - 60 * hours).alias("early"))

@@ -434,6 +434,19 @@ def test_time_ripple_ships_no_row_for_a_minute_of_a_span(spark):
     assert most <= 2 * len(rows)
 
 
+def test_time_ripple_with_repeated_and_missing_values(spark):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 5, 20, 30, 0)
+    rows = [("a", start + dt.timedelta(minutes=i), False, "dynamic") for i in range(8)]
+    rows += [(f"b{i}", start + dt.timedelta(minutes=i), False, "dynamic") for i in range(6)]
+    rows += [(None, start, False, "dynamic"), ("a0", None, False, "dynamic"), ("a1", start, None, "dynamic"), ("a2", start, False, None)]
+    df = spark.createDataFrame(rows, "id string, created timestamp_ntz, pinned boolean, type string")
+    for at in (0, 36, 47 * 60, 48 * 60 - 10):
+        touched = spark.createDataFrame([("b1", start + dt.timedelta(minutes=at)), ("z", None), (None, start)], "id string, created timestamp_ntz")
+        assert {r.id: r.credit for r in joins.time_ripple(touched, df).collect()} == {k: 0.3 for k in ("a", "b0", "b2", "b3", "b4")}
+
+
 def test_state_keys_equal_brute_force(spark):
     import datetime as dt
 

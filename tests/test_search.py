@@ -68,3 +68,32 @@ def test_search_compares_contents_only_where_they_could_count(spark, sf, monkeyp
     compared.clear()
     assert found(3) == {x for x in whole if x[3] <= 3}
     assert sum(compared) < every / 4, (sum(compared), every)
+
+
+def bm25_tables(spark, at):
+    """Folder of tables whose long texts hold what is asked for only behind their first 1,200 characters; and its SQL."""
+    import duckdb
+
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice(["river", "stone", "lamp", "moss", "tale", "wind"]) for _ in range(n))
+    docs = [(i, words(300 + 40 * i) + (f" mark{i} far behind  the{i}\tbeginning " + words(5) if i % 3 == 0 else ""), "web", "en") for i in range(12)]
+    docs += [(12, "mark3 river", "web", "en"), (13, None, "web", "en"), (14, "", "web", "en"), (15, "lamp " * 20000 + "last", "web", "en")]
+    asked = [(i, f"mark{i} far behind") for i in (0, 3, 6, 9)] + [(20, "last"), (21, "lamp moss"), (22, "nowhere")]
+    assert all(text.index(f"mark{i}") > 1200 for i, text, *_ in docs[:12:3])
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{at}/events.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/{t}.parquet/*.parquet')")
+    return con
+
+
+def test_retrieval_eval_finds_what_stands_behind_the_beginning(spark, tmp_path):
+    from notegrid.plans.registry import oracle_sql, queries
+
+    con = bm25_tables(spark, tmp_path)
+    got = queries()["agg_07_retrieval_eval"](spark, str(tmp_path)).collect()
+    assert {(r.case, r.hit, r.recall, r["first"]) for r in got if r.case < 21} == {(0, True, 1.0, 1), (3, True, 1.0, 1), (6, True, 1.0, 1), (9, True, 1.0, 1), (20, True, 1.0, 1)}
+    want = con.sql(oracle_sql()["agg_07_retrieval_eval"]).fetchall()
+    assert sorted((r.case, r.hit, r.recall, r["first"], r.reciprocal) for r in got) == sorted(want)

@@ -97,3 +97,25 @@ def test_retrieval_eval_finds_what_stands_behind_the_beginning(spark, tmp_path):
     assert {(r.case, r.hit, r.recall, r["first"]) for r in got if r.case < 21} == {(0, True, 1.0, 1), (3, True, 1.0, 1), (6, True, 1.0, 1), (9, True, 1.0, 1), (20, True, 1.0, 1)}
     want = con.sql(oracle_sql()["agg_07_retrieval_eval"]).fetchall()
     assert sorted((r.case, r.hit, r.recall, r["first"], r.reciprocal) for r in got) == sorted(want)
+
+
+def test_bm25_scores_whole_texts(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    from notegrid.plans.registry import oracle_sql, queries
+
+    con = bm25_tables(spark, tmp_path)
+    docs, asked = con.sql("SELECT doc_id, text, lang, source FROM documents").fetchall(), con.sql("SELECT item_id, text FROM benchmark").fetchall()
+    held = {f"m{i}": Counter(" ".join(x for x in ((text or "")[:40], text, lang, source) if x is not None).lower().split()) for i, text, lang, source in docs}
+    n, size = len(held), sum(sum(c.values()) for c in held.values()) / len(held)
+    idf = {t: math.log(n - k + 0.5) - math.log(k + 0.5) for t, k in Counter(t for c in held.values() for t in c).items()}
+    idf = {t: 0.25 * sum(idf.values()) / len(idf) if x < 0 else x for t, x in idf.items()}
+    want = {}
+    for q, text in asked:
+        raw = {i: sum(idf.get(t, 0.0) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * sum(c.values()) / size)) for t in text.split() if c[t]) for i, c in held.items()}
+        want |= {(q, i): x / max(raw.values()) for i, x in raw.items() if x > 0}
+    got = {(r.query_id, r.id): r.bm25 for r in queries()["scr_09_bm25"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - x) < 1e-6 for k, x in want.items())
+    assert {(0, "m0"), (6, "m6"), (9, "m9"), (20, "m15")} <= got.keys()
+    assert sorted((*k, x) for k, x in got.items()) == sorted(con.sql(oracle_sql()["scr_09_bm25"]).fetchall())

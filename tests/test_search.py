@@ -99,6 +99,32 @@ def test_retrieval_eval_finds_what_stands_behind_the_beginning(spark, tmp_path):
     assert sorted((r.case, r.hit, r.recall, r["first"], r.reciprocal) for r in got) == sorted(want)
 
 
+def test_fulltext_search_finds_what_stands_behind_the_beginning(spark, tmp_path):
+    from notegrid.plans.registry import oracle_sql, queries
+
+    con = bm25_tables(spark, tmp_path)
+    got = sorted(tuple(r) for r in queries()["jon_24_fulltext_search"](spark, str(tmp_path)).select("query_id", "id", "rank").collect())
+    assert {(q, f"m{q}", 1) for q in (0, 6, 9)} <= set(got) and (20, "m15", 1) in got and (3, "m3", 1) in got and not any(q == 22 for q, *_ in got)
+    assert got == sorted(con.sql(oracle_sql()["jon_24_fulltext_search"]).fetchall())
+
+
+def test_first_by_bm25_keeps_ties_and_short_lists(spark):
+    from notegrid.operators import retrieval as R
+
+    rows = [(f"m{i:03}", "n", [], [], "filler " * (i % 3 + 1) + ("same" if i % 4 else "other")) for i in range(120)]
+    memories = spark.createDataFrame(rows, "id string, name string, tags array<string>, domain array<string>, content string")
+    asked = spark.createDataFrame([(1, "other"), (2, "same other"), (3, "filler"), (4, "nowhere"), (None, "other")], "query_id long, query string")
+    want: dict = {}
+    for r in R.bm25(memories, asked).collect():
+        want.setdefault(r.query_id, []).append((-round(r.bm25, 9), r.id))
+    assert want and len({s for s, _ in want[1]}) == 3
+    for most, slices in ((5, 64), (5, 3), (40, 8), (500, 64)):
+        got: dict = {}
+        for r in R.first_by_bm25(memories, asked, most, slices).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.id
+        assert got == {q: {k + 1: i for k, (_, i) in enumerate(sorted(x)[:most])} for q, x in want.items()}, (most, slices)
+
+
 def test_bm25_scores_whole_texts(spark, tmp_path):
     import math
     from collections import Counter
